@@ -1,0 +1,177 @@
+"""Random join trees, data and changes against a full recompute.
+
+Every table has a column ``t`` that numbers independent data sets; it is part of
+each key and each ON. So one Spark run checks many data sets at once.
+"""
+
+import random
+import zlib
+
+import pytest
+from conftest import assert_same_bag
+
+from tideview import Change, Join, Table, UnsupportedView, ViewSpec, bind, build_view, maintain, tables_after
+
+SETS = 60
+SCHEMA = "t int, id int, x int, y int, z int"
+
+
+def random_table(rng, most):
+    rows = []
+    for t in range(SETS):
+        for i in range(rng.randint(0, most)):
+            value = lambda: rng.choice([None, 0, 1, 2])
+            rows.append((t, i, value(), value(), rng.randint(0, 2)))
+    return rows
+
+
+def random_on(rng, lefts, rights):
+    a, b = rng.choice(lefts), rng.choice(rights)
+    on = [(f"{a}.t", f"{b}.t")]
+    form = rng.choice(["eq", "eq", "eq", "theta", "const", "two", "swap", "or"])
+    c, d = rng.choice("xy"), rng.choice("xy")
+    if form == "theta":
+        on.append(f"{a}.{c} < {b}.{d}")
+    elif form == "or":
+        on.append(f"{a}.x = {b}.x or {a}.y > {b}.y")
+    elif form == "swap":
+        on.append((f"{b}.{d}", f"{a}.{c}"))
+    else:
+        on.append(f"{a}.{c} = {b}.{d}")
+    if form == "const":
+        on.append(f"{b}.z > 0")
+    if form == "two" and len(lefts) > 1:
+        other = rng.choice([x for x in lefts if x != a])
+        on.append((f"{other}.t", f"{b}.t"))
+        on.append(f"{other}.y <= {b}.y")
+    return tuple(on)
+
+
+def random_tree(rng, names):
+    if len(names) == 1:
+        return names[0]
+    cut = rng.randint(1, len(names) - 1)
+    kind = rng.choice(["inner", "left", "left", "right", "full", "full"])
+    return Join(
+        kind,
+        random_tree(rng, names[:cut]),
+        random_tree(rng, names[cut:]),
+        random_on(rng, names[:cut], names[cut:]),
+    )
+
+
+def random_case(seed, aliases, self_join):
+    rng = random.Random(zlib.crc32(f"{seed}".encode()))
+    names = list("ABCD")[:aliases]
+    sources = {n: n.lower() for n in names}
+    if self_join:
+        sources[names[-1]] = sources[names[0]]
+    rng.shuffle(names)
+    tree = random_tree(rng, names)
+    select = {f"{n}_{c}": f"{n}.{c}" for n in names for c in "xz"}
+    where = rng.choice(
+        ["true", "A.z > 0", "B.x is null or A.x is not null", "coalesce(A.x, B.x, 1) > 0", "A.id is null"]
+    )
+    spec = ViewSpec({n: Table(sources[n], ["t", "id"]) for n in names}, tree, select, where)
+    return rng, spec, sorted(set(sources.values()))
+
+
+def random_change(rng, rows):
+    deleted, inserted = [], []
+    for row in rows:
+        if rng.random() < 0.3:
+            deleted.append(row)
+            if rng.random() < 0.5:
+                new_id = row[1] if rng.random() < 0.7 else row[1] + 10
+                inserted.append((row[0], new_id, rng.choice([None, 0, 1, 2]), row[3], rng.randint(0, 2)))
+    for t in range(SETS):
+        if rng.random() < 0.4:
+            inserted.append((t, 20, rng.choice([None, 0, 1]), rng.choice([0, 1, 2]), 1))
+    return deleted, inserted
+
+
+def check(spark, staging, seed, aliases, self_join=False):
+    rng, spec, sources = random_case(seed, aliases, self_join)
+    rows = {s: random_table(rng, 5 - aliases // 2) for s in sources}
+    frame = lambda r: spark.createDataFrame(r, SCHEMA).coalesce(1)
+    tables = {s: staging.table(frame(r)) for s, r in rows.items()}
+    changed = rng.sample(sources, rng.randint(1, len(sources)))
+    changes = {}
+    for s in changed:
+        deleted, inserted = random_change(rng, rows[s])
+        form = rng.choice(["delete", "insert", "update"])
+        if form == "delete":
+            inserted = None
+        elif form == "insert":
+            deleted, inserted = None, [(t, i + 30, x, y, z) for t, i, x, y, z in inserted]
+        changes[s] = Change(
+            None if deleted is None else frame(deleted), None if inserted is None else frame(inserted)
+        )
+    view = bind(spec, tables)
+    stored = staging.table(build_view(view))
+    result = staging.table(maintain(view, stored, tables, changes, staging))
+    expected = staging.table(build_view(view, tables_after(view, tables, changes)))
+    try:
+        assert_same_bag(result, expected)
+    except AssertionError as error:
+        raise AssertionError(f"seed {seed}: {spec}, changed {changed}: {error}") from error
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_two_tables(spark, staging, seed):
+    check(spark, staging, f"two-{seed}", 2)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_three_tables(spark, staging, seed):
+    check(spark, staging, f"three-{seed}", 3)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_four_tables(spark, staging, seed):
+    check(spark, staging, f"four-{seed}", 4)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_table_under_two_aliases(spark, staging, seed):
+    check(spark, staging, f"self-{seed}", 3, self_join=True)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_with_spreading_forced(spark, staging, seed):
+    """Inspect every join for hot keys and call almost any key hot."""
+    settings = {
+        "spark.tideview.skewBytes": "0",
+        "spark.tideview.hotShare": "0.01",
+        "spark.tideview.salts": "3",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        check(spark, staging, f"hot-{seed}", 3)
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
+def test_refusals(spark):
+    table = spark.createDataFrame([], SCHEMA)
+    tables = {"a": table, "b": table}
+    aliases = {"A": Table("a", ["t", "id"]), "B": Table("b", ["t", "id"])}
+    on = "A.x = B.x"
+
+    def refused(select=None, on=on, where="true", kind="left"):
+        with pytest.raises(UnsupportedView):
+            bind(ViewSpec(aliases, Join(kind, "A", "B", on), select or {"x": "A.x"}, where), tables)
+
+    refused(on="A.x = B.x or B.x is null")
+    refused(on="A.x = A.y")
+    refused(on="coalesce(B.x, 1) = A.x")
+    refused(on="A.x = B.x + rand()")
+    refused(select={"n": "count(*)"})
+    refused(select={"n": "row_number() over (order by A.x)"})
+    refused(select={"n": "explode(array(A.x))"})
+    refused(select={"n": "rand()"})
+    refused(select={"n": "A.nothing"})
+    refused(kind="cross")
+    bind(ViewSpec(aliases, Join("full", "A", "B", on), {"x": "A.x"}), tables)

@@ -7,12 +7,13 @@ table's name to the columns that identify its rows in the data at hand.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideview.functions.expressions import all_of, cols, null_when, quoted, typed_null
+from tideview.functions.expressions import all_of, any_of, cols, null_when, quoted, typed_null
 from tideview.plans.spec import KEEP, View, hidden
 from tideview.plans.view import Frames, working_rows
 
@@ -93,30 +94,36 @@ def null_by_flag(rows: DataFrame, columns_by_table: Keys, flags: Mapping[str, Co
     )
 
 
-def remove_subsumed(rows: DataFrame, keys_by_table: Keys) -> DataFrame:
+def remove_subsumed(
+    rows: DataFrame, keys_by_table: Keys, labels: Iterable[Iterable[str]] | None = None
+) -> DataFrame:
     """Drop a row when another one has the same tables' rows and more.
 
+    ``labels`` may name the labels that occur, to skip the others.
+
     Together with a union this is the minimum union by which an outer join can be
     put together from inner joins. For each set of tables, the rows with just that
     label are compared with the distinct keys of the rows that have more, so each
     comparison is an equi-join with one row per key on the reducing side.
     """
     names = list(keys_by_table)
-    out = None
-    for size in range(1, len(names) + 1):
-        for label in combinations(names, size):
-            part = rows.where(
-                all_of(_present(keys_by_table[t]) if t in label else ~_present(keys_by_table[t]) for t in names)
-            )
-            if size < len(names):
-                part = _without_more(part, rows, label, names, keys_by_table)
-            out = part if out is None else out.unionByName(part)
-    return out
+    if labels is None:
+        labels = [c for size in range(1, len(names) + 1) for c in combinations(names, size)]
+    labels = [frozenset(label) for label in labels]
+    parts = []
+    for label in labels:
+        part = rows.where(
+            all_of(_present(keys_by_table[t]) if t in label else ~_present(keys_by_table[t]) for t in names)
+        )
+        if any(label < other for other in labels):
+            part = _without_more(part, rows, [t for t in names if t in label], names, keys_by_table)
+        parts.append(part)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _without_more(part, rows, label, names, keys_by_table) -> DataFrame:
     keys = [k for t in label for k in keys_by_table[t]]
-    more = ~all_of(~_present(keys_by_table[t]) for t in names if t not in label)
+    more = any_of(_present(keys_by_table[t]) for t in names if t not in label)
     wider = (
         rows.where(all_of(_present(keys_by_table[t]) for t in label) & more)
         .select(*[c.alias(f"__w{i}") for i, c in enumerate(cols(keys))])

@@ -20,13 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideview.functions.expressions import all_of, cols, null_safe_on, quoted, typed_null
-from tideview.plans.spec import KEEP, View, hidden
+from tideview.plans.spec import View, hidden
 from tideview.plans.view import Frames, delta_rows, frames_of, kept
 from tideview.sources.changes import apply_changes
+from tideview.sources.snapshots import Step, apply_steps
 from tideview.sources.storage import Staging
 
-VERSION = "__version"
-
 
 @dataclass(frozen=True)
 class Change:
@@ -36,14 +35,6 @@ class Change:
     inserted: DataFrame | None = None
 
 
-@dataclass(frozen=True)
-class Step:
-    """Key tuples that leave the stored view, then rows that enter it."""
-
-    removed: DataFrame
-    added: DataFrame | None
-
-
 # --- deltas ----------------------------------------------------------------------
 
 
@@ -169,27 +160,34 @@ def insert_step(view: View, alias: str, rows: DataFrame, frames: Frames, staging
     return Step(smaller_keys(view, alias, delta), kept(delta))
 
 
+def stage_change(change: Change, source: str, staging: Staging) -> Change:
+    """Write the change rows once; they are read several times, with a known size."""
+    return Change(
+        None if change.deleted is None else staging.table(change.deleted, f"old-{source}"),
+        None if change.inserted is None else staging.table(change.inserted, f"new-{source}"),
+    )
+
+
 def maintenance_steps(
     view: View,
     tables: Mapping[str, DataFrame],
     changes: Mapping[str, Change],
     staging: Staging,
+    staged: bool = False,
 ) -> list[Step]:
-    """The steps for a batch of changes; ``tables`` are the sources before it."""
+    """The steps for a batch of changes; ``tables`` are the sources before it.
+
+    ``staged`` says that the change rows are scans of written tables already.
+    """
     unknown = set(changes) - set(view.spec.sources())
     if unknown:
         raise ValueError(f"the view does not read {', '.join(sorted(unknown))}")
-    staged = {
-        source: Change(
-            None if c.deleted is None else staging.table(c.deleted, f"old-{source}"),
-            None if c.inserted is None else staging.table(c.inserted, f"new-{source}"),
-        )
-        for source, c in changes.items()
-    }
+    if not staged:
+        changes = {source: stage_change(c, source, staging) for source, c in changes.items()}
     frames = frames_of(view, tables)
     steps = []
     for alias in view.aliases:
-        change = staged.get(view.source(alias))
+        change = changes.get(view.source(alias))
         if change is None:
             continue
         keys = view.keys(alias)
@@ -203,30 +201,9 @@ def maintenance_steps(
     return steps
 
 
-def apply_steps(view: View, stored: DataFrame, steps: Sequence[Step]) -> DataFrame:
-    """Stored rows after the steps, in one anti join however many steps there are."""
-    if not steps:
-        return stored
-    rows = stored.withColumn(VERSION, F.lit(0))
-    gone = None
-    for number, step in enumerate(steps, start=1):
-        if step.added is not None:
-            rows = rows.unionByName(step.added.withColumn(VERSION, F.lit(number)))
-        left = step.removed.withColumn(VERSION, F.lit(number))
-        gone = left if gone is None else gone.unionByName(left)
-    return live_rows(rows, gone, view.key_names()).drop(VERSION)
-
-
-def live_rows(rows: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows not removed by a later version than the one they were written in."""
-    names = [f"__g{i}" for i in range(len(keys))]
-    last = (
-        gone.select(*[c.alias(n) for c, n in zip(cols(keys), names)], VERSION)
-        .groupBy(*names)
-        .agg(F.max(VERSION).alias("__gone"))
-    )
-    on = null_safe_on(cols(keys), [F.col(n) for n in names]) & (F.col(VERSION) < F.col("__gone"))
-    return rows.join(last, on, "left_anti")
+def apply_to_view(view: View, stored: DataFrame, steps: Sequence[Step]) -> DataFrame:
+    """Stored rows after the steps."""
+    return apply_steps(stored, steps, view.key_names()) if steps else stored
 
 
 def maintain(
@@ -240,7 +217,7 @@ def maintain(
 
     The result reads the staged tables, so use or save it before closing ``staging``.
     """
-    return apply_steps(view, stored, maintenance_steps(view, tables, changes, staging))
+    return apply_to_view(view, stored, maintenance_steps(view, tables, changes, staging))
 
 
 def maintain_insert(view, stored, tables, source, rows, staging) -> DataFrame:
@@ -270,13 +247,11 @@ def tables_after(
 
 
 __all__ = [
-    "KEEP",
     "Change",
     "Step",
-    "apply_steps",
+    "apply_to_view",
     "delete_step",
     "insert_step",
-    "live_rows",
     "maintain",
     "maintain_delete",
     "maintain_insert",

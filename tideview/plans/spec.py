@@ -7,6 +7,7 @@ condition names and refuses views the maintenance rules do not cover.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -113,6 +114,34 @@ class ViewSpec:
         if any(n.startswith("__") for n in self.select):
             raise UnsupportedView("output names starting with __ are reserved")
 
+    def to_json(self) -> str:
+        def tree(t):
+            if isinstance(t, Join):
+                on = [list(c) if isinstance(c, tuple) else c for c in t.on]
+                return {"kind": t.kind, "left": tree(t.left), "right": tree(t.right), "on": on}
+            return t
+
+        return json.dumps(
+            {
+                "tables": {a: [t.source, list(t.keys)] for a, t in self.tables.items()},
+                "tree": tree(self.tree),
+                "select": dict(self.select),
+                "where": self.where,
+            }
+        )
+
+    @staticmethod
+    def from_json(text: str) -> ViewSpec:
+        def tree(t):
+            if isinstance(t, dict):
+                on = tuple(tuple(c) if isinstance(c, list) else c for c in t["on"])
+                return Join(t["kind"], tree(t["left"]), tree(t["right"]), on)
+            return t
+
+        d = json.loads(text)
+        tables = {a: Table(source, keys) for a, (source, keys) in d["tables"].items()}
+        return ViewSpec(tables, tree(d["tree"]), d["select"], d["where"])
+
     def sources(self) -> list[str]:
         return list(dict.fromkeys(t.source for t in self.tables.values()))
 
