@@ -32,8 +32,8 @@ from tideview import (
     visible,
 )
 from tideview.operators import bags, joins, terms
-from tideview.plans.maintain import delete_step
-from tideview.samples import BUSHY3, CHAIN3, FULL2, KEYS, LEFT2, LEFT3, SHAPES, load
+from tideview.plans.view import kept
+from tideview.samples import FULL2, KEYS, LEFT2, LEFT3, SHAPES, load
 from tideview.sources.changes import (
     apply_changes,
     changes_of,
@@ -41,7 +41,6 @@ from tideview.sources.changes import (
     net_changes,
     split_changes,
 )
-from tideview.sources.storage import shared_dir
 from tideview.sources.tables import base_table, key_violations, literal_rows
 from tideview.streaming import continuous
 
@@ -227,9 +226,10 @@ def new_orphans_query(spark, sf_dir):
     """Orders that are left without lines."""
     view, tables, staging = _setup(spark, sf_dir, LEFT2)
     rows = staging.table(tables["lineitem"].where(RETURNED))
+    delta = staging.table(primary_delta(view, "l", rows, frames_of(view), staging))
     after = apply_changes(tables["lineitem"], rows, None, KEYS["lineitem"])
-    step = delete_step(view, "l", rows, frames_of(view), after, staging)
-    return visible(view, step.added)
+    orphans = new_orphans(view, "l", delta, frames_of(view, {**tables, "lineitem": after}), staging)
+    return visible(view, kept(orphans))
 
 
 def matched_orphans_query(spark, sf_dir):

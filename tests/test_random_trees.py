@@ -12,7 +12,7 @@ from conftest import assert_same_bag
 
 from tideview import Change, Join, Table, UnsupportedView, ViewSpec, bind, build_view, maintain, tables_after
 
-SETS = 60
+SETS = 40
 SCHEMA = "t int, id int, x int, y int, z int"
 
 
@@ -117,27 +117,27 @@ def check(spark, staging, seed, aliases, self_join=False):
         raise AssertionError(f"seed {seed}: {spec}, changed {changed}: {error}") from error
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(4))
 def test_two_tables(spark, staging, seed):
     check(spark, staging, f"two-{seed}", 2)
 
 
-@pytest.mark.parametrize("seed", range(8))
+@pytest.mark.parametrize("seed", range(6))
 def test_three_tables(spark, staging, seed):
     check(spark, staging, f"three-{seed}", 3)
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(4))
 def test_four_tables(spark, staging, seed):
     check(spark, staging, f"four-{seed}", 4)
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_table_under_two_aliases(spark, staging, seed):
     check(spark, staging, f"self-{seed}", 3, self_join=True)
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_with_spreading_forced(spark, staging, seed):
     """Inspect every join for hot keys and call almost any key hot."""
     settings = {

@@ -66,5 +66,19 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def renamed(names: Iterable[str], prefix: str) -> list[str]:
+    """Select texts that number the columns: ``prefix0``, ``prefix1`` and so on."""
+    return [f"{quoted(n)} as {prefix}{i}" for i, n in enumerate(names)]
+
+
+def keys_match(names: Sequence[str], prefix: str, operator: str = "=") -> str:
+    """Condition text: each column equals its renamed counterpart; ``<=>`` for null-safe."""
+    return " and ".join(f"{quoted(n)} {operator} {prefix}{i}" for i, n in enumerate(names)) or "true"
+
+
+def null_text(data_type: T.DataType) -> str:
+    return f"cast(null as {data_type.simpleString()})"
+
+
 def cols(names: Iterable[str]) -> list[Column]:
     return [F.col(quoted(n)) for n in names]

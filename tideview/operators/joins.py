@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideview.functions.expressions import all_of, any_of, cols, null_safe_on, quoted, typed_null
+from tideview.functions.expressions import all_of, any_of, keys_match, null_safe_on, renamed, typed_null
 from tideview.sources.storage import plan_bytes
 
 # Settings, read from the session (all may be set with spark.conf.set).
@@ -150,15 +150,23 @@ def _without_partner(rows, other, keys, other_keys, rest, row_id, matched) -> Da
     return rows.join(found, on, "left_anti")
 
 
+def distinct_if_large(keys: DataFrame) -> DataFrame:
+    """Keys to semi-join with, reduced to distinct ones if Spark will shuffle them.
+
+    Otherwise a key that many of them share would meet in one task. When they are
+    small enough to be broadcast, copies do no harm and the extra shuffle would.
+    """
+    return keys if plan_bytes(keys) <= broadcast_limit(keys) else keys.distinct()
+
+
 def restrict_to_keys(base: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``base`` whose key occurs in ``keys_df``.
 
-    The wanted keys are made distinct first. Spark broadcasts them when their size
-    is below its threshold, so the base table is then filtered where it is read.
+    Spark broadcasts the wanted keys when their size is below its threshold, so the
+    base table is then filtered where it is read.
     """
-    wanted = keys_df.select(*[c.alias(f"__w{i}") for i, c in enumerate(cols(keys))]).distinct()
-    on = all_of(F.col(quoted(k)) == F.col(f"__w{i}") for i, k in enumerate(keys))
-    return base.join(wanted, on, "left_semi")
+    wanted = distinct_if_large(keys_df.selectExpr(*renamed(keys, "__w")))
+    return base.join(wanted, F.expr(keys_match(keys, "__w")), "left_semi")
 
 
 def matching_rows(rows: DataFrame, other: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -175,6 +183,5 @@ def rows_without_match(
 
 def _null_safe(rows, other, columns, how) -> DataFrame:
     columns = rows.columns if columns is None else list(columns)
-    wanted = other.select(*[c.alias(f"__w{i}") for i, c in enumerate(cols(columns))]).distinct()
-    on = null_safe_on(cols(columns), [F.col(f"__w{i}") for i in range(len(columns))])
-    return rows.join(wanted, on, how)
+    wanted = distinct_if_large(other.selectExpr(*renamed(columns, "__w")))
+    return rows.join(wanted, F.expr(keys_match(columns, "__w", "<=>")), how)

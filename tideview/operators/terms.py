@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideview.functions.expressions import all_of, any_of, cols, null_when, quoted, typed_null
+from tideview.functions.expressions import all_of, any_of, keys_match, null_when, quoted, renamed, typed_null
 from tideview.plans.spec import KEEP, View, hidden
 from tideview.plans.view import Frames, working_rows
 
@@ -126,8 +126,7 @@ def _without_more(part, rows, label, names, keys_by_table) -> DataFrame:
     more = any_of(_present(keys_by_table[t]) for t in names if t not in label)
     wider = (
         rows.where(all_of(_present(keys_by_table[t]) for t in label) & more)
-        .select(*[c.alias(f"__w{i}") for i, c in enumerate(cols(keys))])
+        .selectExpr(*renamed(keys, "__w"))
         .distinct()
     )
-    on = all_of(c == F.col(f"__w{i}") for i, c in enumerate(cols(keys)))
-    return part.join(wider, on, "left_anti")
+    return part.join(wider, F.expr(keys_match(keys, "__w")), "left_anti")

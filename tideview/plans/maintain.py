@@ -1,13 +1,13 @@
 """Bring a stored view up to date from changes of its base tables.
 
-A maintenance step covers one alias and one direction and yields two row sets:
-the key tuples of stored rows that go, and the rows that come. Neither needs the
-stored view to be read, so the cost of a step follows the change, not the result.
+A maintenance step covers one alias and yields two row sets: the key tuples of
+stored rows that go, and the rows that come. Neither needs the stored view to be
+read, so the cost of a step follows the change, not the result.
 
 Steps run one after another. Each sees the tables of earlier steps as they are
 after the change and the others as they were before it, which is how a
-change of several tables, an update, and a table used under two aliases are all
-reduced to the single-table rules.
+change of several tables and a table used under two aliases are reduced to the
+single-table rules.
 """
 
 from __future__ import annotations
@@ -19,12 +19,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideview.functions.expressions import all_of, cols, null_safe_on, quoted, typed_null
+from tideview.functions.expressions import cols, keys_match, null_text, quoted, renamed
+from tideview.operators.joins import distinct_if_large
 from tideview.plans.spec import View, hidden
-from tideview.plans.view import Frames, delta_rows, frames_of, kept
+from tideview.plans.view import Frames, delta_rows, frames_of, kept, stage_large
 from tideview.sources.changes import apply_changes
 from tideview.sources.snapshots import Step, apply_steps
-from tideview.sources.storage import Staging
+from tideview.sources.storage import Staging, is_scan
+
+# Marks the changed rows: true for those that enter, false for those that leave.
+ENTERS = "__enters"
 
 
 @dataclass(frozen=True)
@@ -45,70 +49,89 @@ def primary_delta(
     return delta_rows(view, alias, rows, frames, staging)
 
 
-def smaller_keys(view: View, alias: str, delta: DataFrame) -> DataFrame:
+def smaller_keys(view: View, alias: str, delta: DataFrame) -> DataFrame | None:
     """Key tuples of the rows that the delta rows cover, ``alias`` nulled out.
 
     Per delta row and per largest term without ``alias``: the row's keys with
     everything outside that term set to NULL; distinct. This is done in one pass
-    with an array of variants per row.
+    with an array of variants per row. None if there is no such term.
     """
-    anchors = view.anchors(alias)
-    if not anchors:
-        return delta.select(*cols(view.key_names())).limit(0)
+    nulls = {n: null_text(delta.schema[n].dataType) for n in view.key_names()}
     variants = []
-    for term, labels in anchors.items():
+    for term, labels in view.anchors(alias).items():
         row = [
-            F.col(quoted(n)).alias(n) if a in term else typed_null(delta.schema[n].dataType).alias(n)
-            for a in view.aliases
-            for n in view.key_names([a])
+            f"{quoted(n) if a in term else nulls[n]} as {quoted(n)}" for a in view.aliases for n in view.key_names([a])
         ]
-        reached = reduce(lambda x, y: x | y, [view.has_label(label) for label in labels])
-        variants.append(F.when(reached, F.struct(*row)))
+        variants.append(F.when(view.has_label(*labels), F.expr(f"struct({', '.join(row)})")))
+    if not variants:
+        return None
     return (
-        delta.select(F.explode(F.array(*variants)).alias("v"))
-        .where(F.col("v").isNotNull())
-        .select("v.*")
-        .distinct()
+        delta.select(F.explode(F.array(*variants)).alias("v")).where("v is not null").select("v.*").distinct()
     )
 
 
 def matched_orphans(view: View, alias: str, delta: DataFrame, stored: DataFrame) -> DataFrame:
     """Stored rows without ``alias`` that the delta of an insert now covers."""
     covered = smaller_keys(view, alias, delta)
-    return _by_key_tuple(view, stored, covered, "left_semi")
+    if covered is None:
+        return stored.limit(0)
+    return _by_keys(stored, distinct_if_large(covered), view.key_names(), "left_semi", null_safe=True)
 
 
 def new_orphans(
-    view: View, alias: str, delta: DataFrame, frames: Frames, staging: Staging
+    view: View,
+    alias: str,
+    delta: DataFrame,
+    frames: Frames,
+    staging: Staging,
+    covered: DataFrame | None = None,
 ) -> DataFrame | None:
     """Rows that appear because they lost their last partner in ``alias``.
 
-    ``delta`` are the working rows a delete removes and ``frames`` the tables
-    after it. For each largest term without ``alias`` one of its aliases is cut
+    ``delta`` are the working rows that went and ``frames`` the tables after
+    the change. For each largest term without ``alias`` one of its aliases is cut
     down to the keys in question and the view evaluated around it: the rows with
-    exactly that term's label are the new ones, distinct by construction.
+    exactly that term's label are the new ones. ``covered`` may give key tuples
+    known to have a partner again; if that is all of them, Spark finds nothing to look up
+    and does not read the tables.
     """
     parts = []
     for term, labels in view.anchors(alias).items():
         names = view.key_names(term)
-        reached = reduce(lambda x, y: x | y, [view.has_label(label) for label in labels])
-        candidates = delta.where(reached).select(*cols(names)).distinct()
+        lost = delta.where(view.has_label(*labels)).select(*cols(names))
+        if covered is not None:
+            found_again = covered.where(view.has_label(term)).select(*cols(names))
+            lost = _by_keys(lost, found_again, names, "left_anti")
+        lost = lost.distinct()
         anchor = _nearest(view, alias, term)
-        wanted = candidates.select(
-            *[F.col(quoted(hidden(anchor, k))).alias(f"__w{i}") for i, k in enumerate(view.keys(anchor))]
-        ).distinct()
-        on = all_of(
-            F.col(quoted(k)) == F.col(f"__w{i}") for i, k in enumerate(view.keys(anchor))
-        )
-        # Staged, as its keys cut down the other tables and it is joined as well.
-        rows = staging.table(frames[anchor].join(wanted, on, "left_semi"), "lost")
-        found = delta_rows(view, anchor, rows, frames, staging).where(view.has_label(term))
+        keys = view.keys(anchor)
+        anchor_keys = lost.selectExpr(*[f"{quoted(hidden(anchor, k))} as {quoted(k)}" for k in keys])
         if len(term) > 1:
-            found = _keep_tuples(found, candidates, names)
+            anchor_keys = distinct_if_large(anchor_keys)
+        # Of the tables outside the term only the join columns matter here: a row
+        # that contains one of them is dropped again.
+        outside = {a: _join_columns_only(view, a, f) for a, f in frames.items() if a not in term}
+        rows = _by_keys(frames[anchor], anchor_keys, keys, "left_semi")
+        rows = stage_large(rows, frames[anchor], staging, "lost")
+        found = delta_rows(view, anchor, rows, {**frames, **outside}, staging, row_keys=anchor_keys)
+        found = found.where(view.has_label(term))
+        if len(term) > 1:
+            found = _by_keys(found, lost, names, "left_semi")
         parts.append(found)
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
+def _join_columns_only(view: View, alias: str, frame: DataFrame) -> DataFrame:
+    """The table with all columns NULL that no key or ON reads."""
+    needed = view.join_columns(alias)
+    return frame.selectExpr(
+        *[
+            quoted(f.name) if f.name in needed else f"{null_text(f.dataType)} as {quoted(f.name)}"
+            for f in frame.schema.fields
+        ]
+    )
+
+
 def _nearest(view: View, alias: str, term: frozenset[str]) -> str:
     """An alias of the term that shares a join condition with ``alias`` if any does."""
 
@@ -127,45 +150,53 @@ def _nearest(view: View, alias: str, term: frozenset[str]) -> str:
     return min(term)
 
 
-def _keep_tuples(rows: DataFrame, tuples: DataFrame, names: Sequence[str]) -> DataFrame:
-    wanted = tuples.select(*[c.alias(f"__w{i}") for i, c in enumerate(cols(names))])
-    on = all_of(c == F.col(f"__w{i}") for i, c in enumerate(cols(names)))
-    return rows.join(wanted, on, "left_semi")
-
-
-def _by_key_tuple(view: View, stored: DataFrame, tuples: DataFrame, how: str) -> DataFrame:
-    names = view.key_names()
-    wanted = tuples.select(*[c.alias(f"__w{i}") for i, c in enumerate(cols(names))])
-    return stored.join(
-        wanted, null_safe_on(cols(names), [F.col(f"__w{i}") for i in range(len(names))]), how
-    )
+def _by_keys(
+    rows: DataFrame, wanted: DataFrame, names: Sequence[str], how: str, null_safe: bool = False
+) -> DataFrame:
+    """Semi or anti join on columns that have the same names on both sides."""
+    wanted = wanted.selectExpr(*renamed(names, "__w"))
+    on = keys_match(names, "__w", "<=>" if null_safe else "=")
+    return rows.join(wanted, F.expr(on), how)
 
 
 # --- steps -----------------------------------------------------------------------
 
 
-def delete_step(
-    view: View, alias: str, rows: DataFrame, frames: Frames, after: DataFrame, staging: Staging
-) -> Step:
-    """Rows leave ``alias``; ``after`` is its table without them."""
-    delta = staging.table(primary_delta(view, alias, rows, frames, staging), f"del-{alias}")
-    removed = kept(delta).select(*cols(view.key_names()))
-    orphans = new_orphans(view, alias, delta, {**frames, alias: after}, staging)
-    return Step(removed, None if orphans is None else kept(orphans))
-
-
-def insert_step(view: View, alias: str, rows: DataFrame, frames: Frames, staging: Staging) -> Step:
-    """Rows enter ``alias``."""
-    delta = staging.table(primary_delta(view, alias, rows, frames, staging), f"ins-{alias}")
-    return Step(smaller_keys(view, alias, delta), kept(delta))
+def maintenance_step(
+    view: View, alias: str, change: Change, frames: Frames, staging: Staging
+) -> tuple[Step, DataFrame]:
+    """What a change of one alias does to the stored view, and its table after it.
 
-
-def stage_change(change: Change, source: str, staging: Staging) -> Change:
-    """Write the change rows once; they are read several times, with a known size."""
-    return Change(
-        None if change.deleted is None else staging.table(change.deleted, f"old-{source}"),
-        None if change.inserted is None else staging.table(change.inserted, f"new-{source}"),
-    )
+    Rows that leave and rows that enter are joined with the other tables together,
+    so an update reads these once. Rows covered both before and after need no look
+    at the tables at all.
+    """
+    leaves, enters = change.deleted, change.inserted
+    after = apply_changes(frames[alias], leaves, enters, view.keys(alias))
+    marked = [
+        part.withColumn(ENTERS, F.lit(flag)) for part, flag in ((leaves, False), (enters, True)) if part is not None
+    ]
+    rows = reduce(DataFrame.unionByName, marked)
+    delta = staging.table(delta_rows(view, alias, rows, frames, staging, marks=[ENTERS]), f"delta-{alias}")
+    keys = cols(view.key_names())
+    removed, added, covered = [], [], None
+    if enters is not None:
+        came = delta.where(F.col(ENTERS)).drop(ENTERS)
+        covered = smaller_keys(view, alias, came)
+        if covered is not None:
+            removed.append(covered)
+        added.append(kept(came))
+    if leaves is not None:
+        went = delta.where(~F.col(ENTERS)).drop(ENTERS)
+        removed.append(kept(went).select(*keys))
+        orphans = new_orphans(view, alias, went, {**frames, alias: after}, staging, covered)
+        if orphans is not None:
+            added.append(kept(orphans))
+
+    def union(parts):
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    return Step(union(removed), union(added)), after
 
 
 def maintenance_steps(
@@ -173,34 +204,35 @@ def maintenance_steps(
     tables: Mapping[str, DataFrame],
     changes: Mapping[str, Change],
     staging: Staging,
-    staged: bool = False,
 ) -> list[Step]:
-    """The steps for a batch of changes; ``tables`` are the sources before it.
-
-    ``staged`` says that the change rows are scans of written tables already.
-    """
+    """The steps for a batch of changes; ``tables`` are the sources before it."""
     unknown = set(changes) - set(view.spec.sources())
     if unknown:
         raise ValueError(f"the view does not read {', '.join(sorted(unknown))}")
-    if not staged:
-        changes = {source: stage_change(c, source, staging) for source, c in changes.items()}
+    changes = {source: stage_change(c, source, staging) for source, c in changes.items()}
     frames = frames_of(view, tables)
     steps = []
     for alias in view.aliases:
         change = changes.get(view.source(alias))
-        if change is None:
+        if change is None or (change.deleted is None and change.inserted is None):
             continue
-        keys = view.keys(alias)
-        if change.deleted is not None:
-            after = apply_changes(frames[alias], change.deleted, None, keys)
-            steps.append(delete_step(view, alias, change.deleted, frames, after, staging))
-            frames[alias] = after
-        if change.inserted is not None:
-            steps.append(insert_step(view, alias, change.inserted, frames, staging))
-            frames[alias] = apply_changes(frames[alias], None, change.inserted, keys)
+        step, frames[alias] = maintenance_step(view, alias, change, frames, staging)
+        steps.append(step)
     return steps
 
 
+def stage_change(change: Change, source: str, staging: Staging) -> Change:
+    """Write the change rows once, unless they are the plain scan of a written table.
+
+    They are read several times, and Spark then knows how few they are.
+    """
+
+    def written(rows, name):
+        return rows if rows is None or is_scan(rows) else staging.table(rows, f"{name}-{source}")
+
+    return Change(written(change.deleted, "old"), written(change.inserted, "new"))
+
+
 def apply_to_view(view: View, stored: DataFrame, steps: Sequence[Step]) -> DataFrame:
     """Stored rows after the steps."""
     return apply_steps(stored, steps, view.key_names()) if steps else stored
@@ -244,22 +276,3 @@ def tables_after(
     for source, change in changes.items():
         out[source] = apply_changes(tables[source], change.deleted, change.inserted, keys[source])
     return out
-
-
-__all__ = [
-    "Change",
-    "Step",
-    "apply_to_view",
-    "delete_step",
-    "insert_step",
-    "maintain",
-    "maintain_delete",
-    "maintain_insert",
-    "maintain_update",
-    "maintenance_steps",
-    "matched_orphans",
-    "new_orphans",
-    "primary_delta",
-    "smaller_keys",
-    "tables_after",
-]

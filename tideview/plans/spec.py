@@ -156,12 +156,16 @@ def _aliases(tree) -> Iterator[str]:
 
 @dataclass(frozen=True)
 class Condition:
-    """One conjunct of an ON: an equality of two texts, or any text."""
+    """One conjunct of an ON: an equality of two texts, or any text.
+
+    ``names`` are the aliases it reads, ``columns`` the pairs of alias and column.
+    """
 
     names: frozenset[str]
     left: str
     right: str | None = None
     left_names: frozenset[str] = frozenset()
+    columns: frozenset[tuple[str, str]] = frozenset()
 
     @property
     def column(self) -> Column:
@@ -220,16 +224,30 @@ class View:
         wanted = self.aliases if aliases is None else [a for a in self.aliases if a in aliases]
         return [hidden(a, k) for a in wanted for k in self.keys(a)]
 
+    def join_columns(self, alias: str) -> set[str]:
+        """Columns of the alias that its key or an ON reads."""
+
+        def read(node: Node) -> set[str]:
+            if node.leaf:
+                return set()
+            here = {c for condition in node.on for a, c in condition.columns if a == alias}
+            return here | read(node.left) | read(node.right)
+
+        return read(self.root) | set(self.keys(alias))
+
     @property
     def outputs(self) -> list[str]:
         return list(self.spec.select)
 
-    def present(self, alias: str) -> Column:
-        """Whether a working row contains a row of this alias."""
-        return F.col(quoted(hidden(alias, self.keys(alias)[0]))).isNotNull()
+    def has_label(self, *labels: frozenset[str]) -> Column:
+        """Whether a working row contains exactly the aliases of one of the labels."""
+
+        def text(label):
+            return " and ".join(
+                f"{quoted(hidden(a, self.keys(a)[0]))} is {'not ' if a in label else ''}null" for a in self.aliases
+            )
 
-    def has_label(self, label: frozenset[str]) -> Column:
-        return all_of(self.present(a) if a in label else ~self.present(a) for a in self.aliases)
+        return F.expr(" or ".join(f"({text(label)})" for label in labels))
 
     @cached_property
     def terms(self) -> frozenset[frozenset[str]]:
@@ -331,18 +349,19 @@ def _resolve(tree, frames: Mapping[str, DataFrame]) -> Node:
     wide = _side_by_side(list(inside.values()))
     on = []
     for condition in tree.on:
-        if isinstance(condition, str):
-            resolved = Condition(_named(condition, wide), condition)
+        texts = [condition] if isinstance(condition, str) else list(condition)
+        read = [_read_columns(text, wide) for text in texts]
+        names = [frozenset(alias for alias, _ in r) for r in read]
+        both, columns = frozenset().union(*names), frozenset().union(*read)
+        lefts, rights = set(left_node.aliases), set(right_node.aliases)
+        if len(texts) == 2 and all(names) and names[0] <= rights and names[1] <= lefts:
+            texts, names = texts[::-1], names[::-1]
+        if len(texts) == 1:
+            on.append(Condition(both, texts[0], columns=columns))
+        elif all(names) and names[0] <= lefts and names[1] <= rights:
+            on.append(Condition(both, *texts, names[0], columns))
         else:
-            first, second = condition
-            names = _named(first, wide), _named(second, wide)
-            if names[0] <= set(right_node.aliases) and names[1] <= set(left_node.aliases):
-                first, second, names = second, first, names[::-1]
-            if names[0] <= set(left_node.aliases) and names[1] <= set(right_node.aliases) and all(names):
-                resolved = Condition(names[0] | names[1], first, second, names[0])
-            else:
-                resolved = Condition(names[0] | names[1], f"({first}) = ({second})")
-        on.append(resolved)
+            on.append(Condition(both, f"({texts[0]}) = ({texts[1]})", columns=columns))
     node = Node(aliases, tree.kind, left_node, right_node, tuple(on))
     for side in (left_node, right_node):
         if not node.named & set(side.aliases):
@@ -353,15 +372,16 @@ def _resolve(tree, frames: Mapping[str, DataFrame]) -> Node:
     return node
 
 
-def _named(text: str, wide: DataFrame) -> frozenset[str]:
-    """Aliases whose columns the text reads, as Spark's analyzer resolves it."""
+def _read_columns(text: str, wide: DataFrame) -> frozenset[tuple[str, str]]:
+    """The (alias, column) pairs the text reads, as Spark's analyzer resolves it."""
     try:
         plan = wide.select(F.expr(text))._jdf.queryExecution().analyzed()
     except AnalysisException as error:
         raise UnsupportedView(f"cannot resolve ON: {error}") from error
     _check_plan(plan)
     columns = plan.references().toSeq()
-    return frozenset(columns.apply(i).qualifier().last() for i in range(columns.size()))
+    read = [columns.apply(i) for i in range(columns.size())]
+    return frozenset((c.qualifier().last(), c.name()) for c in read)
 
 
 def _rejects_nulls(node: Node, alias: str, frames: Mapping[str, DataFrame]) -> bool:

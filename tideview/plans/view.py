@@ -7,14 +7,14 @@ kept ones without the flag.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideview.functions.expressions import cols, quoted
-from tideview.operators.joins import SKEW_BYTES, setting, skew_safe_join
+from tideview.operators.joins import SKEW_BYTES, distinct_if_large, setting, skew_safe_join
 from tideview.plans.spec import KEEP, Condition, Node, View, hidden
 from tideview.sources.storage import Staging, plan_bytes
 
@@ -27,33 +27,39 @@ def frames_of(view: View, tables: Mapping[str, DataFrame] | None = None) -> dict
     return {a: tables[view.source(a)] for a in view.aliases}
 
 
-def working_rows(view: View, frames: Frames, kinds: Mapping[Node, str] | None = None) -> DataFrame:
-    """All rows of the join tree, before WHERE."""
-    joined = _join_tree(view, view.root, frames, kinds or {})
-    key_columns = [
-        F.expr(f"{quoted(a)}.{quoted(k)}").alias(hidden(a, k))
-        for a in view.aliases
-        for k in view.keys(a)
-    ]
-    outputs = [F.expr(e).alias(n) for n, e in view.spec.select.items()]
-    keep = F.coalesce(F.expr(view.spec.where).cast("boolean"), F.lit(False)).alias(KEEP)
-    return joined.select(*key_columns, *outputs, keep)
+def working_rows(
+    view: View,
+    frames: Frames,
+    kinds: Mapping[Node, str] | None = None,
+    marks: Sequence[tuple[str, str]] = (),
+) -> DataFrame:
+    """All rows of the join tree, before WHERE.
+
+    ``marks`` are further (alias, column) pairs to carry along; they are part of
+    what identifies a row of that alias.
+    """
+    joined = _join_tree(view, view.root, frames, kinds or {}, marks)
+    columns = [f"{quoted(a)}.{quoted(k)} as {quoted(hidden(a, k))}" for a in view.aliases for k in view.keys(a)]
+    columns += [f"{e} as {quoted(n)}" for n, e in view.spec.select.items()]
+    columns.append(f"coalesce(cast(({view.spec.where}) as boolean), false) as {KEEP}")
+    columns += [f"{quoted(a)}.{quoted(c)} as {quoted(c)}" for a, c in marks]
+    return joined.selectExpr(*columns)
 
 
-def _join_tree(view: View, node: Node, frames: Frames, kinds: Mapping[Node, str]) -> DataFrame:
+def _join_tree(view: View, node: Node, frames: Frames, kinds, marks) -> DataFrame:
     if node.leaf:
         alias = node.aliases[0]
         return frames[alias].alias(alias)
-    left = _join_tree(view, node.left, frames, kinds)
-    right = _join_tree(view, node.right, frames, kinds)
+    left = _join_tree(view, node.left, frames, kinds, marks)
+    right = _join_tree(view, node.right, frames, kinds, marks)
     return skew_safe_join(
         left,
         right,
         node.pairs,
         node.rest,
         kinds.get(node, node.kind),
-        left_id=_row_id(view, node.left),
-        right_id=_row_id(view, node.right),
+        left_id=_row_id(view, node.left, marks),
+        right_id=_row_id(view, node.right, marks),
         left_bytes=sum(plan_bytes(frames[a]) for a in node.left.aliases),
         right_bytes=sum(plan_bytes(frames[a]) for a in node.right.aliases),
         left_unique=_unique(view, node.left, [a for a, _ in node.pairs]),
@@ -61,8 +67,10 @@ def _join_tree(view: View, node: Node, frames: Frames, kinds: Mapping[Node, str]
     )
 
 
-def _row_id(view: View, node: Node) -> list[str]:
-    return [f"{quoted(a)}.{quoted(k)}" for a in node.aliases for k in view.keys(a)]
+def _row_id(view: View, node: Node, marks) -> list[str]:
+    columns = [(a, k) for a in node.aliases for k in view.keys(a)]
+    columns += [(a, c) for a, c in marks if a in node.aliases]
+    return [f"{quoted(a)}.{quoted(c)}" for a, c in columns]
 
 
 def _unique(view: View, node: Node, texts: Iterable[str]) -> bool:
@@ -150,7 +158,13 @@ def _walk(node: Node, anchor: str, kinds: dict, reductions: list) -> None:
 
 
 def delta_rows(
-    view: View, alias: str, rows: DataFrame, frames: Frames, staging: Staging
+    view: View,
+    alias: str,
+    rows: DataFrame,
+    frames: Frames,
+    staging: Staging,
+    row_keys: DataFrame | None = None,
+    marks: Sequence[str] = (),
 ) -> DataFrame:
     """Working rows that contain one of ``rows`` of ``alias``.
 
@@ -158,20 +172,31 @@ def delta_rows(
     meet, outward from ``rows``; each base table is read once, and only rows that
     are part of the answer reach a shuffle. Large tables cut down this way are
     staged, because they are used again and their real size is then known.
+
+    ``row_keys`` may give the keys of ``rows`` where these are cheaper to read than
+    ``rows``. ``marks`` are columns of ``rows`` to carry along.
     """
     plan = delta_plan(view, alias)
     frames = {**frames, alias: rows}
+    own_keys = {f"{alias}.{k}" for k in view.keys(alias)}
     for r in plan.reductions:
         using_text, into_text = _sides(r)
-        wanted = (
-            frames[r.using].alias(r.using).select(F.expr(using_text).alias("__w")).distinct()
-        )
+        using = frames[r.using]
+        if r.using == alias and row_keys is not None and using_text.replace("`", "") in own_keys:
+            using = row_keys
+        wanted = distinct_if_large(using.alias(r.using).selectExpr(f"{using_text} as __w"))
         source = frames[r.into]
-        cut = source.alias(r.into).join(wanted, F.expr(into_text) == F.col("__w"), "left_semi")
-        if plan_bytes(source) >= setting(source, SKEW_BYTES):
-            cut = staging.table(cut, r.into)
-        frames[r.into] = cut
-    return working_rows(view, frames, plan.kinds)
+        cut = source.alias(r.into).join(wanted, F.expr(f"({into_text}) = __w"), "left_semi")
+        frames[r.into] = stage_large(cut, source, staging, r.into)
+    return working_rows(view, frames, plan.kinds, [(alias, m) for m in marks])
+
+
+def stage_large(cut: DataFrame, source: DataFrame, staging: Staging, name: str) -> DataFrame:
+    """Write what is left of a large table: it is used several times, and further
+    plans depend on how little it is. A small table is cheaper to read again."""
+    if plan_bytes(source) >= setting(source, SKEW_BYTES):
+        return staging.table(cut, name)
+    return cut
 
 
 def _sides(r: Reduction) -> tuple[str, str]:

@@ -155,7 +155,7 @@ class Workspace:
                 mine = {s: c for s, c in staged.items() if s in view.spec.sources()}
                 if store.done(batch):
                     continue
-                store.publish(maintenance_steps(view, self._now(name), mine, staging, staged=True), batch)
+                store.publish(maintenance_steps(view, self._now(name), mine, staging), batch)
                 store.compact(self.compact_above)
             for source, change in staged.items():
                 table = self._table(source)

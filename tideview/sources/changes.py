@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from tideview.functions.expressions import (
     all_of,
     cols,
+    keys_match,
     null_safe_on,
     quoted,
+    renamed,
     row_of,
     rows_differ,
     typed_null,
@@ -66,11 +68,8 @@ def apply_changes(
     """
     out = base
     if deleted is not None:
-        gone = deleted.select(*[c.alias(f"__gone_{i}") for i, c in enumerate(cols(keys))])
-        on = all_of(
-            F.col(quoted(k)) == F.col(f"__gone_{i}") for i, k in enumerate(keys)
-        )
-        out = out.join(gone, on, "left_anti")
+        gone = deleted.selectExpr(*renamed(keys, "__gone"))
+        out = out.join(gone, F.expr(keys_match(keys, "__gone")), "left_anti")
     if inserted is not None:
         out = out.unionByName(inserted)
     return out

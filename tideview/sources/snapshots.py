@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideview.functions.expressions import cols
+from tideview.functions.expressions import cols, keys_match, renamed
 from tideview.sources.storage import Files
 
 VERSION = "__version"
@@ -42,14 +43,13 @@ def live_rows(rows: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFram
     Keys may be NULL in part (a stored view row lacks some tables), so they are
     compared null-safe. Removed keys are reduced to one row per key first.
     """
-    names = [f"__g{i}" for i in range(len(keys))]
     last = (
-        gone.select(*[c.alias(n) for c, n in zip(cols(keys), names)], VERSION)
-        .groupBy(*names)
+        gone.selectExpr(*renamed(keys, "__g"), VERSION)
+        .groupBy(*[f"__g{i}" for i in range(len(keys))])
         .agg(F.max(VERSION).alias("__gone"))
     )
-    same = reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(n)) for c, n in zip(cols(keys), names)])
-    return rows.join(last, same & (F.col(VERSION) < F.col("__gone")), "left_anti")
+    later = F.expr(f"{keys_match(keys, '__g', '<=>')} and {VERSION} < __gone")
+    return rows.join(last, later, "left_anti")
 
 
 def number_steps(steps: Sequence[Step], first: int) -> tuple[DataFrame | None, DataFrame | None]:
@@ -178,11 +178,16 @@ class SnapshotStore:
             return m.number
         added, removed = number_steps(steps, m.next_version)
         names = self.schema.fieldNames()
-        rows, gone = m.rows, m.gone
+        jobs = []
         if added is not None:
-            rows += (self._write(added.select(*cols(names), VERSION), "rows"),)
+            jobs.append((added.select(*cols(names), VERSION), "rows"))
         if removed is not None:
-            gone += (self._write(removed.select(*cols(self.keys), VERSION), "gone"),)
+            jobs.append((removed.select(*cols(self.keys), VERSION), "gone"))
+        # The two are independent; side by side they share the executors.
+        with ThreadPoolExecutor(2) as pool:
+            folders = list(pool.map(lambda job: self._write(*job), jobs))
+        rows = m.rows + tuple(f for f in folders if f.endswith("-rows"))
+        gone = m.gone + tuple(f for f in folders if f.endswith("-gone"))
         number, version = m.number + 1, m.next_version + max(1, len(steps))
         self._switch(Manifest(number, rows, gone, version, m.batches_with(batch)))
         return number

@@ -39,6 +39,11 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether the DataFrame is nothing but the scan of files."""
+    return df._jdf.queryExecution().optimizedPlan().nodeName().startswith("LogicalRelation")
+
+
 class Staging:
     """Tables written once and read several times during one maintenance run."""
 
