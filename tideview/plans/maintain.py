@@ -25,7 +25,7 @@ from tideview.plans.spec import View, hidden
 from tideview.plans.view import Frames, delta_rows, frames_of, kept, stage_large
 from tideview.sources.changes import apply_changes
 from tideview.sources.snapshots import Step, apply_steps
-from tideview.sources.storage import Staging, is_scan
+from tideview.sources.storage import Staging
 
 # Marks the changed rows: true for those that enter, false for those that leave.
 ENTERS = "__enters"
@@ -222,13 +222,13 @@ def maintenance_steps(
 
 
 def stage_change(change: Change, source: str, staging: Staging) -> Change:
-    """Write the change rows once, unless they are the plain scan of a written table.
+    """Write the change rows once, unless ``staging`` holds them already.
 
     They are read several times, and Spark then knows how few they are.
     """
 
     def written(rows, name):
-        return rows if rows is None or is_scan(rows) else staging.table(rows, f"{name}-{source}")
+        return rows if rows is None or staging.has(rows) else staging.table(rows, f"{name}-{source}")
 
     return Change(written(change.deleted, "old"), written(change.inserted, "new"))
 

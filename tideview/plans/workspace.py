@@ -16,6 +16,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tideview.functions.expressions import cols
 from tideview.operators.bags import verify_view
 from tideview.plans.maintain import Change, maintenance_steps, stage_change
 from tideview.plans.spec import UnsupportedView, View, ViewSpec, bind
@@ -25,6 +26,9 @@ from tideview.sources.snapshots import Batch, SnapshotStore, Step
 from tideview.sources.storage import Files, Staging
 from tideview.sources.tables import key_violations
 
+# Writer name of batches that the caller does not number.
+_OWN = "workspace"
+
 
 class Workspace:
     """Keeps tables, views, and changes put off for later, below ``root``."""
@@ -140,32 +144,83 @@ class Workspace:
     def apply(self, changes: Mapping[str, Change], batch: Batch | None = None) -> None:
         """Apply a batch of changes to the tables and bring all views up to date.
 
-        Views go first, then tables, each with the batch number. If the run dies in
-        between, repeating the batch does only what is missing: views still
-        to be done find the tables as they were before it.
+        All or nothing: the change rows are written to a journal first. If the run
+        dies, the next call (or ``recover``) finishes the batch; if it fails before
+        anything was published, the batch is dropped. A numbered batch that
+        was applied before is skipped.
         """
-        with Staging(self.spark) as staging:
-            staged = {s: stage_change(c, s, staging) for s, c in changes.items()}
-            queries = []
-            for name in self.views():
-                if self._kind(name)[0] == "sql":
-                    queries.append(name)
-                    continue
-                store, view = self._store(name), self._view(name)
-                mine = {s: c for s, c in staged.items() if s in view.spec.sources()}
-                if store.done(batch):
-                    continue
+        self.recover()
+        stores = [*map(self._table, self.tables()), *map(self._store, self.views())]
+        if batch is None:
+            last = max((s.manifest().batches.get(_OWN, -1) for s in stores), default=-1)
+            batch = (_OWN, last + 1)
+        elif all(s.done(batch) for s in map(self._table, changes)):
+            return
+        for source, change in changes.items():
+            for rows in (change.deleted, change.inserted):
+                if rows is not None and set(rows.columns) != set(self._table(source).schema.fieldNames()):
+                    raise ValueError(f"rows for {source} do not have its columns")
+        journal = Staging(self.spark, f"{self.root}/journal")
+        staged = {s: stage_change(c, s, journal) for s, c in changes.items()}
+        paths = {
+            source: [r if r is None else journal.path_of(r) for r in (c.deleted, c.inserted)]
+            for source, c in staged.items()
+        }
+        self._files.write_new(
+            self._entry, json.dumps({"batch": batch, "path": journal.path, "tables": paths})
+        )
+        try:
+            self._finish(staged, batch, journal)
+        except Exception:
+            if not any(s.done(batch) for s in stores):
+                self._files.delete(self._entry)
+            raise
+        self._files.delete(self._entry)
+        journal.close()
+
+    @property
+    def _entry(self) -> str:
+        return f"{self.root}/journal/entry.json"
+
+    def recover(self) -> None:
+        """Finish a batch that a run before this one left half done."""
+        if "entry.json" not in self._files.names(f"{self.root}/journal"):
+            return
+        entry = json.loads(self._files.read_text(self._entry))
+        journal = Staging(self.spark, f"{self.root}/journal")
+        staged = {}
+        for source, paths in entry["tables"].items():
+            schema = self._table(source).schema
+            staged[source] = Change(*[p if p is None else journal.scan(p, schema) for p in paths])
+        self._finish(staged, tuple(entry["batch"]), journal)
+        self._files.delete(self._entry)
+        journal.close()
+        self._files.delete(entry["path"])
+
+    def _finish(self, changes: Mapping[str, Change], batch: Batch, staging: Staging) -> None:
+        """Publish the batch wherever it is missing.
+
+        Views go first, then tables. So while a view lacks the batch, all tables are
+        as they were before it.
+        """
+        queries = []
+        for name in self.views():
+            if self._kind(name)[0] == "sql":
+                queries.append(name)
+                continue
+            store, view = self._store(name), self._view(name)
+            mine = {s: c for s, c in changes.items() if s in view.spec.sources()}
+            if not store.done(batch):
                 store.publish(maintenance_steps(view, self._now(name), mine, staging), batch)
                 store.compact(self.compact_above)
-            for source, change in staged.items():
-                table = self._table(source)
-                if table.done(batch):
-                    continue
-                keys = table.keys
-                removed = None if change.deleted is None else change.deleted.select(*keys)
+        for source, change in changes.items():
+            table = self._table(source)
+            if not table.done(batch):
+                removed = None if change.deleted is None else change.deleted.select(*cols(table.keys))
                 table.publish([Step(removed, change.inserted)], batch)
                 table.compact(self.compact_above)
-            for name in queries:
+        for name in queries:
+            if not self._store(name).done(batch):
                 self.refresh(name, batch)
 
     def apply_feed(self, feeds: Mapping[str, DataFrame], batch: Batch | None = None) -> None:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideview.functions.expressions import cols, keys_match, renamed
-from tideview.sources.storage import Files
+from tideview.sources.storage import PLAIN, Files
 
 VERSION = "__version"
 
@@ -153,7 +153,9 @@ class SnapshotStore:
 
     def _write(self, df: DataFrame, kind: str) -> str:
         folder = f"{uuid.uuid4().hex}-{kind}"
-        df.write.parquet(f"{self.root}/data/{folder}")
+        # Keys that went are joined when reading: their size must be plain to Spark.
+        options = PLAIN if kind == "gone" else {}
+        df.write.options(**options).parquet(f"{self.root}/data/{folder}")
         return folder
 
     def _switch(self, m: Manifest) -> None:
@@ -205,16 +207,35 @@ class SnapshotStore:
 
     # --- upkeep ------------------------------------------------------------------
 
-    def compact(self, above: float = 0.0) -> bool:
-        """Fold the removed keys in when changes exceed ``above`` of the first folder."""
+    def compact(self, above: float = 0.0, most_folders: int = 50) -> bool:
+        """Keep reading cheap; true if there was something to do.
+
+        When the changes exceed ``above`` of the first folder all is written anew. When
+        they are merely many, they are put together and the first folder stays.
+        """
         m = self.manifest()
-        if len(m.rows) == 1 and not m.gone:
+        changes = (*m.rows[1:], *m.gone)
+        if not changes:
             return False
-        sizes = [self._files.size(f"{self.root}/data/{f}") for f in (*m.rows, *m.gone)]
-        if sum(sizes[1:]) <= above * sizes[0]:
+        sizes = [self._files.size(f"{self.root}/data/{f}") for f in (m.rows[0], *changes)]
+        if sum(sizes[1:]) > above * sizes[0]:
+            path = self._write(self.read(m.number).withColumn(VERSION, F.lit(m.next_version)), "rows")
+            folded = replace(m, rows=(path,), gone=(), next_version=m.next_version + 1)
+        elif len(changes) > most_folders:
+            rows, gone = m.rows[:1], ()
+            if m.gone:
+                removed = self._scan(m.gone, self.keys)
+                last = removed.groupBy(*cols(self.keys)).agg(F.max(VERSION).alias(VERSION))
+                gone = (self._write(last, "gone"),)
+            if m.rows[1:]:
+                added = self._scan(m.rows[1:], self.schema.fieldNames())
+                if m.gone:
+                    added = live_rows(added, removed, self.keys)
+                rows += (self._write(added, "rows"),)
+            folded = replace(m, rows=rows, gone=gone)
+        else:
             return False
-        path = self._write(self.read(m.number).withColumn(VERSION, F.lit(m.next_version)), "rows")
-        self._switch(replace(m, number=m.number + 1, rows=(path,), gone=(), next_version=m.next_version + 1))
+        self._switch(replace(folded, number=m.number + 1))
         return True
 
     def expire(self, keep: int = 2) -> None:

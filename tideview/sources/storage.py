@@ -3,7 +3,9 @@
 Everything that has to outlive a lost executor is written below the folder the
 cluster names in ``spark.checkpoint.dir``. Staging a DataFrame as parquet (and
 not caching it) has a second use: the scan of a staged table knows its real
-size, so Spark's own broadcast threshold decides on facts.
+size, so Spark's own broadcast threshold decides on facts. To make the file size
+a bound of the data's size, staged tables are written without compression and
+dictionaries: a value repeated a billion times must not look small.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _LOCAL_DEFAULT: dict[str, str] = {}
 
@@ -39,9 +42,7 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def is_scan(df: DataFrame) -> bool:
-    """Whether the DataFrame is nothing but the scan of files."""
-    return df._jdf.queryExecution().optimizedPlan().nodeName().startswith("LogicalRelation")
+PLAIN = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
 
 
 class Staging:
@@ -50,14 +51,28 @@ class Staging:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.path = f"{root or shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-        self._count = 0
+        self._written: list[DataFrame] = []
+        self._paths: list[str] = []
+
+    def has(self, df: DataFrame) -> bool:
+        """Whether ``df`` is a scan that ``table`` or ``scan`` returned."""
+        return any(df is w for w in self._written)
 
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` and return a scan of what was written."""
-        self._count += 1
-        path = f"{self.path}/{self._count:03d}-{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        path = f"{self.path}/{len(self._written):03d}-{name}"
+        df.write.options(**PLAIN).parquet(path)
+        return self.scan(path, df.schema)
+
+    def path_of(self, df: DataFrame) -> str:
+        """Where ``table`` wrote it."""
+        return next(p for w, p in zip(self._written, self._paths) if w is df)
+
+    def scan(self, path: str, schema: T.StructType) -> DataFrame:
+        """A table that a staging wrote, maybe in an earlier run."""
+        self._written.append(self.spark.read.schema(schema).parquet(path))
+        self._paths.append(path)
+        return self._written[-1]
 
     def close(self) -> None:
         """Delete the staged tables; results that still read them become invalid."""
