@@ -3,6 +3,7 @@ import sys
 
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -24,6 +25,22 @@ def spark(tmp_path_factory):
     yield session
 
 
+@pytest.fixture(autouse=True)
+def interpreted(request):
+    """Many tiny plans run faster interpreted; queries and plans are tested as compiled."""
+    names = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    module = request.module.__name__
+    if "spark" not in request.fixturenames or module in ("test_queries", "test_plans"):
+        yield
+        return
+    spark = request.getfixturevalue("spark")
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name in names:
+        spark.conf.unset(name)
+
+
 @pytest.fixture
 def staging(spark):
     from tideview.sources.storage import Staging
@@ -40,7 +57,7 @@ def bag(df):
 def assert_same_bag(actual, expected):
     """Compare as bags with Spark's own EXCEPT ALL, both ways."""
     expected = expected.select(*[f"`{c}`" for c in actual.columns])
-    missing = expected.exceptAll(actual).withColumn("problem", __import__("pyspark").sql.functions.lit("missing"))
-    stale = actual.exceptAll(expected).withColumn("problem", __import__("pyspark").sql.functions.lit("stale"))
+    missing = expected.exceptAll(actual).withColumn("problem", F.lit("missing"))
+    stale = actual.exceptAll(expected).withColumn("problem", F.lit("stale"))
     wrong = missing.unionByName(stale).take(10)
     assert not wrong, wrong

@@ -72,14 +72,14 @@ def test_case(spark, staging, case, spec):
     schemas = {"_order": ORDER, "article": ARTICLE, "order_position": POSITION}
     data = {"_order": orders, "article": articles, "order_position": positions}
     frame = lambda s, rows: spark.createDataFrame(rows, schemas[s]).coalesce(1)
-    tables = {s: staging.table(frame(s, data[s])) for s in spec.sources()}
+    tables = {s: frame(s, data[s]) for s in spec.sources()}
     view = bind(spec, tables)
     changes = [c for c in changes if c[0] in spec.sources()]
-    stored = staging.table(build_view(view))
+    stored = build_view(view)
     for source, deleted, inserted in changes:
         change = {
             source: Change(*[None if rows is None else frame(source, rows) for rows in (deleted, inserted)])
         }
         stored = maintain(view, stored, tables, change, staging)
-        tables = {s: t if s not in change else staging.table(t) for s, t in tables_after(view, tables, change).items()}
+        tables = tables_after(view, tables, change)
     assert_same_bag(visible(view, stored), visible(view, build_view(view, tables)))

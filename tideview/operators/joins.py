@@ -29,8 +29,7 @@ def setting(df: DataFrame, name: str) -> float:
 
 def broadcast_limit(df: DataFrame) -> int:
     """Spark's own bound for a broadcast side, in bytes."""
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    return int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text))
+    return df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
 
 
 def hot_keys(df: DataFrame, keys: Sequence[Column], share: float) -> list[int]:
