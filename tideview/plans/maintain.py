@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tideview.functions.expressions import cols, keys_match, null_text, quoted, renamed
 from tideview.operators.joins import distinct_if_large
 from tideview.plans.spec import View, hidden
-from tideview.plans.view import Frames, delta_rows, frames_of, kept, stage_large
+from tideview.plans.view import Frame, Frames, delta_rows, frames_of, kept, stage_large
 from tideview.sources.changes import apply_changes
 from tideview.sources.snapshots import Step, apply_steps
 from tideview.sources.storage import Staging
@@ -111,8 +111,9 @@ def new_orphans(
         # Of the tables outside the term only the join columns matter here: a row
         # that contains one of them is dropped again.
         outside = {a: _join_columns_only(view, a, f) for a, f in frames.items() if a not in term}
-        rows = _by_keys(frames[anchor], anchor_keys, keys, "left_semi")
-        rows = stage_large(rows, frames[anchor], staging, "lost")
+        wanted = anchor_keys.selectExpr(*renamed(keys, "__w"))
+        rows = frames[anchor].meeting(anchor, wanted, F.expr(keys_match(keys, "__w")))
+        rows = stage_large(rows, frames[anchor], staging, "lost").rows()
         found = delta_rows(view, anchor, rows, {**frames, **outside}, staging, row_keys=anchor_keys)
         found = found.where(view.has_label(term))
         if len(term) > 1:
@@ -121,13 +122,13 @@ def new_orphans(
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
-def _join_columns_only(view: View, alias: str, frame: DataFrame) -> DataFrame:
+def _join_columns_only(view: View, alias: str, frame: Frame) -> Frame:
     """The table with all columns NULL that no key or ON reads."""
     needed = view.join_columns(alias)
-    return frame.selectExpr(
-        *[
+    return frame.columns(
+        [
             quoted(f.name) if f.name in needed else f"{null_text(f.dataType)} as {quoted(f.name)}"
-            for f in frame.schema.fields
+            for f in frame.base.schema.fields
         ]
     )
 
@@ -164,7 +165,7 @@ def _by_keys(
 
 def maintenance_step(
     view: View, alias: str, change: Change, frames: Frames, staging: Staging
-) -> tuple[Step, DataFrame]:
+) -> tuple[Step, Frame]:
     """What a change of one alias does to the stored view, and its table after it.
 
     Rows that leave and rows that enter are joined with the other tables together,
@@ -172,7 +173,7 @@ def maintenance_step(
     at the tables at all.
     """
     leaves, enters = change.deleted, change.inserted
-    after = apply_changes(frames[alias], leaves, enters, view.keys(alias))
+    after = frames[alias].after(leaves, enters)
     marked = [
         part.withColumn(ENTERS, F.lit(flag)) for part, flag in ((leaves, False), (enters, True)) if part is not None
     ]

@@ -8,23 +8,65 @@ kept ones without the flag.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideview.functions.expressions import cols, quoted
 from tideview.operators.joins import SKEW_BYTES, distinct_if_large, setting, skew_safe_join
 from tideview.plans.spec import KEEP, Condition, Node, View, hidden
+from tideview.sources.changes import apply_changes
 from tideview.sources.storage import Staging, plan_bytes
 
-Frames = Mapping[str, DataFrame]
+@dataclass(frozen=True, eq=False)
+class Frame:
+    """A table as it is after changes that its files do not show yet.
+
+    The changes are put on top of whatever part of the table is asked for. So a
+    large table is first cut down to what can matter and only that is compared
+    with the keys that left.
+    """
+
+    base: DataFrame
+    keys: tuple[str, ...] = ()
+    changes: tuple[tuple[DataFrame | None, DataFrame | None], ...] = ()
+
+    def after(self, deleted: DataFrame | None, inserted: DataFrame | None) -> Frame:
+        return replace(self, changes=(*self.changes, (deleted, inserted)))
+
+    def rows(self) -> DataFrame:
+        return self._each(lambda part: part)
+
+    def meeting(self, alias: str, wanted: DataFrame, on: Column) -> DataFrame:
+        """The rows that have a partner in ``wanted``."""
+        return self._each(lambda part: part.alias(alias).join(wanted, on, "left_semi"))
+
+    def columns(self, texts: Sequence[str]) -> Frame:
+        """The table with other columns; the keys must be among them."""
+        changes = tuple((d, i if i is None else i.selectExpr(*texts)) for d, i in self.changes)
+        return Frame(self.base.selectExpr(*texts), self.keys, changes)
+
+    def _each(self, part) -> DataFrame:
+        out = part(self.base)
+        for deleted, inserted in self.changes:
+            out = apply_changes(out, deleted, None if inserted is None else part(inserted), self.keys)
+        return out
+
+    @cached_property
+    def bytes(self) -> int:
+        """What is read to get at the rows."""
+        return plan_bytes(self.base) + sum(plan_bytes(i) for _, i in self.changes if i is not None)
+
+
+Frames = Mapping[str, Frame]
 
 
-def frames_of(view: View, tables: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """One DataFrame per alias from one per source table."""
+def frames_of(view: View, tables: Mapping[str, DataFrame] | None = None) -> dict[str, Frame]:
+    """One table per alias from one per source."""
     tables = view.schemas if tables is None else tables
-    return {a: tables[view.source(a)] for a in view.aliases}
+    return {a: Frame(tables[view.source(a)], view.keys(a)) for a in view.aliases}
 
 
 def working_rows(
@@ -49,7 +91,7 @@ def working_rows(
 def _join_tree(view: View, node: Node, frames: Frames, kinds, marks) -> DataFrame:
     if node.leaf:
         alias = node.aliases[0]
-        return frames[alias].alias(alias)
+        return frames[alias].rows().alias(alias)
     left = _join_tree(view, node.left, frames, kinds, marks)
     right = _join_tree(view, node.right, frames, kinds, marks)
     return skew_safe_join(
@@ -60,8 +102,8 @@ def _join_tree(view: View, node: Node, frames: Frames, kinds, marks) -> DataFram
         kinds.get(node, node.kind),
         left_id=_row_id(view, node.left, marks),
         right_id=_row_id(view, node.right, marks),
-        left_bytes=sum(plan_bytes(frames[a]) for a in node.left.aliases),
-        right_bytes=sum(plan_bytes(frames[a]) for a in node.right.aliases),
+        left_bytes=sum(frames[a].bytes for a in node.left.aliases),
+        right_bytes=sum(frames[a].bytes for a in node.right.aliases),
         left_unique=_unique(view, node.left, [a for a, _ in node.pairs]),
         right_unique=_unique(view, node.right, [b for _, b in node.pairs]),
     )
@@ -177,26 +219,26 @@ def delta_rows(
     ``rows``. ``marks`` are columns of ``rows`` to carry along.
     """
     plan = delta_plan(view, alias)
-    frames = {**frames, alias: rows}
+    frames = {**frames, alias: Frame(rows)}
     own_keys = {f"{alias}.{k}" for k in view.keys(alias)}
     for r in plan.reductions:
         using_text, into_text = _sides(r)
-        using = frames[r.using]
+        using = frames[r.using].rows()
         if r.using == alias and row_keys is not None and using_text.replace("`", "") in own_keys:
             using = row_keys
         wanted = distinct_if_large(using.alias(r.using).selectExpr(f"{using_text} as __w"))
         source = frames[r.into]
-        cut = source.alias(r.into).join(wanted, F.expr(f"({into_text}) = __w"), "left_semi")
+        cut = source.meeting(r.into, wanted, F.expr(f"({into_text}) = __w"))
         frames[r.into] = stage_large(cut, source, staging, r.into)
     return working_rows(view, frames, plan.kinds, [(alias, m) for m in marks])
 
 
-def stage_large(cut: DataFrame, source: DataFrame, staging: Staging, name: str) -> DataFrame:
+def stage_large(cut: DataFrame, source: Frame, staging: Staging, name: str) -> Frame:
     """Write what is left of a large table: it is used several times, and further
     plans depend on how little it is. A small table is cheaper to read again."""
-    if plan_bytes(source) >= setting(source, SKEW_BYTES):
-        return staging.table(cut, name)
-    return cut
+    if source.bytes >= setting(source.base, SKEW_BYTES):
+        return Frame(staging.table(cut, name))
+    return Frame(cut)
 
 
 def _sides(r: Reduction) -> tuple[str, str]:
