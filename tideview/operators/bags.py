@@ -18,25 +18,32 @@ def bag_difference(rows: DataFrame, minus: DataFrame) -> DataFrame:
     """``rows EXCEPT ALL minus``: NULLs are equal, duplicates count.
 
     Copies are counted before the shuffle, so a row that makes up a third of the
-    input sends one row per task. Its surviving copies are cut into pieces that
-    are spread again before they are written out.
+    input sends one row per task.
     """
-    names = rows.columns
+    return _written_out(_surplus(rows, minus).where(F.col("__n") > 0))
+
+
+def _surplus(rows: DataFrame, minus: DataFrame) -> DataFrame:
+    """Each different row with how many copies more ``rows`` has of it, as ``__n``."""
     signed = rows.withColumn("__n", F.lit(1)).unionByName(minus.withColumn("__n", F.lit(-1)))
-    left = signed.groupBy(*cols(names)).agg(F.sum("__n").alias("__n")).where(F.col("__n") > 0)
-    few = left.where(F.col("__n") <= COPIES_PER_PIECE)
+    return signed.groupBy(*cols(rows.columns)).agg(F.sum("__n").alias("__n")).where(F.col("__n") != 0)
+
+
+def _written_out(counted: DataFrame) -> DataFrame:
+    """Each row ``__n`` times. Very many copies are cut into pieces, which are spread
+    again, so that no single task writes them all."""
+    names = [c for c in counted.columns if c != "__n"]
+    n, piece = F.col("__n"), F.col("__piece")
+    few = counted.where(n <= COPIES_PER_PIECE)
     many = (
-        left.where(F.col("__n") > COPIES_PER_PIECE)
-        .withColumn("__piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / COPIES_PER_PIECE))))
-        .withColumn("__n", F.least(F.lit(COPIES_PER_PIECE), F.col("__n") - F.col("__piece") * COPIES_PER_PIECE))
-        .repartition(F.xxhash64(*cols(names), F.col("__piece")))
+        counted.where(n > COPIES_PER_PIECE)
+        .withColumn("__piece", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / COPIES_PER_PIECE))))
+        .withColumn("__n", F.least(F.lit(COPIES_PER_PIECE), n - piece * COPIES_PER_PIECE))
+        .repartition(F.xxhash64(*cols(names), piece))
         .drop("__piece")
     )
-    return few.unionByName(many).select(*cols(names), F.explode(_times(F.col("__n"))).alias("__c")).drop("__c")
-
-
-def _times(n):
-    return F.array_repeat(F.lit(True), n.cast("int"))
+    copies = F.explode(F.array_repeat(F.lit(True), n.cast("int"))).alias("__c")
+    return few.unionByName(many).select(*cols(names), copies).drop("__c")
 
 
 def delete_matching(result: DataFrame, delta: DataFrame) -> DataFrame:
@@ -67,8 +74,10 @@ def insert_rows(result: DataFrame, delta: DataFrame) -> DataFrame:
 def verify_view(result: DataFrame, recomputed: DataFrame) -> DataFrame:
     """Rows the result lacks (``missing``) or should not have (``stale``).
 
-    Empty when both are the same bag. Both kinds are always reported.
+    Empty when both are the same bag. Both kinds are always reported, from one count
+    of the copies on each side.
     """
-    missing = bag_difference(recomputed, result).withColumn("problem", F.lit("missing"))
-    stale = bag_difference(result, recomputed).withColumn("problem", F.lit("stale"))
-    return missing.unionByName(stale)
+    n = F.col("__n")
+    problem = F.when(n > 0, "missing").otherwise("stale")
+    surplus = _surplus(recomputed, result)
+    return _written_out(surplus.select(*cols(result.columns), problem.alias("problem"), F.abs(n).alias("__n")))
