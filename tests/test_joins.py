@@ -58,6 +58,16 @@ def test_no_equality(spark, spread, how):
     assert_same_bag(out.selectExpr("lid", "rid", "v", "w"), expected.selectExpr("lid", "rid", "v", "w"))
 
 
+@pytest.mark.parametrize("wide,spread_it", [("bigint", True), ("smallint", True), ("double", False), ("string", False)])
+def test_keys_of_different_types(spark, spread, wide, spread_it):
+    left, right = sides(spark)
+    left = left.selectExpr("l.lid", f"cast(l.k as {wide}) as k", "l.w").alias("l")
+    out = skew_safe_join(left, right, [("l.k", "r.k")], [], "full", ["l.lid"], ["r.rid"])
+    assert ("__la" in out._jdf.queryExecution().analyzed().toString()) == spread_it
+    columns = ["l.lid", "r.rid", "l.w", "r.v"]
+    assert_same_bag(out.selectExpr(*columns), left.join(right, F.expr("l.k = r.k"), "full").selectExpr(*columns))
+
+
 def test_hot_preserved_rows_are_left_to_spark(spark, spread):
     left, right = sides(spark)
     out = skew_safe_join(right, left, [("r.k", "l.k")], [], "left", ["r.rid"], ["l.lid"], right_unique=True)

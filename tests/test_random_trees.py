@@ -70,7 +70,7 @@ def random_case(seed, aliases, self_join):
     tree = random_tree(rng, names)
     select = {f"{n}_{c}": f"{n}.{c}" for n in names for c in "xz"}
     where = rng.choice(
-        ["true", "A.z > 0", "B.x is null or A.x is not null", "coalesce(A.x, B.x, 1) > 0", "A.id is null"]
+        ["true", "true", "true", "A.z > 0", "B.x is null or A.x is not null", "coalesce(A.x, B.x, 1) > 0", "A.id is null"]
     )
     spec = ViewSpec({n: Table(sources[n], ["t", "id"]) for n in names}, tree, select, where)
     return rng, spec, sorted(set(sources.values()))
@@ -99,7 +99,7 @@ def check(spark, staging, seed, aliases, self_join=False):
     changes = {}
     for s in changed:
         deleted, inserted = random_change(rng, rows[s])
-        form = rng.choice(["delete", "insert", "update"])
+        form = rng.choice(["delete", "insert", "update", "update"])
         if form == "delete":
             inserted = None
         elif form == "insert":

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideview.functions.expressions import all_of, any_of, keys_match, null_safe_on, renamed, typed_null
 from tideview.sources.storage import plan_bytes
@@ -79,16 +80,46 @@ def skew_safe_join(
             return left.join(right, on, how)
         return _spread(left, right, pairs, rest, how, left_id, right_id, None, None)
     least, share = setting(left, SKEW_BYTES), setting(left, HOT_SHARE)
-    hot_left, hot_right = [], []
-    if how in ("left", "full") and not right_unique and right_bytes >= least:
-        hot_right = hot_keys(right, [F.expr(b) for _, b in pairs], share)
-    if how in ("right", "full") and not left_unique and left_bytes >= least:
-        hot_left = hot_keys(left, [F.expr(a) for a, _ in pairs], share)
+    look_right = how in ("left", "full") and not right_unique and right_bytes >= least
+    look_left = how in ("right", "full") and not left_unique and left_bytes >= least
+    if not (look_left or look_right):
+        return left.join(right, on, how)
+    hashed = _hashable(left, right, pairs)
+    if hashed is None:
+        return left.join(right, on, how)
+    hot_left = hot_keys(left, hashed[0], share) if look_left else []
+    hot_right = hot_keys(right, hashed[1], share) if look_right else []
     if not hot_left and not hot_right:
         return left.join(right, on, how)
     return _spread(left, right, pairs, rest, how, left_id, right_id, hot_left, hot_right)
 
 
+def _hashable(left: DataFrame, right: DataFrame, pairs) -> tuple[list[Column], list[Column]] | None:
+    """Both sides' keys in a form in which equal keys have equal hashes.
+
+    Integers of different width are widened. For other types that are compared after
+    a conversion, or in which different bits are equal (floating point, strings
+    with a collation), there is none: such joins are left to Spark as they are.
+    """
+    left_types = left.select(*[F.expr(a).alias(f"k{i}") for i, (a, _) in enumerate(pairs)]).schema
+    right_types = right.select(*[F.expr(b).alias(f"k{i}") for i, (_, b) in enumerate(pairs)]).schema
+    out: tuple[list[Column], list[Column]] = ([], [])
+    for (a, b), l_field, r_field in zip(pairs, left_types, right_types):
+        l_type, r_type = l_field.dataType, r_field.dataType
+        if isinstance(l_type, T.IntegralType) and isinstance(r_type, T.IntegralType):
+            keys = F.expr(a).cast("bigint"), F.expr(b).cast("bigint")
+        elif l_type == r_type and (l_type == T.StringType() or isinstance(l_type, _EXACT)):
+            keys = F.expr(a), F.expr(b)
+        else:
+            return None
+        out[0].append(keys[0])
+        out[1].append(keys[1])
+    return out
+
+
+_EXACT = (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType, T.DecimalType, T.BinaryType)
+
+
 def _spread(left, right, pairs, rest, how, left_id, right_id, hot_left, hot_right) -> DataFrame:
     """The join as a salted inner join plus the rows without a partner.
 
@@ -98,6 +129,7 @@ def _spread(left, right, pairs, rest, how, left_id, right_id, hot_left, hot_righ
     """
     salts = int(setting(left, SALTS))
     left_keys, right_keys = [F.expr(a) for a, _ in pairs], [F.expr(b) for _, b in pairs]
+    left_hashed, right_hashed = _hashable(left, right, pairs) if pairs else ([], [])
 
     def hot(keys, hashes):
         if hashes is None:
@@ -112,11 +144,11 @@ def _spread(left, right, pairs, rest, how, left_id, right_id, hot_left, hot_righ
         every = F.array(*[F.lit(i) for i in range(salts)])
         return F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0))))
 
-    salted_left = left.withColumn("__la", own(left_id, hot(left_keys, hot_left))).withColumn(
-        "__lb", copies(hot(left_keys, hot_right))
+    salted_left = left.withColumn("__la", own(left_id, hot(left_hashed, hot_left))).withColumn(
+        "__lb", copies(hot(left_hashed, hot_right))
     )
-    salted_right = right.withColumn("__rb", own(right_id, hot(right_keys, hot_right))).withColumn(
-        "__ra", copies(hot(right_keys, hot_left))
+    salted_right = right.withColumn("__rb", own(right_id, hot(right_hashed, hot_right))).withColumn(
+        "__ra", copies(hot(right_hashed, hot_left))
     )
     on = all_of(
         [a == b for a, b in zip(left_keys, right_keys)]
