@@ -44,6 +44,15 @@ from tideview.sources.changes import (
 from tideview.sources.tables import base_table, key_violations, literal_rows
 from tideview.streaming import continuous
 
+# Training-data operators and the corpus pipeline are a part that can be left out.
+try:
+    import corpus_pipeline
+    from tideview.llm import queries as llm
+except ModuleNotFoundError as error:
+    if error.name not in ("corpus_pipeline", "tideview.llm"):
+        raise
+    corpus_pipeline = llm = None
+
 RETURNED = "l_returnflag = 'R'"
 LOW = "o_orderpriority = '5-LOW'"
 HIGH = "o_orderpriority = '2-HIGH'"
@@ -459,6 +468,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "full_refresh": full_refresh,
         "stream_maintain": stream_maintain,
     }
+    if llm:
+        out |= llm.queries() | {"pipeline": corpus_pipeline.run}
     return out
 
 
@@ -602,4 +613,6 @@ def oracle_sql() -> dict[str, str]:
             from {lines_left} group by l_suppkey""",
         "stream_maintain": final,
     }
+    if llm:
+        out |= llm.oracle_sql()
     return out

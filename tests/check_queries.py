@@ -67,7 +67,7 @@ if __name__ == "__main__":
     folder = sys.argv[1]
     con = oracle(folder)
     bad = 0
-    for name in sys.argv[2:] or entry.queries():
+    for name in sys.argv[2:] or entry.oracle_sql():
         start = time.time()
         problem = compare(session, con, folder, name)
         bad += problem is not None

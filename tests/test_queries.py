@@ -1,6 +1,7 @@
 """Every registered query against its SQL, on the smallest tables."""
 
 import os
+import re
 
 import pytest
 from check_queries import compare, oracle
@@ -18,10 +19,12 @@ def con():
 
 
 def test_names_agree():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    without = set(entry.queries()) - set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert all(re.match(r"op\d+_|pipeline$", name) for name in without), without
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_query(spark, con, name):
     problem = compare(spark, con, FOLDER, name)
     assert problem is None, problem
