@@ -24,7 +24,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -212,15 +212,15 @@ def train(docs: DataFrame, labelled: DataFrame, max_train: int = 8000, log_featu
 
 def probabilities(docs: DataFrame, models: list[Model], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, scores (one for each model, all of one feature size) for every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)  # of a size set by log_features
+    sent = docs.sparkSession.sparkContext.broadcast([astuple(m) for m in models])  # of a size set by log_features
 
     def work(batches):
-        shapes = _Shapes()
+        shapes, models = _Shapes(), [Model(*m) for m in sent.value]
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             values = texts(batch)
-            rows = [places(indicators(t, shapes), sent.value[0].log_features) for t in values]
-            scores = np.stack([m.probabilities(rows) for m in sent.value], axis=1) if rows else np.zeros((0, 1))
+            rows = [places(indicators(t, shapes), models[0].log_features) for t in values]
+            scores = np.stack([m.probabilities(rows) for m in models], axis=1) if rows else np.zeros((0, 1))
             columns = [batch.column(0), pa.array([len(split_words(t)) for t in values], pa.int64())]
             columns.append(pa.array(scores.tolist(), pa.list_(pa.float64())))
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "scores"])
@@ -240,14 +240,14 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3, **names) ->
 
 def keep(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model does not reject, with all their columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(astuple(model))
 
     def work(batches):
-        shapes = _Shapes()
+        shapes, model = _Shapes(), Model(*sent.value)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [places(indicators(t, shapes), sent.value.log_features) for t in texts(batch, text)]
-            score = np.round(sent.value.probabilities(rows), 9) if rows else np.zeros(0)
+            rows = [places(indicators(t, shapes), model.log_features) for t in texts(batch, text)]
+            score = np.round(model.probabilities(rows), 9) if rows else np.zeros(0)
             return batch.filter(pa.array(score >= threshold))
 
         return by_batch(one)(batches)
