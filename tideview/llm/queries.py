@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideview.llm import decontaminate, linededup, mixing, nbsvm, simhash
+from tideview.llm import decontaminate, divergence, linededup, mixing, nbsvm, simhash, urltree
 from tideview.llm.common import remainder, table
 
 #: Shares of tokens that op9 and the last stage of the pipeline aim at.
 TARGETS = {"good": 0.93, "poor": 0.05, "toxic": 0.02}
+#: Verdict, and host with the start of a path.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
 
 
 def quality_labels(labels: DataFrame) -> DataFrame:
@@ -25,6 +33,10 @@ def domain_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain"))
 
 
+def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,13 +64,19 @@ def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), labels, TARGETS)
 
 
+def op10_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_divergence": op1_divergence,
         "op5_simhash": op5_simhash,
         "op6_nbsvm": op6_nbsvm,
         "op7_line_chunks": op7_line_chunks,
         "op8_prefix_join": op8_prefix_join,
         "op9_soft_mixing": op9_soft_mixing,
+        "op10_url_tree": op10_url_tree,
     }
 
 
