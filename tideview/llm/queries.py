@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideview.llm import decontaminate, divergence, linededup, mixing, nbsvm, simhash, urltree
+from tideview.llm import crf, decontaminate, divergence, linededup, mixing, nbsvm, simhash, urltree
 from tideview.llm.common import remainder, table
 
 #: Shares of tokens that op9 and the last stage of the pipeline aim at.
@@ -37,6 +37,10 @@ def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ def op10_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_divergence": op1_divergence,
+        "op2_crf": op2_crf,
         "op5_simhash": op5_simhash,
         "op6_nbsvm": op6_nbsvm,
         "op7_line_chunks": op7_line_chunks,
