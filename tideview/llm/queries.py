@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideview.llm import crf, decontaminate, divergence, linededup, mixing, nbsvm, simhash, urltree
+from tideview.llm import crf, decontaminate, divergence, linededup, mixing, nbsvm, simhash, toolcalls, trie, urltree
 from tideview.llm.common import remainder, table
 
 #: Shares of tokens that op9 and the last stage of the pipeline aim at.
@@ -41,6 +41,32 @@ def op2_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 5) == 1
+    scored = trie.score(docs, trie.build(docs.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), *scored.columns[1:])
+
+
+#: Tools that turns_as_calls makes calls of.
+TURN_SCHEMA = {
+    "type": "object",
+    "properties": {
+        "prompt": {"type": "string", "minLength": 1},
+        "turn": {"type": "integer", "minimum": 0},
+        "role": {"type": "string", "enum": ["user", "system"]},
+    },
+    "required": ["prompt", "turn", "role"],
+    "additionalProperties": False,
+}
+
+
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of all conversations as linked, ordered and validated calls."""
+    calls, results = toolcalls.turns_as_calls(table(spark, sf_dir, "conversations"))
+    return toolcalls.link(calls, results, {"reply": TURN_SCHEMA, "instruct": TURN_SCHEMA})
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -76,6 +102,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_divergence": op1_divergence,
         "op2_crf": op2_crf,
+        "op3_trie": op3_trie,
+        "op4_tool_calls": op4_tool_calls,
         "op5_simhash": op5_simhash,
         "op6_nbsvm": op6_nbsvm,
         "op7_line_chunks": op7_line_chunks,
