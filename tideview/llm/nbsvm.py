@@ -22,9 +22,9 @@ With one class only, or none, the score is the share of class 1 (0.5 if there is
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from dataclasses import astuple, dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -33,51 +33,59 @@ from pyspark.sql import functions as F
 
 from tideview.llm.common import by_batch, split_words, texts
 
-_RUNS = (
-    (re.compile(rb"[a-z]+"), b"a"),
-    (re.compile(rb"[A-Z]{2,}"), b"AA"),
-    (re.compile(rb"[0-9]+"), b"0"),
-    (re.compile(rb"[\x80-\xff]+"), b"a"),
-    (re.compile(rb"a+"), b"a"),
-)
+def _signs() -> bytes:
+    table = bytearray(range(256))
+    table[ord("a") : ord("z") + 1] = b"a" * 26
+    table[ord("A") : ord("Z") + 1] = b"A" * 26
+    table[ord("0") : ord("9") + 1] = b"0" * 10
+    table[0x80:] = b"a" * 128
+    return bytes(table)
+
+
+_SIGNS = _signs()
 #: Lengths of the n-grams of equal words.
 EQUAL = (3, 4, 5, 6, 8, 10)
-#: Words remembered by a task before it starts afresh.
+#: Shape bigrams remembered by a task before it starts afresh.
 _REMEMBERED = 300_000
-
-
-def shape(word: bytes) -> bytes:
-    """The word with runs of letters and digits cut to one sign; a repeated sign counts up to three."""
-    for run, sign in _RUNS:
-        word = run.sub(sign, word)
-    return re.sub(rb"(.)\1{3,}", rb"\1\1\1", word)[:24]
-
-
-class _Shapes(dict):
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        self[word] = found = shape(word)
-        return found
-
-
-def indicators(text: bytes | None, shapes: dict) -> set[bytes]:
-    """The distinct n-grams of a whole text."""
-    words = split_words(text)
-    if not words:
-        return set()
-    found = {b"w" + w for w in set(map(bytes.lower, set(words)))}
-    kinds = [shapes[w] for w in words]
-    found.update(b"s" + a + b" " + b for a, b in set(zip(kinds, kinds[1:])))
-    found.update(b"s" + a for a in set(kinds))
-    runs = "".join("=" if a == b else " " for a, b in zip(words, words[1:]))
-    found.update(b"r%d" % k for k in EQUAL if "=" * (k - 1) in runs)
-    return found
-
-
-def places(grams: set[bytes], log_features: int) -> np.ndarray:
-    mask = (1 << log_features) - 1
-    return np.unique(np.fromiter((zlib.crc32(g) & mask for g in grams), np.int64, len(grams)))
+#: How many of a run of equal signs a shape keeps.
+_KEPT = np.full(256, 3)
+_KEPT[[ord("a"), ord("0")]], _KEPT[ord("A")] = 1, 2
+
+
+def shapes(text: bytes) -> list[bytes]:
+    """The words of a text with letters and digits replaced by one sign each kind and runs of a sign cut short."""
+    signs = np.frombuffer(text.translate(_SIGNS), np.uint8)
+    first = np.concatenate([[True], signs[1:] != signs[:-1]])
+    begins = np.flatnonzero(first)
+    place = np.arange(len(signs)) - np.repeat(begins, np.diff(np.append(begins, len(signs))))
+    return [w[:24] for w in signs[place < _KEPT[signs]].tobytes().split()]
+
+
+class Indicators:
+    """Hashed places of a text's distinct n-grams; one object for each task."""
+
+    def __init__(self, log_features: int):
+        self.mask = (1 << log_features) - 1
+        self.runs = {k: zlib.crc32(b"r%d" % k) for k in EQUAL}
+        self.pairs: dict[tuple[bytes, bytes], int] = {}
+
+    def _pair(self, pair: tuple[bytes, bytes]) -> int:
+        if len(self.pairs) >= _REMEMBERED:
+            self.pairs.clear()
+        return self.pairs.setdefault(pair, zlib.crc32(b"s" + pair[0] + b" " + pair[1]))
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        words = split_words(text.lower() if text else text)
+        if not words:
+            return np.zeros(0, np.int64)
+        word, kind, digest = zlib.crc32(b"w"), zlib.crc32(b"s"), zlib.crc32
+        kinds = shapes(text)
+        found = [digest(w, word) for w in set(words)]
+        found += [digest(k, kind) for k in set(kinds)]
+        found += [self.pairs.get(p) or self._pair(p) for p in set(zip(kinds, kinds[1:]))]
+        same = bytes(map(eq, words, words[1:]))
+        found += [place for k, place in self.runs.items() if b"\1" * (k - 1) in same]
+        return np.unique(np.array(found, np.int64) & self.mask)
 
 
 @dataclass
@@ -194,8 +202,8 @@ def vectors(chosen: DataFrame, log_features: int) -> tuple[list[np.ndarray], np.
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        shapes = _Shapes()
-        rows = [places(indicators(t, shapes), log_features).astype(np.int32).tobytes() for t in texts(batch)]
+        indicators = Indicators(log_features)
+        rows = [indicators(t).astype(np.int32).tobytes() for t in texts(batch)]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(2).cast(pa.int32()), pa.array(rows, pa.binary())], ["_id", "label", "places"]
         )
@@ -215,11 +223,12 @@ def probabilities(docs: DataFrame, models: list[Model], doc_id: str = "doc_id",
     sent = docs.sparkSession.sparkContext.broadcast([astuple(m) for m in models])  # of a size set by log_features
 
     def work(batches):
-        shapes, models = _Shapes(), [Model(*m) for m in sent.value]
+        models = [Model(*m) for m in sent.value]
+        indicators = Indicators(models[0].log_features)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             values = texts(batch)
-            rows = [places(indicators(t, shapes), models[0].log_features) for t in values]
+            rows = [indicators(t) for t in values]
             scores = np.stack([m.probabilities(rows) for m in models], axis=1) if rows else np.zeros((0, 1))
             columns = [batch.column(0), pa.array([len(split_words(t)) for t in values], pa.int64())]
             columns.append(pa.array(scores.tolist(), pa.list_(pa.float64())))
@@ -243,10 +252,11 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "tex
     sent = docs.sparkSession.sparkContext.broadcast(astuple(model))
 
     def work(batches):
-        shapes, model = _Shapes(), Model(*sent.value)
+        model = Model(*sent.value)
+        indicators = Indicators(model.log_features)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [places(indicators(t, shapes), model.log_features) for t in texts(batch, text)]
+            rows = [indicators(t) for t in texts(batch, text)]
             score = np.round(model.probabilities(rows), 9) if rows else np.zeros(0)
             return batch.filter(pa.array(score >= threshold))
 
