@@ -35,6 +35,16 @@ class Scratch:
         return f"{self.path}/{name}"
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns to put beside those of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def remainder(doc_id: Column | str, by: int) -> Column:
     """crc32 of the id as text, modulo ``by``; a null id counts as the empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

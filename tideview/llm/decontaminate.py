@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tideview.llm.common import Scratch
+from tideview.llm.common import Scratch, unused
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -185,7 +185,8 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated."""
+    bad_id, bad_hash = unused(docs, "bad_id", "bad_hash")
     bad = contamination(docs, items, doc_id, text, **options).where("contaminated")
-    bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
-    same = F.col(doc_id).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.col(text)) == F.col("_bad_hash"))
+    bad = bad.select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col(bad_id)) & (F.xxhash64(F.col(text)) == F.col(bad_hash))
     return docs.join(bad, same, "left_anti")

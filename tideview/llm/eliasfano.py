@@ -47,7 +47,7 @@ class Sequence:
     def build(values: np.ndarray, universe: int, name: str) -> dict[str, np.ndarray]:
         values = np.asarray(values, _U)
         n = len(values)
-        width = max(0, (int(universe) // n).bit_length() - 1) if n else 0
+        width = min(63, max(0, (int(universe) // n).bit_length() - 1)) if n else 63
         low = _pack(values & _U((1 << width) - 1), width)
         at = (values >> _U(width)).astype(np.int64) + np.arange(n)
         bits = n + (int(universe) >> width) + 2
