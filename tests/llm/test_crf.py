@@ -1,0 +1,75 @@
+import itertools
+import random
+
+import numpy as np
+import pytest
+from edges import LONG
+from pyspark.sql import functions as F
+
+from tideview.llm import crf
+
+PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body>
+<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><!-- <p>no</p> --><div class="ad">Buy shoes now.</div>
+<article><h1>The   title&amp;more</h1><p><b>First&nbsp;one, which goes on.<br>And on.<p>Second 1 &lt; 2 and 3 < 4. Fine.</p>
+<div class="share"><a href="#">Share</a></div></article><aside class="sidebar"><p>Some other story. It is long.</p></aside>
+<form><label>Name</label><button>Send</button></form><div id="comments"><p>I liked it. Really.</p></div><footer>&copy; us</footer></body></html>"""
+
+
+def pages(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return df.withColumn("text", F.lit("x")).withColumn("id", F.lit("x")).withColumn("n_chars", F.lit(1))
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    body = [f"<article><h1>Title {i}</h1><p>It was {i} and late. They went on.</p></article><footer>end {i}</footer>" for i in range(30)]
+    return crf.train(pages(spark, [(i, "u", h) for i, h in enumerate(body)]), max_train=150)
+
+
+def test_blocks():
+    found = [b[0] for b in crf.blocks(PAGE)]
+    assert found == [
+        "Home", "News", "Buy shoes now.", "The title&more", "First one, which goes on. And on.", "Second 1 < 2 and 3 < 4. Fine.",
+        "Share", "Some other story. It is long.", "Name", "Send", "I liked it. Really.", "© us",
+    ]
+    assert crf.blocks(None) == crf.blocks("") == [] and [b[0] for b in crf.blocks("no tags & <")] == ["no tags & <"]
+    assert [b[0] for b in crf.blocks("<p>a<script>x</p><p title='>'>b</div>c")] == ["a"]
+    assert [b[0] for b in crf.blocks("<p title='>'>b</div>c<p class=\"x>d<p>e")] == ["b", "c", "d", "e"]
+
+
+def test_main_text_of_pages(model):
+    assert crf.main_text(PAGE, *model)[0] == "The title&more First one, which goes on. And on. Second 1 < 2 and 3 < 4. Fine."
+    draw, right, total = random.Random(4), 0, 0
+    for _ in range(150):
+        laid = crf.laid_out(crf._FILLER, draw)
+        rows, same = crf.features([b[:4] for b in laid], 16)
+        found = crf.viterbi(np.stack([model[0][f].sum(axis=0) for f in rows]), same, model[1])
+        right += (found == [b[4] for b in laid]).sum()
+        total += len(laid)
+    assert right / total > 0.97
+
+
+def test_viterbi_and_marginals_by_enumeration():
+    draw = np.random.default_rng(0)
+    for n in (1, 2, 5):
+        emit, moves, same = draw.normal(size=(n, 2)), draw.normal(size=(2, 2, 2)), draw.integers(0, 2, n)
+        paths = list(itertools.product((0, 1), repeat=n))
+        value = np.array([emit[range(n), p].sum() + sum(moves[same[i], p[i - 1], p[i]] for i in range(1, n)) for p in paths])
+        assert tuple(crf.viterbi(emit, same, moves)) == paths[value.argmax()]
+        share = np.exp(value - np.logaddexp.reduce(value))
+        marginal, expected = crf._likelihood(emit, same, moves)
+        assert np.allclose(marginal[:, 1], share @ np.array(paths))
+        assert np.isclose(expected.sum(), n - 1)
+
+
+def test_edges(spark, model):
+    rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "<p>"), (4, "u", f"<article><p>{LONG}</p></article>")]
+    got = crf.extract(pages(spark, rows), model=model).collect()
+    assert len(got) == 6 and all(r.n_chars == len(r.text) for r in got)
+    by_id = {r.page_id: r for r in got}
+    assert by_id[2].text == by_id[3].text == by_id[None].text == "" and by_id[2].url is None
+    assert by_id[4].text == LONG
+
+
+def test_empty_table(spark):
+    assert crf.extract(pages(spark, [])).collect() == []
