@@ -21,162 +21,192 @@ and lose nothing if no row with an id has it. Further columns stay untouched.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideview.llm.common import Scratch, by_batch, texts
-
-_CLAUSE = re.compile(rb"[^.!?,;]*[.!?,;]+[ \t]*|[^.!?,;]+")
-_MASK = (1 << 64) - 1
-_FACTOR = 0x9E3779B97F4A7C15
-
-
-def units(text: bytes, long_words: int) -> list[tuple[bytes, int, bool, bool]]:
-    """(bytes, words, whether a boundary is forced after it, whether it is of a long line).
+from tideview.llm.common import Scratch, by_batch, texts, unused
 
-    The bytes put together are the text again.
-    """
-    out: list[tuple[bytes, int, bool, bool]] = []
-    for line in text.splitlines(keepends=True) if b"\r" not in text else re.findall(rb"[^\n]*\n|[^\n]+", text):
-        n = len(line.split())
-        if n < long_words:
-            out.append((line, n, False, False))
-            continue
-        if out:
-            out[-1] = (*out[-1][:2], True, out[-1][3])
-        clauses = _CLAUSE.findall(line.rstrip(b"\n"))
-        if line.endswith(b"\n"):
-            clauses[-1] += b"\n"
-        out += [(s, len(s.split()), False, True) for s in clauses]
-        out[-1] = (*out[-1][:2], True, True)
-    return out
+_U = np.uint64
+_FACTOR, _ROLL = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95)
+_INVERSE = _U(pow(int(_FACTOR), -1, 1 << 64))
+_CHUNK = [("of", pa.int32()), ("chunk", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("several", pa.bool_()), ("hash", pa.int64())]
+#: Bytes that are cut up at a time, unless one text is longer.
+_BYTES = 1 << 18
 
 
-def chunks(
-    text: bytes | None, long_words: int = 20, mean_lines: int = 3, roll: int = 2
-) -> list[tuple[bytes, int, bool]]:
-    """(bytes, words, whether it has several lines) of each chunk, in order."""
-    out: list[tuple[bytes, int, bool]] = []
-    part: list[tuple[bytes, int, bool, bool]] = []
-    recent: list[int] = []
-
-    def close() -> None:
-        if part:
-            several = sum(u[1] > 0 for u in part) > 1 or any(u[3] for u in part)
-            out.append((b"".join(u[0] for u in part), sum(u[1] for u in part), several))
-            part.clear()
-
-    for unit in units(text, long_words) if text else []:
-        part.append(unit)
-        if unit[1]:  # blank lines belong to what stands before them and decide nothing
-            recent = [*recent[-(roll - 1) :], xxhash.xxh64_intdigest(unit[0].strip())] if roll > 1 else [
-                xxhash.xxh64_intdigest(unit[0].strip())
-            ]
-        rolled = 0
-        for h in recent:
-            rolled = (rolled * _FACTOR + h) & _MASK
-        if unit[2] or (unit[1] and (rolled >> 20) % mean_lines == 0):
-            if unit[2]:
-                recent = []
-            close()
-    close()
-    return out
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
+    return h ^ (h >> _U(31))
 
 
-def _digest(chunk: bytes) -> int:
-    return xxhash.xxh64_intdigest(chunk.strip(), 1) - (1 << 63)
+def _any_of(data: np.ndarray, signs: bytes) -> np.ndarray:
+    known = np.zeros(256, bool)
+    known[np.frombuffer(signs, np.uint8)] = True
+    return known[data]
 
 
-def _removed(pieces: list[tuple[bytes, int, bool]], repeated: set[int], min_words: int) -> set[int]:
-    """The chunks that go: runs of repeated ones (chunks without words within them go along)."""
-    gone: set[int] = set()
-    run: list[int] = []
-    for i in range(len(pieces) + 1):
-        if i < len(pieces) and (i in repeated or (run and not pieces[i][1])):
-            run.append(i)
+def chunks(rows: list[bytes | None], long_words: int = 20, mean_lines: int = 3, roll: int = 2) -> dict[str, np.ndarray]:
+    """All chunks of some texts, in order: number of the text, number in the text, first byte and end in
+    it, words, whether it has several lines, hash of its words. Chunks without words are left out.
+    """
+    sizes = np.array([len(t) if t else 0 for t in rows], np.int64)
+    data = np.frombuffer(b"".join(t for t in rows if t), np.uint8)
+    n = len(data)
+    if not n:
+        return {name: np.zeros(0, kind.to_pandas_dtype()) for name, kind in _CHUNK}
+    ends_of_text = np.cumsum(sizes)
+    filled = sizes > 0
+    first = np.zeros(n, bool)  # of a text
+    first[(ends_of_text - sizes)[filled]] = True
+    newline, blank = data == 10, _any_of(data, b" \t")
+    space = _any_of(data, b" \t\n\r\x0b\x0c")
+    starts_word = ~space & (np.concatenate([[True], space[:-1]]) | first)
+    words_before = np.concatenate([[0], np.cumsum(starts_word)])
+
+    # Lines, and the clauses of long ones: a clause ends behind its marks and the blanks after them.
+    line_starts = first | np.concatenate([[False], newline[:-1]])
+    begin = np.flatnonzero(line_starts)
+    words_of_line = np.diff(words_before[np.append(begin, n)])
+    line = np.cumsum(line_starts) - 1
+    is_long = (words_of_line >= long_words)[line]
+    mark = _any_of(data, b".!?,;")
+    at = np.arange(n)
+    last_sign = np.maximum.accumulate(np.where(blank, 0, at))
+    after_mark = np.concatenate([[False], mark[last_sign[:-1]]])
+    starts_unit = line_starts | (is_long & after_mark & ~mark & ~blank & ~newline)
+    begin = np.flatnonzero(starts_unit)
+    end = np.append(begin[1:], n)
+    words = words_before[end] - words_before[begin]
+    of_long = is_long[begin]
+    text_of = np.searchsorted(ends_of_text, begin, side="right")
+
+    # A hash of any range: a polynomial over its signs and where its words start.
+    signs_before = np.concatenate([[0], np.cumsum(~space)])
+    value = (data[~space].astype(_U) + _U(1)) + _U(257) * starts_word[~space].astype(_U)
+    power = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(len(value), _FACTOR)]))
+    back = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(len(value), _INVERSE)]))
+    summed = np.concatenate([[_U(0)], np.cumsum(value * power[:-1], dtype=_U)])
+
+    def hashed(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        a, z = signs_before[a], signs_before[z]
+        return _mixed((summed[z] - summed[a]) * back[a])
+
+    # Boundaries: forced around long lines and at the end of a text, else where the rolling hash says so.
+    same_text = text_of[1:] == text_of[:-1]
+    new_line = line_starts[begin[1:]]
+    forced = np.append(~same_text | (new_line & (of_long[1:] | of_long[:-1])), True)
+    part = np.cumsum(np.concatenate([[0], forced[:-1]]))
+    unit = hashed(begin, end)
+    rolled = unit.copy()
+    for back_by in range(1, min(roll, len(unit))):
+        near = part[back_by:] == part[:-back_by]
+        rolled[back_by:] += np.where(near, unit[:-back_by] * _ROLL ** _U(back_by), _U(0))
+    cut = forced | ((words > 0) & ((rolled >> _U(20)) % _U(mean_lines) == 0))
+
+    last = np.flatnonzero(cut)
+    start_unit = np.append(0, last[:-1] + 1)
+    a, z = begin[start_unit], end[last]
+    worded = np.concatenate([[0], np.cumsum(words > 0)])
+    longs = np.concatenate([[0], np.cumsum(of_long)])
+    several = (worded[last + 1] - worded[start_unit] > 1) | (longs[last + 1] > longs[start_unit])
+    of = text_of[start_unit]
+    number = np.arange(len(of)) - np.searchsorted(of, of)
+    offset = (ends_of_text - sizes)[of]
+    total = words_before[z] - words_before[a]
+    out = {"of": of, "chunk": number, "start": a - offset, "end": z - offset, "words": total, "several": several}
+    out["hash"] = hashed(a, z).view(np.int64)
+    return {name: x[total > 0] for name, x in out.items()}
+
+
+def _groups(rows: list[bytes | None]):
+    """(first, end) of runs of rows with about _BYTES bytes."""
+    first = held = 0
+    for i, t in enumerate(rows):
+        held += len(t) if t else 0
+        if held >= _BYTES:
+            yield first, i + 1
+            first, held = i + 1, 0
+    if first < len(rows):
+        yield first, len(rows)
+
+
+def _gone(repeated: list[dict], min_words: int) -> list[tuple[int, int, int]]:
+    """(start, end, words) of the runs that go, from the repeated chunks in order."""
+    out, run = [], []
+    for c in [*repeated, None]:
+        if c is not None and (not run or c["chunk"] == run[-1]["chunk"] + 1):
+            run.append(c)
             continue
-        while run and not pieces[run[-1]][1]:
-            run.pop()
-        if sum(pieces[k][1] for k in run) >= min_words and any(pieces[k][2] for k in run):
-            gone.update(run)
-        run = []
-    return gone
+        if sum(x["words"] for x in run) >= min_words and any(x["several"] for x in run):
+            out.append((run[0]["start"], run[-1]["end"], sum(x["words"] for x in run)))
+        run = [c]
+    return out
 
 
 def removals(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 24, scratch: Scratch | None = None, **shape
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None, **shape
 ) -> DataFrame:
-    """doc_id, text_hash, repeated: for the documents that have some, the numbers of their repeated chunks.
-
-    ``min_words`` is not applied here.
-    """
+    """doc_id, text_hash, repeated: for the documents that have some, their repeated chunks in order."""
     scratch = scratch or Scratch(docs.sparkSession, "linededup")
     plain = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text")
     ).where(F.col("text").isNotNull())
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pieces = [chunks(t, **shape) for t in texts(batch)]
-        counts = [len(p) for p in pieces]
-        of = np.repeat(np.arange(len(pieces)), counts)
-        flat = [c for p in pieces for c in p]
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column(0).take(pa.array(of)),
-                batch.column(1).take(pa.array(of)),
-                pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in counts]) if flat else [], pa.int32()),
-                pa.array([_digest(c[0]) for c in flat], pa.int64()),
-                pa.array([c[1] for c in flat], pa.int32()),
-            ],
-            ["doc_id", "text_hash", "chunk", "hash", "words"],
-        )
-
-    schema = "doc_id long, text_hash long, chunk int, hash long, words int"
-    cuts = plain.mapInArrow(by_batch(cut), schema).where("words > 0")
-    counted = cuts.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner"))
-    often = scratch.saved(counted.where("n > 1 and owner is not null").select("hash", "owner"), "often")
-    suspects = cuts.join(often, "hash").groupBy("doc_id", "text_hash")
-    suspects = suspects.agg(F.collect_set(F.struct("chunk", "hash", "owner")).alias("suspects"))  # of one document
+    def cut(batches):
+        for batch in batches:
+            rows = texts(batch)
+            for first, end in _groups(rows):
+                found = chunks(rows[first:end], **shape)
+                of = pa.array(found.pop("of") + first)
+                columns = [batch.column(0).take(of), batch.column(1).take(of)]
+                columns += [pa.array(found[name], kind) for name, kind in _CHUNK[1:]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", *[name for name, _ in _CHUNK[1:]]])
+
+    schema = "doc_id long, text_hash long, chunk int, start int, end int, words int, several boolean, hash long"
+    cuts = scratch.saved(plain.mapInArrow(cut, schema), "chunks")
+    often = scratch.saved(cuts.groupBy("hash").count().where("count > 1").select("hash"), "often")
+    spot = F.struct("chunk", "start", "end", "words", "several")
+    suspects = cuts.join(often, "hash").groupBy("doc_id", "text_hash").agg(F.collect_set(spot).alias("spots"))  # of one document
     mine = scratch.saved(suspects, "suspects").select(
-        F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), "suspects"
+        F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), "spots"
     )
     same = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_hash") == F.col("s_hash"))
-    both = plain.join(mine, same).select("doc_id", "text_hash", "text", F.col("suspects.chunk").alias("at"), F.col("suspects.owner").alias("owners"))
+    both = plain.join(mine, same).select("doc_id", "text_hash", "text", "spots")
 
     def show(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows: list[tuple] = []
-        ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        ats, owners = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-        for i, t in enumerate(texts(batch)):
-            pieces = chunks(t, **shape)
-            rows += [(ids[i], hashes[i], k, o, pieces[k][0].strip()) for k, o in zip(ats[i], owners[i])]
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-        names = ["doc_id", "text_hash", "chunk", "owner", "bytes"]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
-
-    schema = "doc_id long, text_hash long, chunk int, owner long, bytes binary"
-    shown = scratch.saved(both.mapInArrow(by_batch(show), schema).distinct(), "bytes")
-    # The kept place: first chunk of the owner that has these bytes (of the owner's smallest text hash, if its id repeats).
-    own = shown.where("doc_id = owner").groupBy("bytes").agg(
-        F.min("text_hash").alias("k_hash"), F.first("owner").alias("k_id")
-    )
-    firsts = shown.where("doc_id = owner").select("text_hash", "chunk", F.col("bytes").alias("b"))
-    first = firsts.join(own, (F.col("b") == F.col("bytes")) & (F.col("text_hash") == F.col("k_hash")))
-    first = first.groupBy("bytes", "k_id", "k_hash").agg(F.min("chunk").alias("k_chunk"))
-    kept = first.withColumnRenamed("bytes", "k_bytes")
+        spots = batch.column(3)
+        of = pa.array(np.repeat(np.arange(len(spots)), spots.value_lengths().fill_null(0).to_numpy()))
+        each = spots.flatten()
+        rows, starts, ends = texts(batch), each.field("start").to_pylist(), each.field("end").to_pylist()
+        shown = [rows[i][a:z].strip() for i, a, z in zip(of.to_pylist(), starts, ends)]
+        names = ["chunk", "start", "end", "words", "several"]
+        columns = [batch.column(0).take(of), batch.column(1).take(of), *[each.field(x) for x in names], pa.array(shown, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", *names, "bytes"])
+
+    schema = "doc_id long, text_hash long, chunk int, start int, end int, words int, several boolean, bytes binary"
+    shown = scratch.saved(both.mapInArrow(by_batch(show), schema).withColumn("digest", F.xxhash64("bytes")), "bytes")
+    # The kept place of each chunk's bytes: the smallest id, there the smallest text hash and the first chunk.
+    # Only digests are grouped; the bytes of each place meet those of the kept one once, in the last join.
+    own = shown.groupBy("digest").agg(F.min("doc_id").alias("k_id"), F.count("*").alias("n"))
+    own = own.where("n > 1 and k_id is not null").select(F.col("digest").alias("k"), "k_id")
+    firsts = shown.select("digest", "doc_id", "text_hash", "chunk").join(own, (F.col("digest") == F.col("k")) & (F.col("doc_id") == F.col("k_id")))
+    firsts = firsts.groupBy("k", "k_id").agg(F.min(F.struct("text_hash", "chunk")).alias("at"))
+    firsts = scratch.saved(firsts.select("k", "k_id", "at.text_hash", "at.chunk"), "firsts")
+    kept = firsts.join(shown.select(F.col("doc_id").alias("k_id"), "text_hash", "chunk", F.col("bytes").alias("k_bytes")), ["k_id", "text_hash", "chunk"])
+    kept = kept.select("k", "k_id", F.col("text_hash").alias("k_hash"), F.col("chunk").alias("k_chunk"), "k_bytes")
+    kept = kept.dropDuplicates(["k"])  # rows that repeat a document show its chunks each
     other = ~(
         F.col("doc_id").eqNullSafe(F.col("k_id"))
         & (F.col("text_hash") == F.col("k_hash"))
         & (F.col("chunk") == F.col("k_chunk"))
     )
-    repeated = shown.join(kept, F.col("bytes") == F.col("k_bytes")).where(other)
-    return repeated.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("chunk")).alias("repeated"))
+    repeated = shown.join(kept, F.col("digest") == F.col("k")).where(other & (F.col("bytes") == F.col("k_bytes")))
+    return repeated.groupBy("doc_id", "text_hash").agg(
+        F.sort_array(F.collect_set(F.struct("chunk", "start", "end", "words", "several"))).alias("repeated")
+    )
 
 
 def remove_repeats(
@@ -184,34 +214,34 @@ def remove_repeats(
 ) -> DataFrame:
     """The rows of ``docs`` with the repeated runs cut out of their text, and ``n_removed_words``.
 
-    ``n_chars`` names a column that holds the text's length and has to follow it.
+    ``n_chars`` names a column that holds the text's length and has to follow it. A column
+    of the input that is called n_removed_words gives way.
     """
     scratch = Scratch(docs.sparkSession, "linededup")
-    found = scratch.saved(removals(docs, doc_id, text, scratch=scratch, **shape), "repeated").select(
-        F.col("doc_id").alias("_r_id"), F.col("text_hash").alias("_r_hash"), F.col("repeated").alias("_repeated")
-    )
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_r_id")) & (F.xxhash64(F.col(text)) == F.col("_r_hash"))
-    marked = docs.join(found, same, "left").drop("_r_id", "_r_hash")
+    docs = docs.drop("n_removed_words")
+    r_id, r_hash, marks = unused(docs, "r_id", "r_hash", "marks")
+    found = scratch.saved(removals(docs, doc_id, text, scratch, **shape), "repeated").toDF(r_id, r_hash, marks)
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(r_id)) & (F.xxhash64(F.col(text)) == F.col(r_hash))
     kept_columns = [c for c in docs.columns if c != text]
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values, marks = texts(batch, text), batch.column(batch.num_columns - 1).to_pylist()
-        new, removed = [], []
-        for t, repeated in zip(values, marks):
-            if t and repeated:
-                pieces = chunks(t, **shape)
-                gone = _removed(pieces, set(repeated), min_words)
-                removed.append(sum(pieces[k][1] for k in gone))
-                new.append(b"".join(p[0] for k, p in enumerate(pieces) if k not in gone) if gone else t)
-            else:
-                removed.append(0)
-                new.append(t)
+        values, marks = batch.column(len(kept_columns)), batch.column(batch.num_columns - 1)
+        new, removed = values, np.zeros(batch.num_rows, np.int64)
+        if marks.null_count < len(marks):
+            new = values.cast(pa.binary()).to_pylist()
+            for i in np.flatnonzero(marks.is_valid().to_numpy(zero_copy_only=False)):
+                pieces, at = [], 0
+                for a, z, n in _gone(marks[i].as_py(), min_words):
+                    pieces.append(new[i][at:a])
+                    at = z
+                    removed[i] += n
+                new[i] = b"".join([*pieces, new[i][at:]])
+            new = pa.array(new, pa.binary()).cast(pa.string())
         columns = [batch.column(i) for i in range(len(kept_columns))]
-        columns += [pa.array(new, pa.binary()).cast(pa.string()), pa.array(removed, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, [*kept_columns, text, "n_removed_words"])
+        return pa.RecordBatch.from_arrays([*columns, new, pa.array(removed)], [*kept_columns, text, "n_removed_words"])
 
-    picked = marked.select(*kept_columns, text, "_repeated")
-    schema = picked.drop("_repeated").schema.add("n_removed_words", "long")
+    picked = docs.join(found, same, "left").select(*kept_columns, text, marks)
+    schema = picked.drop(marks).schema.add("n_removed_words", "long")
     out = picked.mapInArrow(by_batch(cut), schema)
     if n_chars:
         out = out.withColumn(n_chars, F.char_length(text).cast(docs.schema[n_chars].dataType))
