@@ -32,6 +32,7 @@ from tideview import (
     visible,
 )
 from tideview.operators import bags, joins, terms
+from tideview.operators.joins import HOT_SHARE, SALTS, SKEW_BYTES
 from tideview.plans.view import kept
 from tideview.samples import FULL2, KEYS, LEFT2, LEFT3, SHAPES, load
 from tideview.sources.changes import (
@@ -99,6 +100,49 @@ def updated_query(condition, column, spark, sf_dir):
     return visible(view, maintain_update(view, build_view(view), tables, "lineitem", before, after, staging))
 
 
+def maintain_phantom_delete(spark, sf_dir):
+    """Returned lines leave twice, the second time from a table that lacks them."""
+    view, tables, staging = _setup(spark, sf_dir, LEFT2)
+    rows = tables["lineitem"].where(RETURNED)
+    once = maintain_delete(view, build_view(view), tables, "lineitem", rows, staging)
+    tables = tables_after(view, tables, {"lineitem": Change(deleted=rows)})
+    return visible(view, maintain_delete(view, once, tables, "lineitem", rows, staging))
+
+
+def maintain_keys_only_delete(spark, sf_dir):
+    """Rows that leave are given by their keys alone."""
+    view, tables, staging = _setup(spark, sf_dir, FULL2)
+    rows = tables["lineitem"].where(RETURNED).select(*KEYS["lineitem"])
+    return visible(view, maintain_delete(view, build_view(view), tables, "lineitem", rows, staging))
+
+
+def view_hot_key_full(spark, sf_dir):
+    """The full join with settings by which many keys are hot and spread."""
+    low = {SKEW_BYTES: "1", HOT_SHARE: "0.0001", SALTS: "4"}
+    had = {name: spark.conf.get(name, None) for name in low}
+    for name, value in low.items():
+        spark.conf.set(name, value)
+    try:
+        return view_query("full2", spark, sf_dir)
+    finally:
+        for name, value in had.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def view_sql_left3(spark, sf_dir):
+    """The three-level view from SQL text, kept over a change."""
+    tables = load(spark, sf_dir, LEFT3)
+    work = _workspace(spark, tables, "v", LEFT2)
+    work.register_view(
+        "s",
+        """select p.p_partkey, o.o_orderkey, p.p_name, l.l_quantity from {orders} o
+        left join {lineitem} l on l.l_orderkey = o.o_orderkey
+        left join {part} p on p.p_partkey = l.l_partkey where o.o_orderkey > 0""",
+    )
+    work.apply({"lineitem": Change(deleted=tables["lineitem"].where(RETURNED))})
+    return work.view("s")
+
+
 def maintain_multi(spark, sf_dir):
     """Orders and lines deleted and lines added in one batch."""
     view, tables, staging = _setup(spark, sf_dir, FULL2)
@@ -358,7 +402,7 @@ def _total_lines():
 
 
 def deferred_refresh(spark, sf_dir):
-    """Three feeds put aside, then folded and applied at once."""
+    """Three feeds put aside, then folded and applied at once; the first run dies in between."""
     spec = _total_lines()
     tables = load(spark, sf_dir, spec)
     work = _workspace(spark, tables, "v", spec)
@@ -366,6 +410,15 @@ def deferred_refresh(spark, sf_dir):
     work.defer("lineitem", feeds["lineitem"])
     work.defer("orders", feeds["orders"].where("seq = 1"))
     work.defer("orders", feeds["orders"].where("seq > 1"))
+
+    def dies(entry):
+        raise RuntimeError("lost before the feeds were forgotten")
+
+    work._close = dies
+    try:
+        work.apply_deferred()
+    except RuntimeError:
+        work = Workspace(spark, work.root)
     work.apply_deferred()
     return work.view("v")
 
@@ -394,18 +447,17 @@ def full_refresh(spark, sf_dir):
 
 
 def stream_maintain(spark, sf_dir):
-    """Change files taken in by a stream, one file per micro-batch and table."""
+    """Change files taken in by a stream in four micro-batches, the last with older changes."""
     spec = _total_lines()
     tables = load(spark, sf_dir, spec)
     work = _workspace(spark, tables, "v", spec)
     folders = {s: f"{work.root}/incoming/{s}" for s in tables}
     feeds = _returned_feeds(tables)
-    feeds["lineitem"].write.parquet(folders["lineitem"])
-    feeds["orders"].where("seq = 1").write.parquet(folders["orders"])
+    feeds["lineitem"].repartition(2).write.parquet(folders["lineitem"])
     checkpoint = f"{work.root}/checkpoint"
-    continuous.start(work, folders, checkpoint).awaitTermination()
-    feeds["orders"].where("seq > 1").write.mode("append").parquet(folders["orders"])
-    continuous.start(work, folders, checkpoint).awaitTermination()
+    for seq in (2, 3, 1):
+        feeds["orders"].where(F.col("seq") == seq).coalesce(1).write.mode("append").parquet(folders["orders"])
+        continuous.start(work, folders, checkpoint, max_files=1).awaitTermination()
     return work.view("v")
 
 
@@ -438,6 +490,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "maintain_theta": partial(inserted_query, "theta2", "supplier", "s_acctbal > 5000"),
         "maintain_update_value": partial(updated_query, "l_linenumber = 2", "l_quantity"),
         "maintain_update_parent": partial(updated_query, "l_linenumber = 3", "l_orderkey"),
+        "maintain_insert_mixed_on": partial(inserted_query, "mixed_on", *lines),
+        "maintain_phantom_delete": maintain_phantom_delete,
+        "maintain_keys_only_delete": maintain_keys_only_delete,
+        "view_hot_key_full": view_hot_key_full,
+        "view_sql_left3": view_sql_left3,
         "maintain_multi": maintain_multi,
         "maintain_literal_rows": maintain_literal_rows,
         "split_deleted": partial(split_query, 0),
@@ -498,6 +555,8 @@ def _shape_sql(shape: str, **tables: str) -> str:
         "self2": f"""select p.p_partkey, q.p_partkey as next_partkey, q.p_name as next_name
             from {t['part']} p full join {t['part']} q
             on p.p_partkey + 1 = q.p_partkey and p.p_type = q.p_type""",
+        "mixed_on": f"""select {lines} from {t['orders']} o left join {t['lineitem']} l
+            on {order} and l.l_quantity > 10 and l.l_tax < 0.07""",
     }[shape]
 
 
@@ -554,6 +613,11 @@ def oracle_sql() -> dict[str, str]:
         "maintain_theta": view["theta2"],
         "maintain_update_value": _shape_sql("left2", lineitem=lines_with("l_quantity", "l_linenumber = 2")),
         "maintain_update_parent": _shape_sql("left2", lineitem=lines_with("l_orderkey", "l_linenumber = 3")),
+        "maintain_insert_mixed_on": view["mixed_on"],
+        "maintain_phantom_delete": _shape_sql("left2", lineitem=lines_left),
+        "maintain_keys_only_delete": _shape_sql("full2", lineitem=lines_left),
+        "view_hot_key_full": view["full2"],
+        "view_sql_left3": _shape_sql("left3", lineitem=lines_left),
         "maintain_multi": _shape_sql("full2", orders=orders_left, lineitem=moved),
         "maintain_literal_rows": f"""{before}
             union all select k, null, null from (values ({NEW_KEY}), ({NEW_KEY + 1})) t(k)""",

@@ -13,12 +13,15 @@ from tideview.plans.maintain import (
     tables_after,
 )
 from tideview.plans.spec import Join, Table, UnsupportedView, View, ViewSpec, bind, full, inner, left, right
+from tideview.plans.sqlview import view_from_sql
 from tideview.plans.view import build_view, frames_of, visible, working_rows
 from tideview.plans.workspace import Workspace
+from tideview.sources.changes import BadChange
 from tideview.sources.snapshots import SnapshotStore
 from tideview.sources.storage import Staging
 
 __all__ = [
+    "BadChange",
     "Change",
     "Join",
     "SnapshotStore",
@@ -44,6 +47,7 @@ __all__ = [
     "right",
     "smaller_keys",
     "tables_after",
+    "view_from_sql",
     "visible",
     "working_rows",
 ]

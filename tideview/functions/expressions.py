@@ -77,7 +77,18 @@ def keys_match(names: Sequence[str], prefix: str, operator: str = "=") -> str:
 
 
 def null_text(data_type: T.DataType) -> str:
-    return f"cast(null as {data_type.simpleString()})"
+    return f"cast(null as {type_text(data_type)})"
+
+
+def type_text(data_type: T.DataType) -> str:
+    """The type as SQL text, whatever its fields are called."""
+    if isinstance(data_type, T.StructType):
+        return f"struct<{', '.join(f'{quoted(f.name)}: {type_text(f.dataType)}' for f in data_type.fields)}>"
+    if isinstance(data_type, T.ArrayType):
+        return f"array<{type_text(data_type.elementType)}>"
+    if isinstance(data_type, T.MapType):
+        return f"map<{type_text(data_type.keyType)}, {type_text(data_type.valueType)}>"
+    return data_type.simpleString()
 
 
 def cols(names: Iterable[str]) -> list[Column]:

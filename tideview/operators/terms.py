@@ -7,13 +7,12 @@ table's name to the columns that identify its rows in the data at hand.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideview.functions.expressions import all_of, any_of, keys_match, null_when, quoted, renamed, typed_null
+from tideview.functions.expressions import all_of, any_of, keys_match, null_when, quoted, typed_null
 from tideview.plans.spec import KEEP, View, hidden
 from tideview.plans.view import Frames, working_rows
 
@@ -102,31 +101,26 @@ def remove_subsumed(
     ``labels`` may name the labels that occur, to skip the others.
 
     Together with a union this is the minimum union by which an outer join can be
-    put together from inner joins. For each set of tables, the rows with just that
-    label are compared with the distinct keys of the rows that have more, so each
-    comparison is an equi-join with one row per key on the reducing side.
+    put together from inner joins. One pass makes the key tuples that each row
+    covers: its own with the keys of some tables NULL. Rows whose key tuple is among
+    these, reduced to distinct ones, go. The input is scanned twice, whatever the number of tables.
     """
     names = list(keys_by_table)
     if labels is None:
-        labels = [c for size in range(1, len(names) + 1) for c in combinations(names, size)]
-    labels = [frozenset(label) for label in labels]
-    parts = []
-    for label in labels:
-        part = rows.where(
-            all_of(_present(keys_by_table[t]) if t in label else ~_present(keys_by_table[t]) for t in names)
+        labels = [c for size in range(1, len(names)) for c in combinations(names, size)]
+    keys = [k for t in names for k in keys_by_table[t]]
+    table_of = {k: t for t in names for k in keys_by_table[t]}
+    covered = []
+    for label in {frozenset(x) for x in labels} - {frozenset(names)}:
+        more = any_of(_present(keys_by_table[t]) for t in names if t not in label)
+        nulled = F.struct(
+            *[
+                (F.col(quoted(k)) if table_of[k] in label else typed_null(rows.schema[k].dataType)).alias(f"__w{i}")
+                for i, k in enumerate(keys)
+            ]
         )
-        if any(label < other for other in labels):
-            part = _without_more(part, rows, [t for t in names if t in label], names, keys_by_table)
-        parts.append(part)
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _without_more(part, rows, label, names, keys_by_table) -> DataFrame:
-    keys = [k for t in label for k in keys_by_table[t]]
-    more = any_of(_present(keys_by_table[t]) for t in names if t not in label)
-    wider = (
-        rows.where(all_of(_present(keys_by_table[t]) for t in label) & more)
-        .selectExpr(*renamed(keys, "__w"))
-        .distinct()
-    )
-    return part.join(wider, F.expr(keys_match(keys, "__w")), "left_anti")
+        covered.append(F.when(all_of(_present(keys_by_table[t]) for t in label) & more, nulled))
+    if not covered:
+        return rows
+    tuples = rows.select(F.explode(F.array(*covered)).alias("__v")).where("__v is not null").select("__v.*").distinct()
+    return rows.join(tuples, F.expr(keys_match(keys, "__w", "<=>")), "left_anti")

@@ -128,7 +128,7 @@ def _join_columns_only(view: View, alias: str, frame: Frame) -> Frame:
     return frame.columns(
         [
             quoted(f.name) if f.name in needed else f"{null_text(f.dataType)} as {quoted(f.name)}"
-            for f in frame.base.schema.fields
+            for f in frame.fields
         ]
     )
 
@@ -202,16 +202,25 @@ def maintenance_step(
 
 def maintenance_steps(
     view: View,
-    tables: Mapping[str, DataFrame],
+    tables: Mapping[str, DataFrame | Frame],
     changes: Mapping[str, Change],
     staging: Staging,
+    own_images: bool = False,
 ) -> list[Step]:
-    """The steps for a batch of changes; ``tables`` are the sources before it."""
+    """The steps for a batch of changes; ``tables`` are the sources before it.
+
+    Rows that leave are looked up in the table by key and taken from there, so a row
+    the table lacks, or an old image of it, does no harm. ``own_images`` says that this
+    has been done.
+    """
     unknown = set(changes) - set(view.spec.sources())
     if unknown:
         raise ValueError(f"the view does not read {', '.join(sorted(unknown))}")
-    changes = {source: stage_change(c, source, staging) for source, c in changes.items()}
     frames = frames_of(view, tables)
+    if not own_images:
+        of = {view.source(a): a for a in reversed(view.aliases)}
+        changes = {s: with_own_images(c, frames[of[s]], frames[of[s]].keys) for s, c in changes.items()}
+    changes = {source: stage_change(c, source, staging) for source, c in changes.items()}
     steps = []
     for alias in view.aliases:
         change = changes.get(view.source(alias))
@@ -222,6 +231,14 @@ def maintenance_steps(
     return steps
 
 
+def with_own_images(change: Change, table: Frame, keys: Sequence[str]) -> Change:
+    """The change with the table's own rows in place of the deleted ones; these need their keys only."""
+    if change.deleted is None:
+        return change
+    wanted = distinct_if_large(change.deleted.selectExpr(*renamed(keys, "__gone")))
+    return Change(table.meeting("t", wanted, F.expr(keys_match(keys, "__gone"))), change.inserted)
+
+
 def stage_change(change: Change, source: str, staging: Staging) -> Change:
     """Write the change rows once, unless ``staging`` holds them already.
 
@@ -259,7 +276,7 @@ def maintain_insert(view, stored, tables, source, rows, staging) -> DataFrame:
 
 
 def maintain_delete(view, stored, tables, source, rows, staging) -> DataFrame:
-    """The stored view after deleting ``rows`` (whole before-images) from ``source``."""
+    """The stored view after deleting from ``source`` the rows with the keys of ``rows``."""
     return maintain(view, stored, tables, {source: Change(deleted=rows)}, staging)
 
 

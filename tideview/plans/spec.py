@@ -8,12 +8,11 @@ condition names and refuses views the maintenance rules do not cover.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +21,6 @@ from tideview.functions.expressions import all_of, quoted, typed_null
 KINDS = ("inner", "left", "right", "full")
 KEEP = "__keep"
 
-# `a.x = b.y`, the usual join condition.
-_PLAIN_EQUALITY = re.compile(r"\s*(\w+\.\w+)\s*=\s*(\w+\.\w+)\s*")
-
 
 class UnsupportedView(ValueError):
     """The view is outside the class that can be maintained from changes."""
@@ -50,8 +46,8 @@ class Join:
 
     ``on`` is a condition text or a sequence of conditions that must all hold.
     A condition is a text, or a pair of texts that must be equal, one per side.
-    Give equalities as pairs (or as plain ``a.x = b.y``): only these can be
-    spread over tasks by key.
+    Texts are split as Spark resolves them: every equality between the two sides
+    is found, however it is written, and spreads the join over tasks by key.
     """
 
     kind: str
@@ -64,18 +60,7 @@ class Join:
             raise UnsupportedView(f"join kind {self.kind!r}; one of {', '.join(KINDS)} is needed")
         on = [self.on] if isinstance(self.on, str) else list(self.on)
         # A bare pair of texts is one equality only when it is a tuple in the list.
-        object.__setattr__(self, "on", tuple(_plain_equalities(on)))
-
-
-def _plain_equalities(on: Sequence) -> Iterator:
-    """Turn `a.x = b.y and a.z = b.w` into pairs; leave all else alone."""
-    for condition in on:
-        if isinstance(condition, str):
-            parts = [_PLAIN_EQUALITY.fullmatch(p) for p in re.split(r"\s+and\s+", condition, flags=re.I)]
-            if all(parts):
-                yield from (p.groups() for p in parts)
-                continue
-        yield condition
+        object.__setattr__(self, "on", tuple(on))
 
 
 def inner(left, right, on) -> Join:
@@ -275,8 +260,8 @@ class View:
 
 
 def hidden(alias: str, key: str) -> str:
-    """Name of the hidden column that keeps ``alias.key`` in stored rows."""
-    return f"__{alias}__{key}"
+    """Name of the hidden column that keeps ``alias.key`` in stored rows; its length tells the alias."""
+    return f"__{alias}__{key}" if "__" not in alias + key else f"__{len(alias)}_{alias}__{key}"
 
 
 def _terms(node: Node) -> set[frozenset[str]]:
@@ -348,8 +333,7 @@ def _resolve(tree, frames: Mapping[str, DataFrame]) -> Node:
     inside = {a: frames[a] for a in aliases}
     wide = _side_by_side(list(inside.values()))
     on = []
-    for condition in tree.on:
-        texts = [condition] if isinstance(condition, str) else list(condition)
+    for texts in [part for condition in tree.on for part in _conjuncts(condition, wide)]:
         read = [_read_columns(text, wide) for text in texts]
         names = [frozenset(alias for alias, _ in r) for r in read]
         both, columns = frozenset().union(*names), frozenset().union(*read)
@@ -372,6 +356,42 @@ def _resolve(tree, frames: Mapping[str, DataFrame]) -> Node:
     return node
 
 
+def _conjuncts(condition: str | tuple, wide: DataFrame) -> list[list[str]]:
+    """The parts of a condition that must all hold: [text], or [left, right] of an equality.
+
+    The condition is taken apart after Spark has resolved it. Each part becomes a text
+    again; if one of them were not resolved to the same, the condition stays whole.
+    """
+    if not isinstance(condition, str):
+        return [list(condition)]
+
+    def resolved(text: str):
+        plan = wide.select(F.expr(text).alias("c"))._jdf.queryExecution().analyzed()
+        return plan.expressions().apply(0).child()
+
+    def conjuncts(e) -> list:
+        if e.getClass().getSimpleName() != "And":
+            return [e]
+        return conjuncts(e.left()) + conjuncts(e.right())
+
+    try:
+        parts = conjuncts(resolved(condition))
+    except AnalysisException as error:
+        raise UnsupportedView(f"cannot resolve ON: {error}") from error
+    out = []
+    for e in parts:
+        equality = e.getClass().getSimpleName() == "EqualTo"
+        texts = [x.sql() for x in ((e.left(), e.right()) if equality else (e,))]
+        try:
+            same = resolved(" = ".join(f"({t})" for t in texts) if equality else texts[0])
+        except PySparkException:
+            return [[condition]]
+        if not e.semanticEquals(same):
+            return [[condition]]
+        out.append(texts)
+    return out
+
+
 def _read_columns(text: str, wide: DataFrame) -> frozenset[tuple[str, str]]:
     """The (alias, column) pairs the text reads, as Spark's analyzer resolves it."""
     try:

@@ -13,11 +13,13 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideview.functions.expressions import cols, quoted
 from tideview.operators.joins import SKEW_BYTES, distinct_if_large, setting, skew_safe_join
 from tideview.plans.spec import KEEP, Condition, Node, View, hidden
 from tideview.sources.changes import apply_changes
+from tideview.sources.snapshots import VERSION, live_rows
 from tideview.sources.storage import Staging, plan_bytes
 
 @dataclass(frozen=True, eq=False)
@@ -26,12 +28,14 @@ class Frame:
 
     The changes are put on top of whatever part of the table is asked for. So a
     large table is first cut down to what can matter and only that is compared
-    with the keys that left.
+    with the keys that left. The same holds for the keys that earlier versions of a stored
+    table removed (``gone``); its rows then carry their version.
     """
 
     base: DataFrame
     keys: tuple[str, ...] = ()
     changes: tuple[tuple[DataFrame | None, DataFrame | None], ...] = ()
+    gone: DataFrame | None = None
 
     def after(self, deleted: DataFrame | None, inserted: DataFrame | None) -> Frame:
         return replace(self, changes=(*self.changes, (deleted, inserted)))
@@ -46,10 +50,17 @@ class Frame:
     def columns(self, texts: Sequence[str]) -> Frame:
         """The table with other columns; the keys must be among them."""
         changes = tuple((d, i if i is None else i.selectExpr(*texts)) for d, i in self.changes)
-        return Frame(self.base.selectExpr(*texts), self.keys, changes)
+        version = [] if self.gone is None else [VERSION]
+        return replace(self, base=self.base.selectExpr(*texts, *version), changes=changes)
+
+    @property
+    def fields(self) -> list[T.StructField]:
+        return [f for f in self.base.schema.fields if self.gone is None or f.name != VERSION]
 
     def _each(self, part) -> DataFrame:
         out = part(self.base)
+        if self.gone is not None:
+            out = live_rows(out, self.gone, [c for c in self.gone.columns if c != VERSION]).drop(VERSION)
         for deleted, inserted in self.changes:
             out = apply_changes(out, deleted, None if inserted is None else part(inserted), self.keys)
         return out
@@ -63,10 +74,15 @@ class Frame:
 Frames = Mapping[str, Frame]
 
 
-def frames_of(view: View, tables: Mapping[str, DataFrame] | None = None) -> dict[str, Frame]:
+def frames_of(view: View, tables: Mapping[str, DataFrame | Frame] | None = None) -> dict[str, Frame]:
     """One table per alias from one per source."""
     tables = view.schemas if tables is None else tables
-    return {a: Frame(tables[view.source(a)], view.keys(a)) for a in view.aliases}
+
+    def frame(alias: str) -> Frame:
+        table = tables[view.source(alias)]
+        return replace(table, keys=view.keys(alias)) if isinstance(table, Frame) else Frame(table, view.keys(alias))
+
+    return {a: frame(a) for a in view.aliases}
 
 
 def working_rows(
@@ -102,13 +118,19 @@ def _join_tree(view: View, node: Node, frames: Frames, kinds, marks) -> DataFram
         kinds.get(node, node.kind),
         left_id=_row_id(view, node.left, marks),
         right_id=_row_id(view, node.right, marks),
-        left_bytes=sum(frames[a].bytes for a in node.left.aliases),
-        right_bytes=sum(frames[a].bytes for a in node.right.aliases),
+        left_bytes=_bytes(node.left, left, frames),
+        right_bytes=_bytes(node.right, right, frames),
         left_unique=_unique(view, node.left, [a for a, _ in node.pairs]),
         right_unique=_unique(view, node.right, [b for _, b in node.pairs]),
     )
 
 
+def _bytes(node: Node, rows: DataFrame, frames: Frames) -> int:
+    """A bound of a side's size: what is read for it, and for a subtree Catalyst's estimate if that is larger."""
+    read = sum(frames[a].bytes for a in node.aliases)
+    return read if node.leaf else max(read, plan_bytes(rows))
+
+
 def _row_id(view: View, node: Node, marks) -> list[str]:
     columns = [(a, k) for a in node.aliases for k in view.keys(a)]
     columns += [(a, c) for a, c in marks if a in node.aliases]

@@ -15,13 +15,17 @@ import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tideview.functions.expressions import cols
+from tideview.functions.expressions import cols, keys_match, renamed
 from tideview.operators.bags import verify_view
-from tideview.plans.maintain import Change, maintenance_steps, stage_change
+from tideview.operators.joins import distinct_if_large
+from tideview.plans.maintain import Change, maintenance_steps, stage_change, with_own_images
 from tideview.plans.spec import UnsupportedView, View, ViewSpec, bind
-from tideview.plans.view import build_view, visible
-from tideview.sources.changes import net_changes, split_changes
+from tideview.plans.sqlview import view_from_sql
+from tideview.plans.view import Frame, build_view, visible
+from tideview.sources.changes import BadChange, as_table_rows, net_changes, refused_inserts, split_changes
 from tideview.sources.snapshots import Batch, SnapshotStore, Step
 from tideview.sources.storage import Files, Staging
 from tideview.sources.tables import key_violations
@@ -33,8 +37,12 @@ _OWN = "workspace"
 class Workspace:
     """Keeps tables, views, and changes put off for later, below ``root``."""
 
-    def __init__(self, spark: SparkSession, root: str, compact_above: float = 0.2):
+    def __init__(
+        self, spark: SparkSession, root: str, compact_above: float = 0.2, keep: int = 10, expire_every: int = 10
+    ):
+        """``keep`` versions of each store stay when old ones are dropped, about every ``expire_every`` batches."""
         self.spark = spark
+        self.keep, self.expire_every = keep, expire_every
         self.root = root.rstrip("/")
         self.compact_above = compact_above
         self._files = Files(spark)
@@ -47,9 +55,35 @@ class Workspace:
         if check and not key_violations(rows, keys).isEmpty():
             raise ValueError(f"{name}: {', '.join(keys)} is not a key")
         SnapshotStore.create(self.spark, self._table_root(name), rows, keys)
+        self._commit()
+
+    # --- one state of all tables and views -----------------------------------------
+
+    def _state(self) -> dict[str, int]:
+        """Which version of each store belongs to the last whole batch.
+
+        Readers take all versions from one such file, so they see no table from
+        after a batch beside a view from before it. Stores are published before, one by one.
+        """
+        names = [n for n in self._files.names(f"{self.root}/state") if n.endswith(".json")]
+        return json.loads(self._files.read_text(f"{self.root}/state/{names[-1]}")) if names else {}
+
+    def _commit(self) -> None:
+        """Make what the stores hold now the state that readers see."""
+        names = [n for n in self._files.names(f"{self.root}/state") if n.endswith(".json")]
+        versions = {f"tables/{n}": self._table(n).manifest().number for n in self.tables()}
+        versions |= {f"views/{n}": self._store(n).manifest().number for n in self.views() if self._loaded(n)}
+        number = int(names[-1][: -len(".json")]) + 1 if names else 0
+        self._files.write_new(f"{self.root}/state/{number:010d}.json", json.dumps(versions))
+        for old in names[:-4]:
+            self._files.delete(f"{self.root}/state/{old}")
+
+    def _loaded(self, name: str) -> bool:
+        return SnapshotStore.exists(self.spark, self._view_root(name))
 
     def table(self, name: str) -> DataFrame:
-        return self._table(name).read()
+        """The table as of the last whole batch."""
+        return self._table(name).read(self._state().get(f"tables/{name}"))
 
     def tables(self) -> list[str]:
         return self._files.names(f"{self.root}/tables")
@@ -62,14 +96,18 @@ class Workspace:
 
     # --- views -------------------------------------------------------------------
 
-    def register_view(self, name: str, spec: ViewSpec) -> None:
-        """Create a maintained view and load it."""
+    def register_view(self, name: str, spec: ViewSpec | str) -> None:
+        """Create a maintained view, from a spec or from SQL text (see ``view_from_sql``), and load it."""
+        if isinstance(spec, str):
+            used = {t: self.table(t) for t in self.tables() if "{" + t + "}" in spec}
+            spec = view_from_sql(self.spark, spec, used, {t: self._table(t).keys for t in used})
         for table in spec.tables.values():
             if set(table.keys) != set(self._table(table.source).keys):
                 raise UnsupportedView(f"{table.source} is kept by another key")
         view = bind(spec, {s: self.table(s) for s in spec.sources()})
         self._files.write_new(self._definition(name), json.dumps({"spec": spec.to_json()}))
         SnapshotStore.create(self.spark, self._view_root(name), build_view(view), view.key_names())
+        self._commit()
 
     def register_query(self, name: str, sql: str) -> None:
         """Create a view of any SQL, renewed as a whole after each change.
@@ -80,9 +118,10 @@ class Workspace:
         rows = self._run(sql)
         self._files.write_new(self._definition(name), json.dumps({"sql": sql}))
         SnapshotStore.create(self.spark, self._view_root(name), rows, [])
+        self._commit()
 
     def _run(self, sql: str) -> DataFrame:
-        used = {t: self.table(t) for t in self.tables() if "{" + t + "}" in sql}
+        used = {t: self._table(t).read() for t in self.tables() if "{" + t + "}" in sql}
         return self.spark.sql(sql, **used)
 
     def drop_view(self, name: str) -> None:
@@ -92,15 +131,16 @@ class Workspace:
         root = self._view_root(name)
         if SnapshotStore.exists(self.spark, root):
             SnapshotStore(self.spark, root).drop()
+        self._commit()
 
     def views(self) -> list[str]:
         names = self._files.names(f"{self.root}/definitions")
         return [n[: -len(".json")] for n in names if n.endswith(".json")]
 
     def view(self, name: str, version: int | None = None) -> DataFrame:
-        """What the view shows: the newest version, or an older one."""
+        """What the view shows as of the last whole batch, or in an older version."""
         kind, _ = self._kind(name)
-        rows = self._store(name).read(version)
+        rows = self._store(name).read(self._state().get(f"views/{name}") if version is None else version)
         return rows if kind == "sql" else visible(self._view(name), rows)
 
     def refresh(self, name: str, batch: Batch | None = None) -> None:
@@ -108,6 +148,8 @@ class Workspace:
         kind, text = self._kind(name)
         rows = self._run(text) if kind == "sql" else build_view(self._view(name), self._now(name))
         self._store(name).replace(rows, batch)
+        if batch is None:
+            self._commit()
 
     def verify(self, name: str) -> DataFrame:
         """Rows by which the view differs from its query; empty if all is well."""
@@ -115,7 +157,8 @@ class Workspace:
         if kind == "sql":
             return verify_view(self.view(name), self._run(text))
         view = self._view(name)
-        return verify_view(self.view(name), visible(view, build_view(view, self._now(name))))
+        now = {s: self.table(s) for s in view.spec.sources()}
+        return verify_view(self.view(name), visible(view, build_view(view, now)))
 
     def _definition(self, name: str) -> str:
         return f"{self.root}/definitions/{name}.json"
@@ -137,13 +180,25 @@ class Workspace:
         return self._bound[name]
 
     def _now(self, name: str) -> dict[str, DataFrame]:
-        return {s: self.table(s) for s in self._view(name).spec.sources()}
+        return {s: self._table(s).read() for s in self._view(name).spec.sources()}
+
+    def _frame(self, source: str) -> Frame:
+        """The newest version of a table, so that it is cut down before keys that went are compared."""
+        table = self._table(source)
+        rows, gone = table.parts()
+        return Frame(rows, tuple(table.keys), gone=gone)
 
     # --- changes -----------------------------------------------------------------
 
-    def apply(self, changes: Mapping[str, Change], batch: Batch | None = None) -> None:
+    def apply(
+        self, changes: Mapping[str, Change], batch: Batch | None = None, done_with: Sequence[str] = ()
+    ) -> None:
         """Apply a batch of changes to the tables and bring all views up to date.
 
+        Rows that leave are found by key; keys the table lacks are ignored. Rows that
+        enter need the table's columns, types that fit, and keys that are not NULL and new (or leave in the same
+        batch): else ``BadChange`` is raised and nothing is applied. ``done_with`` are folders to delete with the batch.
+
         All or nothing: the change rows are written to a journal first. If the run
         dies, the next call (or ``recover``) finishes the batch; if it fails before
         anything was published, the batch is dropped. A numbered batch that
@@ -156,27 +211,58 @@ class Workspace:
             batch = (_OWN, last + 1)
         elif all(s.done(batch) for s in map(self._table, changes)):
             return
-        for source, change in changes.items():
-            for rows in (change.deleted, change.inserted):
-                if rows is not None and set(rows.columns) != set(self._table(source).schema.fieldNames()):
-                    raise ValueError(f"rows for {source} do not have its columns")
         journal = Staging(self.spark, f"{self.root}/journal")
-        staged = {s: stage_change(c, s, journal) for s, c in changes.items()}
+        try:
+            staged = {s: self._checked(s, c, journal) for s, c in changes.items()}
+        except Exception:
+            journal.close()
+            raise
         paths = {
             source: [r if r is None else journal.path_of(r) for r in (c.deleted, c.inserted)]
             for source, c in staged.items()
         }
-        self._files.write_new(
-            self._entry, json.dumps({"batch": batch, "path": journal.path, "tables": paths})
-        )
+        entry = {"batch": batch, "path": journal.path, "tables": paths, "done_with": list(done_with)}
+        self._files.write_new(self._entry, json.dumps(entry))
         try:
             self._finish(staged, batch, journal)
         except Exception:
             if not any(s.done(batch) for s in stores):
                 self._files.delete(self._entry)
+                journal.close()
             raise
+        self._close(entry)
+
+    def _checked(self, source: str, change: Change, journal: Staging) -> Change:
+        """The change as it is written to the journal: rows that leave as the table has them (rows
+        it lacks go nowhere), rows that enter with the table's types and keys it can take."""
+        table, frame = self._table(source), self._frame(source)
+        keys, deleted, inserted = table.keys, change.deleted, change.inserted
+        if deleted is not None:
+            lacking = [k for k in keys if k not in deleted.columns]
+            if lacking:
+                raise BadChange(f"rows that leave {source} lack {', '.join(lacking)}")
+            wanted = as_table_rows(deleted.select(*cols(keys)), T.StructType([table.schema[k] for k in keys]), source)
+            deleted = with_own_images(Change(wanted, None), frame, keys).deleted
+        if inserted is not None:
+            inserted = as_table_rows(inserted, table.schema, source)
+        staged = stage_change(Change(deleted, inserted), source, journal)
+        if inserted is not None:
+            new = staged.inserted.selectExpr(*renamed(keys, "__gone"))
+            there = frame.meeting("t", distinct_if_large(new), F.expr(keys_match(keys, "__gone")))
+            bad = refused_inserts(there, staged.deleted, staged.inserted, keys).first()
+            if bad is not None:
+                raise BadChange(f"{source}: a key that enters is not new or no key: {bad.asDict()}")
+        return staged
+
+    def _close(self, entry: Mapping) -> None:
+        """The batch is everywhere: show it, drop the feeds it came from, then forget it."""
+        self._commit()
+        for folder in entry.get("done_with", []):
+            self._files.delete(folder)
         self._files.delete(self._entry)
-        journal.close()
+        self._files.delete(entry["path"])
+        if self._state() and max(self._state().values()) % self.expire_every == 0:
+            self.expire(self.keep)
 
     @property
     def _entry(self) -> str:
@@ -193,9 +279,7 @@ class Workspace:
             schema = self._table(source).schema
             staged[source] = Change(*[p if p is None else journal.scan(p, schema) for p in paths])
         self._finish(staged, tuple(entry["batch"]), journal)
-        self._files.delete(self._entry)
-        journal.close()
-        self._files.delete(entry["path"])
+        self._close(entry)
 
     def _finish(self, changes: Mapping[str, Change], batch: Batch, staging: Staging) -> None:
         """Publish the batch wherever it is missing.
@@ -211,7 +295,8 @@ class Workspace:
             store, view = self._store(name), self._view(name)
             mine = {s: c for s, c in changes.items() if s in view.spec.sources()}
             if not store.done(batch):
-                store.publish(maintenance_steps(view, self._now(name), mine, staging), batch)
+                frames = {s: self._frame(s) for s in view.spec.sources()}
+                store.publish(maintenance_steps(view, frames, mine, staging, own_images=True), batch)
                 store.compact(self.compact_above)
         for source, change in changes.items():
             table = self._table(source)
@@ -223,21 +308,71 @@ class Workspace:
             if not self._store(name).done(batch):
                 self.refresh(name, batch)
 
-    def apply_feed(self, feeds: Mapping[str, DataFrame], batch: Batch | None = None) -> None:
+    def apply_feed(
+        self, feeds: Mapping[str, DataFrame], batch: Batch | None = None, done_with: Sequence[str] = ()
+    ) -> None:
         """Apply change feeds (``op, before, after, seq``), folded per key."""
         with Staging(self.spark) as staging:
             changes = {}
             for source, feed in feeds.items():
                 net = staging.table(net_changes(feed, self._table(source).keys), f"net-{source}")
                 changes[source] = Change(*split_changes(net))
-            self.apply(changes, batch)
+            self.apply(changes, batch, done_with)
+
+    def apply_ordered(self, feeds: Mapping[str, DataFrame], batch: Batch) -> None:
+        """As ``apply_feed``, for a numbered batch of a stream whose batches may come out of order.
+
+        The last ``seq`` of each key is kept beside its table. A change that is not
+        newer than what its key has had is dropped, so the newest wins whatever batch it comes in.
+        """
+        self.recover()
+        with Staging(self.spark) as staging:
+            newer, reached = {}, {}
+            for source, feed in feeds.items():
+                store, keys = self._seqs(source), self._table(source).keys
+                images = [F.col(i) for i in ("before", "after")]
+                both = [F.struct(*[i.getField(k).alias(k) for k in keys]) for i in images]
+                each = F.explode(F.filter(F.array(*both), lambda k: k.getField(keys[0]).isNotNull()))
+                if store.done(batch):
+                    newer[source] = feed
+                    continue
+                number = feed.withColumn("__row", F.monotonically_increasing_id())
+                number = staging.table(number, f"feed-{source}")
+                of_key = number.select("__row", "seq", each.alias("__k")).select("__row", "seq", "__k.*")
+                last = store.read().select(*[c.alias(f"__s{i}") for i, c in enumerate(cols(keys))], F.col("seq").alias("__seq"))
+                late = of_key.join(last, F.expr(keys_match(keys, "__s") + " and seq <= __seq"), "left_semi")
+                late = late.select("__row").distinct()
+                newer[source] = number.join(late, "__row", "left_anti").drop("__row")
+                reached[source] = staging.table(of_key.groupBy(*cols(keys)).agg(F.max("seq").alias("seq")), f"seq-{source}")
+            self.apply_feed(newer, batch)
+            for source, seqs in reached.items():
+                store, keys = self._seqs(source), self._table(source).keys
+                had = store.read().join(seqs.selectExpr(*renamed(keys, "__s")), F.expr(keys_match(keys, "__s")), "left_semi")
+                most = had.unionByName(seqs).groupBy(*cols(keys)).agg(F.max("seq").alias("seq"))
+                store.publish([Step(seqs.select(*cols(keys)), staging.table(most, f"last-{source}"))], batch)
+                store.compact(self.compact_above)
+                store.expire(self.keep)
+
+    def _seqs(self, source: str) -> SnapshotStore:
+        """Per key of a table the ``seq`` of its last change from a stream."""
+        root = f"{self.root}/seqs/{source}"
+        if not SnapshotStore.exists(self.spark, root):
+            table = self._table(source)
+            fields = [table.schema[k] for k in table.keys] + [T.StructField("seq", T.LongType())]
+            none = self.spark.createDataFrame([], T.StructType(fields))
+            return SnapshotStore.create(self.spark, root, none, table.keys)
+        return SnapshotStore(self.spark, root)
 
     def defer(self, source: str, feed: DataFrame) -> None:
         """Put a change feed aside; the views stay as they are until ``apply_deferred``."""
         feed.write.parquet(f"{self.root}/deferred/{source}/{uuid.uuid4().hex}")
 
     def apply_deferred(self) -> None:
-        """Apply what was put aside as one folded batch, then forget it."""
+        """Apply what was put aside as one folded batch.
+
+        The journal names the folders, so a run that dies drops them with the batch and none is applied twice.
+        """
+        self.recover()
         feeds, folders = {}, []
         for source in self._files.names(f"{self.root}/deferred"):
             here = [
@@ -249,9 +384,7 @@ class Workspace:
                 folders += here
         if not feeds:
             return
-        self.apply_feed(feeds)
-        for folder in folders:
-            self._files.delete(folder)
+        self.apply_feed(feeds, done_with=folders)
 
     def expire(self, keep: int = 2) -> None:
         """Drop old versions of all tables and views."""

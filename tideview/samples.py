@@ -71,6 +71,8 @@ SELF2 = _spec(
     full("p", "q", [("p.p_partkey + 1", "q.p_partkey"), ("p.p_type", "q.p_type")]),
     {"p_partkey": "p.p_partkey", "next_partkey": "q.p_partkey", "next_name": "q.p_name"},
 )
+# One text with an equality among other conditions.
+MIXED_ON = _spec("ol", left("o", "l", "l.l_quantity > 10 and (l.l_orderkey = `o`.o_orderkey) and l.l_tax < 0.07"), LINES)
 
 SHAPES = {
     "left2": LEFT2,
@@ -82,6 +84,7 @@ SHAPES = {
     "chain3": CHAIN3,
     "theta2": THETA2,
     "self2": SELF2,
+    "mixed_on": MIXED_ON,
 }
 
 

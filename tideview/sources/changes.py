@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideview.functions.expressions import (
     all_of,
@@ -25,12 +26,21 @@ from tideview.functions.expressions import (
 
 
 def split_changes(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The feed as (deleted rows, inserted rows); an update counts as both."""
-    deleted = feed.where(F.col("op").isin("D", "U")).select("before.*")
-    inserted = feed.where(F.col("op").isin("I", "U")).select("after.*")
+    """The feed as (deleted rows, inserted rows); an update counts as both.
+
+    An op that is none of I, U and D fails the job.
+    """
+    deleted = feed.where(_known_op(F.col("op").isin("D", "U"))).select("before.*")
+    inserted = feed.where(_known_op(F.col("op").isin("I", "U"))).select("after.*")
     return deleted, inserted
 
 
+def _known_op(value: Column) -> Column:
+    """The value, or an error in a row whose op is unknown."""
+    op = F.coalesce(F.col("op"), F.lit("NULL"))
+    return F.when(op.isin("I", "U", "D"), value).otherwise(F.raise_error(F.concat(F.lit("unknown op in a change feed: "), op)))
+
+
 def changes_of(deleted: DataFrame | None, inserted: DataFrame | None) -> DataFrame:
     """A feed of deletes and inserts (no updates) from two row sets."""
     parts = []
@@ -75,6 +85,66 @@ def apply_changes(
     return out
 
 
+class BadChange(ValueError):
+    """A batch of changes that a table cannot take; nothing of it was applied."""
+
+
+def as_table_rows(rows: DataFrame, schema: T.StructType, source: str) -> DataFrame:
+    """``rows`` with the table's columns and types.
+
+    Types are widened where no value can be lost; any other difference is refused.
+    """
+    if sorted(rows.columns) != sorted(schema.fieldNames()):
+        raise BadChange(f"rows for {source} do not have its columns")
+    return rows.select(*[_widened(rows, f, source) for f in schema.fields])
+
+
+def _widened(rows: DataFrame, field: T.StructField, source: str) -> Column:
+    given, column = rows.schema[field.name].dataType, F.col(quoted(field.name))
+    if given == field.dataType:
+        return column
+    whole = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
+    wider = type(given) in whole and type(field.dataType) in whole[whole.index(type(given)) :] if type(given) in whole else False
+    wider |= isinstance(given, T.FloatType) and isinstance(field.dataType, T.DoubleType)
+    wider |= type(given) in whole[:3] and isinstance(field.dataType, T.DoubleType)
+    wider |= isinstance(given, T.NullType)
+    if isinstance(given, T.DecimalType) and isinstance(field.dataType, T.DecimalType):
+        more = field.dataType.precision - field.dataType.scale >= given.precision - given.scale
+        wider |= more and field.dataType.scale >= given.scale
+    # Nested types may differ in what can be NULL, not else.
+    if given.simpleString() != field.dataType.simpleString() and not wider:
+        raise BadChange(f"{source}.{field.name} is {field.dataType.simpleString()}, not {given.simpleString()}")
+    return column.cast(field.dataType).alias(field.name)
+
+
+def deleted_images(table: DataFrame, deleted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The table's own rows for the keys that are to go. Keys that it lacks go nowhere;
+    what else the given rows hold does not matter."""
+    wanted = deleted.selectExpr(*renamed(keys, "__gone"))
+    return table.join(wanted, F.expr(keys_match(keys, "__gone")), "left_semi")
+
+
+def refused_inserts(
+    table: DataFrame, deleted: DataFrame | None, inserted: DataFrame, keys: Sequence[str]
+) -> DataFrame:
+    """Keys that the table cannot take: NULL in part, doubled among ``inserted``, or in the
+    table already and not among ``deleted``. Columns are the keys and ``problem``."""
+    names = list(keys)
+    counted = inserted.groupBy(*cols(names)).agg(F.count(F.lit(1)).alias("__n"))
+    null = F.lit(False)
+    for c in cols(names):
+        null |= c.isNull()
+    problem = F.when(null, "NULL").when(F.col("__n") > 1, "doubled")
+    out = counted.select(*cols(names), problem.alias("problem")).where("problem is not null")
+    there = table.select(*cols(names))
+    new = counted.select(*[c.alias(f"__new{i}") for i, c in enumerate(cols(names))])
+    there = there.join(new, F.expr(keys_match(names, "__new")), "left_semi")
+    if deleted is not None:
+        gone = deleted.selectExpr(*renamed(names, "__gone"))
+        there = there.join(gone, F.expr(keys_match(names, "__gone")), "left_anti")
+    return out.unionByName(there.withColumn("problem", F.lit("exists")))
+
+
 def diff_snapshots(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Change feed that turns ``old`` into ``new``; both have unique ``keys``."""
     payload = old.columns
@@ -117,9 +187,11 @@ def net_changes(feed: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataF
     piece = lambda step, b, a: F.struct(
         F.lit(step).alias("step"), b.alias("before"), a.cast(row_type).alias("after")
     )
-    pieces = F.when(
-        moved, F.array(piece(0, before, null_row), piece(1, null_row, after))
-    ).otherwise(F.array(piece(0, before, after)))
+    pieces = _known_op(
+        F.when(moved, F.array(piece(0, before, null_row), piece(1, null_row, after))).otherwise(
+            F.array(piece(0, before, after))
+        )
+    )
     flat = feed.select(order.alias("__seq"), F.explode(pieces).alias("__p")).select(
         F.struct("__seq", F.col("__p.step")).alias("__at"),
         # Wrapped, as min_by/max_by must keep a NULL image as a value.

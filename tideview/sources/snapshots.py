@@ -144,6 +144,12 @@ class SnapshotStore:
             out = live_rows(out, self._scan(m.gone, self.keys), self.keys)
         return out.drop(VERSION)
 
+    def parts(self, number: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+        """(rows, keys that went) of a version, both with their versions; (rows, None) if none went."""
+        m = self.manifest(number)
+        rows = self._scan(m.rows, self.schema.fieldNames())
+        return (rows, self._scan(m.gone, self.keys)) if m.gone else (rows.drop(VERSION), None)
+
     def _scan(self, folders: Sequence[str], names: Sequence[str]) -> DataFrame:
         fields = [self.schema[n] for n in names] + [T.StructField(VERSION, T.IntegerType())]
         paths = [f"{self.root}/data/{f}" for f in folders]

@@ -26,8 +26,7 @@ def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     The count is combined before the shuffle, so a key that fills a third of the
     table still sends one row per task.
     """
-    return (
-        df.groupBy(*cols(keys))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where((F.col("n") > 1) | any_of(c.isNull() for c in cols(keys)))
-    )
+    names = list(keys)
+    counted = df.groupBy(*cols(names)).agg(F.count(F.lit(1)).alias("__n"))
+    found = counted.where((F.col("__n") > 1) | any_of(c.isNull() for c in cols(names)))
+    return found.toDF(*names, "n" if "n" not in names else "n_rows")

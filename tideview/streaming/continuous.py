@@ -53,7 +53,8 @@ def apply_batch(
 
     The stream is known by ``writer``, its checkpoint folder: a new checkpoint
     counts its batches from the start again and must not be taken for a replay.
-    Rows of one key are folded in ``seq`` order before the views are touched.
+    Rows of one key are folded in ``seq`` order before the views are touched, and a change
+    that is older than one of an earlier batch is dropped.
     """
     feeds = {
         s: rows.where(F.col("source") == s).select(
@@ -61,7 +62,7 @@ def apply_batch(
         )
         for s in sources
     }
-    work.apply_feed(feeds, (writer, number))
+    work.apply_ordered(feeds, (writer, number))
 
 
 def start(
