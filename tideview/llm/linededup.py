@@ -219,30 +219,34 @@ def remove_repeats(
     """
     scratch = Scratch(docs.sparkSession, "linededup")
     docs = docs.drop("n_removed_words")
-    r_id, r_hash, marks = unused(docs, "r_id", "r_hash", "marks")
-    found = scratch.saved(removals(docs, doc_id, text, scratch, **shape), "repeated").toDF(r_id, r_hash, marks)
+    scratch = Scratch(docs.sparkSession, "linededup")
+    r_id, r_hash, kept, gone = unused(docs, "r_id", "r_hash", "kept", "gone")
+
+    def spans(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep, removed = [], []
+        for repeated in batch.column(2).to_pylist():
+            parts, at, words = [], 0, 0
+            for a, z, n in _gone(repeated, min_words):
+                parts.append({"a": at, "z": a})
+                at, words = z, words + n
+            keep.append([*parts, {"a": at, "z": 2**31 - 1}])
+            removed.append(words)
+        span = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
+        columns = [batch.column(0), batch.column(1), pa.array(keep, span), pa.array(removed, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "kept", "gone"])
+
+    schema = "doc_id long, text_hash long, kept array<struct<a:int,z:int>>, gone long"
+    found = removals(docs, doc_id, text, scratch, **shape).mapInArrow(by_batch(spans), schema).where("gone > 0")
+    found = scratch.saved(found, "kept").toDF(r_id, r_hash, kept, gone)
     same = F.col(doc_id).cast("long").eqNullSafe(F.col(r_id)) & (F.xxhash64(F.col(text)) == F.col(r_hash))
-    kept_columns = [c for c in docs.columns if c != text]
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values, marks = batch.column(len(kept_columns)), batch.column(batch.num_columns - 1)
-        new, removed = values, np.zeros(batch.num_rows, np.int64)
-        if marks.null_count < len(marks):
-            new = values.cast(pa.binary()).to_pylist()
-            for i in np.flatnonzero(marks.is_valid().to_numpy(zero_copy_only=False)):
-                pieces, at = [], 0
-                for a, z, n in _gone(marks[i].as_py(), min_words):
-                    pieces.append(new[i][at:a])
-                    at = z
-                    removed[i] += n
-                new[i] = b"".join([*pieces, new[i][at:]])
-            new = pa.array(new, pa.binary()).cast(pa.string())
-        columns = [batch.column(i) for i in range(len(kept_columns))]
-        return pa.RecordBatch.from_arrays([*columns, new, pa.array(removed)], [*kept_columns, text, "n_removed_words"])
-
-    picked = docs.join(found, same, "left").select(*kept_columns, text, marks)
-    schema = picked.drop(marks).schema.add("n_removed_words", "long")
-    out = picked.mapInArrow(by_batch(cut), schema)
+    data = F.col(text).cast("binary")  # spans are in bytes
+    parts = F.transform(kept, lambda s: F.substring(data, s["a"] + 1, s["z"] - s["a"]).cast("string"))
+    cut = F.when(F.col(kept).isNull(), F.col(text)).otherwise(F.array_join(parts, ""))
+    joined = docs.join(found, same, "left")
+    out = joined.select(
+        *[cut.alias(c) if c == text else F.col(c) for c in docs.columns],
+        F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed_words"),
+    )
     if n_chars:
         out = out.withColumn(n_chars, F.char_length(text).cast(docs.schema[n_chars].dataType))
     return out.select(*docs.columns, "n_removed_words")
