@@ -341,8 +341,11 @@ def train(
     pages: DataFrame, page_id: str = "page_id", html: str = "html", max_train: int = 300, max_train_bytes: int = 50_000, log_features: int = 16
 ) -> tuple[np.ndarray, np.ndarray]:
     picked = pages.select(F.col(page_id).cast("long").alias("id"), F.col(html).cast("string").alias("html"))
-    picked = picked.where(F.octet_length("html").between(1, max_train_bytes)).orderBy(F.xxhash64("id", F.lit(5)), "id", "html")
-    taken = [blocks(r.html) for r in picked.limit(max_train).collect()]
+    picked = picked.where(F.octet_length("html").between(1, max_train_bytes)).select("*", F.xxhash64("html").alias("hash"))
+    first = picked.select("id", "hash").orderBy(F.xxhash64("id", F.lit(5)), "id", "hash").limit(max_train)  # no html moves here
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h"))
+    chosen = picked.join(F.broadcast(first.toDF("i", "h").distinct()), same, "left_semi").select("id", "html").distinct()
+    taken = [blocks(r.html) for r in sorted(chosen.take(max_train), key=lambda r: (zlib.crc32(str(r.id).encode()), r.html))]
     data, sentences = [], []
     for page in taken:
         labels = _by_article(page)
