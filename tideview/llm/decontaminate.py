@@ -91,7 +91,7 @@ def occurrences(
         F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), words(text).alias("words")
     )
     found = None
-    for k in [r[0] for r in parts.select("k").distinct().sort("k").collect()]:  # at most `shingle` numbers
+    for k in [r[0] for r in parts.select("k").distinct().sort("k").take(shingle)]:
         names = [f"w{i}" for i in range(k)]
         looked = parts.where(F.col("k") == k).select(F.split("shingle", " ").alias("s")).distinct()
         looked = looked.select(F.xxhash64(*[F.col("s")[i] for i in range(k)]).alias("hash")).distinct()

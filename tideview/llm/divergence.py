@@ -166,9 +166,9 @@ def judge(
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, js_chars, js_words."""
     scratch = Scratch(docs.sparkSession, "divergence")
     ranked = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("lang")).count()
-    languages = [r[0] for r in ranked.orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    languages = [r[0] for r in ranked.orderBy(F.desc("count"), "lang").take(max_languages)]
     plain = _plain(docs, doc_id, text, lang, languages)
-    found = common_words(plain, common).collect()  # at most (max_languages + 1) * common words
+    found = common_words(plain, common).take((max_languages + 1) * common)
     places: dict[str, dict[bytes, int]] = {}
     for r in found:
         places.setdefault(r.lang, {})[bytes(r.word)] = r.place - 1

@@ -10,7 +10,7 @@ so that the expected tokens of domain k come to ``budget * S * w_k``, at rates a
 1 as that allows. The method is projected gradient descent with momentum in the metric n_d / S. A
 document's step is its posterior times a vector with one number per domain, so a rate
 follows from the history of those vectors: each round is one pass over the written posteriors that
-replays the history and sums what the rates give. The driver only sees one row of sums per task.
+replays the history and sums what the rates give. The driver sees one row of sums per round.
 
 ``copies`` is the whole number of times to take the document: the rate rounded up or down by a
 number that depends on the id alone, so its expectation is the rate. Training takes a bounded sample
@@ -38,7 +38,7 @@ def domain_models(
     """One model for each domain of ``labelled`` (doc_id, domain); None for a domain without rows."""
     place = F.coalesce(*[F.when(F.col("domain") == d, F.lit(i)) for i, d in enumerate(domains)])
     known = labelled.select("doc_id", place.alias("label")).where("label is not null")
-    rows, labels = nbsvm.vectors(nbsvm.sample(docs, known, max_train, **names), log_features)
+    rows, labels = nbsvm.vectors(nbsvm.sample(docs, known, max_train, **names), log_features, max_train)
     return [
         nbsvm.fit(rows, (labels == k).astype(int), log_features) if (labels == k).any() else None
         for k in range(len(domains))
@@ -97,9 +97,10 @@ def solve(
                 total += np.append((of(p) * n) @ p, n.sum())
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["s"])
 
-        rows = table.select("n_tokens", "p").mapInArrow(work, "s array<double>").collect()
-        found = np.array(sorted(r[0] for r in rows)).sum(axis=0) if rows else np.zeros(k + 1)
-        return found[:k] / found[k] if found[k] else target.copy()
+        # Summed as decimals, so that the order in which tasks end changes nothing.
+        each = [F.sum(F.col("s")[i].cast("decimal(38,12)")).cast("double") for i in range(k + 1)]
+        found = np.array(table.select("n_tokens", "p").mapInArrow(work, "s array<double>").agg(*each).first(), float)
+        return found[:k] / found[k] if found[k] > 0 else target.copy()
 
     steps: list[np.ndarray] = []
     reached = sums(lambda p: np.ones(len(p)))

@@ -194,11 +194,10 @@ def sample(docs: DataFrame, labelled: DataFrame, max_train: int, doc_id: str = "
     return plain.join(F.broadcast(chosen), "_id").select("_id", "text", "label")
 
 
-def vectors(chosen: DataFrame, log_features: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The sample's indicators, made in tasks; the bounded sample then comes to the driver.
+def vectors(chosen: DataFrame, log_features: int, most: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sample's indicators, made in tasks; these, of at most ``most`` ids, then come to the driver.
 
-    Rows with one id and different texts all count, so the result is sorted to be
-    the same in every run.
+    Of rows that repeat an id one is taken, the same in every run.
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -208,14 +207,15 @@ def vectors(chosen: DataFrame, log_features: int) -> tuple[list[np.ndarray], np.
             [batch.column(0), batch.column(2).cast(pa.int32()), pa.array(rows, pa.binary())], ["_id", "label", "places"]
         )
 
-    got = chosen.mapInArrow(by_batch(work), "_id long, label int, places binary").collect()
+    made = chosen.mapInArrow(by_batch(work), "_id long, label int, places binary")
+    got = made.groupBy("_id", "label").agg(F.min("places")).take(most)
     got = sorted(got, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1], bytes(r[2])))
     return [np.frombuffer(r[2], np.int32).astype(np.int64) for r in got], np.array([r[1] for r in got])
 
 
 def train(docs: DataFrame, labelled: DataFrame, max_train: int = 8000, log_features: int = 20, **names) -> Model:
     known = labelled.where(F.col("label").isin(0, 1))
-    return fit(*vectors(sample(docs, known, max_train, **names), log_features), log_features)
+    return fit(*vectors(sample(docs, known, max_train, **names), log_features, max_train), log_features)
 
 
 def probabilities(docs: DataFrame, models: list[Model], doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -423,7 +423,7 @@ def build(train: DataFrame, text: str = "text", order: int = 2, discount: float
     for level in range(order):
         made = _next_level(plain, shape, level, discount, bins) if level else _first_level(plain, shape.path, shards)
         sizes = np.zeros(shards, np.int64)
-        for r in made.collect():  # one row a shard
+        for r in made.take(shards):  # one row each
             sizes[r.shard] = r.nodes
             shape.tokens += 0 if level else r.tokens
         shape.offsets.append(np.concatenate([[0], np.cumsum(sizes)]))
