@@ -113,5 +113,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WORDS = r"""regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+_OP8 = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+i as (select item_id, {_WORDS} as w from benchmark),
+win as (select distinct item_id, m, list_slice(w, s, s + m - 1) as x from (
+    select item_id, w, least(13, len(w)) as m, unnest(range(1, len(w) - least(13, len(w)) + 2)) as s
+    from i where len(w) > 0)),
+pos as (select doc_id, m, s, list_slice(w, s, s + m - 1) as x from (
+    select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as s
+    from d, (select distinct m from win) where len(w) >= m)),
+hits as (select doc_id, s, pos.m, item_id from pos join win on pos.m = win.m and pos.x = win.x),
+hit as (select doc_id, count(distinct p) as n_hit
+    from (select doc_id, unnest(range(s, s + m)) as p from hits) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids
+    from (select distinct doc_id, cast(item_id as varchar) as id from hits) group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(w) as contaminated
+from d left join hit using (doc_id) left join named using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The operators that SQL can express; the others are tested against brute force."""
+    return {"op8_prefix_join": _OP8}
