@@ -4,7 +4,17 @@ import pytest
 from conftest import assert_same_bag
 from pyspark.sql import functions as F
 
-from tideview.operators.joins import HOT_SHARE, SALTS, SKEW_BYTES, hot_keys, skew_safe_join
+from tideview import Workspace
+from tideview.operators.joins import (
+    HOT_SHARE,
+    SALTS,
+    SKEW_BYTES,
+    TASK_BYTES,
+    heavy_keys,
+    hot_keys,
+    row_width,
+    skew_safe_join,
+)
 
 
 @pytest.fixture
@@ -72,3 +82,43 @@ def test_hot_preserved_rows_are_left_to_spark(spark, spread):
     left, right = sides(spark)
     out = skew_safe_join(right, left, [("r.k", "l.k")], [], "left", ["r.rid"], ["l.lid"], right_unique=True)
     assert "__la" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_key_is_hot_by_its_bytes(spark, spread):
+    """A key of a small share, but of more bytes than a task should get, is cut into as many pieces as it needs."""
+    spark.conf.set(HOT_SHARE, "0.9")
+    left, right = sides(spark)
+    width = row_width(right)
+    keys = [F.col("k")]
+    assert heavy_keys(right, keys, 0.9, 1e9) == ([], 0.0)
+    hot, most = heavy_keys(right, keys, 0.9, 100 * width)
+    assert hot == hot_keys(right, keys, 0.2) and most >= 200 * width
+    spark.conf.set(TASK_BYTES, str(20 * width))
+    try:
+        out = skew_safe_join(left, right, [("l.k", "r.k")], [], "left", ["l.lid"], ["r.rid"])
+        text = out._jdf.queryExecution().analyzed().toString()
+        assert "__la" in text and "array(0, 1, 2, 3, 4, 5, 6, 7, 8, 9" in text
+        assert_same_bag(out.selectExpr("lid", "rid", "w", "v"), left.join(right, F.expr("l.k = r.k"), "left").selectExpr("lid", "rid", "w", "v"))
+    finally:
+        spark.conf.unset(TASK_BYTES)
+
+
+def test_a_chain_of_joins_on_one_key_is_split(spark, tmp_path):
+    low = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for k, v in low.items():
+        spark.conf.set(k, v)
+    try:
+        Workspace(spark, f"file://{tmp_path}/w")
+        key = F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 200).alias("k")
+        a = spark.range(0, 40_000, 1, 8).select(key, F.col("id").alias("x"))
+        b, c = (spark.range(0, 200, 1, 4).select(F.col("id").alias("k"), F.lit(n).alias(n)) for n in ("b", "c"))
+        out = a.join(b, "k").join(c, "k")
+        assert len(out.collect()) == 40_000
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in [*low, "spark.sql.adaptive.forceOptimizeSkewedJoin"]:
+            spark.conf.unset(k)

@@ -1,7 +1,8 @@
 """Joins that hold up when one key carries a large share of the rows.
 
 Spark's adaptive execution splits a hot key of an inner join, and of the
-preserved side of an outer join. It cannot split the side an outer join fills
+preserved side of an outer join (in a chain of joins on one key only with
+``spark.sql.adaptive.forceOptimizeSkewedJoin``, which a workspace sets). It cannot split the side an outer join fills
 with NULLs. ``skew_safe_join`` covers that case, and conditions without any
 equality, by spreading rows over salts; the result is that of the plain join.
 """
@@ -9,6 +10,7 @@ equality, by spreading rows over salts; the result is that of the plain join.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +22,13 @@ from tideview.sources.storage import plan_bytes
 # Settings, read from the session (all may be set with spark.conf.set).
 SKEW_BYTES = "spark.tideview.skewBytes"  # inputs below this are not inspected
 HOT_SHARE = "spark.tideview.hotShare"  # share of its side's rows that makes a key hot
-SALTS = "spark.tideview.salts"  # pieces a hot key is cut into
-DEFAULTS = {SKEW_BYTES: str(256 << 20), HOT_SHARE: "0.005", SALTS: "64"}
+TASK_BYTES = "spark.tideview.taskBytes"  # bytes of one key, as rows times their width, that make it hot
+SALTS = "spark.tideview.salts"  # pieces a hot key is cut into, at least
+DEFAULTS = {SKEW_BYTES: str(16 << 20), HOT_SHARE: "0.005", TASK_BYTES: str(256 << 20), SALTS: "64"}
+
+# A sketch of this many counters finds keys of about 1 in 30,000 rows; more hot keys than the second are not spread.
+_TRACKED, _MOST_HOT = 1 << 17, 20_000
+_MOST_SALTS = 4096
 
 
 def setting(df: DataFrame, name: str) -> float:
@@ -50,6 +57,29 @@ def hot_keys(df: DataFrame, keys: Sequence[Column], share: float) -> list[int]:
     return [t["item"] for t in (row["top"] or []) if t["count"] >= share * row["n"] and t["count"] > 1]
 
 
+def heavy_keys(df: DataFrame, keys: Sequence[Column], share: float, task_bytes: float) -> tuple[list[int], float]:
+    """Hashes of the keys too large for one task, and the bytes of the largest of them.
+
+    A key is too large with ``share`` of the rows, or with ``task_bytes`` as rows times
+    their width: what a key costs does not shrink because its files compress well or
+    the table is huge. The sketch is of one size whatever the table.
+    """
+    width = row_width(df)
+    row = (
+        df.select(F.xxhash64(*keys).alias("h"))
+        .agg(F.expr(f"approx_top_k(h, {_MOST_HOT}, {_TRACKED})").alias("top"), F.count("*").alias("n"))
+        .first()
+    )
+    least = max(2.0, min(share * row["n"], task_bytes / width))
+    found = [t for t in (row["top"] or []) if t["count"] >= least]
+    return [t["item"] for t in found], max((t["count"] * width for t in found), default=0.0)
+
+
+def row_width(df: DataFrame) -> int:
+    """Spark's default size of a row of these columns."""
+    return max(8, df._jdf.schema().defaultSize())
+
+
 def skew_safe_join(
     left: DataFrame,
     right: DataFrame,
@@ -87,11 +117,13 @@ def skew_safe_join(
     hashed = _hashable(left, right, pairs)
     if hashed is None:
         return left.join(right, on, how)
-    hot_left = hot_keys(left, hashed[0], share) if look_left else []
-    hot_right = hot_keys(right, hashed[1], share) if look_right else []
+    task = setting(left, TASK_BYTES)
+    hot_left, most_left = heavy_keys(left, hashed[0], share, task) if look_left else ([], 0.0)
+    hot_right, most_right = heavy_keys(right, hashed[1], share, task) if look_right else ([], 0.0)
     if not hot_left and not hot_right:
         return left.join(right, on, how)
-    return _spread(left, right, pairs, rest, how, left_id, right_id, hot_left, hot_right)
+    salts = min(_MOST_SALTS, max(int(setting(left, SALTS)), ceil(max(most_left, most_right) / task)))
+    return _spread(left, right, pairs, rest, how, left_id, right_id, hot_left, hot_right, salts)
 
 
 def _hashable(left: DataFrame, right: DataFrame, pairs) -> tuple[list[Column], list[Column]] | None:
@@ -120,14 +152,14 @@ def _hashable(left: DataFrame, right: DataFrame, pairs) -> tuple[list[Column], l
 _EXACT = (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType, T.DecimalType, T.BinaryType)
 
 
-def _spread(left, right, pairs, rest, how, left_id, right_id, hot_left, hot_right) -> DataFrame:
+def _spread(left, right, pairs, rest, how, left_id, right_id, hot_left, hot_right, salts=None) -> DataFrame:
     """The join as a salted inner join plus the rows without a partner.
 
     A row with a key that is hot on its own side gets one salt; its possible
     partners are copied once per salt. Each pair of rows meets exactly once.
     ``None`` instead of a list of hot keys means that every row is spread.
     """
-    salts = int(setting(left, SALTS))
+    salts = salts or int(setting(left, SALTS))
     left_keys, right_keys = [F.expr(a) for a, _ in pairs], [F.expr(b) for _, b in pairs]
     left_hashed, right_hashed = _hashable(left, right, pairs) if pairs else ([], [])
 

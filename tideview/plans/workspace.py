@@ -47,6 +47,8 @@ class Workspace:
         self.compact_above = compact_above
         self._files = Files(spark)
         self._bound: dict[str, View] = {}
+        # Else a hot key stays in one task where the next join uses the same key.
+        spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
 
     # --- tables ------------------------------------------------------------------
 
