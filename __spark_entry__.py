@@ -435,6 +435,27 @@ def stored_view(spark, sf_dir):
     return work.view("v")
 
 
+def view_after_drop(spark, sf_dir):
+    """A view is dropped and its name given to another one, which is kept over a change."""
+    tables = load(spark, sf_dir, LEFT3)
+    work = _workspace(spark, tables, "v", LEFT2)
+    work.drop_view("v")
+    work.register_view("v", LEFT3)
+    work.apply({"part": Change(deleted=tables["part"].where(ECONOMY))})
+    return work.view("v")
+
+
+def verify_counts(spark, sf_dir):
+    """How many rows the check finds wrong in a maintained view, and in one with rows missing and too many."""
+    tables = load(spark, sf_dir, LEFT2)
+    work = _workspace(spark, tables, "v", LEFT2)
+    work.apply({"lineitem": Change(deleted=tables["lineitem"].where(RETURNED))})
+    right, broken = work.view("v"), work.view("v").where("l_quantity <= 40 or l_quantity is null")
+    broken = broken.unionByName(right.where("l_quantity = 1"))
+    wrong = bags.verify_view(broken, right).groupBy("problem").agg(F.count("*").alias("n"))
+    return wrong.unionByName(work.verify("v").agg(F.lit("none").alias("problem"), F.count("*").alias("n")))
+
+
 def full_refresh(spark, sf_dir):
     """A view that cannot be maintained is renewed as a whole after a change."""
     tables = load(spark, sf_dir, LEFT2)
@@ -522,6 +543,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "verify_broken": verify_broken,
         "deferred_refresh": deferred_refresh,
         "stored_view": stored_view,
+        "view_after_drop": view_after_drop,
+        "verify_counts": verify_counts,
         "full_refresh": full_refresh,
         "stream_maintain": stream_maintain,
     }
@@ -673,6 +696,11 @@ def oracle_sql() -> dict[str, str]:
             union all select *, 'stale' as problem from (({before}) except all ({after}))""",
         "deferred_refresh": final,
         "stored_view": _shape_sql("left3", lineitem=lines_left, part=_rows_but("part", ECONOMY)),
+        "view_after_drop": _shape_sql("left3", part=_rows_but("part", ECONOMY)),
+        "verify_counts": f"""with v as ({_shape_sql("left2", lineitem=lines_left)})
+            select 'missing' as problem, count(*) as n from v where l_quantity > 40
+            union all select 'stale', count(*) from v where l_quantity = 1
+            union all select 'none', 0""",
         "full_refresh": f"""select l_suppkey, count(*) as n, sum(l_quantity) as quantity
             from {lines_left} group by l_suppkey""",
         "stream_maintain": final,

@@ -161,6 +161,26 @@ def test_a_late_change_of_a_stream_is_dropped(spark, work, tmp_path):
     assert bag(work.table("p")) == ["(1, 14)"] and work.verify("v").isEmpty()
 
 
+def test_a_clustered_table_is_read_where_the_change_is(spark, tmp_path):
+    w = Workspace(spark, f"file://{tmp_path}/k", compact_above=100)
+    rows = spark.range(400)
+    w.add_table("p", rows.selectExpr("cast(id as int) as id", "cast(id * 10 as int) as x"), ["id"], buckets=16)
+    w.add_table("c", rows.selectExpr("cast(id % 350 as int) as pid", "cast(id as int) as n", "cast(id as int) as amt"), ["pid", "n"], buckets=16)
+    w.register_view("v", SPEC)
+    w.apply({"c": Change(deleted=w.table("c").where("pid in (5, 6)"))})
+    w.apply({"p": Change(frame(spark, [(7, 0)], P), frame(spark, [(7, 71), (1000, 1)], P)), "c": Change(inserted=frame(spark, [(1000, 1, 1)], C))})
+    assert w.verify("v").isEmpty() and w.view("v").where("id = 5 and amt is null").count() == 1
+    assert w.table("c").columns == ["pid", "n", "amt"] and w.table("c").count() == 397
+
+    wanted = frame(spark, [(9,)], "pid int").selectExpr("pid as __w")
+    near = w._frame("c").near("pid", wanted, "__w")
+    plan = near.meeting("c", wanted, F.expr("c.pid = __w"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(__bucket" in plan or "PartitionFilters: [(__bucket" in plan
+    assert w._frame("c").near("n", wanted, "__w").base.count() == w._frame("c").base.count() > near.base.count()
+    w._table("c").compact()
+    assert w.table("c").count() == 397 and w.verify("v").isEmpty()
+
+
 def test_large_removed_keys_are_compared_after_the_cut(spark, work):
     work = Workspace(spark, work.root, compact_above=100)
     work.apply({"c": Change(deleted=frame(spark, [(1, 1, 0)], C))})

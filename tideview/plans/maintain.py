@@ -112,7 +112,8 @@ def new_orphans(
         # that contains one of them is dropped again.
         outside = {a: _join_columns_only(view, a, f) for a, f in frames.items() if a not in term}
         wanted = anchor_keys.selectExpr(*renamed(keys, "__w"))
-        rows = frames[anchor].meeting(anchor, wanted, F.expr(keys_match(keys, "__w")))
+        there = frames[anchor].near(keys[0], wanted, "__w0")
+        rows = there.meeting(anchor, wanted, F.expr(keys_match(keys, "__w")))
         rows = stage_large(rows, frames[anchor], staging, "lost").rows()
         found = delta_rows(view, anchor, rows, {**frames, **outside}, staging, row_keys=anchor_keys)
         found = found.where(view.has_label(term))
@@ -236,7 +237,8 @@ def with_own_images(change: Change, table: Frame, keys: Sequence[str]) -> Change
     if change.deleted is None:
         return change
     wanted = distinct_if_large(change.deleted.selectExpr(*renamed(keys, "__gone")))
-    return Change(table.meeting("t", wanted, F.expr(keys_match(keys, "__gone"))), change.inserted)
+    there = table.near(keys[0], wanted, "__gone0")
+    return Change(there.meeting("t", wanted, F.expr(keys_match(keys, "__gone"))), change.inserted)
 
 
 def stage_change(change: Change, source: str, staging: Staging) -> Change:

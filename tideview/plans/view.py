@@ -19,7 +19,7 @@ from tideview.functions.expressions import cols, quoted
 from tideview.operators.joins import SKEW_BYTES, distinct_if_large, setting, skew_safe_join
 from tideview.plans.spec import KEEP, Condition, Node, View, hidden
 from tideview.sources.changes import apply_changes
-from tideview.sources.snapshots import VERSION, live_rows
+from tideview.sources.snapshots import BUCKET, VERSION, Cluster, live_rows
 from tideview.sources.storage import Staging, plan_bytes
 
 @dataclass(frozen=True, eq=False)
@@ -36,6 +36,7 @@ class Frame:
     keys: tuple[str, ...] = ()
     changes: tuple[tuple[DataFrame | None, DataFrame | None], ...] = ()
     gone: DataFrame | None = None
+    cluster: Cluster | None = None
 
     def after(self, deleted: DataFrame | None, inserted: DataFrame | None) -> Frame:
         return replace(self, changes=(*self.changes, (deleted, inserted)))
@@ -47,20 +48,43 @@ class Frame:
         """The rows that have a partner in ``wanted``."""
         return self._each(lambda part: part.alias(alias).join(wanted, on, "left_semi"))
 
+    def near(self, column: str, wanted: DataFrame, name: str) -> Frame:
+        """Without the buckets that hold none of the wanted values of a column.
+
+        Helps if the table is clustered by that column. At most one number a bucket comes
+        to the driver, and the others are not read.
+        """
+        if self.cluster is None or column != self.cluster.column:
+            return self
+        kind, given = self.base.schema[column].dataType, wanted.schema[name].dataType
+        whole = isinstance(kind, T.IntegralType) and isinstance(given, T.IntegralType)
+        if kind != given and not whole:  # values that are equal after a conversion need not share a bucket
+            return self
+        value = F.col(name).try_cast(kind)  # a value that doesn't fit has no partner
+        hit = [r[0] for r in wanted.select(self.cluster.of(value)).distinct().take(self.cluster.buckets)]
+        if len(hit) == self.cluster.buckets:
+            return self
+        return replace(self, base=self.base.where(F.col(BUCKET).isin(hit)))
+
     def columns(self, texts: Sequence[str]) -> Frame:
         """The table with other columns; the keys must be among them."""
         changes = tuple((d, i if i is None else i.selectExpr(*texts)) for d, i in self.changes)
-        version = [] if self.gone is None else [VERSION]
-        return replace(self, base=self.base.selectExpr(*texts, *version), changes=changes)
+        return replace(self, base=self.base.selectExpr(*texts, *self._own), changes=changes)
+
+    @property
+    def _own(self) -> list[str]:
+        """Columns of the store, not of the table."""
+        return [VERSION] * (self.gone is not None) + [BUCKET] * (self.cluster is not None)
 
     @property
     def fields(self) -> list[T.StructField]:
-        return [f for f in self.base.schema.fields if self.gone is None or f.name != VERSION]
+        return [f for f in self.base.schema.fields if f.name not in self._own]
 
     def _each(self, part) -> DataFrame:
         out = part(self.base)
         if self.gone is not None:
-            out = live_rows(out, self.gone, [c for c in self.gone.columns if c != VERSION]).drop(VERSION)
+            out = live_rows(out, self.gone, [c for c in self.gone.columns if c != VERSION])
+        out = out.drop(*self._own)
         for deleted, inserted in self.changes:
             out = apply_changes(out, deleted, None if inserted is None else part(inserted), self.keys)
         return out
@@ -250,7 +274,8 @@ def delta_rows(
             using = row_keys
         wanted = distinct_if_large(using.alias(r.using).selectExpr(f"{using_text} as __w"))
         source = frames[r.into]
-        cut = source.meeting(r.into, wanted, F.expr(f"({into_text}) = __w"))
+        column = into_text.replace("`", "").removeprefix(f"{r.into}.")
+        cut = source.near(column, wanted, "__w").meeting(r.into, wanted, F.expr(f"({into_text}) = __w"))
         frames[r.into] = stage_large(cut, source, staging, r.into)
     return working_rows(view, frames, plan.kinds, [(alias, m) for m in marks])
 

@@ -26,8 +26,8 @@ from tideview.plans.spec import UnsupportedView, View, ViewSpec, bind
 from tideview.plans.sqlview import view_from_sql
 from tideview.plans.view import Frame, build_view, visible
 from tideview.sources.changes import BadChange, as_table_rows, net_changes, refused_inserts, split_changes
-from tideview.sources.snapshots import Batch, SnapshotStore, Step
-from tideview.sources.storage import Files, Staging
+from tideview.sources.snapshots import Batch, Cluster, SnapshotStore, Step
+from tideview.sources.storage import Files, Staging, plan_bytes
 from tideview.sources.tables import key_violations
 
 # Writer name of batches that the caller does not number.
@@ -52,11 +52,20 @@ class Workspace:
 
     # --- tables ------------------------------------------------------------------
 
-    def add_table(self, name: str, rows: DataFrame, keys: Sequence[str], check: bool = True) -> None:
-        """Take over a base table. Its keys must be unique and not NULL."""
+    def add_table(
+        self, name: str, rows: DataFrame, keys: Sequence[str], check: bool = True, buckets: int | None = None
+    ) -> None:
+        """Take over a base table. Its keys must be unique and not NULL.
+
+        A large table is kept in buckets by its first key column (one for each 64 MB, 1024 at most,
+        unless ``buckets`` says how many), so that maintenance reads those a change can meet.
+        """
+        if buckets is None:
+            buckets = min(1024, plan_bytes(rows) // (64 << 20))
+        cluster = Cluster(keys[0], int(buckets)) if buckets > 1 else None
         if check and not key_violations(rows, keys).isEmpty():
             raise ValueError(f"{name}: {', '.join(keys)} is not a key")
-        SnapshotStore.create(self.spark, self._table_root(name), rows, keys)
+        SnapshotStore.create(self.spark, self._table_root(name), rows, keys, cluster)
         self._commit()
 
     # --- one state of all tables and views -----------------------------------------
@@ -188,7 +197,7 @@ class Workspace:
         """The newest version of a table, so that it is cut down before keys that went are compared."""
         table = self._table(source)
         rows, gone = table.parts()
-        return Frame(rows, tuple(table.keys), gone=gone)
+        return Frame(rows, tuple(table.keys), gone=gone, cluster=table.cluster)
 
     # --- changes -----------------------------------------------------------------
 
@@ -250,7 +259,8 @@ class Workspace:
         staged = stage_change(Change(deleted, inserted), source, journal)
         if inserted is not None:
             new = staged.inserted.selectExpr(*renamed(keys, "__gone"))
-            there = frame.meeting("t", distinct_if_large(new), F.expr(keys_match(keys, "__gone")))
+            there = frame.near(keys[0], new, "__gone0")
+            there = there.meeting("t", distinct_if_large(new), F.expr(keys_match(keys, "__gone")))
             bad = refused_inserts(there, staged.deleted, staged.inserted, keys).first()
             if bad is not None:
                 raise BadChange(f"{source}: a key that enters is not new or no key: {bad.asDict()}")

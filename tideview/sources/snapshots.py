@@ -16,14 +16,15 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideview.functions.expressions import cols, keys_match, renamed
+from tideview.functions.expressions import cols, keys_match, quoted, renamed
 from tideview.sources.storage import PLAIN, Files
 
 VERSION = "__version"
+BUCKET = "__bucket"
 
 # A writer's name and its running number, e.g. a stream's checkpoint and micro-batch.
 Batch = tuple[str, int]
@@ -77,6 +78,17 @@ def apply_steps(stored: DataFrame, steps: Sequence[Step], keys: Sequence[str]) -
     return rows.drop(VERSION)
 
 
+@dataclass(frozen=True)
+class Cluster:
+    """How the first folder of a store is laid out: ``buckets`` folders by the hash of a column."""
+
+    column: str
+    buckets: int
+
+    def of(self, value: Column) -> Column:
+        return F.pmod(F.xxhash64(value), F.lit(self.buckets)).cast("int")
+
+
 @dataclass(frozen=True)
 class Manifest:
     number: int
@@ -103,19 +115,25 @@ class SnapshotStore:
         head = json.loads(self._files.read_text(f"{self.root}/store.json"))
         self.keys: list[str] = head["keys"]
         self.schema = T.StructType.fromJson(head["schema"])
+        self.cluster = Cluster(**head["cluster"]) if head.get("cluster") else None
 
     @classmethod
     def create(
-        cls, spark: SparkSession, root: str, rows: DataFrame, keys: Sequence[str]
+        cls, spark: SparkSession, root: str, rows: DataFrame, keys: Sequence[str], cluster: Cluster | None = None
     ) -> SnapshotStore:
-        """A new store whose version 0 are ``rows``."""
+        """A new store whose version 0 are ``rows``.
+
+        With ``cluster`` the bulk of the rows is kept in buckets, so that a reader who
+        knows which values it wants skips the other folders. Later changes are not, until they are folded in.
+        """
         root = root.rstrip("/")
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields])
         Files(spark).write_new(
-            f"{root}/store.json", json.dumps({"keys": list(keys), "schema": schema.jsonValue()})
+            f"{root}/store.json",
+            json.dumps({"keys": list(keys), "schema": schema.jsonValue(), "cluster": cluster and vars(cluster)}),
         )
         store = cls(spark, root)
-        path = store._write(rows.withColumn(VERSION, F.lit(0)), "rows")
+        path = store._write_all(rows.withColumn(VERSION, F.lit(0)))
         store._switch(Manifest(0, (path,), (), 1, {}))
         return store
 
@@ -139,19 +157,32 @@ class SnapshotStore:
     def read(self, number: int | None = None) -> DataFrame:
         """The rows of a version, by default the newest."""
         m = self.manifest(number)
-        out = self._scan(m.rows, self.schema.fieldNames())
+        out = self._rows(m)
         if m.gone:
             out = live_rows(out, self._scan(m.gone, self.keys), self.keys)
-        return out.drop(VERSION)
+        return out.drop(VERSION, BUCKET)
 
     def parts(self, number: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-        """(rows, keys that went) of a version, both with their versions; (rows, None) if none went."""
+        """(rows, keys that went) of a version, both with their versions; (rows, None) if none went.
+
+        Rows of a clustered store have their bucket in ``BUCKET``.
+        """
         m = self.manifest(number)
-        rows = self._scan(m.rows, self.schema.fieldNames())
+        rows = self._rows(m)
         return (rows, self._scan(m.gone, self.keys)) if m.gone else (rows.drop(VERSION), None)
 
-    def _scan(self, folders: Sequence[str], names: Sequence[str]) -> DataFrame:
-        fields = [self.schema[n] for n in names] + [T.StructField(VERSION, T.IntegerType())]
+    def _rows(self, m: Manifest) -> DataFrame:
+        names = self.schema.fieldNames()
+        if self.cluster is None:
+            return self._scan(m.rows, names)
+        out = self._scan(m.rows[:1], names, [T.StructField(BUCKET, T.IntegerType())])
+        if m.rows[1:]:
+            late = self._scan(m.rows[1:], names)
+            out = out.unionByName(late.withColumn(BUCKET, self.cluster.of(F.col(quoted(self.cluster.column)))))
+        return out
+
+    def _scan(self, folders: Sequence[str], names: Sequence[str], more: Sequence[T.StructField] = ()) -> DataFrame:
+        fields = [self.schema[n] for n in names] + [T.StructField(VERSION, T.IntegerType()), *more]
         paths = [f"{self.root}/data/{f}" for f in folders]
         return self.spark.read.schema(T.StructType(fields)).parquet(*paths)
 
@@ -164,6 +195,17 @@ class SnapshotStore:
         df.write.options(**options).parquet(f"{self.root}/data/{folder}")
         return folder
 
+    def _write_all(self, df: DataFrame) -> str:
+        """Write what becomes the first folder. A bucket's rows are spread over a few tasks by key."""
+        if self.cluster is None:
+            return self._write(df, "rows")
+        folder = f"{uuid.uuid4().hex}-rows"
+        placed = df.withColumn(BUCKET, self.cluster.of(F.col(quoted(self.cluster.column))))
+        spread = placed.repartition(BUCKET, F.pmod(F.xxhash64(*cols(self.keys)), F.lit(8)))
+        sorted_rows = spread.sortWithinPartitions(BUCKET, *cols(self.keys))
+        sorted_rows.write.partitionBy(BUCKET).parquet(f"{self.root}/data/{folder}")
+        return folder
+
     def _switch(self, m: Manifest) -> None:
         text = json.dumps(
             {"rows": m.rows, "gone": m.gone, "next_version": m.next_version, "batches": m.batches}
@@ -205,9 +247,7 @@ class SnapshotStore:
         m = self.manifest()
         if m.has(batch):
             return m.number
-        path = self._write(
-            rows.select(*cols(self.schema.fieldNames())).withColumn(VERSION, F.lit(m.next_version)), "rows"
-        )
+        path = self._write_all(rows.select(*cols(self.schema.fieldNames())).withColumn(VERSION, F.lit(m.next_version)))
         self._switch(Manifest(m.number + 1, (path,), (), m.next_version + 1, m.batches_with(batch)))
         return m.number + 1
 
@@ -225,7 +265,7 @@ class SnapshotStore:
             return False
         sizes = [self._files.size(f"{self.root}/data/{f}") for f in (m.rows[0], *changes)]
         if sum(sizes[1:]) > above * sizes[0]:
-            path = self._write(self.read(m.number).withColumn(VERSION, F.lit(m.next_version)), "rows")
+            path = self._write_all(self.read(m.number).withColumn(VERSION, F.lit(m.next_version)))
             folded = replace(m, rows=(path,), gone=(), next_version=m.next_version + 1)
         elif len(changes) > most_folders:
             rows, gone = m.rows[:1], ()
