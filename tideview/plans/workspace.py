@@ -334,8 +334,9 @@ class Workspace:
     def apply_ordered(self, feeds: Mapping[str, DataFrame], batch: Batch) -> None:
         """As ``apply_feed``, for a numbered batch of a stream whose batches may come out of order.
 
-        The last ``seq`` of each key is kept beside its table. A change that is not
-        newer than what its key has had is dropped, so the newest wins whatever batch it comes in.
+        The last ``seq`` of each key is kept beside its table. A change that is
+        older than what its key has had is dropped, so the newest wins whatever batch it comes in; of
+        changes with one ``seq`` the later batch wins.
         """
         self.recover()
         with Staging(self.spark) as staging:
@@ -352,7 +353,7 @@ class Workspace:
                 number = staging.table(number, f"feed-{source}")
                 of_key = number.select("__row", "seq", each.alias("__k")).select("__row", "seq", "__k.*")
                 last = store.read().select(*[c.alias(f"__s{i}") for i, c in enumerate(cols(keys))], F.col("seq").alias("__seq"))
-                late = of_key.join(last, F.expr(keys_match(keys, "__s") + " and seq <= __seq"), "left_semi")
+                late = of_key.join(last, F.expr(keys_match(keys, "__s") + " and seq < __seq"), "left_semi")
                 late = late.select("__row").distinct()
                 newer[source] = number.join(late, "__row", "left_anti").drop("__row")
                 reached[source] = staging.table(of_key.groupBy(*cols(keys)).agg(F.max("seq").alias("seq")), f"seq-{source}")
