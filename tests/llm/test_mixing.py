@@ -11,7 +11,7 @@ def test_rates_reach_the_targets(spark):
     n = draw.integers(1, 100, 400)
     table = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, p array<double>")
     weights = [0.6, 0.3, 0.1]
-    steps, reached = mixing.solve(table, weights, budget=1.5, rounds=200, tolerance=1e-6)
+    steps, reached = mixing.solve(table, weights, budget=1.5, rounds=90, tolerance=1e-6)
     rates = mixing._rates(p, steps, 1e-3)
     got = (rates * n) @ p / n.sum()
     assert (rates >= 0).all() and np.abs(got - 1.5 * np.array(weights)).max() < 5e-3 and np.abs(reached - got).max() < 2e-3
