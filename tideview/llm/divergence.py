@@ -155,7 +155,7 @@ def judge(
     lang: str = "lang",
     common: int = 24,
     max_chars: float = 0.29,
-    max_words: float = 0.22,
+    max_words: float = 0.23,
     noise: float = 1.0,
     min_words_for_chars: int = 40,
     min_words_for_words: int = 80,
