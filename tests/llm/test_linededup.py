@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from edges import LONG, documents, nothing
 
 from tideview.llm import linededup
@@ -99,3 +100,57 @@ def test_repeated_rows_are_cut_alike(spark):
 
 def test_empty(spark):
     assert linededup.remove_repeats(nothing(spark), n_chars="n_chars").collect() == []
+
+
+def test_two_texts_with_47_words_in_common_share_a_window():
+    for k in range(300):
+        words = [f"p{DRAW.randrange(10**6)}" for _ in range(47)]
+        passage = "".join(w + DRAW.choice([" ", " ", " ", ", ", "\n"]) for w in words).strip()
+        a, b = (linededup.windows([(own(2) + DRAW.choice(" \n") + passage + DRAW.choice(" \n") + own(2)).encode()]) for _ in "ab")
+        assert set(a["hash"]) & set(b["hash"]), passage
+
+
+def test_least_by_brute_force():
+    for k in range(30):
+        h = np.random.default_rng(k).integers(1, 40, 60).astype(np.uint64)
+        whole = np.arange(60) < 60 - 7 + 1
+        want = {i + j for i in range(54) for j in range(7) if h[i + j] == h[i : i + 7].min()}
+        assert set(np.flatnonzero(linededup._least(h, whole, 7))) == want
+
+
+def test_every_passage_of_51_words_and_more_is_found(spark):
+    rows, places = [], {}
+    for k in range(120):
+        n, lines = DRAW.randrange(51, 101), DRAW.randrange(4, 9)
+        words = [f"q{DRAW.randrange(10**6)}" for _ in range(n)]
+        glue = "\n" if k % 2 else " "
+        step = -(-n // lines)
+        passage = glue.join(" ".join(words[i : i + step]) for i in range(0, n, step))
+        for copy in range(3):
+            text = own(2, 2) + glue + passage + glue + own(2, 2)
+            rows.append((3 * k + copy, text, "en", "s", 0))
+            places[3 * k + copy] = (text, set(words))
+    got = run(spark, rows)
+    for i, (text, words) in places.items():
+        text, words = places[i]
+        after = got[i, "s"].text
+        left = sum(w in words for w in after.split())
+        if i % 3 == 0:
+            assert after == text
+        else:
+            assert left <= len(words) - 24, text
+            assert [w for w in after.split() if w not in words] == [w for w in text.split() if w not in words]
+
+
+def test_short_passages_that_are_not_repeated_together_stay(spark):
+    lines = [" ".join(f"c{k}x{i}" for i in range(8)) + "." for k in range(40)]
+    rows = [(k, own(2) + "\n" + line + "\n" + own(2), "en", "s", 0) for k, line in enumerate(lines)]
+    mine = "\n".join(lines)
+    got = run(spark, [*rows, (100, mine, "en", "s", 0)])
+    assert got[100, "s"].text == mine
+
+
+def test_a_passage_within_its_own_document(spark):
+    words = "again and " * 60
+    got = run(spark, [(1, words, "en", "s", 0)])
+    assert 24 <= len(got[1, "s"].text.split()) <= 72

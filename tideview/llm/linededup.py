@@ -6,12 +6,16 @@ the last ``roll`` lines puts a boundary where it is divisible by ``mean_lines``.
 depend on nearby content alone, and a passage that is shifted into another text gets the same
 chunks, but for those at its ends.
 
-Chunks are counted by hash over all documents. A chunk found more than once is kept
-in the document with the smallest id (there in its first place) and is repeated elsewhere.
-Repeated chunks are compared byte by byte with the kept one. A run of adjacent repeated chunks
-is removed if it holds at least ``min_words`` words and a chunk of several lines; a long line
-counts as several, being wrapped wherever it is shown. So a short line
-that many documents share stays.
+What is compared are windows of ``min_words`` words: the one that begins with each chunk, the one that ends with
+each chunk, and of any ``min_words`` windows that follow each other the one with the least hash (winnowing). So two texts that
+share 2 min_words - 1 words in a row (47) share a window, however the lines are cut, and the windows that
+are found in a row leave no gap. A window lies in several lines or in a long line; a long line
+counts as several, being wrapped wherever it is shown. So a short line that many documents share stays.
+
+Windows are counted by hash over all documents. One found more than once is kept
+in the document with the smallest id (there in its first place) and is repeated elsewhere; in the document that keeps it only
+where it does not overlap the kept place. Stretches of repeated windows with one kept stretch are compared with it byte by byte.
+What the equal ones cover is removed.
 
 Defined results: null and empty texts stay as they are, as do lines of white space
 alone, unless they lie within a removed run. Rows that repeat an id with the same text are one document to
@@ -32,6 +36,7 @@ _U = np.uint64
 _FACTOR, _ROLL = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95)
 _INVERSE = _U(pow(int(_FACTOR), -1, 1 << 64))
 _CHUNK = [("of", pa.int32()), ("chunk", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("several", pa.bool_()), ("hash", pa.int64())]
+_WINDOW = [("of", pa.int32()), ("at", pa.int32()), ("hash", pa.int64())]
 #: Bytes that are cut up at a time, unless one text is longer.
 _BYTES = 1 << 18
 
@@ -42,21 +47,64 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
+_known: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the factor and of its inverse, up to the n-th at least."""
+    if n > 4 * _BYTES or not _known:
+        m = max(n, 4 * _BYTES)
+        made = [np.multiply.accumulate(np.concatenate([[_U(1)], np.full(m, x)])) for x in (_FACTOR, _INVERSE)]
+        if n > 4 * _BYTES:
+            return made[0], made[1]
+        _known.extend(made)
+    return _known[0], _known[1]
+
+
 def _any_of(data: np.ndarray, signs: bytes) -> np.ndarray:
     known = np.zeros(256, bool)
     known[np.frombuffer(signs, np.uint8)] = True
     return known[data]
 
 
-def chunks(rows: list[bytes | None], long_words: int = 20, mean_lines: int = 3, roll: int = 2) -> dict[str, np.ndarray]:
+def chunks(rows: list[bytes | None], **shape) -> dict[str, np.ndarray]:
     """All chunks of some texts, in order: number of the text, number in the text, first byte and end in
     it, words, whether it has several lines, hash of its words. Chunks without words are left out.
     """
+    return _cut(rows, 0, **shape)[0]
+
+
+def windows(rows: list[bytes | None], size: int = 24, **shape) -> dict[str, np.ndarray]:
+    """The windows of some texts that are compared, in order: number of the text, first word (its number in the
+    text), hash of the bytes. Each has ``size`` words.
+    """
+    return _cut(rows, size, **shape)[1]
+
+
+def _least(h: np.ndarray, whole: np.ndarray, size: int) -> np.ndarray:
+    """Whether each number is the least of some ``size`` in a row, of those rows that are ``whole`` (by their first)."""
+    n, wide = len(h), -(-(len(h) + size) // size) * size
+
+    def rowwise(x: np.ndarray, over, fill) -> np.ndarray:
+        """Of each ``size`` in a row, from the first of them on."""
+        x = np.concatenate([x, np.full(wide - len(x), fill, _U)]).reshape(-1, size)
+        ahead, back = over.accumulate(x, axis=1).ravel(), over.accumulate(x[:, ::-1], axis=1)[:, ::-1].ravel()
+        return over(back[: wide - size + 1], ahead[size - 1 :])
+
+    least = np.where(whole, rowwise(h, np.minimum, ~_U(0))[:n], _U(0))
+    most = rowwise(np.concatenate([np.zeros(size - 1, _U), least])[: wide], np.maximum, _U(0))[:n]
+    return most == h
+
+
+def _cut(
+    rows: list[bytes | None], size: int, long_words: int = 20, mean_lines: int = 3, roll: int = 2
+) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Chunks, and windows of ``size`` words (none for 0)."""
     sizes = np.array([len(t) if t else 0 for t in rows], np.int64)
     data = np.frombuffer(b"".join(t for t in rows if t), np.uint8)
     n = len(data)
     if not n:
-        return {name: np.zeros(0, kind.to_pandas_dtype()) for name, kind in _CHUNK}
+        return tuple({name: np.zeros(0, kind.to_pandas_dtype()) for name, kind in kinds} for kinds in (_CHUNK, _WINDOW))
     ends_of_text = np.cumsum(sizes)
     filled = sizes > 0
     first = np.zeros(n, bool)  # of a text
@@ -86,9 +134,8 @@ def chunks(rows: list[bytes | None], long_words: int = 20, mean_lines: int = 3,
     # A hash of any range: a polynomial over its signs and where its words start.
     signs_before = np.concatenate([[0], np.cumsum(~space)])
     value = (data[~space].astype(_U) + _U(1)) + _U(257) * starts_word[~space].astype(_U)
-    power = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(len(value), _FACTOR)]))
-    back = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(len(value), _INVERSE)]))
-    summed = np.concatenate([[_U(0)], np.cumsum(value * power[:-1], dtype=_U)])
+    power, back = _powers(n)
+    summed = np.concatenate([[_U(0)], np.cumsum(value * power[: len(value)], dtype=_U)])
 
     def hashed(a: np.ndarray, z: np.ndarray) -> np.ndarray:
         a, z = signs_before[a], signs_before[z]
@@ -118,7 +165,31 @@ def chunks(rows: list[bytes | None], long_words: int = 20, mean_lines: int = 3,
     total = words_before[z] - words_before[a]
     out = {"of": of, "chunk": number, "start": a - offset, "end": z - offset, "words": total, "several": several}
     out["hash"] = hashed(a, z).view(np.int64)
-    return {name: x[total > 0] for name, x in out.items()}
+    out = {name: x[total > 0] for name, x in out.items()}
+
+    n_words = int(words_before[-1])
+    places = n_words - size + 1  # of windows over all texts put together
+    if not size or places <= 0:
+        return out, {name: np.zeros(0, kind.to_pandas_dtype()) for name, kind in _WINDOW}
+    word = np.flatnonzero(starts_word)
+    word_end = np.flatnonzero(~space & np.append(space[1:] | first[1:], True)) + 1
+    text_of_word, line_of_word = np.searchsorted(ends_of_text, word, side="right"), line[word]
+    begins, closes = word[:places], word_end[size - 1 :]
+    one_text = text_of_word[:places] == text_of_word[size - 1 :]
+    shown = one_text & ((line_of_word[:places] != line_of_word[size - 1 :]) | is_long[begins])
+    # A hash of the bytes, white space included.
+    power, back = _powers(n)
+    summed = np.concatenate([[_U(0)], np.cumsum((data.astype(_U) + _U(1)) * power[:n], dtype=_U)])
+    h = _mixed((summed[closes] - summed[begins]) * back[begins])
+    picked = np.zeros(places, bool)
+    for at in (words_before[a], words_before[z] - size):
+        picked[at[(at >= 0) & (at < places)]] = True
+    whole = np.zeros(places, bool)
+    whole[: max(0, places - size + 1)] = text_of_word[: max(0, places - size + 1)] == text_of_word[2 * size - 2 :]
+    at = np.flatnonzero((picked | _least(h, whole, size)) & shown)
+    of = text_of_word[at]
+    offset = (ends_of_text - sizes)[of]
+    return out, {"of": of, "at": at - words_before[offset], "hash": h[at].view(np.int64)}
 
 
 def _groups(rows: list[bytes | None]):
@@ -133,23 +204,57 @@ def _groups(rows: list[bytes | None]):
         yield first, len(rows)
 
 
-def _gone(repeated: list[dict], min_words: int) -> list[tuple[int, int, int]]:
-    """(start, end, words) of the runs that go, from the repeated chunks in order."""
-    out, run = [], []
+def _stretches(of: np.ndarray, at: np.ndarray, keys: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each stretch: windows of one text with equal keys that leave no gap."""
+    order = np.lexsort([at, *keys, of])
+    new = np.ones(len(order), bool)
+    same = np.diff(at[order]) <= size
+    for x in (of, *keys):
+        same &= np.diff(x[order]) == 0
+    new[1:] = ~same
+    return order[new], order[np.append(new[1:], True)[: len(new)]]
+
+
+def _gone(repeated: list[dict]) -> list[tuple[int, int, int]]:
+    """(start, end, words) of the runs that go, from the repeated stretches in order."""
+    out, run, until = [], [], -1
     for c in [*repeated, None]:
-        if c is not None and (not run or c["chunk"] == run[-1]["chunk"] + 1):
+        if c is not None and c["at"] <= until:
             run.append(c)
+            until = max(until, c["until"])
             continue
-        if sum(x["words"] for x in run) >= min_words and any(x["several"] for x in run):
-            out.append((run[0]["start"], run[-1]["end"], sum(x["words"] for x in run)))
-        run = [c]
+        if run:
+            last = max(run, key=lambda x: x["until"])
+            # A rest of a line before the run keeps its line break.
+            tail = last["tail"] if run[0]["opens"] or not last["closes"] else 0
+            out.append((run[0]["start"] - run[0]["lead"], last["end"] + tail, until - run[0]["at"]))
+        if c is not None:
+            run, until = [c], c["until"]
     return out
 
 
+def _bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each word."""
+    space = np.concatenate([[True], _any_of(np.frombuffer(text, np.uint8), b" \t\n\r\x0b\x0c"), [True]])
+    return np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+
+
+def _around(text: bytes, start: int, end: int) -> tuple[int, bool, int, bool]:
+    """Blanks before that open the line, whether it is opened, what goes behind (blanks, a line break), whether that ends the line."""
+    head = text.rfind(b"\n", 0, start) + 1
+    opens = not text[head:start].strip()
+    stop = text.find(b"\n", end)
+    stop = len(text) if stop < 0 else stop + 1
+    closes = not text[end:stop].strip()
+    if not closes:
+        stop = end + next(i for i in range(stop - end) if text[end + i : end + i + 1].strip())
+    return (start - head if opens else 0), opens, stop - end, closes
+
+
 def removals(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None, **shape
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None, min_words: int = 24, **shape
 ) -> DataFrame:
-    """doc_id, text_hash, repeated: for the documents that have some, their repeated chunks in order."""
+    """doc_id, text_hash, repeated: for the documents that have some, their repeated stretches in order."""
     scratch = scratch or Scratch(docs.sparkSession, "linededup")
     plain = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text")
@@ -159,54 +264,74 @@ def removals(
         for batch in batches:
             rows = texts(batch)
             for first, end in _groups(rows):
-                found = chunks(rows[first:end], **shape)
+                found = windows(rows[first:end], min_words, **shape)
                 of = pa.array(found.pop("of") + first)
                 columns = [batch.column(0).take(of), batch.column(1).take(of)]
-                columns += [pa.array(found[name], kind) for name, kind in _CHUNK[1:]]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", *[name for name, _ in _CHUNK[1:]]])
-
-    schema = "doc_id long, text_hash long, chunk int, start int, end int, words int, several boolean, hash long"
-    cuts = scratch.saved(plain.mapInArrow(cut, schema), "chunks")
-    often = scratch.saved(cuts.groupBy("hash").count().where("count > 1").select("hash"), "often")
-    spot = F.struct("chunk", "start", "end", "words", "several")
-    suspects = cuts.join(often, "hash").groupBy("doc_id", "text_hash").agg(F.collect_set(spot).alias("spots"))  # of one document
-    mine = scratch.saved(suspects, "suspects").select(
-        F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), "spots"
-    )
+                columns += [pa.array(found[name], kind) for name, kind in _WINDOW[1:]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", *[name for name, _ in _WINDOW[1:]]])
+
+    schema = "doc_id long, text_hash long, at int, hash long"
+    cuts = scratch.saved(plain.mapInArrow(cut, schema), "windows")
+    often = cuts.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("k_id"))
+    often = scratch.saved(often.where("n > 1 and k_id is not null").select("hash", "k_id"), "often")
+    suspects = scratch.saved(cuts.join(often, "hash"), "suspects")
+    # The kept place of each window: the smallest id, there the smallest text hash and the first place.
+    firsts = suspects.where("doc_id = k_id").groupBy("hash").agg(F.min(F.struct("text_hash", "at")).alias("k"))
+    firsts = firsts.select("hash", F.col("k.text_hash").alias("k_hash"), F.col("k.at").alias("k_at"))
+    own = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash"))
+    other = suspects.join(firsts, "hash").where(~own | (F.col("at") >= F.col("k_at") + min_words))
+    spots = other.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "k_id", "k_hash", "k_at")).alias("spots"))  # of one document
+
+    def join(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spots = batch.column(2)
+        of = np.repeat(np.arange(len(spots)), spots.value_lengths().fill_null(0).to_numpy())
+        at, k_id, k_hash, k_at = (spots.flatten().field(i).to_numpy() for i in range(4))
+        first, last = _stretches(of, at, [at - k_at, k_hash, k_id], min_words)
+        row = pa.array(of[first])
+        columns = [at[first], at[last] + min_words, k_id[first], k_hash[first], k_at[first]]
+        columns = [pa.array(x, kind) for x, kind in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *columns], names)
+
+    names = ["doc_id", "text_hash", "at", "until", "k_id", "k_hash", "k_at"]
+    schema = "doc_id long, text_hash long, at int, until int, k_id long, k_hash long, k_at int"
+    stretches = scratch.saved(spots.mapInArrow(by_batch(join), schema), "stretches")
+    # The bytes of each stretch meet those of the kept one once, in the last join. The texts are dealt out once for both.
     same = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_hash") == F.col("s_hash"))
-    both = plain.join(mine, same).select("doc_id", "text_hash", "text", "spots")
+
+    def of_document(df: DataFrame) -> DataFrame:
+        listed = df.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*names[2:])).alias("spots"))
+        return plain.join(listed.toDF("s_id", "s_hash", "spots"), same).select("doc_id", "text_hash", "text", "spots")
 
     def show(batch: pa.RecordBatch) -> pa.RecordBatch:
         spots = batch.column(3)
-        of = pa.array(np.repeat(np.arange(len(spots)), spots.value_lengths().fill_null(0).to_numpy()))
+        counts = spots.value_lengths().fill_null(0).to_pylist()
         each = spots.flatten()
-        rows, starts, ends = texts(batch), each.field("start").to_pylist(), each.field("end").to_pylist()
-        shown = [rows[i][a:z].strip() for i, a, z in zip(of.to_pylist(), starts, ends)]
-        names = ["chunk", "start", "end", "words", "several"]
-        columns = [batch.column(0).take(of), batch.column(1).take(of), *[each.field(x) for x in names], pa.array(shown, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", *names, "bytes"])
-
-    schema = "doc_id long, text_hash long, chunk int, start int, end int, words int, several boolean, bytes binary"
-    shown = scratch.saved(both.mapInArrow(by_batch(show), schema).withColumn("digest", F.xxhash64("bytes")), "bytes")
-    # The kept place of each chunk's bytes: the smallest id, there the smallest text hash and the first chunk.
-    # Only digests are grouped; the bytes of each place meet those of the kept one once, in the last join.
-    own = shown.groupBy("digest").agg(F.min("doc_id").alias("k_id"), F.count("*").alias("n"))
-    own = own.where("n > 1 and k_id is not null").select(F.col("digest").alias("k"), "k_id")
-    firsts = shown.select("digest", "doc_id", "text_hash", "chunk").join(own, (F.col("digest") == F.col("k")) & (F.col("doc_id") == F.col("k_id")))
-    firsts = firsts.groupBy("k", "k_id").agg(F.min(F.struct("text_hash", "chunk")).alias("at"))
-    firsts = scratch.saved(firsts.select("k", "k_id", "at.text_hash", "at.chunk"), "firsts")
-    kept = firsts.join(shown.select(F.col("doc_id").alias("k_id"), "text_hash", "chunk", F.col("bytes").alias("k_bytes")), ["k_id", "text_hash", "chunk"])
-    kept = kept.select("k", "k_id", F.col("text_hash").alias("k_hash"), F.col("chunk").alias("k_chunk"), "k_bytes")
-    kept = kept.dropDuplicates(["k"])  # rows that repeat a document show its chunks each
-    other = ~(
-        F.col("doc_id").eqNullSafe(F.col("k_id"))
-        & (F.col("text_hash") == F.col("k_hash"))
-        & (F.col("chunk") == F.col("k_chunk"))
-    )
-    repeated = shown.join(kept, F.col("digest") == F.col("k")).where(other & (F.col("bytes") == F.col("k_bytes")))
-    return repeated.groupBy("doc_id", "text_hash").agg(
-        F.sort_array(F.collect_set(F.struct("chunk", "start", "end", "words", "several"))).alias("repeated")
-    )
+        ats, untils = each.field("at").to_numpy(), each.field("until").to_numpy()
+        shown, around, done = [], [], 0
+        for t, n in zip(texts(batch), counts):
+            starts, ends = _bounds(t)
+            for a, z in zip(starts[ats[done : done + n]].tolist(), ends[untils[done : done + n] - 1].tolist()):
+                shown.append(t[a:z])
+                around.append((a, z, *_around(t, a, z)))
+            done += n
+        of = pa.array(np.repeat(np.arange(len(counts)), counts))
+        columns = [batch.column(0).take(of), batch.column(1).take(of), *[each.field(x) for x in names[2:]]]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.bool_())
+        columns += [pa.array(x, kind) for x, kind in zip(list(zip(*around)) or [[]] * 6, kinds)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(shown, pa.binary())], [*names, "start", "end", "lead", "opens", "tail", "closes", "bytes"])
+
+    schema += ", start int, end int, lead int, opens boolean, tail int, closes boolean, bytes binary"
+    size = (F.col("until") - F.col("at")).alias("size")
+    kept = stretches.select(F.col("k_id").alias("doc_id"), F.col("k_hash").alias("text_hash"), F.col("k_at").alias("at"), size).distinct()
+    kept = kept.select("doc_id", "text_hash", "at", (F.col("at") + F.col("size")).alias("until"), *[F.lit(0).cast(x).alias(n) for n, x in (("k_id", "long"), ("k_hash", "long"), ("k_at", "int"))])
+    kept = of_document(kept).mapInArrow(by_batch(show), schema)
+    kept = kept.select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), F.col("at").alias("k_at"), size, F.col("bytes").alias("k_bytes"))
+    place = ["k_id", "k_hash", "k_at", "size"]
+    kept = kept.dropDuplicates(place)  # rows that repeat a document show its stretches each
+    mine = of_document(stretches).mapInArrow(by_batch(show), schema).withColumn("size", size)
+    repeated = mine.join(kept, place).where("bytes = k_bytes")
+    spot = F.struct("at", "until", "start", "end", "lead", "opens", "tail", "closes")
+    return repeated.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(spot)).alias("repeated"))
 
 
 def remove_repeats(
@@ -226,7 +351,7 @@ def remove_repeats(
         keep, removed = [], []
         for repeated in batch.column(2).to_pylist():
             parts, at, words = [], 0, 0
-            for a, z, n in _gone(repeated, min_words):
+            for a, z, n in _gone(repeated):
                 parts.append({"a": at, "z": a})
                 at, words = z, words + n
             keep.append([*parts, {"a": at, "z": 2**31 - 1}])
@@ -236,7 +361,7 @@ def remove_repeats(
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "kept", "gone"])
 
     schema = "doc_id long, text_hash long, kept array<struct<a:int,z:int>>, gone long"
-    found = removals(docs, doc_id, text, scratch, **shape).mapInArrow(by_batch(spans), schema).where("gone > 0")
+    found = removals(docs, doc_id, text, scratch, min_words, **shape).mapInArrow(by_batch(spans), schema).where("gone > 0")
     found = scratch.saved(found, "kept").toDF(r_id, r_hash, kept, gone)
     same = F.col(doc_id).cast("long").eqNullSafe(F.col(r_id)) & (F.xxhash64(F.col(text)) == F.col(r_hash))
     data = F.col(text).cast("binary")  # spans are in bytes
