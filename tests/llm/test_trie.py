@@ -7,7 +7,7 @@ from edges import documents, nothing
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tideview.llm import trie
+from tideview.llm import queries, trie
 from tideview.llm.eliasfano import Sequence, map_arrays, write_arrays
 
 
@@ -108,3 +108,14 @@ def test_quantised():
     assert np.abs(book[codes] - values).mean() < 0.02 and codes.dtype == np.uint8
     codes, book = trie.quantised(np.array([1.0, 2.0, 1.0]), 256)
     assert (book[codes] == [1, 2, 1]).all()
+
+
+def test_the_query_counts_contexts_of_two_words(spark, tmp_path):
+    texts = ["a b c", "d b e"] * 30
+    documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)], clashes=False).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op3_trie(spark, str(tmp_path)).collect()
+    _, _, p = plain_model([sequence(texts[r.doc_id]) for r in got if not r.held_out], 3)
+    for r in got:
+        q = sequence(texts[r.doc_id])
+        exact = sum(math.log10(p(tuple(q[max(0, i - 2) : i + 1]))) for i in range(1, len(q)))
+        assert abs(r.score - exact) < 1e-6
