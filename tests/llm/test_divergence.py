@@ -68,6 +68,18 @@ def test_languages_beyond_the_bound_share_a_reference(spark):
     assert len(divergence.judge(df, max_languages=1).collect()) == 11
 
 
+def test_every_language_has_its_own_reference(spark):
+    rows = []
+    for k, n in enumerate((20, 12, 8, 8, 5)):
+        for i in range(n):
+            rows.append((100 * k + i, " ".join(f"l{k}w{j % 9} L{k}x{i}y{j}" for j in range(60)), f"l{k}", "s", 1))
+    rows += [(900 + i, PROSE * 8, None, "s", 1) for i in range(3)]
+    df = documents(spark, rows).unionByName(documents(spark))
+    all_own, few_broadcast = (sorted(divergence.judge(df, max_languages=m).collect(), key=repr) for m in (500, 2))
+    assert all_own == few_broadcast
+    assert all(r.kept for r in few_broadcast if (r.doc_id or 0) in range(100, 500))
+
+
 def test_hashes_decide_nothing(spark):
     words = [b"a", b"b"] * 40
     assert divergence.repeat_words(words) == 80

@@ -13,8 +13,9 @@ between 0 and 1. A document is rejected if
 - it fails a base rule: fewer than ``min_words`` words, or more than ``max_repeat``
   percent of its words in windows of five words that occur twice or more.
 
-References cover all documents. Languages beyond the ``max_languages`` most frequent, and documents
-without a language, share one reference, which bounds what is broadcast.
+References cover all documents, and every language has its own; documents without a language
+share one. The common words of the ``max_languages`` most frequent languages are broadcast; those of the others, none of which
+has many of the documents then, are joined by language. The result does not depend on it.
 
 Defined results: null and empty texts have no words and fail the base rule. Repeated
 rows count, and are judged, each. Further columns are ignored.
@@ -94,11 +95,10 @@ def measure(text: bytes | None, classes: np.ndarray) -> tuple[list[bytes], int,
     return words, word_chars, int(of_byte[_SYMBOLS].sum()), len(lines) - len(set(lines)), repeat_words(words), by_class
 
 
-def _plain(docs: DataFrame, doc_id: str, text: str, lang: str, languages: list[str]) -> DataFrame:
-    named = F.col(lang).cast("string")
+def _plain(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
     return docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
-        F.when(named.isin(languages), named).otherwise(F.lit("")).alias("lang"),
+        F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"),
         F.col(text).cast("string").alias("text"),
     )
 
@@ -165,20 +165,25 @@ def judge(
 ) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, js_chars, js_words."""
     scratch = Scratch(docs.sparkSession, "divergence")
-    ranked = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("lang")).count()
-    languages = [r[0] for r in ranked.orderBy(F.desc("count"), "lang").take(max_languages)]
-    plain = _plain(docs, doc_id, text, lang, languages)
-    found = common_words(plain, common).take((max_languages + 1) * common)
+    plain = _plain(docs, doc_id, text, lang)
+    ranked = plain.where("lang <> ''").groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    languages = [r[0] for r in ranked.take(max_languages + 1)]
+    all_frequent, languages = len(languages) <= max_languages, languages[:max_languages]
+    frequent = F.col("lang").isin(["", *languages])
+    found = common_words(plain, common)
+    if not all_frequent:
+        found = scratch.saved(found, "words")
     places: dict[str, dict[bytes, int]] = {}
-    for r in found:
+    for r in found.where(frequent).take((max_languages + 1) * common):
         places.setdefault(r.lang, {})[bytes(r.word)] = r.place - 1
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        joined = batch.column(3).to_pylist() if batch.num_columns > 3 else None
         classes = _classes()
         rows, chars, hists = [], [], []
-        for language, t in zip(batch.column(1).to_pylist(), texts(batch)):
+        for i, (language, t) in enumerate(zip(batch.column(1).to_pylist(), texts(batch))):
             words, *numbers, by_class = measure(t, classes)
-            known = places.get(language, {})
+            known = {w["word"]: w["place"] - 1 for w in joined[i] or ()} if joined else places.get(language, {})
             hist = [0.0] * (common + 1)
             for w, n in Counter(t.lower().split()).items() if t else ():
                 hist[known.get(w, common)] += n
@@ -196,7 +201,13 @@ def judge(
         "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
         "n_repeat_words long, chars array<double>, words array<double>"
     )
-    counted = scratch.saved(plain.mapInArrow(by_batch(count), schema), "counts")
+    if all_frequent:
+        counts = plain.mapInArrow(by_batch(count), schema)
+    else:
+        listed = found.where(~frequent).groupBy("lang").agg(F.collect_list(F.struct("word", "place")).alias("known"))
+        others = plain.where(~frequent).join(listed, "lang", "left").select("doc_id", "lang", "text", "known")
+        counts = plain.where(frequent).mapInArrow(by_batch(count), schema).unionByName(others.mapInArrow(by_batch(count), schema))
+    counted = scratch.saved(counts, "counts")
     n_chars = F.aggregate("chars", F.lit(0.0), lambda a, x: a + x)
     means = counted.where("n_words > 0").groupBy("lang").agg(
         F.array(*[F.avg(F.col("chars")[i] / n_chars) for i in range(CLASSES)]).alias("ref_chars"),
