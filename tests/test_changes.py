@@ -161,6 +161,23 @@ def test_a_late_change_of_a_stream_is_dropped(spark, work, tmp_path):
     assert bag(work.table("p")) == ["(1, 14)"] and work.verify("v").isEmpty()
 
 
+def test_of_a_late_move_only_the_late_half_is_dropped(spark, work):
+    row = f"struct<{P.replace(' ', ':')}>".replace(",:", ",")
+    number = iter(range(9))
+
+    def send(op, before, after, seq):
+        feed = frame(spark, [(op, before, after, seq)], f"op string, before {row}, after {row}, seq long")
+        work.apply_ordered({"p": feed}, ("w", next(number)))
+
+    send("I", None, (3, 33), 7)
+    send("U", (1, 10), (3, 30), 5)  # key 3 has had 7
+    assert bag(work.table("p")) == ["(2, 20)", "(3, 33)"] and work.verify("v").isEmpty()
+    send("U", (2, 20), (2, 21), 9)
+    send("U", (2, 20), (4, 40), 8)  # key 2 has had 9
+    send("U", (3, 33), (2, 50), 6)  # both are late
+    assert bag(work.table("p")) == ["(2, 21)", "(3, 33)", "(4, 40)"] and work.verify("v").isEmpty()
+
+
 def test_a_clustered_table_is_read_where_the_change_is(spark, tmp_path):
     w = Workspace(spark, f"file://{tmp_path}/k", compact_above=100)
     rows = spark.range(400)

@@ -336,7 +336,8 @@ class Workspace:
 
         The last ``seq`` of each key is kept beside its table. A change that is
         older than what its key has had is dropped, so the newest wins whatever batch it comes in; of
-        changes with one ``seq`` the later batch wins.
+        changes with one ``seq`` the later batch wins. Of an update that moves a row to another key only
+        the half that is late is dropped.
         """
         self.recover()
         with Staging(self.spark) as staging:
@@ -344,7 +345,7 @@ class Workspace:
             for source, feed in feeds.items():
                 store, keys = self._seqs(source), self._table(source).keys
                 images = [F.col(i) for i in ("before", "after")]
-                both = [F.struct(*[i.getField(k).alias(k) for k in keys]) for i in images]
+                both = [F.struct(*[i.getField(k).alias(k) for k in keys], F.lit(n).alias("__i")) for n, i in enumerate(images)]
                 each = F.explode(F.filter(F.array(*both), lambda k: k.getField(keys[0]).isNotNull()))
                 if store.done(batch):
                     newer[source] = feed
@@ -354,8 +355,17 @@ class Workspace:
                 of_key = number.select("__row", "seq", each.alias("__k")).select("__row", "seq", "__k.*")
                 last = store.read().select(*[c.alias(f"__s{i}") for i, c in enumerate(cols(keys))], F.col("seq").alias("__seq"))
                 late = of_key.join(last, F.expr(keys_match(keys, "__s") + " and seq < __seq"), "left_semi")
-                late = late.select("__row").distinct()
-                newer[source] = number.join(late, "__row", "left_anti").drop("__row")
+                late = late.groupBy("__row").agg(*[F.max(F.col("__i") == n).alias(f"__late{n}") for n in (0, 1)])
+                before, after = (i.getField(keys[0]).isNotNull() for i in images)
+                moved = (F.col("op") == "U") & before & after & (F.col("__late0") != F.col("__late1"))
+                half = F.coalesce(moved, F.lit(False))  # the keys of other updates are late together
+                judged = number.join(late, "__row", "left").where(half | F.col("__late0").isNull())
+                newer[source] = judged.select(
+                    F.when(half & F.col("__late0"), "I").when(half, "D").otherwise(F.col("op")).alias("op"),
+                    F.when(~(half & F.col("__late0")), F.col("before")).alias("before"),
+                    F.when(~(half & F.col("__late1")), F.col("after")).alias("after"),
+                    "seq",
+                )
                 reached[source] = staging.table(of_key.groupBy(*cols(keys)).agg(F.max("seq").alias("seq")), f"seq-{source}")
             self.apply_feed(newer, batch)
             for source, seqs in reached.items():
