@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideview.llm import crf, decontaminate, divergence, linededup, mixing, nbsvm, simhash, toolcalls, trie, urltree
+from tideview.llm import convrepair, crf, decontaminate, divergence, linededup, mixing, nbsvm, simhash, toolcalls, trie, urltree
 from tideview.llm.common import remainder, table
 
 #: Shares of tokens that op9 and the last stage of the pipeline aim at.
@@ -98,6 +98,10 @@ def op10_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltree.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convrepair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_divergence": op1_divergence,
@@ -110,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_prefix_join": op8_prefix_join,
         "op9_soft_mixing": op9_soft_mixing,
         "op10_url_tree": op10_url_tree,
+        "op11_repair": op11_repair,
     }
 
 
