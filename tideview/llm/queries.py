@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideview.llm import convrepair, crf, decontaminate, divergence, linededup, mixing, nbsvm, simhash, toolcalls, trie, urltree
+from tideview.llm import convrepair, crf, decontaminate, divergence, linededup, mixing, nbsvm, simhash, tokenalign, toolcalls, trie, urltree
 from tideview.llm.common import remainder, table
 
 #: Shares of tokens that op9 and the last stage of the pipeline aim at.
@@ -102,6 +102,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convrepair.repair_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenalign.align(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_divergence": op1_divergence,
@@ -115,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_soft_mixing": op9_soft_mixing,
         "op10_url_tree": op10_url_tree,
         "op11_repair": op11_repair,
+        "op12_align": op12_align,
     }
 
 

@@ -200,11 +200,11 @@ _MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 def _measures(folder: str):
     """Chunks with the corpus's counts of their pairs to rows of key, measures, groups_sha256."""
 
-    def finish(r: dict) -> pa.RecordBatch:
+    def finish(row: pa.RecordBatch) -> pa.RecordBatch:
         _, _, vocab_a, vocab_b = tokenizers(folder)
-        pairs = np.array([x["pair"] for x in r["counts"] or []], dtype=np.int64)
-        count = np.array([x["n"] for x in r["counts"] or []], dtype=np.int64)
-        best = np.array([x["best"] for x in r["counts"] or []], dtype=bool)
+        counts = row.column(row.schema.get_field_index("counts")).flatten()
+        pairs, count, best = (counts.field(c).to_numpy(zero_copy_only=False) for c in ("pair", "n", "best"))
+        r = row.drop_columns(["counts"]).to_pylist()[0]
         order = np.argsort(pairs)
         pairs, count, best = pairs[order], count[order], best[order]
         found = []
@@ -222,12 +222,12 @@ def _measures(folder: str):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                yield finish(batch.slice(i, 1).to_pylist()[0])
+                yield finish(batch.slice(i, 1))
 
     return run
 
 
-def align(docs: DataFrame, folder: str = FOLDER, chunk: int = 1 << 20) -> DataFrame:
+def align(docs: DataFrame, folder: str = FOLDER, chunk: int = 2 << 20) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for each row of ``docs``."""
     spark = docs.sparkSession
     scratch, n = Scratch(spark, "tokenalign"), parallelism(spark)
@@ -243,7 +243,7 @@ def align(docs: DataFrame, folder: str = FOLDER, chunk: int = 1 << 20) -> DataFr
     back = own.select("chunk", "pair").join(corpus, "pair")
     back = back.groupBy("chunk").agg(F.collect_list(F.struct("pair", "n", "best")).alias("counts"))
 
-    given = chunks.drop("pairs", "held").join(back, "chunk", "left").repartition(n, "chunk").drop("chunk")
+    given = chunks.drop("pairs", "held").join(back, "chunk", "left").repartition(4 * n, "chunk").drop("chunk")
     schema = "key binary, " + ", ".join(f"{m} long" for m in _MEASURES) + ", groups_sha256 string"
     measures = scratch.saved(given.mapInArrow(_measures(folder), schema), "measures")
     keyed = docs.select(F.col("doc_id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("key"))
