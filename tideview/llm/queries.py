@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideview.llm import convrepair, crf, decontaminate, divergence, linededup, mixing, nbsvm, simhash, tokenalign, toolcalls, trie, urltree
+from tideview.llm import convrepair, crf, decontaminate, divergence, linededup, mixing, nbsvm, secrets, simhash, tokenalign, toolcalls, trie, urltree
 from tideview.llm.common import remainder, table
 
 #: Shares of tokens that op9 and the last stage of the pipeline aim at.
@@ -106,6 +106,11 @@ def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenalign.align(table(spark, sf_dir, "documents"))
 
 
+def op13_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source of a document is the owner, source and language are the repository."""
+    return secrets.scan(table(spark, sf_dir, "documents"), owner="source", repo=["source", "lang"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_divergence": op1_divergence,
@@ -120,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_url_tree": op10_url_tree,
         "op11_repair": op11_repair,
         "op12_align": op12_align,
+        "op13_ownership": op13_ownership,
     }
 
 
