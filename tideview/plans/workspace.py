@@ -26,6 +26,7 @@ from tideview.plans.spec import UnsupportedView, View, ViewSpec, bind
 from tideview.plans.sqlview import view_from_sql
 from tideview.plans.view import Frame, build_view, visible
 from tideview.sources.changes import BadChange, as_table_rows, net_changes, refused_inserts, split_changes
+from tideview.sources.sequences import SequenceLog
 from tideview.sources.snapshots import Batch, Cluster, SnapshotStore, Step
 from tideview.sources.storage import Files, Staging, plan_bytes
 from tideview.sources.tables import key_violations
@@ -334,7 +335,8 @@ class Workspace:
     def apply_ordered(self, feeds: Mapping[str, DataFrame], batch: Batch) -> None:
         """As ``apply_feed``, for a numbered batch of a stream whose batches may come out of order.
 
-        The last ``seq`` of each key is kept beside its table. A change that is
+        The last ``seq`` of each key is kept beside its table (``SequenceLog``: a batch reads only buckets that
+        its keys fall into). A change that is
         older than what its key has had is dropped, so the newest wins whatever batch it comes in; of
         changes with one ``seq`` the later batch wins. Of an update that moves a row to another key only
         the half that is late is dropped.
@@ -353,7 +355,7 @@ class Workspace:
                 number = feed.withColumn("__row", F.monotonically_increasing_id())
                 number = staging.table(number, f"feed-{source}")
                 of_key = number.select("__row", "seq", each.alias("__k")).select("__row", "seq", "__k.*")
-                last = store.read().select(*[c.alias(f"__s{i}") for i, c in enumerate(cols(keys))], F.col("seq").alias("__seq"))
+                last = store.last(of_key).select(*[c.alias(f"__s{i}") for i, c in enumerate(cols(keys))], F.col("seq").alias("__seq"))
                 late = of_key.join(last, F.expr(keys_match(keys, "__s") + " and seq < __seq"), "left_semi")
                 late = late.groupBy("__row").agg(*[F.max(F.col("__i") == n).alias(f"__late{n}") for n in (0, 1)])
                 before, after = (i.getField(keys[0]).isNotNull() for i in images)
@@ -369,22 +371,12 @@ class Workspace:
                 reached[source] = staging.table(of_key.groupBy(*cols(keys)).agg(F.max("seq").alias("seq")), f"seq-{source}")
             self.apply_feed(newer, batch)
             for source, seqs in reached.items():
-                store, keys = self._seqs(source), self._table(source).keys
-                had = store.read().join(seqs.selectExpr(*renamed(keys, "__s")), F.expr(keys_match(keys, "__s")), "left_semi")
-                most = had.unionByName(seqs).groupBy(*cols(keys)).agg(F.max("seq").alias("seq"))
-                store.publish([Step(seqs.select(*cols(keys)), staging.table(most, f"last-{source}"))], batch)
-                store.compact(self.compact_above)
-                store.expire(self.keep)
+                self._seqs(source).append(seqs, batch)
 
-    def _seqs(self, source: str) -> SnapshotStore:
+    def _seqs(self, source: str) -> SequenceLog:
         """Per key of a table the ``seq`` of its last change from a stream."""
-        root = f"{self.root}/seqs/{source}"
-        if not SnapshotStore.exists(self.spark, root):
-            table = self._table(source)
-            fields = [table.schema[k] for k in table.keys] + [T.StructField("seq", T.LongType())]
-            none = self.spark.createDataFrame([], T.StructType(fields))
-            return SnapshotStore.create(self.spark, root, none, table.keys)
-        return SnapshotStore(self.spark, root)
+        table = self._table(source)
+        return SequenceLog(self.spark, f"{self.root}/seqs/{source}", [table.schema[k] for k in table.keys])
 
     def defer(self, source: str, feed: DataFrame) -> None:
         """Put a change feed aside; the views stay as they are until ``apply_deferred``."""
