@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -74,7 +75,7 @@ def tokenizers(folder: str):
         pieces.append(bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode())
 
     def encode_a(text: str) -> np.ndarray:
-        return np.array(a.encode_ordinary(" " + text), dtype=np.int64)
+        return a.encode_to_numpy(" " + text).astype(np.int64)
 
     def encode_b(text: str) -> np.ndarray:
         return np.array(b.encode(text), dtype=np.int64)
@@ -93,18 +94,27 @@ def encoded(text: bytes | None, folder: str) -> tuple[np.ndarray, np.ndarray]:
         return none, none
     encode_a, encode_b, vocab_a, vocab_b = tokenizers(folder)
     a, b = encode_a(said), encode_b(said)
-    if vocab_a.joined(a) != b" " + text or vocab_b.joined(b) != b" " + text:
+    # Byte-level tokens can only lose bytes, never change them.
+    if vocab_a.lengths[a].sum() != len(text) + 1 or vocab_b.joined(b) != b" " + text:
         return none, none
     return a, b
 
 
-def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def ends_of(tokens: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Where the tokens end, and a mark for each byte offset at which one does."""
+    ends = np.cumsum(vocab.lengths[tokens])
+    marks = np.zeros(ends[-1] + 1, dtype=np.int8)
+    marks[ends] = 1
+    return ends, marks
+
+
+def links(marks_a: np.ndarray, marks_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions (in A, in B) of all pairs of tokens whose byte ranges overlap; both cover the same bytes.
 
-    Between two neighbouring ends of either tokenizer lies one link, but for tokens without bytes, which have none.
+    Between two neighbouring ends of either tokenizer lies one link: that of the tokens that cover it.
     """
-    ends = np.union1d(ends_a, ends_b)
-    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+    ends = np.flatnonzero(marks_a | marks_b)
+    return tuple(np.cumsum(m, dtype=np.int64)[ends - 1] for m in (marks_a, marks_b))
 
 
 class Signs:
@@ -157,11 +167,11 @@ def _chunks(folder: str, most: int):
                 out["groups"].append("")
                 out["n_groups"].append(0)
                 continue
-            ends_a, ends_b = np.cumsum(vocab_a.lengths[a]), np.cumsum(vocab_b.lengths[b])
-            last_a, last_b = np.isin(ends_a, ends_b), np.isin(ends_b, ends_a)
+            (ends_a, marks_a), (ends_b, marks_b) = ends_of(a, vocab_a), ends_of(b, vocab_b)
+            last_a, last_b = marks_b[ends_a].astype(np.int64), marks_a[ends_b].astype(np.int64)
             out["n_groups"].append(int(last_a.sum()))
             out["groups"].append(hashlib.sha256(signs.groups(a, b, last_a, last_b).encode()).hexdigest())
-            at_a, at_b = links(ends_a, ends_b)
+            at_a, at_b = links(marks_a, marks_b)
             own = np.unique(_pair(a[at_a], b[at_b]))
             pairs.append(own)
             weights.append(np.full(len(own), n, dtype=np.int64))
@@ -212,7 +222,7 @@ def _measures(folder: str):
             if not len(a):
                 found.append((0, 0, 0))
                 continue
-            at_a, at_b = links(np.cumsum(vocab_a.lengths[a]), np.cumsum(vocab_b.lengths[b]))
+            at_a, at_b = links(ends_of(a, vocab_a)[1], ends_of(b, vocab_b)[1])
             at = np.searchsorted(pairs, _pair(a[at_a], b[at_b]))
             found.append((len(at), int(best[at].sum()), int(count[at].sum())))
         columns = [r["n_a"], r["n_b"], r["n_groups"], *map(list, zip(*found))]
@@ -233,7 +243,11 @@ def align(docs: DataFrame, folder: str = FOLDER, chunk: int = 2 << 20) -> DataFr
     scratch, n = Scratch(spark, "tokenalign"), parallelism(spark)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
     chunks = texts.select(F.col("text").cast("binary"), "copies").mapInArrow(_chunks(folder, chunk), _CHUNK)
-    chunks = scratch.saved(chunks.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    # In buckets by chunk, so that token ids are never shuffled.
+    name = "chunks_" + uuid.uuid4().hex
+    chunks = chunks.withColumn("chunk", F.monotonically_increasing_id())
+    chunks.write.bucketBy(n, "chunk").option("path", scratch.local_path("chunks")).option("compression", "zstd").saveAsTable(name)
+    chunks = spark.table(name)
 
     own = chunks.select("chunk", F.explode(F.arrays_zip("pairs", "held")).alias("x")).select("chunk", F.col("x.pairs").alias("pair"), F.col("x.held").alias("held"))
     corpus = own.groupBy("pair").agg(F.sum("held").alias("n"))
@@ -243,8 +257,9 @@ def align(docs: DataFrame, folder: str = FOLDER, chunk: int = 2 << 20) -> DataFr
     back = own.select("chunk", "pair").join(corpus, "pair")
     back = back.groupBy("chunk").agg(F.collect_list(F.struct("pair", "n", "best")).alias("counts"))
 
-    given = chunks.drop("pairs", "held").join(back, "chunk", "left").repartition(4 * n, "chunk").drop("chunk")
+    given = chunks.drop("pairs", "held").join(back.hint("shuffle_merge"), "chunk", "left").drop("chunk")
     schema = "key binary, " + ", ".join(f"{m} long" for m in _MEASURES) + ", groups_sha256 string"
     measures = scratch.saved(given.mapInArrow(_measures(folder), schema), "measures")
+    spark.sql(f"drop table {name}")
     keyed = docs.select(F.col("doc_id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("key"))
     return keyed.join(measures, "key", "left").select(F.col("doc_id").cast("long").alias("doc_id"), *_MEASURES, "groups_sha256")
