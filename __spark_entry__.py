@@ -9,6 +9,7 @@ low-priority orders, economy parts), so it grows with the tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +33,9 @@ from tideview import (
     visible,
 )
 from tideview.operators import bags, joins, terms
-from tideview.operators.joins import HOT_SHARE, SALTS, SKEW_BYTES
+from tideview.operators.joins import HOT_SHARE, RANGE_BYTES, SALTS, SKEW_BYTES
 from tideview.plans.view import kept
-from tideview.samples import FULL2, KEYS, LEFT2, LEFT3, SHAPES, load
+from tideview.samples import BAND2, FULL2, KEYS, LEFT2, LEFT3, SHAPES, load
 from tideview.sources.changes import (
     apply_changes,
     changes_of,
@@ -118,17 +119,40 @@ def maintain_keys_only_delete(spark, sf_dir):
 
 def view_hot_key_full(spark, sf_dir):
     """The full join with settings by which many keys are hot and spread."""
-    low = {SKEW_BYTES: "1", HOT_SHARE: "0.0001", SALTS: "4"}
-    had = {name: spark.conf.get(name, None) for name in low}
-    for name, value in low.items():
+    with _settings(spark, {SKEW_BYTES: "1", HOT_SHARE: "0.0001", SALTS: "4"}):
+        return view_query("full2", spark, sf_dir)
+
+
+@contextmanager
+def _settings(spark, values):
+    """Settings that hold while a plan is made."""
+    had = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
         spark.conf.set(name, value)
     try:
-        return view_query("full2", spark, sf_dir)
+        yield
     finally:
         for name, value in had.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+def view_band2(spark, sf_dir):
+    """A left join on two inequalities by ranges of values, as for sides that are too large to broadcast."""
+    with _settings(spark, {RANGE_BYTES: "0"}):
+        view, _, _ = _setup(spark, sf_dir, BAND2)
+        return visible(view, build_view(view))
+
+
+def maintain_band2(condition, spark, sf_dir):
+    """Customers leave and others enter such a view; orders that lose their last one stay alone."""
+    with _settings(spark, {RANGE_BYTES: "0"}):
+        view, tables, staging = _setup(spark, sf_dir, BAND2)
+        go, come = (tables["customer"].where(f"c_mktsegment = '{s}'") for s in condition)
+        old = _but(tables, "customer", f"c_mktsegment = '{condition[1]}'")
+        change = {"customer": Change(deleted=go, inserted=come)}
+        return visible(view, maintain(view, build_view(view, old), old, change, staging))
+
+
 def view_sql_left3(spark, sf_dir):
     """The three-level view from SQL text, kept over a change."""
     tables = load(spark, sf_dir, LEFT3)
@@ -515,6 +539,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "maintain_phantom_delete": maintain_phantom_delete,
         "maintain_keys_only_delete": maintain_keys_only_delete,
         "view_hot_key_full": view_hot_key_full,
+        "view_band2": view_band2,
+        "maintain_band2": partial(maintain_band2, ("BUILDING", "MACHINERY")),
         "view_sql_left3": view_sql_left3,
         "maintain_multi": maintain_multi,
         "maintain_literal_rows": maintain_literal_rows,
@@ -575,6 +601,8 @@ def _shape_sql(shape: str, **tables: str) -> str:
             left join {t['orders']} o on c.c_custkey = o.o_custkey""",
         "theta2": f"""select s.s_suppkey, n.n_name from {t['supplier']} s
             left join {t['nation']} n on n.n_nationkey < s.s_nationkey""",
+        "band2": f"""select o.o_orderkey, o.o_totalprice, c.c_custkey, c.c_acctbal from {t['orders']} o left join {t['customer']} c
+            on c.c_acctbal < o.o_totalprice / 50 + 1 and c.c_acctbal > o.o_totalprice / 50 - 1""",
         "self2": f"""select p.p_partkey, q.p_partkey as next_partkey, q.p_name as next_name
             from {t['part']} p full join {t['part']} q
             on p.p_partkey + 1 = q.p_partkey and p.p_type = q.p_type""",
@@ -640,6 +668,8 @@ def oracle_sql() -> dict[str, str]:
         "maintain_phantom_delete": _shape_sql("left2", lineitem=lines_left),
         "maintain_keys_only_delete": _shape_sql("full2", lineitem=lines_left),
         "view_hot_key_full": view["full2"],
+        "view_band2": _shape_sql("band2"),
+        "maintain_band2": _shape_sql("band2", customer=_rows_but("customer", "c_mktsegment = 'BUILDING'")),
         "view_sql_left3": _shape_sql("left3", lineitem=lines_left),
         "maintain_multi": _shape_sql("full2", orders=orders_left, lineitem=moved),
         "maintain_literal_rows": f"""{before}

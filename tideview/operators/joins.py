@@ -4,7 +4,8 @@ Spark's adaptive execution splits a hot key of an inner join, and of the
 preserved side of an outer join (in a chain of joins on one key only with
 ``spark.sql.adaptive.forceOptimizeSkewedJoin``, which a workspace sets). It cannot split the side an outer join fills
 with NULLs. ``skew_safe_join`` covers that case, and conditions without any
-equality, by spreading rows over salts; the result is that of the plain join.
+equality, by spreading rows over salts, or over ranges of values where inequalities allow it
+(``ranges``); the result is that of the plain join.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideview.functions.expressions import all_of, any_of, keys_match, null_safe_on, renamed, typed_null
+from tideview.operators.ranges import find_band, range_join
 from tideview.sources.storage import plan_bytes
 
 # Settings, read from the session (all may be set with spark.conf.set).
@@ -24,6 +26,7 @@ SKEW_BYTES = "spark.tideview.skewBytes"  # inputs below this are not inspected
 HOT_SHARE = "spark.tideview.hotShare"  # share of its side's rows that makes a key hot
 TASK_BYTES = "spark.tideview.taskBytes"  # bytes of one key, as rows times their width, that make it hot
 SALTS = "spark.tideview.salts"  # pieces a hot key is cut into, at least
+RANGE_BYTES = "spark.tideview.rangeBytes"  # sides above this meet by ranges of values; Spark's broadcast bound if not set
 DEFAULTS = {SKEW_BYTES: str(16 << 20), HOT_SHARE: "0.005", TASK_BYTES: str(256 << 20), SALTS: "64"}
 
 # A sketch of this many counters finds keys of about 1 in 30,000 rows; more hot keys than the second are not spread.
@@ -106,8 +109,13 @@ def skew_safe_join(
         # Without an equality Spark broadcasts one side, whatever its size.
         inner_side = min(left_bytes, right_bytes)
         sent = {"left": right_bytes, "right": left_bytes}.get(how, inner_side)
-        if sent <= broadcast_limit(left):
+        limit = left.sparkSession.conf.get(RANGE_BYTES, None)
+        if sent <= (broadcast_limit(left) if limit is None else int(limit)):
             return left.join(right, on, how)
+        band = find_band(left, right, rest)
+        if band is not None:
+            matched = range_join(left, right, band, on, copy_left=left_bytes < right_bytes)
+            return _with_lonely(left, right, [], [], rest, how, left_id, right_id, matched)
         return _spread(left, right, pairs, rest, how, left_id, right_id, None, None)
     least, share = setting(left, SKEW_BYTES), setting(left, HOT_SHARE)
     look_right = how in ("left", "full") and not right_unique and right_bytes >= least
@@ -188,6 +196,11 @@ def _spread(left, right, pairs, rest, how, left_id, right_id, hot_left, hot_righ
         + [F.expr(t) for t in rest]
     )
     matched = salted_left.join(salted_right, on, "inner").drop("__la", "__lb", "__ra", "__rb")
+    return _with_lonely(left, right, left_keys, right_keys, rest, how, left_id, right_id, matched)
+
+
+def _with_lonely(left, right, left_keys, right_keys, rest, how, left_id, right_id, matched) -> DataFrame:
+    """The matched pairs and, as the kind of join asks for, the rows of either side without a partner."""
     out = matched
     if how in ("left", "full"):
         alone = _without_partner(left, right, left_keys, right_keys, rest, left_id, matched)

@@ -65,6 +65,12 @@ THETA2 = _spec(
     left("s", "n", ["n.n_nationkey < s.s_nationkey"]),
     {"s_suppkey": "s.s_suppkey", "n_name": "n.n_name"},
 )
+# Each order with the customers whose balance is within one of a fiftieth of its price.
+BAND2 = _spec(
+    "oc",
+    left("o", "c", "c.c_acctbal < o.o_totalprice / 50 + 1 and c.c_acctbal > o.o_totalprice / 50 - 1"),
+    {"o_orderkey": "o.o_orderkey", "o_totalprice": "o.o_totalprice", "c_custkey": "c.c_custkey", "c_acctbal": "c.c_acctbal"},
+)
 # The same table twice: each part with the next one if that is of the same kind.
 SELF2 = _spec(
     "pq",
