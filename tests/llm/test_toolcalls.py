@@ -84,3 +84,13 @@ def test_turns(spark):
 
 def test_empty(spark):
     assert run(spark, [], []) == []
+
+
+def test_hostile_arguments_are_not_json(spark):
+    texts = ['{"x":1e999}', '{"x":[[-1e999]]}', '{"x":"\\ud800"}', '{"\\udfff":1}', "[" * 5000, '{"x":NaN}', '{"x":1' + "0" * 5000 + "}", '{"x":"\\ud83d\\ude00"}']
+    calls = [("c", i, f"k{i}", "f", text, None) for i, text in enumerate(texts)]
+    rows = {r.call_id: r for r in run(spark, calls, [("c", 1, "k0", "x")])}
+    assert len(rows) == len(texts)
+    for i in range(6):
+        assert rows[f"k{i}"].errors == ["arguments are not JSON"] and not rows[f"k{i}"].valid
+    assert rows["k7"].errors == [".x is not of type integer"] and "\U0001f600" in rows["k7"].exchange

@@ -15,7 +15,7 @@ a conversation belongs to the first (smallest turn, then tool, then arguments);
 and take no result. Of several results the first counts (smallest turn, then content). Equal calls or results are one row. A null identifier
 or conversation matches nothing: such calls have no result, such results are orphans. Calls in or behind a cycle have no place and
 are marked as errors, as are dependencies that no call has. Null or empty arguments are an empty
-object; a null content is a JSON null. Further columns are ignored.
+object; text with a number beyond the range of a double or a lone surrogate is not JSON, wherever in it that stands; a null content is a JSON null. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,9 +79,11 @@ def arguments_of(text: str | None):
     if text is None or not text.strip():
         return {}, None
     try:
-        return json.loads(text, parse_constant=_no_constant), None
+        value = json.loads(text, parse_constant=_no_constant)
+        canonical(value).encode()  # numbers beyond a double and lone surrogates can't be written again
     except (ValueError, RecursionError):
         return text, "arguments are not JSON"
+    return value, None
 
 
 def places(calls: DataFrame, scratch: Scratch) -> DataFrame:
