@@ -51,6 +51,17 @@ def test_minimum_union(spark):
     assert bag(out.select("c")) == ["('a only',)", "('b only',)", "('both',)"]
 
 
+def test_minimum_union_of_six_tables_copies_only_labels_that_occur(spark):
+    names = "abcdef"
+    data = [tuple(range(1, 7)), (1, 2, None, None, None, None), (1, None, None, None, None, None), (9, 2, None, None, None, None), (9, None, None, None, None, None), (8, None, None, None, None, None)]
+    given = rows(spark, data, ", ".join(f"{n} int" for n in names))
+    out = terms.remove_subsumed(given, {n: [n] for n in names})
+    assert bag(out) == sorted(map(repr, [data[0], data[3], data[5]]))
+    # Two labels can be covered: two copies in the plan, not 62.
+    assert out._jdf.queryExecution().analyzed().toString().count("struct(") == 2
+    assert bag(terms.remove_subsumed(given, {n: [n] for n in names}, [{"a"}])) == sorted(map(repr, [data[0], data[1], data[3], data[5]]))  # only a alone may be covered
+
+
 def test_null_variants_and_labels(spark):
     data = rows(spark, [(1, "x"), (2, None)])
     out = terms.null_variants(data, {"A": ["a"], "B": ["b"]}, [{"A"}, {"B"}, {"A", "B"}])

@@ -222,3 +222,78 @@ def test_left_join_tree_survives_json():
         "a.id > 0",
     )
     assert ViewSpec.from_json(spec.to_json()) == spec
+
+
+def test_a_failed_load_of_a_table_leaves_nothing(spark, tmp_path):
+    work = Workspace(spark, f"file://{tmp_path}/w")
+    work.add_table("a", frame(spark, [(1, "one")], A), ["id"])
+    bad = frame(spark, [(1, "x"), (2, "y")], A).withColumn("name", F.expr("raise_error('a bad row')").cast("string"))
+    with pytest.raises(Exception, match="a bad row"):
+        work.add_table("b", bad, ["id"], check=False)
+    work.apply({"a": Change(inserted=frame(spark, [(2, "two")], A))})
+    work.register_view("v", ViewSpec({"a": Table("a", "id")}, "a", {"id": "a.id"}))
+    assert work.tables() == ["a"] and work.view("v").count() == 2
+    work.add_table("b", frame(spark, [(1, "x")], A), ["id"])
+    with pytest.raises(ValueError, match="read by v"):
+        work.drop_table("a")
+    work.drop_table("b")
+    assert work.tables() == ["a"]
+    work.add_table("b", frame(spark, [(7, "z")], A), ["id"])
+    assert bag(work.table("b")) == ["(7, 'z')"]
+
+
+def test_a_killed_load_leaves_no_table(spark, tmp_path, monkeypatch):
+    work = Workspace(spark, f"file://{tmp_path}/w")
+    with monkeypatch.context() as m:
+        m.setattr(SnapshotStore, "_switch", lambda *a: 1 / 0)  # as if it died: nothing is cleared
+        with pytest.raises(ZeroDivisionError):
+            work.add_table("a", frame(spark, [(1, "one")], A), ["id"])
+    assert work.tables() == []
+    work.add_table("a", frame(spark, [(2, "two")], A), ["id"])
+    assert bag(work.table("a")) == ["(2, 'two')"]
+
+
+@pytest.mark.parametrize("kind", ["view", "query"])
+def test_a_failed_load_of_a_view_leaves_nothing(spark, tmp_path, kind):
+    work = Workspace(spark, f"file://{tmp_path}/w")
+    work.add_table("a", frame(spark, [(1, "one"), (0, "zero")], A), ["id"])
+    with pytest.raises(Exception, match="(?i)zero"):
+        if kind == "view":
+            work.register_view("v", ViewSpec({"a": Table("a", "id")}, "a", {"x": "1 div a.id"}))
+        else:
+            work.register_query("v", "select 1 div id as x from {a}")
+    assert work.views() == []
+    work.apply({"a": Change(deleted=frame(spark, [(0, "zero")], A))})
+    work.register_view("v", ViewSpec({"a": Table("a", "id")}, "a", {"x": "1 div a.id"}))
+    with pytest.raises(FileExistsError):
+        work.register_view("v", ViewSpec({"a": Table("a", "id")}, "a", {"x": "a.id"}))
+    assert bag(work.view("v")) == ["(1,)"] and work.verify("v").isEmpty()
+
+
+@pytest.mark.parametrize("call", ["add_table", "register_query", "refresh", "drop_view", "drop_table"])
+def test_no_call_shows_half_a_batch(spark, tmp_path, monkeypatch, call):
+    """A batch dies between the view and the table; whatever is called next finishes it first."""
+    work = Workspace(spark, f"file://{tmp_path}/w")
+    for name in ("a", "spare"):
+        work.add_table(name, frame(spark, [(1, "one")], A), ["id"])
+    for name in ("v", "other"):
+        work.register_view(name, ViewSpec({"a": Table("a", "id")}, "a", {"id": "a.id"}))
+    publish = SnapshotStore.publish
+    with monkeypatch.context() as m:
+        m.setattr(SnapshotStore, "publish", lambda self, *a: 1 / 0 if "/tables/" in self.root else publish(self, *a))
+        with pytest.raises(ZeroDivisionError):
+            work.apply({"a": Change(inserted=frame(spark, [(2, "two")], A))})
+    assert work.verify("v").isEmpty() and work.view("v").count() == 1
+    arguments = {"add_table": ("x", frame(spark, [(1, "x")], A), ["id"]), "register_query": ("q", "select count(*) as n from {a}"), "refresh": ("v",), "drop_view": ("other",), "drop_table": ("spare",)}
+    getattr(work, call)(*arguments[call])
+    assert work.verify("v").isEmpty() and work.view("v").count() == work.table("a").count() == 2
+    if call == "register_query":
+        assert bag(work.view("q")) == ["(2,)"]
+
+
+def test_old_versions_are_dropped_by_the_count_of_commits(spark, tmp_path):
+    work = Workspace(spark, f"file://{tmp_path}/w", keep=1, expire_every=2, compact_above=0.0)
+    work.add_table("a", frame(spark, [(1, "one")], A), ["id"])
+    for i in range(2, 6):
+        work.apply({"a": Change(inserted=frame(spark, [(i, "x")], A))})
+    assert len(work._files.names(f"{work.root}/tables/a/versions")) <= 3

@@ -7,12 +7,12 @@ table's name to the columns that identify its rows in the data at hand.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from itertools import combinations
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideview.functions.expressions import all_of, any_of, keys_match, null_when, quoted, typed_null
+from tideview.functions.expressions import keys_match, null_when, quoted, typed_null
 from tideview.plans.spec import KEEP, View, hidden
 from tideview.plans.view import Frames, working_rows
 
@@ -98,29 +98,30 @@ def remove_subsumed(
 ) -> DataFrame:
     """Drop a row when another one has the same tables' rows and more.
 
-    ``labels`` may name the labels that occur, to skip the others.
+    ``labels`` may name the labels that occur; else they are counted first, one number for each to the driver.
 
     Together with a union this is the minimum union by which an outer join can be
-    put together from inner joins. One pass makes the key tuples that each row
-    covers: its own with the keys of some tables NULL. Rows whose key tuple is among
-    these, reduced to distinct ones, go. The input is scanned twice, whatever the number of tables.
+    put together from inner joins. Only labels that occur and lie within another that occurs can be covered; a row is
+    copied (keys only) once for each of these below its own label. The input is scanned twice, and its keys once more for the labels.
     """
     names = list(keys_by_table)
+    bit = {t: 1 << i for i, t in enumerate(names)}
+    mask = reduce(lambda a, b: a + b, [F.when(_present(keys_by_table[t]), bit[t]).otherwise(0) for t in names])
     if labels is None:
-        labels = [c for size in range(1, len(names)) for c in combinations(names, size)]
-    keys = [k for t in names for k in keys_by_table[t]]
-    table_of = {k: t for t in names for k in keys_by_table[t]}
-    covered = []
-    for label in {frozenset(x) for x in labels} - {frozenset(names)}:
-        more = any_of(_present(keys_by_table[t]) for t in names if t not in label)
-        nulled = F.struct(
-            *[
-                (F.col(quoted(k)) if table_of[k] in label else typed_null(rows.schema[k].dataType)).alias(f"__w{i}")
-                for i, k in enumerate(keys)
-            ]
-        )
-        covered.append(F.when(all_of(_present(keys_by_table[t]) for t in label) & more, nulled))
+        occur = {r[0] for r in rows.select(mask.cast("long")).distinct().collect()}
+        covered = sorted(x for x in occur if x and any(x & m == x for m in occur - {x}))
+    else:
+        covered = sorted({sum(bit[t] for t in set(label)) for label in labels} - {0, (1 << len(names)) - 1})
     if not covered:
         return rows
-    tuples = rows.select(F.explode(F.array(*covered)).alias("__v")).where("__v is not null").select("__v.*").distinct()
-    return rows.join(tuples, F.expr(keys_match(keys, "__w", "<=>")), "left_anti")
+    keys = [(k, bit[t]) for t in names for k in keys_by_table[t]]
+
+    def copy(label: int) -> Column:
+        values = [F.col(quoted(k)) if label & b else typed_null(rows.schema[k].dataType) for k, b in keys]
+        more = (F.col("__mask").bitwiseAND(label) == label) & (F.col("__mask") != label)
+        return F.when(more, F.struct(*[v.alias(f"__w{i}") for i, v in enumerate(values)]))
+
+    marked = rows.withColumn("__mask", mask.cast("long"))
+    copies = F.explode(F.array(*map(copy, covered))).alias("__v")
+    tuples = marked.select(copies).where("__v is not null").select("__v.*").distinct()
+    return rows.join(tuples, F.expr(keys_match([k for k, _ in keys], "__w", "<=>")), "left_anti")

@@ -64,11 +64,24 @@ class Workspace:
         if buckets is None:
             buckets = min(1024, plan_bytes(rows) // (64 << 20))
         cluster = Cluster(keys[0], int(buckets)) if buckets > 1 else None
+        self.recover()
         if check and not key_violations(rows, keys).isEmpty():
             raise ValueError(f"{name}: {', '.join(keys)} is not a key")
         SnapshotStore.create(self.spark, self._table_root(name), rows, keys, cluster)
         self._commit()
 
+    def drop_table(self, name: str) -> None:
+        """Forget a table that no view reads, with its put-off changes."""
+        self.recover()
+        used = [v for v in self.views() if name in self._sources(v)]
+        if used:
+            raise ValueError(f"{name} is read by {', '.join(used)}")
+        for folder in (f"seqs/{name}", f"deferred/{name}"):
+            self._files.delete(f"{self.root}/{folder}")
+        if SnapshotStore.exists(self.spark, self._table_root(name)):
+            self._table(name).drop()
+        self._commit()
+
     # --- one state of all tables and views -----------------------------------------
 
     def _state(self) -> dict[str, int]:
@@ -80,8 +93,11 @@ class Workspace:
         names = [n for n in self._files.names(f"{self.root}/state") if n.endswith(".json")]
         return json.loads(self._files.read_text(f"{self.root}/state/{names[-1]}")) if names else {}
 
-    def _commit(self) -> None:
-        """Make what the stores hold now the state that readers see."""
+    def _commit(self) -> int:
+        """Make what the stores hold now the state that readers see; its number.
+
+        Only after ``recover``: else half of a batch that died would show.
+        """
         names = [n for n in self._files.names(f"{self.root}/state") if n.endswith(".json")]
         versions = {f"tables/{n}": self._table(n).manifest().number for n in self.tables()}
         versions |= {f"views/{n}": self._store(n).manifest().number for n in self.views() if self._loaded(n)}
@@ -89,6 +105,7 @@ class Workspace:
         self._files.write_new(f"{self.root}/state/{number:010d}.json", json.dumps(versions))
         for old in names[:-4]:
             self._files.delete(f"{self.root}/state/{old}")
+        return number
 
     def _loaded(self, name: str) -> bool:
         return SnapshotStore.exists(self.spark, self._view_root(name))
@@ -98,7 +115,8 @@ class Workspace:
         return self._table(name).read(self._state().get(f"tables/{name}"))
 
     def tables(self) -> list[str]:
-        return self._files.names(f"{self.root}/tables")
+        """Tables that are loaded; one whose load was cut off is none."""
+        return [n for n in self._files.names(f"{self.root}/tables") if SnapshotStore.exists(self.spark, self._table_root(n))]
 
     def _table_root(self, name: str) -> str:
         return f"{self.root}/tables/{name}"
@@ -116,9 +134,17 @@ class Workspace:
         for table in spec.tables.values():
             if set(table.keys) != set(self._table(table.source).keys):
                 raise UnsupportedView(f"{table.source} is kept by another key")
+        self.recover()
         view = bind(spec, {s: self.table(s) for s in spec.sources()})
-        self._files.write_new(self._definition(name), json.dumps({"spec": spec.to_json()}))
-        SnapshotStore.create(self.spark, self._view_root(name), build_view(view), view.key_names())
+        self._register(name, build_view(view), view.key_names(), {"spec": spec.to_json()})
+
+    def _register(self, name: str, rows: DataFrame, keys: Sequence[str], definition: Mapping) -> None:
+        """Load a view, then write its definition, which makes it one. A load that fails leaves nothing."""
+        if name in self.views():
+            raise FileExistsError(self._definition(name))
+        self._files.delete(self._view_root(name))  # of a run that died before it wrote the definition
+        SnapshotStore.create(self.spark, self._view_root(name), rows, keys)
+        self._files.write_new(self._definition(name), json.dumps(definition))
         self._commit()
 
     def register_query(self, name: str, sql: str) -> None:
@@ -127,10 +153,8 @@ class Workspace:
         The text names tables in braces: ``select count(*) as n from {orders}``.
         For views the maintenance rules do not cover, such as aggregates.
         """
-        rows = self._run(sql)
-        self._files.write_new(self._definition(name), json.dumps({"sql": sql}))
-        SnapshotStore.create(self.spark, self._view_root(name), rows, [])
-        self._commit()
+        self.recover()
+        self._register(name, self._run(sql), [], {"sql": sql})
 
     def _run(self, sql: str) -> DataFrame:
         used = {t: self._table(t).read() for t in self.tables() if "{" + t + "}" in sql}
@@ -138,11 +162,11 @@ class Workspace:
 
     def drop_view(self, name: str) -> None:
         """Forget a view: first its definition, so nothing maintains it, then its data."""
+        self.recover()
         self._files.delete(self._definition(name))
         self._bound.pop(name, None)
-        root = self._view_root(name)
-        if SnapshotStore.exists(self.spark, root):
-            SnapshotStore(self.spark, root).drop()
+        self._files.delete(f"{self._view_root(name)}/versions")
+        self._files.delete(self._view_root(name))
         self._commit()
 
     def views(self) -> list[str]:
@@ -157,6 +181,8 @@ class Workspace:
 
     def refresh(self, name: str, batch: Batch | None = None) -> None:
         """Compute a view anew from its tables."""
+        if batch is None:
+            self.recover()
         kind, text = self._kind(name)
         rows = self._run(text) if kind == "sql" else build_view(self._view(name), self._now(name))
         self._store(name).replace(rows, batch)
@@ -185,6 +211,13 @@ class Workspace:
         (item,) = json.loads(self._files.read_text(self._definition(name))).items()
         return item
 
+    def _sources(self, name: str) -> list[str]:
+        """The tables a view reads."""
+        kind, text = self._kind(name)
+        if kind == "sql":
+            return [t for t in self.tables() if "{" + t + "}" in text]
+        return ViewSpec.from_json(text).sources()
+
     def _view(self, name: str) -> View:
         if name not in self._bound:
             spec = ViewSpec.from_json(self._kind(name)[1])
@@ -269,12 +302,12 @@ class Workspace:
 
     def _close(self, entry: Mapping) -> None:
         """The batch is everywhere: show it, drop the feeds it came from, then forget it."""
-        self._commit()
+        number = self._commit()
         for folder in entry.get("done_with", []):
             self._files.delete(folder)
         self._files.delete(self._entry)
         self._files.delete(entry["path"])
-        if self._state() and max(self._state().values()) % self.expire_every == 0:
+        if number % self.expire_every == 0:  # every commit has the next number, so none is stepped over
             self.expire(self.keep)
 
     @property

@@ -125,15 +125,25 @@ class SnapshotStore:
 
         With ``cluster`` the bulk of the rows is kept in buckets, so that a reader who
         knows which values it wants skips the other folders. Later changes are not, until they are folded in.
+
+        All or nothing: a load that fails leaves no store, and what one that was killed has left
+        (there is no version, so it is no store) is cleared away.
         """
-        root = root.rstrip("/")
+        root, files = root.rstrip("/"), Files(spark)
+        if cls.exists(spark, root):
+            raise FileExistsError(root)
+        files.delete(root)
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields])
-        Files(spark).write_new(
+        files.write_new(
             f"{root}/store.json",
             json.dumps({"keys": list(keys), "schema": schema.jsonValue(), "cluster": cluster and vars(cluster)}),
         )
         store = cls(spark, root)
-        path = store._write_all(rows.withColumn(VERSION, F.lit(0)))
+        try:
+            path = store._write_all(rows.withColumn(VERSION, F.lit(0)))
+        except Exception:
+            files.delete(root)
+            raise
         store._switch(Manifest(0, (path,), (), 1, {}))
         return store
 
