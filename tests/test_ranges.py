@@ -92,7 +92,7 @@ def pairs_tried(left, right, band, copy_left=False):
 def test_a_band_tries_few_pairs(spark):
     n = F.col("id")
     left = spark.range(3000).select(n.alias("lid"), (n * 7919 % 100_003 / 7).alias("x")).alias("l")
-    right = spark.range(2000).select(n.alias("rid"), (n * 104729 % 100_003 / 7).alias("z")).withColumn("y", F.col("z") + 3 + F.when(n % 100 == 0, 9000).otherwise(0)).alias("r")
+    right = spark.range(2000).select(n.alias("rid"), (n * 104729 % 100_003 / 7).alias("z")).withColumn("y", F.col("z") + 3 + F.when(F.col("rid") % 100 == 0, 9000).otherwise(0)).alias("r")
     band = find_band(left, right, ["l.x < r.y and l.x > r.z"])
     assert band == Band("l.x", "r.y", "l.x", "r.z")
     matches = left.join(right, F.expr("l.x < r.y and l.x > r.z")).count()
