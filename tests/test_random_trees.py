@@ -13,6 +13,7 @@ from conftest import assert_same_bag
 from tideview import Change, Join, Table, UnsupportedView, ViewSpec, bind, build_view, maintain, tables_after
 
 SETS = 40
+USED = []  # terms whose orphans came from the delta alone
 SCHEMA = "t int, id int, x int, y int, z int"
 
 
@@ -25,10 +26,12 @@ def random_table(rng, most):
     return rows
 
 
-def random_on(rng, lefts, rights):
+def random_on(rng, lefts, rights, keyed=False):
     a, b = rng.choice(lefts), rng.choice(rights)
     on = [(f"{a}.t", f"{b}.t")]
     form = rng.choice(["eq", "eq", "eq", "theta", "const", "two", "swap", "or"])
+    if keyed and rng.random() < 0.7:  # the whole key of one side
+        return (*on, rng.choice([f"{a}.x = {b}.id", f"{a}.id = {b}.y", f"{a}.id = {b}.x and {a}.y <= {b}.z"]))
     c, d = rng.choice("xy"), rng.choice("xy")
     if form == "theta":
         on.append(f"{a}.{c} < {b}.{d}")
@@ -47,28 +50,30 @@ def random_on(rng, lefts, rights):
     return tuple(on)
 
 
-def random_tree(rng, names):
+def random_tree(rng, names, keyed=False):
     if len(names) == 1:
         return names[0]
     cut = rng.randint(1, len(names) - 1)
     kind = rng.choice(["inner", "left", "left", "right", "full", "full"])
     return Join(
         kind,
-        random_tree(rng, names[:cut]),
-        random_tree(rng, names[cut:]),
-        random_on(rng, names[:cut], names[cut:]),
+        random_tree(rng, names[:cut], keyed),
+        random_tree(rng, names[cut:], keyed),
+        random_on(rng, names[:cut], names[cut:], keyed),
     )
 
 
-def random_case(seed, aliases, self_join):
+def random_case(seed, aliases, self_join, keyed=False):
     rng = random.Random(zlib.crc32(f"{seed}".encode()))
     names = list("ABCD")[:aliases]
     sources = {n: n.lower() for n in names}
     if self_join:
         sources[names[-1]] = sources[names[0]]
     rng.shuffle(names)
-    tree = random_tree(rng, names)
+    tree = random_tree(rng, names, keyed)
     select = {f"{n}_{c}": f"{n}.{c}" for n in names for c in "xz"}
+    if keyed:
+        select["mix"] = f"coalesce({names[0]}.y, -1) + coalesce({names[-1]}.z, {names[0]}.id, -7)"
     where = rng.choice(
         ["true", "true", "true", "A.z > 0", "B.x is null or A.x is not null", "coalesce(A.x, B.x, 1) > 0", "A.id is null"]
     )
@@ -90,8 +95,8 @@ def random_change(rng, rows):
     return deleted, inserted
 
 
-def check(spark, staging, seed, aliases, self_join=False):
-    rng, spec, sources = random_case(seed, aliases, self_join)
+def check(spark, staging, seed, aliases, self_join=False, keyed=False):
+    rng, spec, sources = random_case(seed, aliases, self_join, keyed)
     rows = {s: random_table(rng, 5 - aliases // 2) for s in sources}
     frame = lambda r: spark.createDataFrame(r, SCHEMA).coalesce(1)
     tables = {s: staging.table(frame(r)) for s, r in rows.items()}
@@ -108,6 +113,7 @@ def check(spark, staging, seed, aliases, self_join=False):
             None if deleted is None else frame(deleted), None if inserted is None else frame(inserted)
         )
     view = bind(spec, tables)
+    USED.extend(t for a in view.aliases if view.source(a) in changes and changes[view.source(a)].deleted for t in view.certain_terms(a))
     stored = staging.table(build_view(view))
     result = staging.table(maintain(view, stored, tables, changes, staging))
     expected = staging.table(build_view(view, tables_after(view, tables, changes)))
@@ -132,6 +138,13 @@ def test_four_tables(spark, staging, seed):
     check(spark, staging, f"four-{seed}", 4)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_joins_on_whole_keys(spark, staging, seed):
+    check(spark, staging, f"key-{seed}", 2 + seed % 3, self_join=seed % 4 == 1, keyed=True)
+    if seed == 11:
+        assert len(USED) > 8, USED
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_table_under_two_aliases(spark, staging, seed):
     check(spark, staging, f"self-{seed}", 3, self_join=True)

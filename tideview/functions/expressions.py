@@ -66,6 +66,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def literal(text: str) -> str:
+    """A string literal in SQL text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def renamed(names: Iterable[str], prefix: str) -> list[str]:
     """Select texts that number the columns: ``prefix0``, ``prefix1`` and so on."""
     return [f"{quoted(n)} as {prefix}{i}" for i, n in enumerate(names)]

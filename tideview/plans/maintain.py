@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tideview.functions.expressions import cols, keys_match, null_text, quoted, renamed
 from tideview.operators.joins import distinct_if_large
 from tideview.plans.spec import View, hidden
-from tideview.plans.view import Frame, Frames, delta_rows, frames_of, kept, stage_large
+from tideview.plans.view import ALONE, Frame, Frames, delta_rows, frames_of, kept, stage_large
 from tideview.sources.changes import apply_changes
 from tideview.sources.snapshots import Step, apply_steps
 from tideview.sources.storage import Staging
@@ -85,6 +85,7 @@ def new_orphans(
     frames: Frames,
     staging: Staging,
     covered: DataFrame | None = None,
+    certain: Sequence[frozenset[str]] = (),
 ) -> DataFrame | None:
     """Rows that appear because they lost their last partner in ``alias``.
 
@@ -92,17 +93,19 @@ def new_orphans(
     the change. For each largest term without ``alias`` one of its aliases is cut
     down to the keys in question and the view evaluated around it: the rows with
     exactly that term's label are the new ones. ``covered`` may give key tuples
-    known to have a partner again; if that is all of them, Spark finds nothing to look up
-    and does not read the tables.
+    known to have a partner again; if that is all of them, the tables are not read.
+    Nor are they for the terms ``certain``, whose rows the delta holds (``certain_orphans``).
     """
     parts = []
     for term, labels in view.anchors(alias).items():
+        if term in certain:
+            continue
         names = view.key_names(term)
-        lost = delta.where(view.has_label(*labels)).select(*cols(names))
+        lost = _lost(view, delta, term, labels, covered).select(*cols(names)).distinct()
         if covered is not None:
-            found_again = covered.where(view.has_label(term)).select(*cols(names))
-            lost = _by_keys(lost, found_again, names, "left_anti")
-        lost = lost.distinct()
+            lost = staging.table(lost, "lost-keys")
+            if lost.isEmpty():
+                continue
         anchor = _nearest(view, alias, term)
         keys = view.keys(anchor)
         anchor_keys = lost.selectExpr(*[f"{quoted(hidden(anchor, k))} as {quoted(k)}" for k in keys])
@@ -123,6 +126,36 @@ def new_orphans(
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
+def certain_orphans(
+    view: View, alias: str, delta: DataFrame, terms: Sequence[frozenset[str]], covered: DataFrame | None = None
+) -> DataFrame | None:
+    """The new orphans of ``terms``, from the delta alone.
+
+    A tuple of these terms has one partner in ``alias`` at most (``View.certain_terms``), so the one
+    lost was the last. ``delta`` holds what is left of each row in ``__alone<i>``.
+    """
+    nulls = {n: null_text(delta.schema[n].dataType) for n in view.key_names()}
+    parts = []
+    for i, term in enumerate(terms):
+        labels, names = view.anchors(alias)[term], view.key_names(term)
+        lost = _lost(view, delta, term, labels, covered)
+        if any(len(label) > len(term) + 1 for label in labels):  # then several rows can hold the same tuple
+            lost = lost.dropDuplicates(names)
+        keys = [f"{quoted(n) if n in names else nulls[n]} as {quoted(n)}" for n in view.key_names()]
+        parts.append(lost.selectExpr(*keys, f"{ALONE}{i}.*"))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _lost(
+    view: View, delta: DataFrame, term: frozenset[str], labels: Sequence[frozenset[str]], covered: DataFrame | None
+) -> DataFrame:
+    """The delta rows whose tuple of ``term`` lost a partner and did not find one in ``covered``."""
+    lost, names = delta.where(view.has_label(*labels)), view.key_names(term)
+    if covered is None:
+        return lost
+    return _by_keys(lost, covered.where(view.has_label(term)).select(*cols(names)), names, "left_anti")
+
+
 def _join_columns_only(view: View, alias: str, frame: Frame) -> Frame:
     """The table with all columns NULL that no key or ON reads."""
     needed = view.join_columns(alias)
@@ -179,11 +212,15 @@ def maintenance_step(
         part.withColumn(ENTERS, F.lit(flag)) for part, flag in ((leaves, False), (enters, True)) if part is not None
     ]
     rows = reduce(DataFrame.unionByName, marked)
-    delta = staging.table(delta_rows(view, alias, rows, frames, staging, marks=[ENTERS]), f"delta-{alias}")
+    certain = view.certain_terms(alias) if leaves is not None else []
+    found = delta_rows(view, alias, rows, frames, staging, marks=[ENTERS], alone=certain)
+    left = [f"{ALONE}{i}" for i in range(len(certain))]
+    found = found.withColumns({c: F.when(~F.col(ENTERS), F.col(c)) for c in left}) if left else found
+    delta = staging.table(found, f"delta-{alias}")
     keys = cols(view.key_names())
     removed, added, covered = [], [], None
     if enters is not None:
-        came = delta.where(F.col(ENTERS)).drop(ENTERS)
+        came = delta.where(F.col(ENTERS)).drop(ENTERS, *left)
         covered = smaller_keys(view, alias, came)
         if covered is not None:
             removed.append(covered)
@@ -191,9 +228,10 @@ def maintenance_step(
     if leaves is not None:
         went = delta.where(~F.col(ENTERS)).drop(ENTERS)
         removed.append(kept(went).select(*keys))
-        orphans = new_orphans(view, alias, went, {**frames, alias: after}, staging, covered)
-        if orphans is not None:
-            added.append(kept(orphans))
+        looked_up = new_orphans(view, alias, went, {**frames, alias: after}, staging, covered, certain)
+        for orphans in (certain_orphans(view, alias, went, certain, covered), looked_up):
+            if orphans is not None:
+                added.append(kept(orphans))
 
     def union(parts):
         return reduce(DataFrame.unionByName, parts) if parts else None

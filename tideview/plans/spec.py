@@ -15,8 +15,9 @@ from functools import cached_property, reduce
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tideview.functions.expressions import all_of, quoted, typed_null
+from tideview.functions.expressions import all_of, null_text, quoted, typed_null
 
 KINDS = ("inner", "left", "right", "full")
 KEEP = "__keep"
@@ -224,6 +225,68 @@ class View:
     def outputs(self) -> list[str]:
         return list(self.spec.select)
 
+    def result_texts(self, keep: str = KEEP) -> list[str]:
+        """The select list and WHERE as select texts."""
+        texts = [f"{e} as {quoted(n)}" for n, e in self.spec.select.items()]
+        return [*texts, f"coalesce(cast(({self.spec.where}) as boolean), false) as {keep}"]
+
+    @cached_property
+    def shown_columns(self) -> dict[str, T.StructType] | None:
+        """The columns of each alias that the select list or WHERE reads.
+
+        None if these texts mean something else when each alias is a struct column (a column
+        without its alias).
+        """
+        wide = _side_by_side([self.schemas[t.source].alias(a) for a, t in self.spec.tables.items()])
+        plain = wide.selectExpr(*self.result_texts())
+        columns = plain._jdf.queryExecution().analyzed().references().toSeq()
+        read = [columns.apply(i) for i in range(columns.size())]
+        read = {(c.qualifier().last(), c.name()) for c in read}
+        out = {}
+        for a in self.aliases:
+            fields = [T.StructField(f.name, f.dataType) for f in self.schemas[self.source(a)].schema.fields if (a, f.name) in read]
+            if fields:
+                out[a] = T.StructType(fields)
+        nulls = [f"{null_text(kind)} as {quoted(a)}" for a, kind in out.items()]
+        try:
+            apart = wide.selectExpr(*nulls, "1 as __one").selectExpr(*self.result_texts())
+        except AnalysisException:
+            return None
+        return out if apart.dtypes == plain.dtypes else None
+
+    def determines(self, term: frozenset[str], alias: str) -> bool:
+        """Whether a tuple of the term meets one row of ``alias`` at most: ONs equate the whole
+        key of ``alias`` with what only columns of the term tell."""
+        keys = {f"{alias}.{k}": k for k in self.keys(alias)}
+
+        def equal(node: Node) -> set[str]:
+            if node.leaf:
+                return set()
+            found = equal(node.left) | equal(node.right)
+            for c in node.on:
+                if c.right is None:
+                    continue
+                for mine, other, names in ((c.left, c.right, c.names - c.left_names), (c.right, c.left, c.left_names)):
+                    key = keys.get(mine.replace("`", "").strip())
+                    if key and names <= term and self._compared_as_is(alias, key, other):
+                        found.add(key)
+            return found
+
+        return set(self.keys(alias)) <= equal(self.root)
+
+    def _compared_as_is(self, alias: str, key: str, other: str) -> bool:
+        """Whether the key is compared without a conversion that makes different keys equal."""
+        wide = _side_by_side([self.schemas[t.source].alias(a) for a, t in self.spec.tables.items()])
+        a, b = self.schemas[self.source(alias)].schema[key].dataType, wide.select(F.expr(other)).schema[0].dataType
+        exact = (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType, T.BinaryType, T.BooleanType)
+        return (isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType)) or (a == b and isinstance(a, exact))
+
+    def certain_terms(self, alias: str) -> list[frozenset[str]]:
+        """The terms of ``anchors`` whose tuples have no other partner in ``alias`` than the one they lose."""
+        if self.shown_columns is None:
+            return []
+        return [t for t in self.anchors(alias) if self.determines(t, alias)]
+
     def has_label(self, *labels: frozenset[str]) -> Column:
         """Whether a working row contains exactly the aliases of one of the labels."""
 

@@ -15,13 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideview.functions.expressions import cols, quoted
+from tideview.functions.expressions import cols, literal, null_text, quoted
 from tideview.operators.joins import SKEW_BYTES, distinct_if_large, setting, skew_safe_join
 from tideview.plans.spec import KEEP, Condition, Node, View, hidden
 from tideview.sources.changes import apply_changes
 from tideview.sources.snapshots import BUCKET, VERSION, Cluster, live_rows
 from tideview.sources.storage import Staging, plan_bytes
 
+# Structs that hold what remains of a row when tables are taken from it.
+ALONE = "__alone"
+
+
 @dataclass(frozen=True, eq=False)
 class Frame:
     """A table as it is after changes that its files do not show yet.
@@ -114,18 +118,36 @@ def working_rows(
     frames: Frames,
     kinds: Mapping[Node, str] | None = None,
     marks: Sequence[tuple[str, str]] = (),
+    alone: Sequence[frozenset[str]] = (),
 ) -> DataFrame:
     """All rows of the join tree, before WHERE.
 
     ``marks`` are further (alias, column) pairs to carry along; they are part of
-    what identifies a row of that alias.
+    what identifies a row of that alias. For the i-th term of ``alone`` a struct ``__alone<i>`` holds
+    the select list and the flag as they are without the tables outside that term.
     """
     joined = _join_tree(view, view.root, frames, kinds or {}, marks)
     columns = [f"{quoted(a)}.{quoted(k)} as {quoted(hidden(a, k))}" for a in view.aliases for k in view.keys(a)]
-    columns += [f"{e} as {quoted(n)}" for n, e in view.spec.select.items()]
-    columns.append(f"coalesce(cast(({view.spec.where}) as boolean), false) as {KEEP}")
+    columns += view.result_texts()
     columns += [f"{quoted(a)}.{quoted(c)} as {quoted(c)}" for a, c in marks]
-    return joined.selectExpr(*columns)
+    return _with_alone(view, joined, columns, alone) if alone else joined.selectExpr(*columns)
+
+
+def _with_alone(view: View, joined: DataFrame, columns: Sequence[str], alone: Sequence[frozenset[str]]) -> DataFrame:
+    """Each alias becomes a struct of its name, or a NULL, so that the texts of the view apply as they are.
+    Catalyst resolves the structs away again."""
+    shown = view.shown_columns
+    held = {a: f"__table{i}" for i, a in enumerate(shown)}
+    tables = [
+        f"named_struct({', '.join(f'{literal(f.name)}, {quoted(a)}.{quoted(f.name)}' for f in kind.fields)}) as {held[a]}"
+        for a, kind in shown.items()
+    ]
+    rows = joined.selectExpr(*columns, *tables)
+    for i, term in enumerate(alone):
+        row = f"struct({', '.join(map(quoted, rows.columns))}) as __row"
+        scope = [f"{held[a] if a in term else null_text(kind)} as {quoted(a)}" for a, kind in shown.items()]
+        rows = rows.selectExpr(row, *scope).selectExpr("__row.*", f"struct({', '.join(view.result_texts())}) as {ALONE}{i}")
+    return rows.drop(*held.values())
 
 
 def _join_tree(view: View, node: Node, frames: Frames, kinds, marks) -> DataFrame:
@@ -253,6 +275,7 @@ def delta_rows(
     staging: Staging,
     row_keys: DataFrame | None = None,
     marks: Sequence[str] = (),
+    alone: Sequence[frozenset[str]] = (),
 ) -> DataFrame:
     """Working rows that contain one of ``rows`` of ``alias``.
 
@@ -262,7 +285,7 @@ def delta_rows(
     staged, because they are used again and their real size is then known.
 
     ``row_keys`` may give the keys of ``rows`` where these are cheaper to read than
-    ``rows``. ``marks`` are columns of ``rows`` to carry along.
+    ``rows``. ``marks`` are columns of ``rows`` to carry along; ``alone`` as in ``working_rows``.
     """
     plan = delta_plan(view, alias)
     frames = {**frames, alias: Frame(rows)}
@@ -277,7 +300,7 @@ def delta_rows(
         column = into_text.replace("`", "").removeprefix(f"{r.into}.")
         cut = source.near(column, wanted, "__w").meeting(r.into, wanted, F.expr(f"({into_text}) = __w"))
         frames[r.into] = stage_large(cut, source, staging, r.into)
-    return working_rows(view, frames, plan.kinds, [(alias, m) for m in marks])
+    return working_rows(view, frames, plan.kinds, [(alias, m) for m in marks], alone)
 
 
 def stage_large(cut: DataFrame, source: Frame, staging: Staging, name: str) -> Frame:
