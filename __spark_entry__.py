@@ -221,9 +221,9 @@ def apply_changes_orders(spark, sf_dir):
     return _changed_orders(spark, sf_dir)[1].select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-def diff_orders(spark, sf_dir):
+def diff_orders(spark, sf_dir, digests=False):
     old, new = _changed_orders(spark, sf_dir)
-    return diff_snapshots(old, new, KEYS["orders"]).select(
+    return diff_snapshots(old, new, KEYS["orders"], digests).select(
         "op",
         F.coalesce("before.o_orderkey", "after.o_orderkey").alias("o_orderkey"),
         F.col("before.o_totalprice").alias("old_price"),
@@ -371,11 +371,11 @@ def verify_clean(spark, sf_dir):
     return bags.verify_view(visible(view, stored), visible(view, build_view(view, now)))
 
 
-def verify_broken(spark, sf_dir):
+def verify_broken(spark, sf_dir, digests=False):
     """A view that was not told that the returned lines are gone."""
     view, tables, _ = _setup(spark, sf_dir, LEFT2)
     now = _but(tables, "lineitem", RETURNED)
-    return bags.verify_view(visible(view, build_view(view)), visible(view, build_view(view, now)))
+    return bags.verify_view(visible(view, build_view(view)), visible(view, build_view(view, now)), digests)
 
 
 # --- stored views ------------------------------------------------------------------------
@@ -548,6 +548,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "split_inserted": partial(split_query, 1),
         "apply_changes_orders": apply_changes_orders,
         "diff_orders": diff_orders,
+        "diff_orders_digests": partial(diff_orders, digests=True),
         "net_changes_events": net_changes_events,
         "key_violations": key_violations_lineitem,
         "delete_matching": delete_matching,
@@ -567,6 +568,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "remove_subsumed": remove_subsumed,
         "verify_clean": verify_clean,
         "verify_broken": verify_broken,
+        "verify_broken_digests": partial(verify_broken, digests=True),
         "deferred_refresh": deferred_refresh,
         "stored_view": stored_view,
         "view_after_drop": view_after_drop,
@@ -735,6 +737,7 @@ def oracle_sql() -> dict[str, str]:
             from {lines_left} group by l_suppkey""",
         "stream_maintain": final,
     }
+    out |= {f"{name}_digests": out[name] for name in ("diff_orders", "verify_broken")}
     if llm:
         out |= llm.oracle_sql()
     return out

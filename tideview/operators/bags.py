@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideview.functions.expressions import cols
+from tideview.operators.digests import where_they_differ
 from tideview.operators.joins import matching_rows, rows_without_match
 
 # A row repeated more often than this is written out by several tasks.
@@ -71,12 +72,15 @@ def insert_rows(result: DataFrame, delta: DataFrame) -> DataFrame:
     return result.unionByName(delta)
 
 
-def verify_view(result: DataFrame, recomputed: DataFrame) -> DataFrame:
+def verify_view(result: DataFrame, recomputed: DataFrame, digests: bool = False) -> DataFrame:
     """Rows the result lacks (``missing``) or should not have (``stale``).
 
     Empty when both are the same bag. Both kinds are always reported, from one count
-    of the copies on each side.
+    of the copies on each side. With ``digests`` both sides are first summed up by bucket, at once, and
+    only buckets that differ are counted row by row. That pays where both are expected to be equal.
     """
+    if digests:
+        recomputed, result = where_they_differ(recomputed.select(*cols(result.columns)), result, result.columns)
     n = F.col("__n")
     problem = F.when(n > 0, "missing").otherwise("stale")
     surplus = _surplus(recomputed, result)

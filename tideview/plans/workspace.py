@@ -193,10 +193,10 @@ class Workspace:
         """Rows by which the view differs from its query; empty if all is well."""
         kind, text = self._kind(name)
         if kind == "sql":
-            return verify_view(self.view(name), self._run(text))
+            return verify_view(self.view(name), self._run(text), digests=True)
         view = self._view(name)
         now = {s: self.table(s) for s in view.spec.sources()}
-        return verify_view(self.view(name), visible(view, build_view(view, now)))
+        return verify_view(self.view(name), visible(view, build_view(view, now)), digests=True)
 
     def _definition(self, name: str) -> str:
         return f"{self.root}/definitions/{name}.json"

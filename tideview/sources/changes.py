@@ -23,6 +23,7 @@ from tideview.functions.expressions import (
     rows_differ,
     typed_null,
 )
+from tideview.operators.digests import where_they_differ
 
 
 def split_changes(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -145,9 +146,15 @@ def refused_inserts(
     return out.unionByName(there.withColumn("problem", F.lit("exists")))
 
 
-def diff_snapshots(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Change feed that turns ``old`` into ``new``; both have unique ``keys``."""
+def diff_snapshots(old: DataFrame, new: DataFrame, keys: Sequence[str], digests: bool = False) -> DataFrame:
+    """Change feed that turns ``old`` into ``new``; both have unique ``keys``.
+
+    With ``digests`` both are first summed up by bucket of the key, at once, and only
+    buckets that differ are joined. That pays for large tables with few changes.
+    """
     payload = old.columns
+    if digests:
+        old, new = where_they_differ(old, new.select(*cols(payload)), keys)
     left = old.select(*cols(keys), row_of(payload).alias("before"))
     right = new.select(*cols(keys), row_of(payload).alias("after"))
     left = left.select(*[c.alias(f"__l{i}") for i, c in enumerate(cols(keys))], "before")
