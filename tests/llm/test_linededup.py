@@ -1,6 +1,8 @@
 import random
+import re
 
 import numpy as np
+import pytest
 from edges import LONG, documents, nothing
 
 from tideview.llm import linededup
@@ -154,3 +156,47 @@ def test_a_passage_within_its_own_document(spark):
     words = "again and " * 60
     got = run(spark, [(1, words, "en", "s", 0)])
     assert 24 <= len(got[1, "s"].text.split()) <= 72
+
+
+@pytest.mark.parametrize("line_end", ["\n\n", "\r\n", "\n   ", " \n"])
+def test_equal_lines_under_other_line_breaks(spark, line_end):
+    lines = [" ".join(f"b{k}x{i}" for i in range(30)) for k in range(20)]
+    got = run(spark, [(1, "\n".join(lines), "en", "s", 0), (2, line_end.join(lines), "en", "s", 0)])
+    assert got[2, "s"].n_removed_words == 600 and not got[2, "s"].text.strip()
+    assert got[1, "s"].text == "\n".join(lines)
+
+
+def removed_by_brute_force(texts):
+    """Words that go from each text, from the chunks of all texts and a dictionary of their bytes."""
+    found, spots = {}, []
+    for i in sorted(texts):
+        t = texts[i].encode()
+        bounds = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        c = linededup.windows([t])
+        for at, n in sorted(zip(c["at"].tolist(), c["words"].tolist())):
+            key = re.sub(rb"\s*\n\s*", b"\n", t[bounds[at][0] : bounds[at + n - 1][1]])
+            spots.append((i, at, n, key))
+            found.setdefault(key, (i, at))
+    gone = {i: set() for i in texts}
+    for i, at, n, key in spots:
+        kept, first = found[key]
+        if i != kept or at >= first + n:
+            gone[i].update(range(at, at + n))
+    return {i: len(x) for i, x in gone.items()}
+
+
+@pytest.mark.parametrize("a_task", [5000, 3])
+def test_against_brute_force(spark, monkeypatch, a_task):
+    monkeypatch.setattr(linededup, "_A_TASK", a_task)
+    passages = [own(DRAW.randrange(1, 4), 2).replace(". ", DRAW.choice([". ", ".  ", ".\n"])) for _ in range(8)]
+    texts = {}
+    for i in range(60):
+        parts = [own(1, 2), *DRAW.sample(passages, DRAW.randrange(0, 4)), own(1, 1)]
+        if i % 3 == 0:
+            parts.append(passages[0])  # one passage in a third of all rows
+        DRAW.shuffle(parts)
+        texts[i] = DRAW.choice(["\n", " ", "\n\n"]).join(parts)
+    texts[60], texts[61] = texts[7], ("round and " * 70).strip()
+    got = run(spark, [(i, t, "en", "s", 0) for i, t in texts.items()])
+    want = removed_by_brute_force(texts)
+    assert {i: got[i, "s"].n_removed_words for i in texts} == want and sum(want.values()) > 1000

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideview.sources.storage import shared_dir
+from tideview.sources.storage import Files, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +23,18 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._saved: list[tuple[DataFrame, str]] = []
 
     def saved(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = f"{self.path}/{self._n:03d}-{name}"
         self._n += 1
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self._saved.append((self.spark.read.schema(df.schema).parquet(path), path))
+        return self._saved[-1][0]
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table that ``saved`` returned and nothing reads any more."""
+        Files(self.spark).delete(next(path for saved, path in self._saved if saved is df))
 
     def local_path(self, name: str) -> str:
         """A name below the folder for tasks that write files of their own."""

@@ -1,22 +1,26 @@
 """Line dedup by content-defined chunks of lines.
 
-A text is a sequence of lines. A line of ``long_words`` words or more is cut further after its
-clauses and is bounded on both sides; elsewhere a hash that rolls over the hashes of
-the last ``roll`` lines puts a boundary where it is divisible by ``mean_lines``. So boundaries
+A text is a sequence of lines. As lines may be of any length, they are wrapped: a wrapped line begins where a
+line begins and at each word whose hash is the least of some ``wrap`` words in a row. A hash that rolls over the hashes
+of ``roll`` wrapped lines puts a boundary before the line where it is the least of some ``among`` lines in a row. So boundaries
 depend on nearby content alone, and a passage that is shifted into another text gets the same
-chunks, but for those at its ends.
+ones, but for the first few. A boundary is also where a text or a line of ``long_words`` words or more begins.
 
-What is compared are windows of ``min_words`` words: the one that begins with each chunk, the one that ends with
-each chunk, and of any ``min_words`` windows that follow each other the one with the least hash (winnowing). So two texts that
-share 2 min_words - 1 words in a row (47) share a window, however the lines are cut, and the windows that
-are found in a row leave no gap. A window lies in several lines or in a long line; a long line
-counts as several, being wrapped wherever it is shown. So a short line that many documents share stays.
+What is compared are chunks of whole wrapped lines: from each boundary as many as make ``min_words`` words. Two
+texts that share 47 words in a row share a chunk, however the lines are cut, and the chunks of
+a longer passage overlap. The last ``min_words`` words of a text and of a long line are a chunk too. A short line that many
+documents share stays.
 
-Windows are counted by hash over all documents. One found more than once is kept
+Chunks are compared by the bytes of their words and of the white space between them; white space that holds a line break counts as one
+line break. So blank lines, line ends of other systems and indents do not matter, but spaces within a line do.
+
+Chunks are counted by hash over all documents. One found more than once is kept
 in the document with the smallest id (there in its first place) and is repeated elsewhere; in the document that keeps it only
-where it does not overlap the kept place. Stretches of repeated windows with one kept stretch are compared with it byte by byte.
+where it does not overlap the kept place. Chunks that overlap and repeat one kept passage are a run, and runs are compared with it byte by byte.
 What the equal ones cover is removed.
 
+A hash that very many chunks have is dealt out over several tasks, with a copy of its kept place for each.
+
 Defined results: null and empty texts stay as they are, as do lines of white space
 alone, unless they lie within a removed run. Rows that repeat an id with the same text are one document to
 the counting and are cut alike. Rows without an id can't keep a passage for others
@@ -25,6 +29,8 @@ and lose nothing if no row with an id has it. Further columns stay untouched.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +41,11 @@ from tideview.llm.common import Scratch, by_batch, texts, unused
 _U = np.uint64
 _FACTOR, _ROLL = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95)
 _INVERSE = _U(pow(int(_FACTOR), -1, 1 << 64))
-_CHUNK = [("of", pa.int32()), ("chunk", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("several", pa.bool_()), ("hash", pa.int64())]
-_WINDOW = [("of", pa.int32()), ("at", pa.int32()), ("hash", pa.int64())]
+_BREAK = _U(0xA24BAED4963EE407)
+_CHUNK = [("of", pa.int32()), ("chunk", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("hash", pa.int64())]
+_WINDOW = [("of", pa.int32()), ("at", pa.int32()), ("words", pa.int32()), ("hash", pa.int64())]
+#: White space that holds a line break.
+_LINE_BREAK = re.compile(rb"[ \t\r\x0b\x0c]*\n[ \t\n\r\x0b\x0c]*")
 #: Bytes that are cut up at a time, unless one text is longer.
 _BYTES = 1 << 18
 
@@ -67,20 +76,6 @@ def _any_of(data: np.ndarray, signs: bytes) -> np.ndarray:
     return known[data]
 
 
-def chunks(rows: list[bytes | None], **shape) -> dict[str, np.ndarray]:
-    """All chunks of some texts, in order: number of the text, number in the text, first byte and end in
-    it, words, whether it has several lines, hash of its words. Chunks without words are left out.
-    """
-    return _cut(rows, 0, **shape)[0]
-
-
-def windows(rows: list[bytes | None], size: int = 24, **shape) -> dict[str, np.ndarray]:
-    """The windows of some texts that are compared, in order: number of the text, first word (its number in the
-    text), hash of the bytes. Each has ``size`` words.
-    """
-    return _cut(rows, size, **shape)[1]
-
-
 def _least(h: np.ndarray, whole: np.ndarray, size: int) -> np.ndarray:
     """Whether each number is the least of some ``size`` in a row, of those rows that are ``whole`` (by their first)."""
     n, wide = len(h), -(-(len(h) + size) // size) * size
@@ -96,100 +91,107 @@ def _least(h: np.ndarray, whole: np.ndarray, size: int) -> np.ndarray:
     return most == h
 
 
-def _cut(
-    rows: list[bytes | None], size: int, long_words: int = 20, mean_lines: int = 3, roll: int = 2
-) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """Chunks, and windows of ``size`` words (none for 0)."""
-    sizes = np.array([len(t) if t else 0 for t in rows], np.int64)
-    data = np.frombuffer(b"".join(t for t in rows if t), np.uint8)
-    n = len(data)
-    if not n:
-        return tuple({name: np.zeros(0, kind.to_pandas_dtype()) for name, kind in kinds} for kinds in (_CHUNK, _WINDOW))
-    ends_of_text = np.cumsum(sizes)
-    filled = sizes > 0
-    first = np.zeros(n, bool)  # of a text
-    first[(ends_of_text - sizes)[filled]] = True
-    newline, blank = data == 10, _any_of(data, b" \t")
-    space = _any_of(data, b" \t\n\r\x0b\x0c")
-    starts_word = ~space & (np.concatenate([[True], space[:-1]]) | first)
-    words_before = np.concatenate([[0], np.cumsum(starts_word)])
-
-    # Lines, and the clauses of long ones: a clause ends behind its marks and the blanks after them.
-    line_starts = first | np.concatenate([[False], newline[:-1]])
-    begin = np.flatnonzero(line_starts)
-    words_of_line = np.diff(words_before[np.append(begin, n)])
-    line = np.cumsum(line_starts) - 1
-    is_long = (words_of_line >= long_words)[line]
-    mark = _any_of(data, b".!?,;")
-    at = np.arange(n)
-    last_sign = np.maximum.accumulate(np.where(blank, 0, at))
-    after_mark = np.concatenate([[False], mark[last_sign[:-1]]])
-    starts_unit = line_starts | (is_long & after_mark & ~mark & ~blank & ~newline)
-    begin = np.flatnonzero(starts_unit)
-    end = np.append(begin[1:], n)
-    words = words_before[end] - words_before[begin]
-    of_long = is_long[begin]
-    text_of = np.searchsorted(ends_of_text, begin, side="right")
-
-    # A hash of any range: a polynomial over its signs and where its words start.
-    signs_before = np.concatenate([[0], np.cumsum(~space)])
-    value = (data[~space].astype(_U) + _U(1)) + _U(257) * starts_word[~space].astype(_U)
-    power, back = _powers(n)
-    summed = np.concatenate([[_U(0)], np.cumsum(value * power[: len(value)], dtype=_U)])
-
-    def hashed(a: np.ndarray, z: np.ndarray) -> np.ndarray:
-        a, z = signs_before[a], signs_before[z]
-        return _mixed((summed[z] - summed[a]) * back[a])
-
-    # Boundaries: forced around long lines and at the end of a text, else where the rolling hash says so.
-    same_text = text_of[1:] == text_of[:-1]
-    new_line = line_starts[begin[1:]]
-    forced = np.append(~same_text | (new_line & (of_long[1:] | of_long[:-1])), True)
-    part = np.cumsum(np.concatenate([[0], forced[:-1]]))
-    unit = hashed(begin, end)
-    rolled = unit.copy()
-    for back_by in range(1, min(roll, len(unit))):
-        near = part[back_by:] == part[:-back_by]
-        rolled[back_by:] += np.where(near, unit[:-back_by] * _ROLL ** _U(back_by), _U(0))
-    cut = forced | ((words > 0) & ((rolled >> _U(20)) % _U(mean_lines) == 0))
-
-    last = np.flatnonzero(cut)
-    start_unit = np.append(0, last[:-1] + 1)
-    a, z = begin[start_unit], end[last]
-    worded = np.concatenate([[0], np.cumsum(words > 0)])
-    longs = np.concatenate([[0], np.cumsum(of_long)])
-    several = (worded[last + 1] - worded[start_unit] > 1) | (longs[last + 1] > longs[start_unit])
-    of = text_of[start_unit]
+class _Lines:
+    """The words and wrapped lines of some texts, and where the boundaries are."""
+
+    def __init__(self, rows: list[bytes | None], long_words: int = 20, wrap: int = 3, among: int = 6, roll: int = 2):
+        self.sizes = np.array([len(t) if t else 0 for t in rows], np.int64)
+        self.data = data = np.frombuffer(b"".join(t for t in rows if t), np.uint8)
+        n = len(data)
+        ends = np.cumsum(self.sizes)
+        space = _any_of(data, b" \t\n\r\x0b\x0c")
+        before, after = np.ones(n, bool), np.ones(n, bool)  # white space or a text's end there
+        before[1:], after[:-1] = space[:-1], space[1:]
+        filled = self.sizes > 0
+        before[(ends - self.sizes)[filled]] = True
+        after[ends[filled] - 1] = True
+        self.word, self.close = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+        self.text_ends = ends
+        self.n = len(self.word)
+        if not self.n:
+            return
+        self.text = np.searchsorted(ends, self.word, side="right")
+        self.new_text = np.append(True, self.text[1:] != self.text[:-1])
+        breaks = np.searchsorted(np.flatnonzero(data == 10), self.word)
+        line_start = self.new_text | np.append(True, breaks[1:] != breaks[:-1])
+
+        # Hashes of words, and of the white space behind them.
+        power, back = _powers(n)
+        summed = np.concatenate([[_U(0)], np.cumsum((data.astype(_U) + _U(1)) * power[:n], dtype=_U)])
+        words = _mixed((summed[self.close] - summed[self.word]) * back[self.word])
+        gap = np.full(self.n, _BREAK)
+        inner = np.flatnonzero(~line_start[1:])
+        gap[inner] = _mixed((summed[self.word[inner + 1]] - summed[self.close[inner]]) * back[self.close[inner]] ^ _BREAK)
+        self.power, self.back, self.gap = power, back, gap
+        self.summed = np.concatenate([[_U(0)], np.cumsum((words + gap) * power[: self.n], dtype=_U)])
+
+        self.unit = np.flatnonzero(line_start | _least(words, self._one_text(self.text, wrap), wrap))
+        self.unit_end = np.append(self.unit[1:], self.n)
+        of = self.text[self.unit]
+        rolled = hashes = self.hashed(self.unit, self.unit_end)
+        for by in range(1, min(roll, len(hashes))):
+            rolled = rolled + np.append(np.where(of[by:] == of[:-by], hashes[by:] * _ROLL ** _U(by), _U(0)), np.zeros(by, _U))
+        cut = _least(_mixed(rolled), self._one_text(of, among), among) | self.new_text[self.unit]
+        # Lines as they are, for long ones.
+        first = np.flatnonzero(line_start)
+        end = np.append(first[1:], self.n)
+        long = end - first >= long_words
+        cut[np.searchsorted(self.unit, first[long])] = True
+        self.boundary = np.flatnonzero(cut)
+        self.line_ends = end[long | np.append(self.new_text[first[1:]], True)]  # of long lines and of texts
+
+    @staticmethod
+    def _one_text(text: np.ndarray, size: int) -> np.ndarray:
+        """Whether this one and those that follow it, ``size`` in all, are of one text."""
+        out = np.zeros(len(text), bool)
+        m = max(0, len(text) - size + 1)
+        out[:m] = text[:m] == text[size - 1 :]
+        return out
+
+    def hashed(self, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Of the words from a to z and the white space between them."""
+        return _mixed((self.summed[z] - self.summed[a] - self.gap[z - 1] * self.power[z - 1]) * self.back[a])
+
+
+def chunks(rows: list[bytes | None], **shape) -> dict[str, np.ndarray]:
+    """What lies between the boundaries of some texts, in order: number of the text, number in the text, first byte and end in
+    it, words, hash of its words. Texts without words have none.
+    """
+    lines = _Lines(rows, **shape)
+    if not lines.n:
+        return {name: np.zeros(0, kind.to_pandas_dtype()) for name, kind in _CHUNK}
+    a = lines.unit[lines.boundary]
+    z = np.append(a[1:], lines.n)
+    of = lines.text[a]
+    offset = (lines.text_ends - lines.sizes)[of]
     number = np.arange(len(of)) - np.searchsorted(of, of)
-    offset = (ends_of_text - sizes)[of]
-    total = words_before[z] - words_before[a]
-    out = {"of": of, "chunk": number, "start": a - offset, "end": z - offset, "words": total, "several": several}
-    out["hash"] = hashed(a, z).view(np.int64)
-    out = {name: x[total > 0] for name, x in out.items()}
-
-    n_words = int(words_before[-1])
-    places = n_words - size + 1  # of windows over all texts put together
-    if not size or places <= 0:
-        return out, {name: np.zeros(0, kind.to_pandas_dtype()) for name, kind in _WINDOW}
-    word = np.flatnonzero(starts_word)
-    word_end = np.flatnonzero(~space & np.append(space[1:] | first[1:], True)) + 1
-    text_of_word, line_of_word = np.searchsorted(ends_of_text, word, side="right"), line[word]
-    begins, closes = word[:places], word_end[size - 1 :]
-    one_text = text_of_word[:places] == text_of_word[size - 1 :]
-    shown = one_text & ((line_of_word[:places] != line_of_word[size - 1 :]) | is_long[begins])
-    # A hash of the bytes, white space included.
-    power, back = _powers(n)
-    summed = np.concatenate([[_U(0)], np.cumsum((data.astype(_U) + _U(1)) * power[:n], dtype=_U)])
-    h = _mixed((summed[closes] - summed[begins]) * back[begins])
-    picked = np.zeros(places, bool)
-    for at in (words_before[a], words_before[z] - size):
-        picked[at[(at >= 0) & (at < places)]] = True
-    whole = np.zeros(places, bool)
-    whole[: max(0, places - size + 1)] = text_of_word[: max(0, places - size + 1)] == text_of_word[2 * size - 2 :]
-    at = np.flatnonzero((picked | _least(h, whole, size)) & shown)
-    of = text_of_word[at]
-    offset = (ends_of_text - sizes)[of]
-    return out, {"of": of, "at": at - words_before[offset], "hash": h[at].view(np.int64)}
+    start = np.where(number == 0, 0, lines.word[a] - offset)
+    last = np.append(of[1:] != of[:-1], True)
+    end = np.where(last, lines.sizes[of], np.append(start[1:], 0))
+    return {"of": of, "chunk": number, "start": start, "end": end, "words": z - a, "hash": lines.hashed(a, z).view(np.int64)}
+
+
+def windows(rows: list[bytes | None], size: int = 24, **shape) -> dict[str, np.ndarray]:
+    """The chunks of some texts that are compared, in order: number of the text, first word (its number in the
+    text), words (``size`` or as many more as end a wrapped line), hash of words and white space.
+    """
+    lines = _Lines(rows, **shape)
+    if not lines.n:
+        return {name: np.zeros(0, kind.to_pandas_dtype()) for name, kind in _WINDOW}
+    a = lines.unit[lines.boundary]
+    last = np.searchsorted(lines.unit_end, a + size)
+    a, last = a[last < len(lines.unit)], last[last < len(lines.unit)]
+    z = lines.unit_end[last]
+    b = lines.unit[np.maximum(0, np.searchsorted(lines.unit, lines.line_ends - size, side="right") - 1)]
+    a, z = np.append(a, b), np.append(z, lines.line_ends)
+    fits = (z - a >= size) & (lines.text[a] == lines.text[z - 1])
+    a, z = a[fits], z[fits]
+    order = np.lexsort([z, a])
+    a, z = a[order], z[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (z[1:] != z[:-1]))[: len(a)]
+    a, z = a[new], z[new]
+    of = lines.text[a]
+    return {"of": of, "at": a - np.searchsorted(lines.text, of), "words": z - a, "hash": lines.hashed(a, z).view(np.int64)}
 
 
 def _groups(rows: list[bytes | None]):
@@ -204,11 +206,11 @@ def _groups(rows: list[bytes | None]):
         yield first, len(rows)
 
 
-def _stretches(of: np.ndarray, at: np.ndarray, keys: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window of each stretch: windows of one text with equal keys that leave no gap."""
-    order = np.lexsort([at, *keys, of])
+def _stretches(of: np.ndarray, at: np.ndarray, until: np.ndarray, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """First and last chunk of each run: chunks of one text with equal keys, each overlapping the next one."""
+    order = np.lexsort([until, at, *keys, of])
     new = np.ones(len(order), bool)
-    same = np.diff(at[order]) <= size
+    same = at[order][1:] < until[order][:-1]
     for x in (of, *keys):
         same &= np.diff(x[order]) == 0
     new[1:] = ~same
@@ -251,6 +253,28 @@ def _around(text: bytes, start: int, end: int) -> tuple[int, bool, int, bool]:
     return (start - head if opens else 0), opens, stop - end, closes
 
 
+#: Rows of one key that a task meets at most, unless a thousandth of all rows is more.
+_A_TASK = 5000
+
+
+def _hot(counted: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """keys, tasks: keys of ``counted`` (keys, n) too frequent for one task, with the number of tasks. As their rows are
+    ``rows`` in all, at most a thousand keys are so.
+    """
+    most = max(_A_TASK, rows // 1000)
+    return counted.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("tasks"))
+
+
+def _dealt(rows: DataFrame, one: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``one``, which has each key once; the rows of hot keys are dealt out over several tasks."""
+    hot = F.broadcast(hot)  # a thousand rows at most
+    tasks = F.coalesce("tasks", F.lit(1))
+    part = F.pmod(F.xxhash64("doc_id", "text_hash", "at"), tasks).cast("int")
+    many = rows.join(hot, keys, "left").withColumn("part", part).drop("tasks")
+    copies = one.join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("tasks")
+    return many.join(copies, [*keys, "part"]).drop("part")
+
+
 def removals(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None, min_words: int = 24, **shape
 ) -> DataFrame:
@@ -270,32 +294,37 @@ def removals(
                 columns += [pa.array(found[name], kind) for name, kind in _WINDOW[1:]]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", *[name for name, _ in _WINDOW[1:]]])
 
-    schema = "doc_id long, text_hash long, at int, hash long"
-    cuts = scratch.saved(plain.mapInArrow(cut, schema), "windows")
+    schema = "doc_id long, text_hash long, at int, words int, hash long"
+    cuts = scratch.saved(plain.mapInArrow(cut, schema), "chunks")
     often = cuts.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("k_id"))
-    often = scratch.saved(often.where("n > 1 and k_id is not null").select("hash", "k_id"), "often")
-    suspects = scratch.saved(cuts.join(often, "hash"), "suspects")
-    # The kept place of each window: the smallest id, there the smallest text hash and the first place.
-    firsts = suspects.where("doc_id = k_id").groupBy("hash").agg(F.min(F.struct("text_hash", "at")).alias("k"))
-    firsts = firsts.select("hash", F.col("k.text_hash").alias("k_hash"), F.col("k.at").alias("k_at"))
+    often = scratch.saved(often.where("n > 1 and k_id is not null"), "often")
+    hot = _hot(often, ["hash"], cuts.count())
+    suspects = scratch.saved(_dealt(cuts, often.select("hash", "k_id"), hot, ["hash"]), "suspects")
+    scratch.drop(cuts)
+    # The kept place of each chunk: the smallest id, there the smallest text hash and the first place.
+    firsts = suspects.where("doc_id = k_id").groupBy("hash").agg(F.min(F.struct("text_hash", "at", "words")).alias("k"))
+    firsts = firsts.select("hash", F.col("k.text_hash").alias("k_hash"), F.col("k.at").alias("k_at"), F.col("k.words").alias("k_words"))
     own = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash"))
-    other = suspects.join(firsts, "hash").where(~own | (F.col("at") >= F.col("k_at") + min_words))
-    spots = other.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "k_id", "k_hash", "k_at")).alias("spots"))  # of one document
+    other = _dealt(suspects, firsts, hot, ["hash"]).where(F.col("words") == F.col("k_words"))
+    other = other.where(~own | (F.col("at") >= F.col("k_at") + F.col("words")))
+    spot = F.struct("at", "words", "k_id", "k_hash", "k_at")
+    spots = other.groupBy("doc_id", "text_hash").agg(F.collect_set(spot).alias("spots"))  # of one document
 
     def join(batch: pa.RecordBatch) -> pa.RecordBatch:
         spots = batch.column(2)
         of = np.repeat(np.arange(len(spots)), spots.value_lengths().fill_null(0).to_numpy())
-        at, k_id, k_hash, k_at = (spots.flatten().field(i).to_numpy() for i in range(4))
-        first, last = _stretches(of, at, [at - k_at, k_hash, k_id], min_words)
+        at, words, k_id, k_hash, k_at = (spots.flatten().field(i).to_numpy() for i in range(5))
+        first, last = _stretches(of, at, at + words, [at - k_at, k_hash, k_id])
         row = pa.array(of[first])
-        columns = [at[first], at[last] + min_words, k_id[first], k_hash[first], k_at[first]]
+        columns = [at[first], at[last] + words[last], k_id[first], k_hash[first], k_at[first]]
         columns = [pa.array(x, kind) for x, kind in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))]
         return pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *columns], names)
 
     names = ["doc_id", "text_hash", "at", "until", "k_id", "k_hash", "k_at"]
     schema = "doc_id long, text_hash long, at int, until int, k_id long, k_hash long, k_at int"
-    stretches = scratch.saved(spots.mapInArrow(by_batch(join), schema), "stretches")
-    # The bytes of each stretch meet those of the kept one once, in the last join. The texts are dealt out once for both.
+    stretches = scratch.saved(spots.mapInArrow(by_batch(join), schema), "runs")
+    scratch.drop(suspects)
+    # The bytes of each run meet those of the kept one once, in the last join. The texts are dealt out once for both.
     same = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_hash") == F.col("s_hash"))
 
     def of_document(df: DataFrame) -> DataFrame:
@@ -311,7 +340,7 @@ def removals(
         for t, n in zip(texts(batch), counts):
             starts, ends = _bounds(t)
             for a, z in zip(starts[ats[done : done + n]].tolist(), ends[untils[done : done + n] - 1].tolist()):
-                shown.append(t[a:z])
+                shown.append(_LINE_BREAK.sub(b"\n", t[a:z]))
                 around.append((a, z, *_around(t, a, z)))
             done += n
         of = pa.array(np.repeat(np.arange(len(counts)), counts))
@@ -329,7 +358,9 @@ def removals(
     place = ["k_id", "k_hash", "k_at", "size"]
     kept = kept.dropDuplicates(place)  # rows that repeat a document show its stretches each
     mine = of_document(stretches).mapInArrow(by_batch(show), schema).withColumn("size", size)
-    repeated = mine.join(kept, place).where("bytes = k_bytes")
+    counted = stretches.groupBy("k_id", "k_hash", "k_at", size).agg(F.count("*").alias("n"))
+    hot = _hot(counted, place, stretches.count())
+    repeated = _dealt(mine, kept, hot, place).where("bytes = k_bytes")
     spot = F.struct("at", "until", "start", "end", "lead", "opens", "tail", "closes")
     return repeated.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(spot)).alias("repeated"))
 
@@ -342,7 +373,6 @@ def remove_repeats(
     ``n_chars`` names a column that holds the text's length and has to follow it. A column
     of the input that is called n_removed_words gives way.
     """
-    scratch = Scratch(docs.sparkSession, "linededup")
     docs = docs.drop("n_removed_words")
     scratch = Scratch(docs.sparkSession, "linededup")
     r_id, r_hash, kept, gone = unused(docs, "r_id", "r_hash", "kept", "gone")
