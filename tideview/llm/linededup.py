@@ -29,8 +29,6 @@ and lose nothing if no row with an id has it. Further columns stay untouched.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,8 +42,6 @@ _INVERSE = _U(pow(int(_FACTOR), -1, 1 << 64))
 _BREAK = _U(0xA24BAED4963EE407)
 _CHUNK = [("of", pa.int32()), ("chunk", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("hash", pa.int64())]
 _WINDOW = [("of", pa.int32()), ("at", pa.int32()), ("words", pa.int32()), ("hash", pa.int64())]
-#: White space that holds a line break.
-_LINE_BREAK = re.compile(rb"[ \t\r\x0b\x0c]*\n[ \t\n\r\x0b\x0c]*")
 #: Bytes that are cut up at a time, unless one text is longer.
 _BYTES = 1 << 18
 
@@ -94,7 +90,7 @@ def _least(h: np.ndarray, whole: np.ndarray, size: int) -> np.ndarray:
 class _Lines:
     """The words and wrapped lines of some texts, and where the boundaries are."""
 
-    def __init__(self, rows: list[bytes | None], long_words: int = 20, wrap: int = 3, among: int = 6, roll: int = 2):
+    def __init__(self, rows: list[bytes | None], long_words: int = 20, wrap: int = 2, among: int = 11, roll: int = 2):
         self.sizes = np.array([len(t) if t else 0 for t in rows], np.int64)
         self.data = data = np.frombuffer(b"".join(t for t in rows if t), np.uint8)
         n = len(data)
@@ -241,6 +237,13 @@ def _bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
 
 
+def _joined(text: bytes) -> bytes:
+    """With white space that holds a line break as one line break; the text begins and ends with a word."""
+    if b"\n" not in text:
+        return text
+    return b"\n".join(line for line in map(bytes.strip, text.split(b"\n")) if line)
+
+
 def _around(text: bytes, start: int, end: int) -> tuple[int, bool, int, bool]:
     """Blanks before that open the line, whether it is opened, what goes behind (blanks, a line break), whether that ends the line."""
     head = text.rfind(b"\n", 0, start) + 1
@@ -269,7 +272,7 @@ def _dealt(rows: DataFrame, one: DataFrame, hot: DataFrame, keys: list[str]) ->
     """Inner join of ``rows`` with ``one``, which has each key once; the rows of hot keys are dealt out over several tasks."""
     hot = F.broadcast(hot)  # a thousand rows at most
     tasks = F.coalesce("tasks", F.lit(1))
-    part = F.pmod(F.xxhash64("doc_id", "text_hash", "at"), tasks).cast("int")
+    part = F.when(F.col("tasks").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "text_hash", "at"), "tasks").cast("int"))
     many = rows.join(hot, keys, "left").withColumn("part", part).drop("tasks")
     copies = one.join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("tasks")
     return many.join(copies, [*keys, "part"]).drop("part")
@@ -340,7 +343,7 @@ def removals(
         for t, n in zip(texts(batch), counts):
             starts, ends = _bounds(t)
             for a, z in zip(starts[ats[done : done + n]].tolist(), ends[untils[done : done + n] - 1].tolist()):
-                shown.append(_LINE_BREAK.sub(b"\n", t[a:z]))
+                shown.append(_joined(t[a:z]))
                 around.append((a, z, *_around(t, a, z)))
             done += n
         of = pa.array(np.repeat(np.arange(len(counts)), counts))
