@@ -213,22 +213,19 @@ def _stretches(of: np.ndarray, at: np.ndarray, until: np.ndarray, keys: list[np.
     return order[new], order[np.append(new[1:], True)[: len(new)]]
 
 
-def _gone(repeated: list[dict]) -> list[tuple[int, int, int]]:
-    """(start, end, words) of the runs that go, from the repeated stretches in order."""
-    out, run, until = [], [], -1
-    for c in [*repeated, None]:
-        if c is not None and c["at"] <= until:
-            run.append(c)
-            until = max(until, c["until"])
-            continue
-        if run:
-            last = max(run, key=lambda x: x["until"])
-            # A rest of a line before the run keeps its line break.
-            tail = last["tail"] if run[0]["opens"] or not last["closes"] else 0
-            out.append((run[0]["start"] - run[0]["lead"], last["end"] + tail, until - run[0]["at"]))
-        if c is not None:
-            run, until = [c], c["until"]
-    return out
+def _gone(row: np.ndarray, x: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Row, start, end, words of what goes: runs ``x``, in order by row and first word, that touch each other are one."""
+    n = len(row)
+    shift = row.astype(np.int64) << 32
+    at, until = x["at"] + shift, x["until"] + shift
+    before = np.append(np.int64(-1), np.maximum.accumulate(until)[:-1])[:n]
+    new = at > before
+    first = np.flatnonzero(new)
+    farthest = np.maximum.accumulate(np.where(until > before, np.arange(n), 0))
+    last = farthest[np.append(first[1:], n)[: len(first)] - 1]
+    # A rest of a line before the run keeps its line break.
+    tail = np.where(x["opens"][first] | ~x["closes"][last], x["tail"][last], 0)
+    return row[first], x["start"][first] - x["lead"][first], x["end"][last] + tail, until[last] - at[first]
 
 
 def _bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -381,16 +378,19 @@ def remove_repeats(
     r_id, r_hash, kept, gone = unused(docs, "r_id", "r_hash", "kept", "gone")
 
     def spans(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep, removed = [], []
-        for repeated in batch.column(2).to_pylist():
-            parts, at, words = [], 0, 0
-            for a, z, n in _gone(repeated):
-                parts.append({"a": at, "z": a})
-                at, words = z, words + n
-            keep.append([*parts, {"a": at, "z": 2**31 - 1}])
-            removed.append(words)
-        span = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
-        columns = [batch.column(0), batch.column(1), pa.array(keep, span), pa.array(removed, pa.int64())]
+        repeated, n = batch.column(2), batch.num_rows
+        row = np.repeat(np.arange(n), repeated.value_lengths().fill_null(0).to_numpy())
+        each = repeated.flatten()
+        fields = ("at", "until", "start", "end", "lead", "opens", "tail", "closes")
+        row, start, end, words = _gone(row, {f: each.field(f).to_numpy(zero_copy_only=False) for f in fields})
+        # What stays: from the text's begin or the end of a run to the next one or the text's end.
+        runs = np.bincount(row, minlength=n)
+        behind = np.cumsum(runs)
+        a, z = np.insert(end, behind - runs, 0), np.insert(start, behind, 2**31 - 1)
+        part = pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(z, pa.int32())], ["a", "z"])
+        keep = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(runs + 1)), pa.int32()), part)
+        removed = np.bincount(row, weights=words, minlength=n).astype(np.int64)
+        columns = [batch.column(0), batch.column(1), keep, pa.array(removed)]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "kept", "gone"])
 
     schema = "doc_id long, text_hash long, kept array<struct<a:int,z:int>>, gone long"
