@@ -83,6 +83,6 @@ def test_stages_with_edges(spark):
 
 def test_every_query_runs(spark):
     found = queries.queries()
-    assert {int(n[2:].split("_")[0]) for n in found} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in found} == set(range(1, 14))
     for name, query in found.items():
         assert query(spark, FOLDER).count() > 0, name
