@@ -56,7 +56,7 @@ def buckets_that_differ(one: DataFrame, other: DataFrame, by: Sequence[str]) ->
     )
     total = signed.groupBy("__bucket").agg(*[F.sum(n).alias(n) for n in _SUMS])
     differs = F.greatest(*[F.abs(F.col(n)) for n in _SUMS]) > 0
-    return sorted(r[0] for r in total.where(differs).select("__bucket").collect())
+    return sorted(r[0] for r in total.where(differs).select("__bucket").take(BUCKETS))
 
 
 def where_they_differ(one: DataFrame, other: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:

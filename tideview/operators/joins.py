@@ -114,8 +114,9 @@ def skew_safe_join(
             return left.join(right, on, how)
         band = find_band(left, right, rest)
         if band is not None:
-            matched = range_join(left, right, band, on, copy_left=left_bytes < right_bytes)
-            return _with_lonely(left, right, [], [], rest, how, left_id, right_id, matched)
+            joined = range_join(left, right, band, on, how, copy_left=left_bytes < right_bytes)
+            alone = {"left": lambda: joined.alone(left, "left", left_id), "right": lambda: joined.alone(right, "right", right_id)}
+            return _with_alone(left, right, how, joined.matched(), alone)
         return _spread(left, right, pairs, rest, how, left_id, right_id, None, None)
     least, share = setting(left, SKEW_BYTES), setting(left, HOT_SHARE)
     look_right = how in ("left", "full") and not right_unique and right_bytes >= least
@@ -200,14 +201,21 @@ def _spread(left, right, pairs, rest, how, left_id, right_id, hot_left, hot_righ
 
 
 def _with_lonely(left, right, left_keys, right_keys, rest, how, left_id, right_id, matched) -> DataFrame:
+    """The matched pairs and the rows that ``how`` preserves without a partner."""
+    alone = {
+        "left": lambda: _without_partner(left, right, left_keys, right_keys, rest, left_id, matched),
+        "right": lambda: _without_partner(right, left, right_keys, left_keys, rest, right_id, matched),
+    }
+    return _with_alone(left, right, how, matched, alone)
+
+
+def _with_alone(left, right, how, matched, alone) -> DataFrame:
     """The matched pairs and, as the kind of join asks for, the rows of either side without a partner."""
     out = matched
     if how in ("left", "full"):
-        alone = _without_partner(left, right, left_keys, right_keys, rest, left_id, matched)
-        out = out.union(alone.select("*", *[typed_null(f.dataType) for f in right.schema.fields]))
+        out = out.union(alone["left"]().select("*", *[typed_null(f.dataType) for f in right.schema.fields]))
     if how in ("right", "full"):
-        alone = _without_partner(right, left, right_keys, left_keys, rest, right_id, matched)
-        out = out.union(alone.select(*[typed_null(f.dataType) for f in left.schema.fields], "*"))
+        out = out.union(alone["right"]().select(*[typed_null(f.dataType) for f in left.schema.fields], "*"))
     return out
 
 

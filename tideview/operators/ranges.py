@@ -7,6 +7,9 @@ and stands once in each of them. Two rows meet in the coarser of their grids, in
 that can match meets once; the conditions themselves then decide. Cells are join keys like any other, so Spark shuffles by them and
 splits those that are large.
 
+Where the rows of one side are points, the rows of the other stand once, in the first cell of their range, and the points are copied to
+the cells before theirs in which such a range can begin. The rows without a partner are found among the cells too, row by row and not from the pairs.
+
 With one condition only, half of all pairs match anyway: there the smaller side is copied into all of up to 64 cells on its
 side of the axis, and the other half of the pairs never meets.
 """
@@ -20,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideview.functions.expressions import null_safe_on
+
 #: Cuts of the axis, half of them quantiles of each side.
 CUTS = 1024
 #: Grids from fine to coarse: a part between two cuts has two to this power cells.
@@ -28,6 +33,9 @@ GRIDS = (20, 14, 8, 2, -4, -10)
 _HALF_GRID = -4
 #: A row is in the finest grid in which it covers at most so many cells.
 _COVERED = 16
+#: The grids if one side are points, and how many cells a range of the other side covers there at most.
+_ONCE_GRIDS = tuple(range(20, -11, -2))
+_SPAN = 2
 
 
 @dataclass(frozen=True)
@@ -117,7 +125,7 @@ def _cuts(left: DataFrame, right: DataFrame, band: Band) -> list[float]:
         values = F.explode(F.array(*[_axis(df, t) for t in band.ends(side)])).alias("x")
         finite = df.select(values).where("x > double('-infinity') and x < double('infinity')")
         parts.append(finite.agg(F.percentile_approx("x", shares, 10_000).alias("q")))
-    return sorted({x for row in parts[0].unionByName(parts[1]).collect() for x in row["q"] or []})
+    return sorted({x for row in parts[0].unionByName(parts[1]).take(2) for x in row["q"] or []})
 
 
 def _constant(values: list[float]) -> Column:
@@ -129,14 +137,16 @@ def _place(x: Column, cuts: list[float]) -> Column:
     """Where a value lies on the axis: the number of cuts up to it, and how far it is to the next. Never falls as x grows."""
     if not cuts:
         return F.lit(0.0)
-    width = 32
-    every = _constant(cuts)
-    group = F.size(F.filter(_constant(cuts[::width]), lambda c: c <= x))
-    inside = F.size(F.filter(F.slice(every, F.greatest(group - 1, F.lit(0)) * width + 1, F.lit(width)), lambda c: c <= x))
-    n = (group - 1) * width + inside
-    low, high = F.get(every, n - 1), F.get(every, n)
-    part = F.least(F.greatest((x - low) / (high - low), F.lit(0.0)), F.lit(1 - 2.0**-30))
-    return F.when(group == 0, F.lit(0.0)).when(n == len(cuts), F.lit(float(len(cuts)))).otherwise(n + part)
+    every, steps = _constant(cuts), [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    found = F.array(*[F.lit(n) for n in steps])
+    upto = F.aggregate(found, F.lit(0), lambda n, more: n + F.when(F.get(every, n + more - 1) <= x, more).otherwise(0))
+
+    def place(n):
+        low, high = F.get(every, n - 1), F.get(every, n)
+        part = F.least(F.greatest((x - low) / (high - low), F.lit(0.0)), F.lit(1 - 2.0**-30))
+        return F.when(n == 0, F.lit(0.0)).when(n == len(cuts), F.lit(float(len(cuts)))).otherwise(n + part)
+
+    return F.transform(F.array(upto), place).getItem(0)  # so that the search is done once
 
 
 def _placed(df: DataFrame, texts: list[str], cuts: list[float], low: bool, high: bool) -> DataFrame:
@@ -154,11 +164,11 @@ def _cell(place: Column, grid: int) -> Column:
     return F.floor(place * 2.0**grid)
 
 
-def _with_grid(df: DataFrame) -> DataFrame:
-    """``__grid``: the number in GRIDS of the finest grid in which the row covers few cells."""
-    out = F.lit(len(GRIDS) - 1)
-    for i in range(len(GRIDS) - 2, -1, -1):
-        out = F.when(_cell(F.col("__hi"), GRIDS[i]) - _cell(F.col("__lo"), GRIDS[i]) < _COVERED, i).otherwise(out)
+def _with_grid(df: DataFrame, grids: Sequence[int] = GRIDS, covered: int = _COVERED) -> DataFrame:
+    """``__grid``: the number in ``grids`` of the finest grid in which the row covers few cells."""
+    out = F.lit(len(grids) - 1)
+    for i in range(len(grids) - 2, -1, -1):
+        out = F.when(_cell(F.col("__hi"), grids[i]) - _cell(F.col("__lo"), grids[i]) < covered, i).otherwise(out)
     return df.withColumn("__grid", out)
 
 
@@ -203,7 +213,7 @@ def cells(left: DataFrame, right: DataFrame, band: Band, copy_left: bool = False
         placed_left = _with_grid(_placed(left, band.ends("left"), cuts, True, True))
         placed_right = _with_grid(_placed(right, band.ends("right"), cuts, True, True))
         both = placed_left.select(F.lit(0).alias("side"), "__grid").unionByName(placed_right.select(F.lit(1).alias("side"), "__grid"))
-        used = both.distinct().collect()  # a side has at most so many grids as there are
+        used = both.distinct().take(2 * len(GRIDS))  # a side has at most so many grids as there are
         used_left, used_right = ([g for side, g in used if side == n] for n in (0, 1))
     meet = (F.col("__lgrid") == F.col("__rgrid")) & (F.col("__lcell") == F.col("__rcell"))
     # Once: in the coarser of the two rows' own grids, in the first cell they share.
@@ -211,7 +221,70 @@ def cells(left: DataFrame, right: DataFrame, band: Band, copy_left: bool = False
     return _in_cells(placed_left, used_right, "l"), _in_cells(placed_right, used_left, "r"), meet
 
 
-def range_join(left: DataFrame, right: DataFrame, band: Band, on: Column, copy_left: bool = False) -> DataFrame:
-    """The inner join of both sides on a condition that holds only within the band."""
+def _once(rows: DataFrame, points: DataFrame, band: Band, side: str) -> tuple[DataFrame, DataFrame, Column]:
+    """Cells in which each of ``rows`` (on ``side``) stands once and the points of the other side are copied."""
+    left, right = (rows, points) if side == "left" else (points, rows)
+    cuts = _cuts(left, right, band)
+    other = "right" if side == "left" else "left"
+    r, p = side[0], other[0]
+    placed = _with_grid(_placed(rows, band.ends(side), cuts, True, True), _ONCE_GRIDS, _SPAN)
+    used = sorted(g[0] for g in placed.select("__grid").distinct().take(len(_ONCE_GRIDS)))
+    first = F.lit(None).cast("bigint")
+    for i in used:
+        first = F.when(F.col("__grid") == i, _cell(F.col("__lo"), _ONCE_GRIDS[i])).otherwise(first)
+    # Out of an array, as filters are not moved below that: they would compute the place over and over.
+    standing = placed.withColumn("__at", F.explode(F.array(F.struct(F.col("__grid").alias("grid"), first.alias("cell")))))
+    standing = standing.withColumns({f"__{r}{n}": F.col("__at").getField(n) for n in ("grid", "cell")}).drop("__at", "__lo", "__hi", "__grid")
+    at = [
+        F.struct(F.lit(i).alias("grid"), (_cell(F.col("__lo"), _ONCE_GRIDS[i]) - n).alias("cell"))
+        for i in used
+        for n in range(_SPAN)
+    ]
+    none = F.array().cast("array<struct<grid:int,cell:bigint>>")
+    copied = _placed(points, band.ends(other), cuts, True, True).withColumn("__at", F.explode(F.array(*at) if at else none))
+    copied = copied.withColumns({f"__{p}{n}": F.col("__at").getField(n) for n in ("grid", "cell")}).drop("__at", "__lo", "__hi")
+    meet = (F.col("__lgrid") == F.col("__rgrid")) & (F.col("__lcell") == F.col("__rcell"))
+    return (standing, copied, meet) if side == "left" else (copied, standing, meet)
+
+
+@dataclass(frozen=True)
+class RangeJoin:
+    """Both sides in their cells, and when two of these rows are a pair of the join. ``once`` is the side
+    whose rows stand in one cell each, if there is one."""
+
+    left: DataFrame
+    right: DataFrame
+    pair: Column
+    band: Band
+    once: str | None
+
+    def matched(self) -> DataFrame:
+        """The inner join."""
+        return self.left.join(self.right, self.pair, "inner").drop(*_PLACES)
+
+    def alone(self, rows: DataFrame, side: str, row_id: Sequence[str]) -> DataFrame:
+        """``rows``, which are the whole ``side``, without those that have a partner. No pair is shuffled for that."""
+        mine, other = (self.left, self.right) if side == "left" else (self.right, self.left)
+        if side == self.once:
+            null = " or ".join(f"({t}) is null" for t in self.band.ends(side))  # these stand in no cell
+            return mine.join(other, self.pair, "left_anti").drop(*_PLACES).union(rows.where(null))
+        found = mine.join(other, self.pair, "left_semi")
+        found = found.select(*[F.expr(t).alias(f"__f{n}") for n, t in enumerate(row_id)]).distinct()
+        return rows.join(found, null_safe_on([F.expr(t) for t in row_id], [F.col(f"__f{n}") for n in range(len(row_id))]), "left_anti")
+
+
+_PLACES = [f"__{s}{n}" for s in "lr" for n in ("grid", "cell", "low", "own")]
+
+
+def range_join(left: DataFrame, right: DataFrame, band: Band, on: Column, how: str, copy_left: bool = False) -> RangeJoin:
+    """The join of both sides on a condition that holds only within the band. Of two sides
+    of points the one that ``how`` preserves stands once, or else the one not to be copied."""
+    point = {side: band.whole and len(band.ends(side)) == 1 for side in ("left", "right")}
+    first = "left" if how in ("left", "full") or how == "inner" and not copy_left else "right"
+    for once, points in sorted([("left", "right"), ("right", "left")], key=lambda p: p[0] != first):
+        if point[points]:
+            rows, others = (left, right) if once == "left" else (right, left)
+            in_left, in_right, meet = _once(rows, others, band, once)
+            return RangeJoin(in_left, in_right, meet & on, band, once)
     in_left, in_right, meet = cells(left, right, band, copy_left)
-    return in_left.join(in_right, meet & on, "inner").drop(*[f"__{s}{n}" for s in "lr" for n in ("grid", "cell", "low", "own")])
+    return RangeJoin(in_left, in_right, meet & on, band, None)
