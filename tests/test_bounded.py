@@ -3,12 +3,13 @@
 from conftest import assert_same_bag
 from pyspark.sql import functions as F
 
-from tideview import Change, bind, build_view, maintain, tables_after, visible
+from tideview import Change, Workspace, bind, build_view, maintain, tables_after, visible
 from tideview.operators.joins import RANGE_BYTES, skew_safe_join
 from tideview.operators.ranges import find_band, range_join
 from tideview.plans.maintain import maintenance_steps
 from tideview.plans.spec import Table, ViewSpec, left
 from tideview.sources.storage import Files
+from tideview.sources.tables import keys_look_sound
 
 
 def sides(spark):
@@ -69,3 +70,25 @@ def test_change_rows_are_written_without_columns_the_view_does_not_read(spark, s
     assert step.gone.columns == ["__a__id"]
     written = [n for n in Files(spark).names(staging.path) if "old-rows" in n]
     assert spark.read.parquet(f"{staging.path}/{written[0]}").columns == ["id", "x"]
+
+
+def test_the_journal_holds_of_rows_that_leave_what_views_read(spark, tmp_path, monkeypatch):
+    rows, points = sides(spark)
+    work = Workspace(spark, f"file://{tmp_path}/work")
+    work.add_table("rows", rows, ["id"])
+    work.add_table("points", points, ["id"])
+    work.register_view("v", SPEC)
+    seen = []
+    finish = work._finish
+    monkeypatch.setattr(work, "_finish", lambda staged, *rest: (seen.append(staged["rows"].deleted.columns), finish(staged, *rest)))
+    work.apply({"rows": Change(deleted=rows.where("id < 9"))})
+    assert seen == [["id", "x"]]
+    assert work.verify("v").isEmpty()
+    assert_same_bag(work.table("rows"), rows.where("id >= 9"))
+
+
+def test_sound_keys_are_known_from_their_hashes(spark):
+    sound = spark.createDataFrame([(1, "a"), (1, "b")], "k long, l string")
+    assert keys_look_sound(sound, ["k", "l"])
+    assert not keys_look_sound(sound, ["k"])
+    assert not keys_look_sound(spark.createDataFrame([(1, None)], "k long, l string"), ["k", "l"])

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideview.functions.expressions import cols, keys_match, renamed
+from tideview.functions.expressions import cols, keys_match, quoted, renamed
 from tideview.operators.bags import verify_view
 from tideview.operators.joins import distinct_if_large
-from tideview.plans.maintain import Change, maintenance_steps, stage_change, with_own_images
+from tideview.plans.maintain import Change, columns_read, maintenance_steps, stage_change, with_own_images
 from tideview.plans.spec import UnsupportedView, View, ViewSpec, bind
 from tideview.plans.sqlview import view_from_sql
 from tideview.plans.view import Frame, build_view, visible
@@ -29,7 +29,7 @@ from tideview.sources.changes import BadChange, as_table_rows, net_changes, refu
 from tideview.sources.sequences import SequenceLog
 from tideview.sources.snapshots import Batch, Cluster, SnapshotStore, Step
 from tideview.sources.storage import Files, Staging, plan_bytes
-from tideview.sources.tables import key_violations
+from tideview.sources.tables import key_violations, keys_look_sound
 
 # Writer name of batches that the caller does not number.
 _OWN = "workspace"
@@ -65,7 +65,7 @@ class Workspace:
             buckets = min(1024, plan_bytes(rows) // (64 << 20))
         cluster = Cluster(keys[0], int(buckets)) if buckets > 1 else None
         self.recover()
-        if check and not key_violations(rows, keys).isEmpty():
+        if check and not keys_look_sound(rows, keys) and not key_violations(rows, keys).isEmpty():
             raise ValueError(f"{name}: {', '.join(keys)} is not a key")
         SnapshotStore.create(self.spark, self._table_root(name), rows, keys, cluster)
         self._commit()
@@ -279,7 +279,7 @@ class Workspace:
 
     def _checked(self, source: str, change: Change, journal: Staging) -> Change:
         """The change as it is written to the journal: rows that leave as the table has them (rows
-        it lacks go nowhere), rows that enter with the table's types and keys it can take."""
+        it lacks go nowhere; of the others the keys and what a view reads), rows that enter with the table's types and keys it can take."""
         table, frame = self._table(source), self._frame(source)
         keys, deleted, inserted = table.keys, change.deleted, change.inserted
         if deleted is not None:
@@ -287,7 +287,8 @@ class Workspace:
             if lacking:
                 raise BadChange(f"rows that leave {source} lack {', '.join(lacking)}")
             wanted = as_table_rows(deleted.select(*cols(keys)), T.StructType([table.schema[k] for k in keys]), source)
-            deleted = with_own_images(Change(wanted, None), frame, keys).deleted
+            read = self._columns_read(source)
+            deleted = with_own_images(Change(wanted, None), frame.columns([quoted(c) for c in read]), keys).deleted
         if inserted is not None:
             inserted = as_table_rows(inserted, table.schema, source)
         staged = stage_change(Change(deleted, inserted), source, journal)
@@ -300,6 +301,14 @@ class Workspace:
                 raise BadChange(f"{source}: a key that enters is not new or no key: {bad.asDict()}")
         return staged
 
+    def _columns_read(self, source: str) -> list[str]:
+        """The key columns of a table and those that a maintained view reads."""
+        read = set(self._table(source).keys)
+        for name in self.views():
+            if self._kind(name)[0] != "sql" and source in self._sources(name):
+                read |= set(columns_read(self._view(name))[source])
+        return [c for c in self._table(source).schema.fieldNames() if c in read]
+
     def _close(self, entry: Mapping) -> None:
         """The batch is everywhere: show it, drop the feeds it came from, then forget it."""
         number = self._commit()
