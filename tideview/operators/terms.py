@@ -108,7 +108,7 @@ def remove_subsumed(
     bit = {t: 1 << i for i, t in enumerate(names)}
     mask = reduce(lambda a, b: a + b, [F.when(_present(keys_by_table[t]), bit[t]).otherwise(0) for t in names])
     if labels is None:
-        occur = {r[0] for r in rows.select(mask.cast("long")).distinct().collect()}
+        occur = {r[0] for r in rows.select(mask.cast("long")).distinct().take(1 << min(len(names), 30))}
         covered = sorted(x for x in occur if x and any(x & m == x for m in occur - {x}))
     else:
         covered = sorted({sum(bit[t] for t in set(label)) for label in labels} - {0, (1 << len(names)) - 1})
