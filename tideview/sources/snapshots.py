@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideview.functions.expressions import cols, keys_match, quoted, renamed
-from tideview.sources.storage import PLAIN, Files
+from tideview.operators.joins import broadcast_limit
+from tideview.sources.storage import PLAIN, Files, plan_bytes
 
 VERSION = "__version"
 BUCKET = "__bucket"
+PLACE = "__place"
 
 # A writer's name and its running number, e.g. a stream's checkpoint and micro-batch.
 Batch = tuple[str, int]
@@ -231,12 +233,44 @@ class SnapshotStore:
         if self.cluster is None:
             return self._write(df, "rows")
         folder = f"{uuid.uuid4().hex}-rows"
-        placed = df.withColumn(BUCKET, self.cluster.of(F.col(quoted(self.cluster.column))))
-        spread = placed.repartition(BUCKET, F.pmod(F.xxhash64(*cols(self.keys)), F.lit(8)))
-        sorted_rows = spread.sortWithinPartitions(BUCKET, *cols(self.keys))
+        self._write_placed(self._placed(df).repartition(BUCKET, PLACE), folder)
+        return folder
+
+    def _write_placed(self, rows: DataFrame, folder: str) -> None:
+        sorted_rows = rows.drop(PLACE).sortWithinPartitions(BUCKET, *cols(self.keys))
         sorted_rows.write.partitionBy(BUCKET).parquet(f"{self.root}/data/{folder}")
+
+    def _placed(self, df: DataFrame) -> DataFrame:
+        """With the bucket of each row and the task of that bucket it falls to."""
+        bucket = self.cluster.of(F.col(quoted(self.cluster.column)))
+        return df.withColumns({BUCKET: bucket, PLACE: F.pmod(F.xxhash64(*cols(self.keys)), F.lit(8))})
+
+    def _fold(self, m: Manifest) -> str:
+        """Write the version anew, as the first folder of the next one.
+
+        Rows of a clustered store and keys that went are both dealt out as the rows will be written, and compared
+        there, so that the rows are shuffled once and not once for the comparison and once for the buckets.
+        """
+        version = F.lit(m.next_version)
+        gone = self._scan(m.gone, self.keys) if m.gone else None
+        if not self.cluster or gone is None or plan_bytes(gone) <= broadcast_limit(gone) or not self._hash_alike():
+            return self._write_all(self.read(m.number).withColumn(VERSION, version))
+        folder = f"{uuid.uuid4().hex}-rows"
+        rows = self._placed(self._rows(m)).repartition(BUCKET, PLACE)
+        names = [BUCKET, PLACE, *self.keys]
+        went = self._placed(gone).selectExpr(*renamed(names, "__g"), f"{VERSION} as __gone").repartition("__g0", "__g1")
+        # Spark would put an anti join before the dealing out, and shuffle for each.
+        paired = rows.join(went, F.expr(f"{keys_match(names, '__g')} and {VERSION} < __gone"), "left")
+        live = paired.where("__gone is null").select(*cols(rows.columns))
+        self._write_placed(live.withColumn(VERSION, version), folder)
         return folder
 
+    def _hash_alike(self) -> bool:
+        """Whether equal keys have equal hashes, as those of floating point or with a collation need not."""
+        exact = (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType, T.DecimalType, T.BinaryType)
+        kinds = [self.schema[k].dataType for k in self.keys]
+        return all(isinstance(k, exact) or k == T.StringType() for k in kinds)
+
     def _switch(self, m: Manifest) -> None:
         text = json.dumps(
             {"rows": m.rows, "gone": m.gone, "next_version": m.next_version, "batches": m.batches}
@@ -296,7 +330,7 @@ class SnapshotStore:
             return False
         sizes = [self._files.size(f"{self.root}/data/{f}") for f in (m.rows[0], *changes)]
         if sum(sizes[1:]) > above * sizes[0]:
-            path = self._write_all(self.read(m.number).withColumn(VERSION, F.lit(m.next_version)))
+            path = self._fold(m)
             folded = replace(m, rows=(path,), gone=(), next_version=m.next_version + 1)
         elif len(changes) > most_folders:
             rows, gone = m.rows[:1], ()
