@@ -2,7 +2,9 @@ import collections
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from edges import documents, nothing
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -23,6 +25,17 @@ def test_sequences(values, asked, shift):
     assert (s.successor(asked) == np.searchsorted(values, asked)).all()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**40), min_size=2, max_size=200), st.integers(0, 39), st.integers(1, 900))
+def test_pairs_and_places_of_numbers(values, shift, times):
+    values = np.sort(np.repeat(np.array([v >> shift for v in values], np.uint64), times))
+    s = Sequence(Sequence.build(values, (2**40 >> shift) + 1, "x"), "x")
+    for got, want in zip(s.access_pairs(np.arange(len(values) - 1)), (values[:-1], values[1:])):
+        assert (got == want).all()
+    asked = np.unique(np.concatenate([values, values // 2]))
+    assert (s.find(asked) == np.where(np.isin(asked, values), np.searchsorted(values, asked), -1)).all()
+
+
 def test_sequences_with_long_runs():
     values = np.sort(np.concatenate([np.arange(100_000), np.full(5_000, 7), 10**9 + np.arange(1000) * 10**6])).astype(np.uint64)
     s = Sequence(Sequence.build(values, 10**12, "x"), "x")
@@ -38,6 +51,32 @@ def test_files(tmp_path):
     assert all((got[k] == v).all() and got[k].dtype == v.dtype for k, v in arrays.items())
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.none() | st.text("aAbÄ \t\n\r\x0b\x0c\x1c\x85\xa0\x00", max_size=12), min_size=1, max_size=6))
+def test_tokens(rows):
+    hashes, flat, begins = trie.tokens(pa.array(["cut off", *rows], pa.string())[1:])
+    assert (np.diff(hashes.astype(object)) > 0).all()
+    for i, t in enumerate(rows):
+        words = [b"", *(t or "").encode().lower().split(), b""]
+        assert hashes[flat[begins[i] : begins[i + 1]]].tolist() == [xxhash.xxh64_intdigest(w) for w in words]
+
+
+def test_a_look_up_selects_once(spark, monkeypatch):
+    """An n-gram asked for is one select, a context two, whether found or not."""
+    draw = np.random.default_rng(0)
+    texts = [" ".join(f"w{w}" for w in draw.integers(0, 300, 200)) for _ in range(100)]
+    df = documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    model = trie.Trie(trie.build(df.where("doc_id % 5 > 0"), order=3))
+    hashes, flat, begins = trie.tokens(pa.array(texts))
+    wanted = len(hashes) + sum(len({tuple(flat[i : i + k]) for i in range(len(flat) - k + 1)}) for k in (2, 3))
+    contexts = len(hashes) + len(set(zip(flat[:-1], flat[1:])))
+    selected = []
+    plain = Sequence._select
+    monkeypatch.setattr(Sequence, "_select", lambda self, k, bit: selected.append(len(k)) or plain(self, k, bit))
+    model.score(model.words(hashes), flat, begins)
+    assert 0 < sum(selected) < wanted + 2 * contexts
+
+
 def plain_model(train, order, discount=0.75):
     counts = [collections.Counter() for _ in range(order)]
     for q in train:

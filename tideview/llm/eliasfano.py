@@ -17,6 +17,14 @@ from pyarrow import fs
 
 _BLOCK = 8  # words of 64 bits between two entries of a directory
 _U = np.uint64
+#: Seven fields of nine bits: of each field the lowest and the highest bit, and the bits before the words of a block.
+_NINES = _U(sum(1 << 9 * i for i in range(7)))
+_NINTHS = _NINES << _U(8)
+_FULL = _U(sum(64 * (i + 1) << 9 * i for i in range(7)))
+_SHIFTS = np.array([63, *range(0, 63, 9)], _U)  # of a word's field; the first word has none, the top bit is 0
+_ONES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
+#: The place of the k-th one of a byte, at 8 * byte + k.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], _U).ravel()
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -40,7 +48,7 @@ class Sequence:
     def __init__(self, parts: dict[str, np.ndarray], name: str):
         self.n, self.width = (int(x) for x in parts[name + ".shape"])
         self.low, self.high = parts[name + ".low"], parts[name + ".high"]
-        self.zeros = parts[name + ".zeros"]
+        self.zeros, self.sums = parts[name + ".zeros"], parts[name + ".sums"]
         self.ones = np.arange(len(self.zeros), dtype=np.int64) * (64 * _BLOCK) - self.zeros
 
     @staticmethod
@@ -56,31 +64,44 @@ class Sequence:
             word = at >> 6
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             high[word[first]] = np.bitwise_or.reduceat(_U(1) << (at & 63).astype(_U), first)
-        free = 64 * _BLOCK - np.bitwise_count(high).reshape(-1, _BLOCK).sum(axis=1, dtype=np.int64)
+        ones = np.bitwise_count(high).reshape(-1, _BLOCK).astype(_U)
+        before = np.cumsum(ones, axis=1)
+        free = 64 * _BLOCK - before[:, -1].astype(np.int64)
         zeros = np.concatenate([[0], np.cumsum(free)[:-1]])
-        return {name + ".shape": np.array([n, width]), name + ".low": low, name + ".high": high, name + ".zeros": zeros}
+        sums = np.bitwise_or.reduce(before[:, :-1] << _SHIFTS[1:], axis=1)
+        return {name + ".shape": np.array([n, width]), name + ".low": low, name + ".high": high, name + ".zeros": zeros, name + ".sums": sums}
 
     def _select(self, k: np.ndarray, bit: int) -> np.ndarray:
         """Place of the k-th bit of this kind."""
         directory = self.ones if bit else self.zeros
         block = np.searchsorted(directory, k, side="right") - 1
-        rest = k - directory[block]
-        word = block * _BLOCK
-        for _ in range(_BLOCK - 1):
-            there = np.bitwise_count(self.high[word]).astype(np.int64)
-            there = there if bit else 64 - there
-            more = rest >= there
-            rest = rest - np.where(more, there, 0)
-            word = word + more
+        rest = (k - directory[block]).astype(_U)
+        # The words of the block that begin at or before the bit, all seven compared at once.
+        sums = self.sums[block] if bit else _FULL - self.sums[block]
+        wanted = rest * _NINES
+        at_most = ((((wanted | _NINTHS) - (sums & ~_NINTHS)) | (sums ^ wanted)) ^ (sums & ~wanted)) & _NINTHS
+        number = ((at_most >> _U(8)) * _NINES >> _U(54) & _U(7)).astype(np.int64)
+        rest -= sums >> _SHIFTS[number] & _U(511)
+        word = block * _BLOCK + number
         bits = self.high[word] if bit else ~self.high[word]
-        place = np.zeros(len(k), np.int64)
-        for size in (32, 16, 8, 4, 2, 1):
-            half = np.bitwise_count(bits & _U((1 << size) - 1)).astype(np.int64)
-            more = rest >= half
-            rest = rest - np.where(more, half, 0)
-            bits = np.where(more, bits >> _U(size), bits)
-            place += np.where(more, size, 0)
-        return word * 64 + place
+        # So for the bytes of the word.
+        sums = bits - (bits >> _U(1) & _U(0x5555555555555555))
+        sums = (sums & _U(0x3333333333333333)) + (sums >> _U(2) & _U(0x3333333333333333))
+        sums = (sums + (sums >> _U(4)) & _U(0x0F0F0F0F0F0F0F0F)) * _ONES
+        shift = (((rest * _ONES | _TOPS) - sums & _TOPS) >> _U(7)) * _ONES >> _U(56) << _U(3)
+        rest -= (sums << _U(8)) >> shift & _U(255)
+        place = _IN_BYTE[(bits >> shift & _U(255)) << _U(3) | rest] + shift
+        return word * 64 + place.astype(np.int64)
+
+    def _next(self, at: np.ndarray, k: np.ndarray, bit: int) -> np.ndarray:
+        """Place of the k-th bit of this kind, which is the first of its kind from ``at`` on."""
+        word = at >> 6
+        bits = (self.high[word] if bit else ~self.high[word]) >> (at & 63).astype(_U)
+        place = at + np.bitwise_count(~bits & (bits - _U(1)))
+        far = np.flatnonzero(bits == 0)
+        if len(far):
+            place[far] = self._select(k[far], bit)
+        return place
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -94,23 +115,44 @@ class Sequence:
         i = np.asarray(i, np.int64)
         return ((self._select(i, 1) - i).astype(_U) << _U(self.width)) | self._low(i)
 
-    def successor(self, values: np.ndarray) -> np.ndarray:
-        """The first place with a number of at least each value (n if there is none)."""
+    def access_pairs(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers at these places and at those behind them."""
+        i = np.asarray(i, np.int64)
+        place, j = self._select(i, 1), i + 1
+        behind = self._next(place + 1, j, 1)
+        return ((place - i).astype(_U) << _U(self.width)) | self._low(i), ((behind - j).astype(_U) << _U(self.width)) | self._low(j)
+
+    def _search(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first place with a number of at least each value, the end of those with its high part, and its low bits."""
         values = np.asarray(values, _U)
         part = (values >> _U(self.width)).astype(np.int64)
-        begin = np.zeros(len(part), np.int64)
-        some = part > 0
-        begin[some] = self._select(part[some] - 1, 0) - (part[some] - 1)
-        end = self._select(part, 0) - part
+        first = np.zeros(len(part), np.int64)  # behind the zero that ends the part before
+        some = np.flatnonzero(part > 0)
+        first[some] = self._select(part[some] - 1, 0) + 1
+        begin, end = first - part, self._next(first, part, 0) - part
         want = values & _U((1 << self.width) - 1)
-        open_ = np.flatnonzero(begin < end)
+        low, high = begin, end.copy()
+        open_ = np.flatnonzero(low < high)
         while len(open_):
-            middle = (begin[open_] + end[open_]) >> 1
+            middle = (low[open_] + high[open_]) >> 1
             less = self._low(middle) < want[open_]
-            begin[open_[less]] = middle[less] + 1
-            end[open_[~less]] = middle[~less]
-            open_ = open_[begin[open_] < end[open_]]
-        return begin
+            low[open_[less]] = middle[less] + 1
+            high[open_[~less]] = middle[~less]
+            open_ = open_[low[open_] < high[open_]]
+        return low, end, want
+
+    def successor(self, values: np.ndarray) -> np.ndarray:
+        """The first place with a number of at least each value (n if there is none)."""
+        return self._search(values)[0]
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """The first place with each value; -1 if there is none."""
+        place, end, want = self._search(values)
+        maybe = np.flatnonzero(place < end)
+        out = np.full(len(place), -1)
+        maybe = maybe[self._low(place[maybe]) == want[maybe]]
+        out[maybe] = place[maybe]
+        return out
 
 
 def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:

@@ -30,11 +30,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideview.llm.common import Scratch, parallelism, split_words, texts
+from tideview.llm.common import Scratch, parallelism
 from tideview.llm.eliasfano import Sequence, map_arrays, write_arrays
 from tideview.sources.storage import plan_bytes
 
@@ -55,18 +56,26 @@ def _start(shard: int, shards: int) -> int:
     return -((-shard << 32) // shards) << 32
 
 
-def tokens(rows: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words' hashes; each text's tokens, led by an end, as places in them; where each text begins."""
-    known: dict[bytes, int] = {_END: 0}
-    flat: list[int] = []
-    begins = [0]
-    for t in rows:
-        flat.append(0)
-        flat += [known.setdefault(w, len(known)) for w in split_words(t.lower() if t else t)]
-        flat.append(0)
-        begins.append(len(flat))
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words' hashes, sorted; each text's tokens, led by an end, as places in them; where each text begins."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(column.fill_null("")))
+    words = split.flatten()
+    filled = pc.binary_length(words).to_numpy() > 0  # white space at either end splits off an empty word
+    if not filled.all():
+        words = words.filter(pa.array(filled))
+    behind = np.concatenate([[0], np.cumsum(filled)])[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])]
+    known = words.dictionary_encode()
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(w) for w in known], _U), np.array(flat, np.int64), np.array(begins)
+    hashes = np.array([digest(_END), *[digest(w) for w in known.dictionary.cast(pa.binary()).to_pylist()]], _U)
+    order = np.argsort(hashes)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    begins = behind + 2 * np.arange(len(behind))
+    flat = np.full(begins[-1], place[0])
+    body = np.ones(len(flat), bool)
+    body[begins[:-1]] = body[begins[1:] - 1] = False
+    flat[body] = place[known.indices.to_numpy() + 1]
+    return hashes[order], flat, begins
 
 
 @dataclass
@@ -103,6 +112,11 @@ class Trie:
     def _by_shard(self, level: int, nodes: np.ndarray):
         """(shard, where): nodes of a level, of -1 none, grouped by their shard."""
         offsets = self.shape.offsets[level]
+        if len(nodes) and nodes[0] >= 0 and (nodes[1:] >= nodes[:-1]).all():
+            cuts = np.searchsorted(nodes, offsets)
+            for s in np.flatnonzero(np.diff(cuts)):
+                yield s, slice(cuts[s], cuts[s + 1])
+            return
         of = np.searchsorted(offsets, nodes, side="right") - 1
         order = np.argsort(of, kind="stable")
         cuts = np.searchsorted(of[order], np.arange(self.shape.shards + 1))
@@ -119,11 +133,8 @@ class Trie:
                 continue
             at = np.flatnonzero(of == s)
             keys = self._sequence(0, s, "keys")
-            want = hashes[at] - _U(_start(int(s), self.shape.shards))
-            place = keys.successor(np.minimum(want, _U(self.levels[0][s]["top"][0])))
-            hit = place < keys.n
-            hit[hit] = keys.access(place[hit]) == want[hit]
-            out[at[hit]] = place[hit] + self.shape.offsets[0][s]
+            place = keys.find(hashes[at] - _U(_start(int(s), self.shape.shards)))
+            out[at] = np.where(place >= 0, place + self.shape.offsets[0][s], -1)
         return out
 
     def counts(self, nodes: np.ndarray) -> np.ndarray:
@@ -144,35 +155,32 @@ class Trie:
             if self.levels[level][s] is None:
                 continue
             pointers, local = self._sequence(level, s, "pointers"), contexts[at] - self.shape.offsets[level - 1][s]
-            begin[at] = pointers.access(local).astype(np.int64) + self.shape.offsets[level][s]
-            end[at] = pointers.access(local + 1).astype(np.int64) + self.shape.offsets[level][s]
+            first = self.shape.offsets[level][s]
+            begin[at], end[at] = (x.astype(np.int64) + first for x in pointers.access_pairs(local))
         return begin, end
 
-    def find(self, level: int, contexts: np.ndarray, relative: np.ndarray) -> np.ndarray:
-        """Nodes of a level k > 1 from contexts and words relative to the context's suffix; -1 in either finds none."""
-        out = np.full(len(contexts), -1)
-        some = np.flatnonzero((contexts >= 0) & (relative >= 0))
-        heads, of = np.unique(contexts[some], return_inverse=True)
+    def find(self, level: int, heads: np.ndarray, of: np.ndarray, relative: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes of a level k > 1 from contexts (distinct, sorted nodes; each wanted one's is heads[of]; ``of`` is sorted) and words
+        relative to the context's suffix; -1 is none. And the words' places among the context's successors.
+        """
+        out = np.full(len(of), -1)
         begins, ends = self.ranges(level, heads)
         for s, where in self._by_shard(level - 1, heads):
             if self.levels[level][s] is None:
                 continue
             keys, first = self._sequence(level, s, "keys"), self.shape.offsets[level][s]
-            base = np.zeros(len(heads), _U)
-            later = where[begins[where] > first]
-            base[later] = keys.access(begins[later] - first - 1)
-            mine = np.zeros(len(heads), bool)
-            mine[where] = ends[where] > begins[where]
-            at = np.flatnonzero(mine[of])
-            head, want = of[at], relative[some[at]].astype(_U)
-            want = want + base[head] + _U(1)
-            place = np.full(len(at), keys.n)
-            there = want <= _U(self.levels[level][s]["top"][0])
-            place[there] = keys.successor(want[there])
-            hit = (place >= begins[head] - first) & (place < ends[head] - first)
-            hit[hit] = keys.access(place[hit]) == want[hit]
-            out[some[at[hit]]] = place[hit] + first
-        return out
+            begin, end = begins[where] - first, ends[where] - first
+            base = np.zeros(len(begin), _U)
+            later = np.flatnonzero(begin > 0)
+            base[later] = keys.access(begin[later] - 1)
+            a, z = np.searchsorted(of, [where.start, where.stop])
+            head = of[a:z] - where.start
+            want = relative[a:z].astype(_U) + base[head] + _U(1)
+            there = np.flatnonzero((end > begin)[head] & (want <= _U(self.levels[level][s]["top"][0])))
+            place = keys.find(want[there])
+            hit = np.flatnonzero((place >= begin[head[there]]) & (place < end[head[there]]))
+            out[a + there[hit]] = place[hit] + first
+        return out, np.where(out >= 0, out - begins[of], -1)
 
     def _coded(self, level: int, nodes: np.ndarray, code: str, book: str, of_level: int) -> np.ndarray:
         out = np.zeros(len(nodes))
@@ -190,16 +198,6 @@ class Trie:
         """log10 of what a context of the level before leaves to the shorter one; 0 without successors."""
         return self._coded(level, contexts, "weights", "weight_book", level - 1)
 
-    def relative(self, level: int, nodes: np.ndarray, parents: np.ndarray) -> np.ndarray:
-        """Places of nodes of a level among the successors of their parents (in the first level: themselves)."""
-        if level == 0:
-            return nodes
-        begins = np.full(len(nodes), -1)
-        some = nodes >= 0
-        heads, of = np.unique(parents[some], return_inverse=True)
-        begins[some] = self.ranges(level, heads)[0][of]
-        return np.where(some, nodes - begins, -1)
-
     def parent_begin(self, level: int, nodes: np.ndarray) -> np.ndarray:
         """Where the range of successors that holds each node begins (in the first level: the root's, 0)."""
         out = np.zeros(len(nodes), np.int64)
@@ -214,42 +212,63 @@ class Trie:
         """log10 p of nodes of any level."""
         return self.probability(level, nodes) if level else self.unigram(nodes)
 
-    def path(self, ids: np.ndarray, begins: np.ndarray, depth: int) -> list[np.ndarray]:
-        """For levels 1 to ``depth``: the node of the n-gram that ends at each token of texts put together."""
-        out = [ids]
-        parents = np.full(len(ids), -1)
+    def path(self, ids: np.ndarray, flat: np.ndarray, begins: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For levels 1 to ``depth``: distinct nodes, sorted, and for each token of texts put together the place in them
+        of the n-gram that ends at it; -1 is none. ``ids`` are the nodes of the distinct words that ``flat`` has as places.
+        """
+        known = ids >= 0
+        out = [(ids[known], np.append(np.where(known, np.cumsum(known) - 1, -1), -1)[flat])]
+        relative = out[0][0]
         for level in range(1, depth):
-            before = np.concatenate([[-1], out[-1][:-1]])
-            before[begins[:-1]] = -1
-            relative = self.relative(level - 1, out[-1], parents)
-            pairs, of = _distinct_pairs(before, relative)
-            out.append(self.find(level, pairs[0], pairs[1])[of])
-            parents = before
+            nodes, of = out[-1]
+            before = self._before(of, begins)
+            some = np.flatnonzero((before >= 0) & (of >= 0))
+            (heads, words), pair = _distinct_pairs(before[some], of[some])
+            new = np.diff(heads, prepend=-1) > 0
+            found, relative = self.find(level, nodes[heads[new]], np.cumsum(new) - 1, relative[words])
+            hit = found >= 0
+            place = np.full(len(of), -1)
+            place[some] = np.where(hit, np.cumsum(hit) - 1, -1)[pair]
+            relative = relative[hit]
+            out.append((found[hit], place))
         return out
 
-    def score(self, ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _before(of: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """For each token what the one before it has; -1 at a text's begin."""
+        before = np.concatenate([[-1], of[:-1]])
+        before[begins[:-1]] = -1
+        return before
+
+    def score(self, ids: np.ndarray, flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """log10 probability of each token; the ends that lead the texts are given 0."""
-        nodes = self.path(ids, begins, len(self.levels))
-        distinct, of = np.unique(ids, return_inverse=True)
-        out = self.unigram(distinct)[of]
+        path = self.path(ids, flat, begins, len(self.levels))
+        out = self.unigram(ids)[flat]
         for level in range(1, len(self.levels)):
-            before = np.concatenate([[-1], nodes[level - 1][:-1]])
-            before[begins[:-1]] = -1
-            heads, of = np.unique(before, return_inverse=True)
-            weights = self.weight(level, heads)
-            weights[heads < 0] = 0.0
-            found = nodes[level] >= 0
-            out = out + weights[of]
-            out[found] = self.probability(level, nodes[level][found])
+            contexts, of = path[level - 1]
+            nodes, found = path[level]
+            # One entry more, for -1.
+            out += np.append(self.weight(level, contexts), 0.0)[self._before(of, begins)]
+            out = np.where(found >= 0, np.append(self.probability(level, nodes), 0.0)[found], out)
         out[begins[:-1]] = 0.0
         return out
 
 
 def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    wide = int(b.max(initial=0)) + 2
-    if wide * (int(a.max(initial=0)) + 2) < 1 << 63:
-        keys, of = np.unique((a + 1) * wide + (b + 1), return_inverse=True)
-        return (keys // wide - 1, keys % wide - 1), of
+    """The distinct pairs, sorted, and the place in them of each pair given; no number is negative."""
+    wide, place = int(b.max(initial=0)) + 1, len(a).bit_length()
+    size = wide * (int(a.max(initial=0)) + 1)
+    if size < 1 << 63 - place:  # a pair and its place fit into one number: sorted faster than places by pair
+        packed = np.sort((a * wide + b) << place | np.arange(len(a)))
+        order, keys = packed & (1 << place) - 1, packed >> place
+        new = np.diff(keys, prepend=-1) != 0
+        of = np.empty(len(a), np.int64)
+        of[order] = np.cumsum(new) - 1
+        keys = keys[new]
+        return (keys // wide, keys % wide), of
+    if size < 1 << 63:
+        keys, of = np.unique(a * wide + b, return_inverse=True)
+        return (keys // wide, keys % wide), of
     order = np.lexsort((b, a))
     new = np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])
     of = np.empty(len(a), np.int64)
@@ -257,6 +276,17 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[tuple[np.ndarray, np.
     return (a[order][new], b[order][new]), of
 
 
+def _counted_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs, sorted, and how often each is given; no number is negative."""
+    wide = int(b.max(initial=0)) + 1
+    if wide * (int(a.max(initial=0)) + 1) >= 1 << 63:
+        (a, b), of = _distinct_pairs(a, b)
+        return a, b, np.bincount(of)
+    keys = np.sort(a * wide + b)
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first] // wide, keys[first] % wide, np.diff(first, append=len(keys))
+
+
 def _file(path: str, level: int, shard: int) -> str:
     return f"{path}/level-{level + 1}-{shard:05d}.bin"
 
@@ -323,9 +353,9 @@ def _first_level(plain: DataFrame, path: str, shards: int) -> DataFrame:
             return _block_rows(shard_of(hashes, shards), shards, [hashes, n])
 
         for piece in _pieces(batches):
-            hashes, flat, begins = tokens(texts(piece, "text"))
+            hashes, flat, begins = tokens(piece.column("text"))
             n = np.bincount(flat, minlength=len(hashes))
-            n[0] -= len(begins) - 1  # an end leads each text
+            n[flat[0]] -= len(begins) - 1  # an end leads each text
             held.append((hashes, n))
             if sum(len(h) for h, _ in held) > _GATHERED:
                 yield sent()
@@ -356,20 +386,19 @@ def _next_level(plain: DataFrame, shape: Shape, level: int, discount: float, bin
         def sent():
             a, b = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            (a, b), of = _distinct_pairs(a, b)
+            a, b, n = _counted_pairs(a, b)
             shard = np.searchsorted(offsets, a, side="right") - 1
             local = a - offsets[shard]
             step = np.diff(local, prepend=0)
             step[np.flatnonzero(np.diff(shard)) + 1] = local[np.flatnonzero(np.diff(shard)) + 1]
-            return _block_rows(shard, shape.shards, [step, b, np.bincount(of)])
+            return _block_rows(shard, shape.shards, [step, b, n])
 
         for piece in _pieces(batches):
-            hashes, flat, begins = tokens(texts(piece, "text"))
-            nodes = trie.path(trie.words(hashes)[flat], begins, level)
-            before = np.concatenate([[-1], nodes[-1][:-1]])
-            before[begins[:-1]] = -1
-            some = (before >= 0) & (nodes[-1] >= 0)
-            held.append((before[some], nodes[-1][some]))
+            hashes, flat, begins = tokens(piece.column("text"))
+            nodes, of = trie.path(trie.words(hashes), flat, begins, level)[-1]
+            before = trie._before(of, begins)
+            some = (before >= 0) & (of >= 0)
+            held.append((nodes[before[some]], nodes[of[some]]))
             if sum(len(a) for a, _ in held) > _GATHERED:
                 yield sent()
         if any(len(a) for a, _ in held):
@@ -436,7 +465,7 @@ def score(docs: DataFrame, shape: Shape, doc_id: str = "doc_id", text: str = "te
     def work(batches):
         trie = Trie(shape)
         for piece in _pieces(batches):
-            hashes, flat, begins = tokens(texts(piece, "text"))
+            hashes, flat, begins = tokens(piece.column("text"))
             ids = trie.words(hashes)
             base, known = trie.unigram(ids), ids >= 0
             known &= trie.counts(ids) > 0
@@ -451,7 +480,7 @@ def score(docs: DataFrame, shape: Shape, doc_id: str = "doc_id", text: str = "te
                     pa.array(sums(known[flat].astype(np.int64)), pa.int64()),
                     pa.array(np.full(len(n), shape.tokens), pa.int64()),
                     pa.array(sums(base[flat]), pa.float64()),
-                    pa.array(sums(trie.score(ids[flat], begins)), pa.float64()),
+                    pa.array(sums(trie.score(ids, flat, begins)), pa.float64()),
                 ],
                 ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
