@@ -1,11 +1,14 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from edges import LONG, documents, nothing
+from pyspark.sql import functions as F
 
 from tideview.llm import linededup
+from tideview.llm.common import Scratch
 
 DRAW = random.Random(8)
 
@@ -200,3 +203,26 @@ def test_against_brute_force(spark, monkeypatch, a_task):
     got = run(spark, [(i, t, "en", "s", 0) for i, t in texts.items()])
     want = removed_by_brute_force(texts)
     assert {i: got[i, "s"].n_removed_words for i in texts} == want and sum(want.values()) > 1000
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    for given in (None, "false"):
+        if given:
+            spark.conf.set(name, given)
+        before = shuffles()
+        df = spark.range(10_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.count("*").alias("n"))
+        saved = Scratch(spark, "shuffles").saved(df.join(df.withColumnRenamed("n", "m"), "k"))
+        end = time.monotonic() + 20
+        while shuffles() - before and time.monotonic() < end:
+            time.sleep(0.1)
+        assert not shuffles() - before
+        assert spark.conf.get(name, None) == given
+        assert saved.agg(F.sum("n"), F.sum("m")).first()[:] == (10_000, 10_000)
+    spark.conf.unset(name)
