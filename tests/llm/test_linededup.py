@@ -205,6 +205,18 @@ def test_against_brute_force(spark, monkeypatch, a_task):
     assert {i: got[i, "s"].n_removed_words for i in texts} == want and sum(want.values()) > 1000
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 8, 11])
+def test_least_of_some_in_a_row(size):
+    draw = np.random.default_rng(size)
+    for n in (1, 2, 7, 11, 60):
+        h = draw.integers(0, 9, n).astype(np.uint64)
+        whole = np.arange(n) <= n - size
+        whole[draw.integers(0, n)] = False
+        rows = [range(i, i + size) for i in np.flatnonzero(whole)]
+        expected = [any(j in row and h[j] == min(h[i] for i in row) for row in rows) or h[j] == 0 for j in range(n)]
+        assert linededup._least(h, whole, size).tolist() == expected
+
+
 def test_saved_tables_leave_no_shuffle_files(spark):
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 

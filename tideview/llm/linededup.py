@@ -72,19 +72,20 @@ def _any_of(data: np.ndarray, signs: bytes) -> np.ndarray:
     return known[data]
 
 
-def _least(h: np.ndarray, whole: np.ndarray, size: int) -> np.ndarray:
-    """Whether each number is the least of some ``size`` in a row, of those rows that are ``whole`` (by their first)."""
-    n, wide = len(h), -(-(len(h) + size) // size) * size
+def _each(x: np.ndarray, over: np.ufunc, size: int) -> np.ndarray:
+    """The least or greatest of each ``size`` numbers in a row: of twice as many by each step, the last two overlap."""
+    have = 1
+    while 2 * have <= size:
+        x = over(x[:-have], x[have:])
+        have *= 2
+    return over(x[: len(x) - (size - have)], x[size - have :])
 
-    def rowwise(x: np.ndarray, over, fill) -> np.ndarray:
-        """Of each ``size`` in a row, from the first of them on."""
-        x = np.concatenate([x, np.full(wide - len(x), fill, _U)]).reshape(-1, size)
-        ahead, back = over.accumulate(x, axis=1).ravel(), over.accumulate(x[:, ::-1], axis=1)[:, ::-1].ravel()
-        return over(back[: wide - size + 1], ahead[size - 1 :])
 
-    least = np.where(whole, rowwise(h, np.minimum, ~_U(0))[:n], _U(0))
-    most = rowwise(np.concatenate([np.zeros(size - 1, _U), least])[: wide], np.maximum, _U(0))[:n]
-    return most == h
+def _least(h: np.ndarray, whole: np.ndarray, size: int) -> np.ndarray:
+    """Whether each number is the least of some ``size`` in a row, of those rows that are ``whole`` (by their first)."""
+    beyond = np.zeros(size - 1, _U)
+    least = np.where(whole, _each(np.concatenate([h, ~beyond]), np.minimum, size), _U(0))
+    return _each(np.concatenate([beyond, least]), np.maximum, size) == h
 
 
 class _Lines:
@@ -106,10 +107,11 @@ class _Lines:
         self.n = len(self.word)
         if not self.n:
             return
-        self.text = np.searchsorted(ends, self.word, side="right")
+        self.text = np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(self.word, ends), prepend=0))
         self.new_text = np.append(True, self.text[1:] != self.text[:-1])
-        breaks = np.searchsorted(np.flatnonzero(data == 10), self.word)
-        line_start = self.new_text | np.append(True, breaks[1:] != breaks[:-1])
+        behind = np.searchsorted(self.word, np.flatnonzero(data == 10))  # the first word behind each line break
+        line_start = self.new_text.copy()
+        line_start[behind[behind < self.n]] = True
 
         # Hashes of words, and of the white space behind them.
         power, back = _powers(n)
