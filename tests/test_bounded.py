@@ -92,3 +92,37 @@ def test_sound_keys_are_known_from_their_hashes(spark):
     assert keys_look_sound(sound, ["k", "l"])
     assert not keys_look_sound(sound, ["k"])
     assert not keys_look_sound(spark.createDataFrame([(1, None)], "k long, l string"), ["k", "l"])
+
+
+def test_rows_copied_into_cells_are_not_taken_for_as_small_as_their_files(spark, tmp_path):
+    n = F.col("id")
+    spark.range(0, 6000, 1, 1).select(n.alias("id"), (n % 40).cast("double").alias("x")).write.parquet(f"file://{tmp_path}/rows")
+    spark.range(0, 4000, 1, 1).select(F.lit(1).cast("long").alias("id"), (n % 4 + 0.5).alias("y")).write.parquet(f"file://{tmp_path}/points")
+    rows, points = (spark.read.parquet(f"file://{tmp_path}/{t}").alias(a) for t, a in (("rows", "a"), ("points", "b")))
+    on = "b.y < a.x + 1 and b.y > a.x - 1"
+    spark.conf.set(RANGE_BYTES, "0")
+    try:
+        for limit, broadcast in (("50000", False), ("10000000", True)):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            got = skew_safe_join(rows, points, [], [on], "left", ["a.id"], ["b.id"])
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) == broadcast and ("SortMergeJoin" in plan) != broadcast
+            sums = [F.count("*"), F.count("y"), F.sum("a.id"), F.sum("y")]
+            assert got.agg(*sums).collect() == rows.join(points, F.expr(on), "left").agg(*sums).collect()
+    finally:
+        spark.conf.unset(RANGE_BYTES)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_with_and_without_partner_are_shuffled_once(spark, staging):
+    a, b = (staging.table(side).alias(name) for side, name in zip(sides(spark), "ab"))
+    on = "b.y < a.x + 2 and b.y > a.x - 2"
+    for name, value in ((RANGE_BYTES, "0"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(name, value)
+    try:
+        got = skew_safe_join(a, b, [], [on], "left", ["a.id"], ["b.id"]).selectExpr("a.id", "x", "b.id as b_id", "y")
+        got.collect()
+        assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(RANGE_BYTES)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tideview.functions.expressions import all_of, any_of, keys_match, null_safe_on, renamed, typed_null
 from tideview.operators.ranges import find_band, range_join
-from tideview.sources.storage import plan_bytes
+from tideview.sources.storage import broadcast_limit, plan_bytes, row_width
 
 # Settings, read from the session (all may be set with spark.conf.set).
 SKEW_BYTES = "spark.tideview.skewBytes"  # inputs below this are not inspected
@@ -38,11 +38,6 @@ def setting(df: DataFrame, name: str) -> float:
     return float(df.sparkSession.conf.get(name, DEFAULTS[name]))
 
 
-def broadcast_limit(df: DataFrame) -> int:
-    """Spark's own bound for a broadcast side, in bytes."""
-    return df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-
-
 def hot_keys(df: DataFrame, keys: Sequence[Column], share: float) -> list[int]:
     """Hashes of the keys that hold at least about ``share`` of the rows.
 
@@ -78,11 +73,6 @@ def heavy_keys(df: DataFrame, keys: Sequence[Column], share: float, task_bytes:
     return [t["item"] for t in found], max((t["count"] * width for t in found), default=0.0)
 
 
-def row_width(df: DataFrame) -> int:
-    """Spark's default size of a row of these columns."""
-    return max(8, df._jdf.schema().defaultSize())
-
-
 def skew_safe_join(
     left: DataFrame,
     right: DataFrame,

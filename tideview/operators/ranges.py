@@ -10,6 +10,9 @@ splits those that are large.
 Where the rows of one side are points, the rows of the other stand once, in the first cell of their range, and the points are copied to
 the cells before theirs in which such a range can begin. The rows without a partner are found among the cells too, row by row and not from the pairs.
 
+Spark takes rows that are copied into cells for no larger than their files. So how large both sides are in their cells is counted here,
+and a side too large to broadcast is not.
+
 With one condition only, half of all pairs match anyway: there the smaller side is copied into all of up to 64 cells on its
 side of the axis, and the other half of the pairs never meets.
 """
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideview.functions.expressions import null_safe_on
+from tideview.sources.storage import broadcast_limit, plan_bytes, row_width
 
 #: Cuts of the axis, half of them quantiles of each side.
 CUTS = 1024
@@ -116,16 +120,23 @@ def _axis(df: DataFrame, text: str) -> Column | None:
     return None
 
 
-def _cuts(left: DataFrame, right: DataFrame, band: Band) -> list[float]:
-    """Quantiles of both sides' values, least and largest included; at most ``CUTS`` numbers."""
+def _cuts(left: DataFrame, right: DataFrame, band: Band) -> tuple[list[float], dict[str, int]]:
+    """Quantiles of both sides' values, least and largest included, at most ``CUTS`` numbers; and about how many rows each side places."""
     n = CUTS // 2
     shares = _constant([i / (n - 1) for i in range(n)])
+    finite = F.when(F.expr("x > double('-infinity') and x < double('infinity')"), F.col("x"))
     parts = []
     for df, side in ((left, "left"), (right, "right")):
         values = F.explode(F.array(*[_axis(df, t) for t in band.ends(side)])).alias("x")
-        finite = df.select(values).where("x > double('-infinity') and x < double('infinity')")
-        parts.append(finite.agg(F.percentile_approx("x", shares, 10_000).alias("q")))
-    return sorted({x for row in parts[0].unionByName(parts[1]).take(2) for x in row["q"] or []})
+        found = F.percentile_approx(finite, shares, 10_000).alias("q"), F.count("x").alias("n")
+        parts.append(df.select(values).agg(F.lit(side).alias("side"), *found))
+    rows = parts[0].unionByName(parts[1]).take(2)
+    return sorted({x for row in rows for x in row["q"] or []}), {r["side"]: -(-r["n"] // len(band.ends(r["side"]))) for r in rows}
+
+
+def _bytes(df: DataFrame, rows: int) -> int:
+    """How large so many rows of these columns are."""
+    return max(plan_bytes(df), rows * row_width(df))
 
 
 def _constant(values: list[float]) -> Column:
@@ -197,7 +208,12 @@ def cells(left: DataFrame, right: DataFrame, band: Band, copy_left: bool = False
 
     ``copy_left`` says which side is copied if the band has one condition only.
     """
-    cuts = _cuts(left, right, band)
+    return _cells(left, right, band, copy_left)[:3]
+
+
+def _cells(left: DataFrame, right: DataFrame, band: Band, copy_left: bool) -> tuple[DataFrame, DataFrame, Column, tuple[int, int]]:
+    """``cells`` and about how many rows each side has in them."""
+    cuts, given = _cuts(left, right, band)
     if not band.whole:
         down = band.left_top is not None  # left below right
         placed_left = _placed(left, band.ends("left"), cuts, True, not (copy_left and down))
@@ -209,22 +225,32 @@ def cells(left: DataFrame, right: DataFrame, band: Band, copy_left: bool = False
         grid = GRIDS.index(_HALF_GRID)
         placed_left, placed_right = (x.withColumn("__grid", F.lit(grid)) for x in (placed_left, placed_right))
         used_left = used_right = [grid]
+        copies = 1 + int(len(cuts) * 2.0**_HALF_GRID / 2)  # about half of the cells
+        many = (given["left"] * (copies if copy_left else 1), given["right"] * (1 if copy_left else copies))
     else:
         placed_left = _with_grid(_placed(left, band.ends("left"), cuts, True, True))
         placed_right = _with_grid(_placed(right, band.ends("right"), cuts, True, True))
-        both = placed_left.select(F.lit(0).alias("side"), "__grid").unionByName(placed_right.select(F.lit(1).alias("side"), "__grid"))
-        used = both.distinct().take(2 * len(GRIDS))  # a side has at most so many grids as there are
-        used_left, used_right = ([g for side, g in used if side == n] for n in (0, 1))
+        covered = F.lit(0)
+        for i, grid in enumerate(GRIDS):
+            covered = F.when(F.col("__grid") == i, _cell(F.col("__hi"), grid) - _cell(F.col("__lo"), grid) + 1).otherwise(covered)
+        both = [x.select(F.lit(n).alias("side"), "__grid", covered.alias("n")) for n, x in enumerate((placed_left, placed_right))]
+        counted = both[0].unionByName(both[1]).groupBy("side", "__grid").agg(F.sum("n").alias("n"))
+        used = counted.take(2 * len(GRIDS))  # a side has at most so many grids as there are
+        used_left, used_right = ([g for side, g, _ in used if side == n] for n in (0, 1))
+        many = [0, 0]
+        for side, own, n in used:  # coarser grids have no more cells for a row
+            others = (used_right, used_left)[side]
+            many[side] += n * (any(o <= own for o in others) + sum(o > own for o in others))
     meet = (F.col("__lgrid") == F.col("__rgrid")) & (F.col("__lcell") == F.col("__rcell"))
     # Once: in the coarser of the two rows' own grids, in the first cell they share.
     meet &= (F.col("__lgrid") == F.greatest("__lown", "__rown")) & (F.col("__lcell") == F.greatest("__llow", "__rlow"))
-    return _in_cells(placed_left, used_right, "l"), _in_cells(placed_right, used_left, "r"), meet
+    return _in_cells(placed_left, used_right, "l"), _in_cells(placed_right, used_left, "r"), meet, (many[0], many[1])
 
 
-def _once(rows: DataFrame, points: DataFrame, band: Band, side: str) -> tuple[DataFrame, DataFrame, Column]:
-    """Cells in which each of ``rows`` (on ``side``) stands once and the points of the other side are copied."""
+def _once(rows: DataFrame, points: DataFrame, band: Band, side: str) -> tuple[DataFrame, DataFrame, Column, tuple[int, int]]:
+    """Cells in which each of ``rows`` (on ``side``) stands once and the points of the other side are copied; and about how many rows each side has there."""
     left, right = (rows, points) if side == "left" else (points, rows)
-    cuts = _cuts(left, right, band)
+    cuts, given = _cuts(left, right, band)
     other = "right" if side == "left" else "left"
     r, p = side[0], other[0]
     placed = _with_grid(_placed(rows, band.ends(side), cuts, True, True), _ONCE_GRIDS, _SPAN)
@@ -235,6 +261,8 @@ def _once(rows: DataFrame, points: DataFrame, band: Band, side: str) -> tuple[Da
     # Out of an array, as filters are not moved below that: they would compute the place over and over.
     standing = placed.withColumn("__at", F.explode(F.array(F.struct(F.col("__grid").alias("grid"), first.alias("cell")))))
     standing = standing.withColumns({f"__{r}{n}": F.col("__at").getField(n) for n in ("grid", "cell")}).drop("__at", "__lo", "__hi", "__grid")
+    # All have a cell. An inner join asks for it anyway; if said here, Spark sees that the join for the rows without partner reads the same rows, and shuffles them once.
+    standing = standing.where(F.col(f"__{r}cell").isNotNull())
     at = [
         F.struct(F.lit(i).alias("grid"), (_cell(F.col("__lo"), _ONCE_GRIDS[i]) - n).alias("cell"))
         for i in used
@@ -244,27 +272,38 @@ def _once(rows: DataFrame, points: DataFrame, band: Band, side: str) -> tuple[Da
     copied = _placed(points, band.ends(other), cuts, True, True).withColumn("__at", F.explode(F.array(*at) if at else none))
     copied = copied.withColumns({f"__{p}{n}": F.col("__at").getField(n) for n in ("grid", "cell")}).drop("__at", "__lo", "__hi")
     meet = (F.col("__lgrid") == F.col("__rgrid")) & (F.col("__lcell") == F.col("__rcell"))
-    return (standing, copied, meet) if side == "left" else (copied, standing, meet)
+    once, copies = given[side], given[other] * len(at)
+    return (standing, copied, meet, (once, copies)) if side == "left" else (copied, standing, meet, (copies, once))
 
 
 @dataclass(frozen=True)
 class RangeJoin:
     """Both sides in their cells, and when two of these rows are a pair of the join. ``once`` is the side
-    whose rows stand in one cell each, if there is one."""
+    whose rows stand in one cell each, if there is one, ``fits`` says of each side whether it may be broadcast."""
 
     left: DataFrame
     right: DataFrame
     pair: Column
     band: Band
     once: str | None
+    fits: tuple[bool, bool]
 
     def matched(self) -> DataFrame:
         """The inner join."""
-        return self.left.join(self.right, self.pair, "inner").drop(*_PLACES)
+        left, right = self.left, self.right
+        if self.fits == (True, False):
+            left = left.hint("broadcast")
+        elif self.fits == (False, True):
+            right = right.hint("broadcast")
+        elif self.fits == (False, False):
+            right = right.hint("merge")
+        return left.join(right, self.pair, "inner").drop(*_PLACES)
 
     def alone(self, rows: DataFrame, side: str, row_id: Sequence[str]) -> DataFrame:
         """``rows``, which are the whole ``side``, without those that have a partner. No pair is shuffled for that."""
         mine, other = (self.left, self.right) if side == "left" else (self.right, self.left)
+        if not self.fits[side == "left"]:
+            other = other.hint("merge")
         if side == self.once:
             null = " or ".join(f"({t}) is null" for t in self.band.ends(side))  # these stand in no cell
             return mine.join(other, self.pair, "left_anti").drop(*_PLACES).union(rows.where(null))
@@ -284,7 +323,13 @@ def range_join(left: DataFrame, right: DataFrame, band: Band, on: Column, how: s
     for once, points in sorted([("left", "right"), ("right", "left")], key=lambda p: p[0] != first):
         if point[points]:
             rows, others = (left, right) if once == "left" else (right, left)
-            in_left, in_right, meet = _once(rows, others, band, once)
-            return RangeJoin(in_left, in_right, meet & on, band, once)
-    in_left, in_right, meet = cells(left, right, band, copy_left)
-    return RangeJoin(in_left, in_right, meet & on, band, None)
+            in_left, in_right, meet, many = _once(rows, others, band, once)
+            return RangeJoin(in_left, in_right, meet & on, band, once, _fits(in_left, in_right, many))
+    in_left, in_right, meet, many = _cells(left, right, band, copy_left)
+    return RangeJoin(in_left, in_right, meet & on, band, None, _fits(in_left, in_right, many))
+
+
+def _fits(left: DataFrame, right: DataFrame, many: tuple[int, int]) -> tuple[bool, bool]:
+    """Whether Spark would broadcast a side if it knew how many rows there are."""
+    limit = broadcast_limit(left)
+    return _bytes(left, many[0]) <= limit, _bytes(right, many[1]) <= limit
