@@ -1,5 +1,7 @@
 """What a step shuffles and writes follows the tables, not the pairs of a join without an equality."""
 
+import time
+
 from conftest import assert_same_bag
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from tideview.operators.joins import RANGE_BYTES, skew_safe_join
 from tideview.operators.ranges import find_band, range_join
 from tideview.plans.maintain import maintenance_steps
 from tideview.plans.spec import Table, ViewSpec, left
-from tideview.sources.storage import Files
+from tideview.sources.storage import Files, Staging
 from tideview.sources.tables import keys_look_sound
 
 
@@ -126,3 +128,33 @@ def test_rows_with_and_without_partner_are_shuffled_once(spark, staging):
     finally:
         spark.conf.unset(RANGE_BYTES)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_covered_and_lost_keys_come_from_one_pass_of_the_pairs(spark, staging, monkeypatch):
+    rows, points = sides(spark)
+    tables = {"rows": staging.table(rows), "points": staging.table(points)}
+    view = bind(SPEC, tables)
+    change = {"points": Change(deleted=points.where("id % 3 = 0"), inserted=points.where("id % 3 = 1").withColumn("id", F.col("id") + 100))}
+    names, real = [], Staging.table
+    monkeypatch.setattr(Staging, "table", lambda self, df, name="t": names.append((name, "__rcell" in df._jdf.queryExecution().optimizedPlan().toString())) or real(self, df, name))
+    spark.conf.set(RANGE_BYTES, "0")
+    try:
+        got = maintain(view, build_view(view), tables, change, staging)
+    finally:
+        spark.conf.unset(RANGE_BYTES)
+    assert sum(pairs for _, pairs in names) == 1
+    assert_same_bag(got, build_view(view, tables_after(view, tables, change)))
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark, staging):
+    def files():
+        every = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return {f for f in every.split() if "/shuffle_" in f}
+
+    before = files()
+    written = staging.table(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert written.count() == 7
